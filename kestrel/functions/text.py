@@ -29,7 +29,7 @@ def _col(c) -> Column:
 # fixed entity map of the native path (named + the common numeric forms);
 # "&amp;" goes last so an escaped entity is decoded one level per pass
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&amp;", "&")]
+            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
 
 # patterns are kept to the common subset of Java regex and RE2
 _NON_TEXT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"

@@ -1 +1,118 @@
-"""Queries (filled in below)."""
+"""Queries: generation metrics (A16-A19) and pooling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kestrel.operators import textmetrics as TM
+from kestrel.operators.metrics import round_cols as R
+from kestrel.plans import fixtures as X
+from kestrel.plans.catalogue import query
+from kestrel.plans.sqlparts import PAIRS
+
+_GRAMS = PAIRS + """,
+g AS (
+  SELECT pair_id, n, 'c' AS side, unnest(list_transform(range(1, len(cand) - n + 2),
+         lambda i: array_to_string(cand[i:i + n - 1], ' '))) AS gram
+  FROM pairs, range(1, 5) o(n) WHERE len(cand) >= n
+  UNION ALL
+  SELECT pair_id, n, 'r', unnest(list_transform(range(1, len(ref) - n + 2),
+         lambda i: array_to_string(ref[i:i + n - 1], ' ')))
+  FROM pairs, range(1, 5) o(n) WHERE len(ref) >= n),
+gc AS (SELECT pair_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c,
+              count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY pair_id, n, gram),
+tot AS (SELECT n, CAST(sum(greatest(len(cand) - n + 1, 0)) AS BIGINT) AS possible,
+               CAST(sum(greatest(len(ref) - n + 1, 0)) AS BIGINT) AS ref_possible
+        FROM pairs, range(1, 5) o(n) GROUP BY n),
+mt AS (SELECT n, CAST(sum(least(c, r)) AS BIGINT) AS matches FROM gc GROUP BY n),
+prec AS (SELECT CAST(tot.n AS INTEGER) AS n, coalesce(matches, 0) AS matches, possible, ref_possible,
+                CASE WHEN possible > 0 THEN coalesce(matches, 0) / possible ELSE 0 END AS precision
+         FROM tot LEFT JOIN mt ON tot.n = mt.n)"""
+
+
+@query("ngram_precision", f"""WITH {_GRAMS}
+SELECT n, matches, possible, ref_possible, round(precision, 6) AS precision FROM prec""")
+def ngram_precision_q(spark, sf):
+    return R(TM.ngram_precision(X.text_pairs(spark, sf)))
+
+
+@query("bleu_corpus", f"""WITH {_GRAMS},
+w AS (SELECT max(precision) FILTER (WHERE n = 1) AS p1, max(precision) FILTER (WHERE n = 2) AS p2,
+             max(precision) FILTER (WHERE n = 3) AS p3, max(precision) FILTER (WHERE n = 4) AS p4,
+             max(possible) FILTER (WHERE n = 1) AS c_len, max(ref_possible) FILTER (WHERE n = 1) AS r_len
+      FROM prec),
+b AS (SELECT *, CASE WHEN c_len > r_len THEN 1.0 WHEN c_len = 0 THEN 0.0 ELSE exp(1 - r_len / c_len) END AS bp
+      FROM w)
+SELECT round(CASE WHEN least(p1, p2, p3, p4) <= 0 THEN 0.0
+                  ELSE bp * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END, 6) AS bleu,
+       round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4,
+       round(bp, 6) AS brevity_penalty, round(c_len / r_len, 6) AS length_ratio, c_len, r_len FROM b""")
+def bleu_corpus_q(spark, sf):
+    return R(TM.bleu_corpus(X.text_pairs(spark, sf)))
+
+
+_ROUGE_PAIRS = _GRAMS + """,
+ov AS (SELECT pair_id, n, CAST(sum(least(c, r)) AS BIGINT) AS overlap FROM gc GROUP BY pair_id, n),
+pp AS (SELECT p.pair_id, CAST(o.n AS INTEGER) AS n, coalesce(ov.overlap, 0) / greatest(len(p.cand) - o.n + 1, 1) AS precision,
+              coalesce(ov.overlap, 0) / greatest(len(p.ref) - o.n + 1, 1) AS recall
+       FROM pairs p CROSS JOIN range(1, 3) o(n) LEFT JOIN ov ON ov.pair_id = p.pair_id AND ov.n = o.n),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                      ELSE 0 END AS fmeasure FROM pp)"""
+
+
+def _rouge_pairs(spark, sf):
+    pairs = X.text_pairs(spark, sf)
+    return TM.rouge_n(pairs, 1).withColumn("n", F.lit(1)).unionByName(
+        TM.rouge_n(pairs, 2).withColumn("n", F.lit(2)))
+
+
+@query("rouge_n", f"""WITH {_ROUGE_PAIRS}
+SELECT n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(fmeasure), 6) AS fmeasure FROM pf GROUP BY n""")
+def rouge_n_q(spark, sf):
+    return R(_rouge_pairs(spark, sf).groupBy("n").agg(
+        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+        F.avg("fmeasure").alias("fmeasure")))
+
+
+@query("rouge_n_pairs", f"""WITH {_ROUGE_PAIRS}
+SELECT pair_id, n, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(fmeasure, 6) AS fmeasure FROM pf""")
+def rouge_n_pairs_q(spark, sf):
+    return R(_rouge_pairs(spark, sf))
+
+
+@query("rouge_l")
+def rouge_l_q(spark, sf):
+    return R(TM.rouge_l(X.text_pairs(spark, sf)))
+
+
+_EMB = """tok AS (SELECT vec_id // 10 AS pair_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v
+                 FROM embeddings)"""
+
+
+@query("greedy_match", f"""WITH {_EMB},
+sim AS (SELECT c.pair_id, c.v AS cv, r.v AS rv, list_cosine_similarity(c.v, r.v) AS s
+        FROM tok c JOIN tok r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
+p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, cv, max(s) AS m FROM sim GROUP BY pair_id, cv)
+      GROUP BY pair_id),
+r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rv, max(s) AS m FROM sim GROUP BY pair_id, rv)
+      GROUP BY pair_id)
+SELECT p.pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
+FROM p JOIN r ON p.pair_id = r.pair_id""")
+def greedy_match_q(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    toks = e.select((F.col("vec_id") / 10).cast("long").alias("pair_id"),
+                    (F.col("vec_id") % 2).cast("int").alias("side"), F.col("embedding").alias("vec"))
+    return R(TM.greedy_match(toks, "pair_id", "side", "vec"))
+
+
+@query("mean_pool", """SELECT pair_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS x FROM (
+  SELECT vec_id // 10 AS pair_id, unnest(generate_series(0, len(embedding) - 1)) AS dim,
+         unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY pair_id, dim""")
+def mean_pool_q(spark, sf):
+    e = X.table(spark, sf, "embeddings").select((F.col("vec_id") / 10).cast("long").alias("pair_id"), "embedding")
+    pooled = TM.mean_pool(e, "pair_id", "embedding")
+    return pooled.select("pair_id", F.posexplode("mean_vec").alias("dim", "x")) \
+                 .select("pair_id", F.col("dim").cast("int"), F.round("x", 6).alias("x"))
