@@ -1 +1,124 @@
-"""Queries (filled in below)."""
+"""Queries: heads, batch scoring, evaluation records, the cascade, stores."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from kestrel.codebook import EPOCHS
+from kestrel.operators import heads as H
+from kestrel.operators import metrics as M
+from kestrel.operators.metrics import round_cols as R
+from kestrel.plans import fixtures as X
+from kestrel.plans.catalogue import query
+from kestrel.plans.q_messages import VERB_SQL
+from kestrel.plans.sqlparts import ASP, POST, REG
+from kestrel.sources import tables as TB
+
+
+@query("cascade", f"""WITH {ASP},
+c AS (SELECT vec_id, p_label AS predicted_label, p_aspects[1] AS predicted_title, p_aspects[2] AS predicted_desc,
+             p_aspects[3] AS predicted_comp, p_aspects[4] AS predicted_other, p_label, p_aspects FROM asp)
+SELECT vec_id, predicted_label, predicted_title, predicted_desc, predicted_comp, predicted_other,
+       {VERB_SQL} AS pre_tasks FROM c""")
+def cascade_q(spark, sf):
+    return H.cascade(X.aspect_rows(spark, sf), "vec_id", "label_scores", "aspect_scores")
+
+
+_CENT = """emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+cent AS (SELECT cls, list(m ORDER BY dim) AS c FROM (
+           SELECT label AS cls, dim, avg(x) AS m FROM (
+             SELECT label, unnest(generate_series(0, len(e) - 1)) AS dim, unnest(e) AS x FROM emb)
+           GROUP BY label, dim) GROUP BY cls),
+sc AS (SELECT emb.vec_id, emb.label AS t, arg_max(cent.cls, list_inner_product(emb.e, cent.c)) AS p,
+              max(list_inner_product(emb.e, cent.c)) AS best FROM emb CROSS JOIN cent GROUP BY emb.vec_id, emb.label)"""
+
+
+def _centroid_scored(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    w, b = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
+    return H.score_batch(e, "embedding", w, b)
+
+
+@query("score_batch", f"""WITH {_CENT}
+SELECT vec_id, CAST(p AS INTEGER) AS pred, round(best, 6) AS best_score FROM sc""")
+def score_batch_q(spark, sf):
+    s = _centroid_scored(spark, sf)
+    return s.select("vec_id", "pred", F.round(F.array_max("scores"), 6).alias("best_score"))
+
+
+@query("evaluate_and_register", f"""WITH {_CENT}, {REG},
+classes AS (SELECT t AS cls FROM sc UNION SELECT p FROM sc),
+pc AS (SELECT c.cls, count(*) FILTER (WHERE x.t = c.cls AND x.p = c.cls) AS tp,
+              count(*) FILTER (WHERE x.t = c.cls) AS support, count(*) FILTER (WHERE x.p = c.cls) AS predicted
+       FROM sc x JOIN classes c ON true GROUP BY c.cls),
+m AS (SELECT sum(tp) / sum(support) AS acc,
+             avg(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END) AS avg_pre,
+             avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS avg_recall,
+             avg(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END) AS avg_f1
+      FROM pc)
+SELECT (SELECT max(version) + 1 FROM reg) AS version, 'cls' AS task, round(acc, 6) AS acc,
+       round(avg_pre, 6) AS avg_pre, round(avg_recall, 6) AS avg_recall, round(avg_f1, 6) AS avg_f1 FROM m""")
+def evaluate_and_register_q(spark, sf):
+    s = _centroid_scored(spark, sf)
+    met = M.cls_metrics(M.count_table(s, "label", "pred"))
+    # the registry has one row per trigger: its next version is a single number
+    nxt = X.registry(spark, sf).agg(F.max("version")).first()[0] + 1
+    rec = met.select(F.lit(int(nxt)).alias("version"), F.lit("cls").alias("task"), "acc",
+                     F.col("precision").alias("avg_pre"), F.col("recall").alias("avg_recall"),
+                     F.col("f1").alias("avg_f1"))
+    return R(rec)
+
+
+def _history_frame(spark, hist):
+    return spark.createDataFrame(hist, "epoch int, head int, loss double, acc double, n long")
+
+
+@query("train_head")
+def train_head_q(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    hist: list = []
+    H.train_heads(e, "embedding", "label", 10, epochs=EPOCHS, lr=0.5, history=hist)
+    return R(_history_frame(spark, hist))
+
+
+@query("train_aspect_heads")
+def train_aspect_heads_q(spark, sf):
+    a = X.aspect_rows(spark, sf).join(X.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
+    hist: list = []
+    H.train_heads(a, "embedding", "t_aspects", 4, epochs=EPOCHS, lr=0.5, n_heads=4, history=hist)
+    return R(_history_frame(spark, hist))
+
+
+@query("model_store")
+def model_store_q(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    path = TB.scratch_path(spark, f"model_store-{uuid.uuid4().hex}")
+    TB.save_weights(H.centroid_weights(e, "embedding", "label"), path, "cls", 1)
+    back = TB.load_weights(spark, path, "cls", 1)
+    return back.select("head", "cls", "bias", F.size("w").alias("dims"))
+
+
+@query("csv_roundtrip", f"""WITH {POST}
+SELECT recruitment_id, title, body, company_name FROM post""")
+def csv_roundtrip_q(spark, sf):
+    p = X.postings(spark, sf).select("recruitment_id", "title", "body", "company_name")
+    path = TB.scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    TB.write_csv(p, path)
+    return TB.read_postings(spark, path, p.schema)
+
+
+@query("registry_seed", f"""WITH {REG}
+SELECT md5(CAST(version AS VARCHAR)) AS oid, acc, avg_f1, task, version FROM reg""")
+def registry_seed_q(spark, sf):
+    reg = X.registry(spark, sf)
+    docs = reg.select(F.to_json(F.struct(
+        F.struct(F.md5(F.col("version").cast("string")).alias("$oid")).alias("_id"),
+        "version", "task", "acc", "avg_f1")).alias("value"))
+    path = TB.scratch_path(spark, f"registry-seed-{uuid.uuid4().hex}")
+    docs.write.text(path)
+    return TB.seed_registry(spark, path, multi_line=False).select("oid", "acc", "avg_f1", "task", F.col("version").cast("int"))
+
+
+_ = POST
