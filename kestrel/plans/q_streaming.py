@@ -1 +1,115 @@
-"""Queries (filled in below)."""
+"""Queries: streaming scoring, trigger ledger with restart, stream correlation, online strategies."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from kestrel.codebook import REPLAY_EVERY, TRIGGER_ROWS
+from kestrel.functions.arrays import as_doubles
+from kestrel.operators import heads as H
+from kestrel.operators.metrics import round_cols as R
+from kestrel.operators.online import online_learn
+from kestrel.plans import fixtures as X
+from kestrel.plans.catalogue import query
+from kestrel.plans.q_heads import _CENT
+from kestrel.plans.sqlparts import ASP, ORD, REQRESP
+from kestrel.sources import messages as MS
+from kestrel.sources.tables import scratch_path
+from kestrel.streaming.correlate import stream_correlate
+from kestrel.streaming.scoring import score_requests
+from kestrel.streaming.triggers import read_ledger, stream_trigger
+
+N, M = TRIGGER_ROWS, REPLAY_EVERY
+
+
+def _await(q):
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@query("stream_score", f"""WITH {_CENT}, {ASP}
+SELECT sha256(CAST(sc.vec_id AS VARCHAR)) AS key, CAST(sc.vec_id AS VARCHAR) AS id, CAST(sc.p AS INTEGER) AS prediction,
+       '[' || array_to_string(asp.p_aspects, ', ') || ']' AS acsa
+FROM sc JOIN asp ON sc.vec_id = asp.vec_id""")
+def stream_score_q(spark, sf):
+    e = X.table(spark, sf, "embeddings")
+    base = scratch_path(spark, f"stream-score-{uuid.uuid4().hex}")
+    reqs = MS.to_messages(e.withColumn("cid", F.sha2(F.col("vec_id").cast("string"), 256)), "cid", {
+        "id": F.col("vec_id").cast("string"), "data": F.to_json(as_doubles("embedding"))})
+    reqs.repartition(4).write.parquet(f"{base}/requests")
+    # the model: class centroids (classes x dims values)
+    w, b = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
+    stream = MS.read_requests(spark, "parquet", {"maxFilesPerTrigger": "1"}, path=f"{base}/requests")
+    out = score_requests(stream, w, b, aspect_scores=lambda v: F.slice(v, 1, 16))
+    _await(MS.write_responses(out, "parquet", {}, f"{base}/ckpt", path=f"{base}/responses"))
+    resp = spark.read.parquet(f"{base}/responses")
+    parsed = MS.parse_messages(resp, MS.RESPONSE_SCHEMA)
+    return parsed.select("key", "id", "prediction", "acsa")
+
+
+@query("stream_trigger", f"""WITH {ORD}
+SELECT CAST((rn - 1) // {N} + 1 AS BIGINT) AS trigger_id, min(o_orderkey) AS lo, max(o_orderkey) AS hi,
+       CAST(count(*) AS BIGINT) AS n,
+       CASE WHEN ((rn - 1) // {N} + 1) % {M} = 0 THEN 'replay' ELSE 'own' END AS kind
+FROM ord WHERE rn <= (total // {N}) * {N} GROUP BY 1, 5""")
+def stream_trigger_q(spark, sf):
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    base = scratch_path(spark, f"stream-trigger-{uuid.uuid4().hex}")
+    bounds = o.agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).first()
+    split = (bounds["lo"] + bounds["hi"]) // 2
+    schema = o.schema
+
+    def run():
+        # files of one write carry no arrival order among themselves: take each arrival whole
+        src = spark.readStream.schema(schema).parquet(f"{base}/src")
+        _await(stream_trigger(src, "o_orderkey", f"{base}/staging", f"{base}/ledger", f"{base}/ckpt", N, M))
+
+    # first arrivals, one run; then the rest arrives and the stream restarts from its checkpoint
+    o.where(F.col("o_orderkey") <= split).repartition(3).write.mode("append").parquet(f"{base}/src")
+    run()
+    o.where(F.col("o_orderkey") > split).repartition(3).write.mode("append").parquet(f"{base}/src")
+    run()
+    return read_ledger(spark, f"{base}/ledger").select("trigger_id", "lo", "hi", "n", "kind")
+
+
+@query("stream_correlate", f"""WITH {REQRESP}
+SELECT req.correlation_id, config, round(date_diff('microsecond', sent_at, answered_at) / 1e6, 6) AS latency
+FROM req JOIN resp ON req.correlation_id = resp.correlation_id
+WHERE answered_at >= sent_at AND answered_at <= sent_at + INTERVAL 1 HOUR""")
+def stream_correlate_q(spark, sf):
+    base = scratch_path(spark, f"stream-correlate-{uuid.uuid4().hex}")
+    req, resp = X.requests(spark, sf), X.responses(spark, sf)
+    req.repartition(4).write.parquet(f"{base}/req")
+    resp.repartition(4).write.parquet(f"{base}/resp")
+    rs = spark.readStream.schema(req.schema).parquet(f"{base}/req")
+    ss = spark.readStream.schema(resp.schema).parquet(f"{base}/resp")
+    j = stream_correlate(rs, ss, max_wait="1 hour").select("correlation_id", "config", "latency")
+    q = (j.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
+          .outputMode("append").trigger(availableNow=True).start(f"{base}/out"))
+    _await(q)
+    return R(spark.read.parquet(f"{base}/out"))
+
+
+def _online(spark, sf, strategy):
+    e = X.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    start = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
+    reg = online_learn(e, "vec_id", "embedding", "label", e, 10, strategy, N, M, epochs=1, lr=0.5, start=start)
+    return R(reg)
+
+
+@query("online_continue")
+def online_continue_q(spark, sf):
+    return _online(spark, sf, "continue")
+
+
+@query("online_champion")
+def online_champion_q(spark, sf):
+    return _online(spark, sf, "champion")
+
+
+@query("online_replay")
+def online_replay_q(spark, sf):
+    return _online(spark, sf, "replay")
