@@ -115,21 +115,39 @@ def vocab_topk(df: DataFrame, col: str, k: int, first_id: int = 2) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(w) + first_id - 1).cast("int"))
 
 
+def _bucketed_lookup(vocab: DataFrame, max_rows: int, per_bucket: int = 16):
+    """Vocabulary as an array of small map literals indexed by a token hash.
+
+    A map literal is searched linearly, so one flat map of k entries costs k
+    comparisons per token; with ``k / per_bucket`` hash buckets a lookup
+    scans about ``per_bucket`` keys and stays inside generated code.
+    Returns None when the vocabulary has more than ``max_rows`` entries.
+    """
+    rows = vocab.select("token", "id", F.hash("token").alias("h")).limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    nb = max(1, len(rows) // per_bucket)
+    buckets: list[list] = [[] for _ in range(nb)]
+    for r in rows:
+        buckets[r["h"] % nb].append(r)   # Python's % matches Spark's pmod for nb > 0
+    maps = [F.create_map(*[x for r in bk for x in (F.lit(r["token"]), F.lit(r["id"]))])
+            if bk else F.create_map().cast("map<string,int>") for bk in buckets]
+    table = F.array(*maps)
+    return lambda t: F.element_at(F.element_at(table, F.pmod(F.hash(t), F.lit(nb)) + 1), t)
+
+
 def pad_tokens(df: DataFrame, col: str, vocab: DataFrame, length: int, key: str) -> DataFrame:
     """Token ids truncated/padded to ``length`` plus the attention mask.
 
     The whole text is tokenised, then cut to ``length``. A vocabulary of at
-    most ``MAX_INLINE_VOCAB`` entries is inlined as a map literal (no
-    shuffle); a larger one is broadcast-joined to the first ``length``
-    tokens of each row (per-row groups are bounded by ``length``).
+    most ``MAX_INLINE_VOCAB`` entries is inlined as hash-bucketed map
+    literals (no shuffle); a larger one is broadcast-joined to the first
+    ``length`` tokens of each row (per-row groups are bounded by ``length``).
     """
-    k = vocab.count()
     head = F.slice(tokens(col), 1, length)
-    if k <= MAX_INLINE_VOCAB:
-        entries = vocab.select("token", "id").collect()
-        vmap = F.create_map(*[x for r in entries for x in (F.lit(r["token"]), F.lit(r["id"]))]) \
-            if entries else F.create_map().cast("map<string,int>")
-        ids = F.transform(head, lambda t: F.coalesce(F.element_at(vmap, t), F.lit(1)))
+    lookup = _bucketed_lookup(vocab, MAX_INLINE_VOCAB)
+    if lookup is not None:
+        ids = F.transform(head, lambda t: F.coalesce(lookup(t), F.lit(1)))
         base = df.select(key, ids.alias("_ids"))
     else:
         toks = df.select(key, F.posexplode(head).alias("pos", "token"))
