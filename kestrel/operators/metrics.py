@@ -180,7 +180,7 @@ def multilabel_example(df: DataFrame, t: str, p: str) -> DataFrame:
     n = F.count(F.lit(1))
     return rows.agg(
         F.when(F.sum(F.when(F.col("u") == 0, 1).otherwise(0)) > 0, F.lit(None).cast("double"))
-         .otherwise(F.sum(F.col("i") / F.col("u")) / n).alias("accuracy"),
+         .otherwise(F.sum(F.when(F.col("u") > 0, F.col("i") / F.col("u"))) / n).alias("accuracy"),
         (F.sum(F.when(F.col("sp") > 0, F.col("i") / F.col("sp")).otherwise(0.0)) / n).alias("precision"),
         (F.sum(F.when(F.col("st") > 0, F.col("i") / F.col("st")).otherwise(0.0)) / n).alias("recall"),
         (F.sum(F.when(F.col("st") + F.col("sp") > 0, 2.0 * F.col("i") / (F.col("st") + F.col("sp")))

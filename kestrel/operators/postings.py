@@ -150,11 +150,13 @@ def pad_tokens(df: DataFrame, col: str, vocab: DataFrame, length: int, key: str)
         ids = F.transform(head, lambda t: F.coalesce(lookup(t), F.lit(1)))
         base = df.select(key, ids.alias("_ids"))
     else:
-        toks = df.select(key, F.posexplode(head).alias("pos", "token"))
-        looked = toks.join(F.broadcast(vocab.select("token", "id")), "token", "left")
+        toks = df.select(key, F.posexplode(head).alias("_pos", "_tok"))
+        v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
+        # the vocabulary has k rows (k is the caller's bound), so it is broadcast
+        looked = toks.join(F.broadcast(v), "_tok", "left")
         base = looked.groupBy(key).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(1)).alias("id")))),
-                        lambda s: s["id"]).alias("_ids"))
+            F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_vid", F.lit(1)).alias("i")))),
+                        lambda s: s["i"]).alias("_ids"))
         base = df.select(key).join(base, key, "left") \
                  .withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
     pad = F.array_repeat(F.lit(0), F.lit(length) - F.size("_ids"))

@@ -83,7 +83,7 @@ def bleu_corpus(pairs: DataFrame, cand: str = "cand", ref: str = "ref", max_n: i
           .otherwise(F.exp(1 - F.col("r_len") / F.col("c_len")))
     bleu = F.when(any_zero, F.lit(0.0)).otherwise(bp * geo)
     return j.select(bleu.alias("bleu"), *ps, bp.alias("brevity_penalty"),
-                    (F.col("c_len") / F.col("r_len")).alias("length_ratio"), "c_len", "r_len")
+                    F.when(F.col("r_len") > 0, F.col("c_len") / F.col("r_len")).alias("length_ratio"), "c_len", "r_len")
 
 
 def rouge_n(pairs: DataFrame, n: int, cand: str = "cand", ref: str = "ref") -> DataFrame:
