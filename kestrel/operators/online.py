@@ -33,13 +33,16 @@ def evaluate(dev: DataFrame, vec: str, label: str, w: np.ndarray, b: np.ndarray)
     return {"acc": r["acc"], "avg_pre": r["precision"], "avg_recall": r["recall"], "avg_f1": r["f1"]}
 
 
-def ledger_of(df: DataFrame, key: str, n: int, m: int) -> list[tuple[int, int, int, int]]:
-    """``(trigger_id, lo, hi, rows)`` of every trigger, replay ranges widened to M batches."""
+def ledger_of(df: DataFrame, key: str, n: int, m: int) -> DataFrame:
+    """``(trigger_id, lo, hi, rows)`` of every trigger, replay ranges widened to M batches.
+
+    One row per trigger (rows / N of them), written once to the checkpoint
+    folder so the sequential loop below can page through it.
+    """
     t = trigger_replay(df.select(key), key, n, m)
     led = t.groupBy("trigger_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
-                                      F.count(F.lit(1)).alias("rows")).orderBy("trigger_id")
-    # one row per trigger: the ledger is small next to the data
-    return [(r["trigger_id"], r["lo"], r["hi"], r["rows"]) for r in led.collect()]
+                                      F.count(F.lit(1)).alias("rows"))
+    return led.repartitionByRange("trigger_id").sortWithinPartitions("trigger_id").checkpoint(eager=True)
 
 
 def online_learn(train: DataFrame, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
@@ -55,19 +58,23 @@ def online_learn(train: DataFrame, key: str, vec: str, label: str, dev: DataFram
     records = [dict(version=1, trigger_id=0, kind="start", rows=0, start_version=None,
                     **evaluate(dev, vec, label, w0, b0))]
     ledger = ledger_of(train, key, n, m if strategy == "replay" else 10**12)
-    for trigger_id, lo, hi, rows in ledger:
-        if strategy == "continue":
-            base = records[-1]["version"]
-        else:
-            best = max(records, key=lambda r: (r["avg_f1"], -r["version"]))
-            base = best["version"]
+    champion = records[0]
+    # the ledger streams to the driver one partition at a time, in trigger order
+    for r in ledger.toLocalIterator():
+        trigger_id, lo, hi, rows = r["trigger_id"], r["lo"], r["hi"], r["rows"]
+        base = records[-1]["version"] if strategy == "continue" else champion["version"]
         part = train.where((F.col(key) >= F.lit(lo)) & (F.col(key) <= F.lit(hi)))
         w, b = H.train_heads(part, vec, label, n_classes, epochs=epochs, lr=lr, init=models[base])
         version = records[-1]["version"] + 1
         models[version] = (w, b)
         kind = "replay" if strategy == "replay" and trigger_id % m == 0 else "own"
-        records.append(dict(version=version, trigger_id=trigger_id, kind=kind, rows=rows, start_version=base,
-                            **evaluate(dev, vec, label, w, b)))
+        rec = dict(version=version, trigger_id=trigger_id, kind=kind, rows=rows, start_version=base,
+                   **evaluate(dev, vec, label, w, b))
+        records.append(rec)
+        if (rec["avg_f1"], -rec["version"]) > (champion["avg_f1"], -champion["version"]):
+            champion = rec
+        # only the champion and the newest weights can seed a later trigger
+        models = {v: models[v] for v in {champion["version"], version}}
     return spark.createDataFrame([tuple(r[c] for c in ("version", "trigger_id", "kind", "rows", "start_version",
                                                        "acc", "avg_pre", "avg_recall", "avg_f1"))
                                   for r in records], RECORD_SCHEMA)
