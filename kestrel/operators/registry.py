@@ -137,4 +137,5 @@ def latest_epoch(names: DataFrame, name: str = "name", pattern: str = r"^(.*)_(\
 
 def sample_example(df: DataFrame, id_col: str, seed: int, k: int = 1) -> DataFrame:
     """``k`` rows chosen by a seeded hash of the id (repeatable random example)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(k)
+    from kestrel.operators.sequence import seeded_hash
+    return df.orderBy(seeded_hash(id_col, seed), F.col(id_col)).limit(k)

@@ -90,12 +90,18 @@ def trigger_replay(df: DataFrame, key, n: int, m: int) -> DataFrame:
     return out.withColumn("kind", F.when(F.col("trigger_id") % m == 0, "replay").otherwise("own"))
 
 
+def seeded_hash(id_col: str, seed: int) -> Column:
+    """Repeatable pseudo-random order key of a row: ``md5("<seed>:<id>")``."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
 def mini_batches(df: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
     """Seeded shuffle into mini-batches of ``size`` (the short last batch is kept).
 
-    The shuffle order is ``xxhash64(id, seed)``, ties broken by the id.
+    The shuffle order is the MD5 of ``"<seed>:<id>"`` (hex text), ties broken
+    by the id: a portable hash, so any engine can reproduce the order.
     """
-    keyed = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    keyed = df.withColumn("_h", seeded_hash(id_col, seed))
     numbered = number_rows(keyed, [F.col("_h"), F.col(id_col)])
     return numbered.withColumn("batch_id", (F.floor((F.col("rn") - 1) / size) + 1).cast("long")) \
                    .drop("_h")

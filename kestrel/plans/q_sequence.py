@@ -35,7 +35,9 @@ def trigger_replay_q(spark, sf):
     return S.trigger_replay(o, "o_orderkey", N, M).select("trigger_id", "o_orderkey", "batch_id", "kind")
 
 
-@query("mini_batches")
+@query("mini_batches", f"""SELECT o_orderkey, rn, CAST((rn - 1) // {MINI_BATCH} + 1 AS BIGINT) AS batch_id FROM (
+  SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS rn
+  FROM orders)""")
 def mini_batches_q(spark, sf):
     o = X.table(spark, sf, "orders").select("o_orderkey")
     return S.mini_batches(o, "o_orderkey", MINI_BATCH, seed=42).select("o_orderkey", "rn", "batch_id")
