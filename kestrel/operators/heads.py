@@ -198,7 +198,16 @@ def join_task_outputs(t1: DataFrame, t2: DataFrame, key: str) -> DataFrame:
     return t1.join(t2, key, "inner")
 
 
-def cascade(df: DataFrame, key: str, label_scores: str, aspect_scores: str) -> DataFrame:
-    """Label task, aspect task, their join, and the verbalised context for the explanation task."""
-    j = join_task_outputs(task1_output(df, key, label_scores), task2_output(df, key, aspect_scores), key)
-    return j.withColumn("pre_tasks", verbalise("predicted_label", F.array(*ASPECT_OUTPUTS)))
+def cascade(df: DataFrame, key: str, label_scores: str, aspect_scores: str, n_aspects: int = 4,
+            width: int = 4) -> DataFrame:
+    """Label task, aspect task and the verbalised context for the explanation task.
+
+    When both score sets live on the same rows the two task outputs are one
+    projection (one scan, no shuffle); outputs produced separately are
+    aligned with :func:`join_task_outputs` instead.
+    """
+    s = as_doubles(aspect_scores)
+    out = df.select(key, argmax_class(label_scores).alias("predicted_label"),
+                    *[argmax_class(F.slice(s, i * width + 1, width)).alias(ASPECT_OUTPUTS[i])
+                      for i in range(n_aspects)])
+    return out.withColumn("pre_tasks", verbalise("predicted_label", F.array(*ASPECT_OUTPUTS[:n_aspects])))

@@ -22,32 +22,34 @@ def ngrams(tokens, n: int) -> Column:
                        lambda i: F.array_join(F.slice(t, i + 1, n), " "))
 
 
+def _tagger(n: int, side: str):
+    """``gram -> {n, side, gram}`` (PySpark counts lambda parameters, so no defaults)."""
+    return lambda x: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), x.alias("gram"))
+
+
 def _ngram_counts(pairs: DataFrame, cand: str, ref: str, orders: list[int]) -> DataFrame:
-    """``(pair_id, n, gram, c, r)``: occurrences of each n-gram on both sides."""
-    sides = []
+    """``(pair_id, n, gram, c, r)``: occurrences of each n-gram on both sides.
+
+    All orders and both sides come out of one scan and one ``explode``.
+    """
+    items = []
     for n in orders:
         for side, col in (("c", cand), ("r", ref)):
             g = F.when(F.size(col) >= n, ngrams(col, n)).otherwise(F.array().cast("array<string>"))
-            sides.append(pairs.select("pair_id", F.lit(n).alias("n"), F.lit(side).alias("side"),
-                                      F.explode(g).alias("gram")))
-    allg = sides[0]
-    for s in sides[1:]:
-        allg = allg.unionByName(s)
+            items.append(F.transform(g, _tagger(n, side)))
+    allg = pairs.select("pair_id", F.explode(F.concat(*items)).alias("x")).select("pair_id", "x.*")
     return allg.groupBy("pair_id", "n", "gram").agg(
         F.sum(F.when(F.col("side") == "c", 1).otherwise(0)).alias("c"),
         F.sum(F.when(F.col("side") == "r", 1).otherwise(0)).alias("r"))
 
 
 def _totals(pairs: DataFrame, cand: str, ref: str, orders: list[int]) -> DataFrame:
-    """``(pair_id, n, cand_total, ref_total)`` from the token counts (no explode)."""
-    rows = [pairs.select("pair_id", F.lit(n).alias("n"),
-                         F.greatest(F.size(cand) - n + 1, F.lit(0)).cast("long").alias("cand_total"),
-                         F.greatest(F.size(ref) - n + 1, F.lit(0)).cast("long").alias("ref_total"))
-            for n in orders]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    """``(pair_id, n, cand_total, ref_total)`` from the token counts (one scan, no n-grams)."""
+    per = F.array(*[F.struct(F.lit(n).alias("n"),
+                             F.greatest(F.size(cand) - n + 1, F.lit(0)).cast("long").alias("cand_total"),
+                             F.greatest(F.size(ref) - n + 1, F.lit(0)).cast("long").alias("ref_total"))
+                    for n in orders])
+    return pairs.select("pair_id", F.explode(per).alias("x")).select("pair_id", "x.*")
 
 
 def ngram_precision(pairs: DataFrame, cand: str = "cand", ref: str = "ref", max_n: int = 4) -> DataFrame:
