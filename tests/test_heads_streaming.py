@@ -95,3 +95,16 @@ def test_stream_trigger_restart_and_replay_idempotent(spark, scratch):
                  for r in read_ledger(spark, f"{scratch}/ledger").collect())
     assert led == [(1, 1, 50, 50, "own"), (2, 51, 100, 50, "own"), (3, 101, 150, 50, "own"),
                    (4, 151, 200, 50, "replay"), (5, 201, 250, 50, "own"), (6, 251, 300, 50, "own")]
+
+
+def test_score_engines_agree_and_nulls(spark):
+    df = blobs(spark, n=40).union(spark.createDataFrame([(999, None, 0)], "id long, vec array<double>, y int"))
+    rnd = np.random.default_rng(2)
+    w, b = rnd.normal(size=(1, 3, 6)), rnd.normal(size=(1, 3))
+    a = {r["id"]: r["pred"] for r in H.score_batch(df, "vec", w, b, engine="arrow").collect()}
+    n = {r["id"]: r["pred"] for r in H.score_batch(df, "vec", w, b, engine="native").collect()}
+    assert a == n and a[999] is None
+    w2, b2 = rnd.normal(size=(2, 3, 6)), rnd.normal(size=(2, 3))
+    a2 = {r["id"]: r["pred"] for r in H.score_batch(df, "vec", w2, b2).collect()}
+    n2 = {r["id"]: r["pred"] for r in H.score_batch(df, "vec", w2, b2, engine="native").collect()}
+    assert a2 == n2
