@@ -231,7 +231,8 @@ def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: s
         out = out.withColumn(prefix + "logp", log_softmax(prefix + "scores"))
         return out.withColumn(prefix + "pred", argmax_class(prefix + "scores"))
     if engine == "native":
-        preds = F.array(*[argmax_class(head_scores(vec, w, b, h, engine)) for h in range(H)])
+        preds = F.when(F.col(vec).isNotNull(),
+                       F.array(*[argmax_class(head_scores(vec, w, b, h, engine)) for h in range(H)]))
     else:
         preds = head_predictions(vec, w, b)
     return df.withColumn(prefix + "pred", preds)
