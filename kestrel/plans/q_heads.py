@@ -123,3 +123,39 @@ def registry_seed_q(spark, sf):
 
 
 _ = POST
+
+
+@query("registry_append", f"""WITH {_CENT}, {REG},
+classes AS (SELECT t AS cls FROM sc UNION SELECT p FROM sc),
+pc AS (SELECT c.cls, count(*) FILTER (WHERE x.t = c.cls AND x.p = c.cls) AS tp,
+              count(*) FILTER (WHERE x.t = c.cls) AS support, count(*) FILTER (WHERE x.p = c.cls) AS predicted
+       FROM sc x JOIN classes c ON true GROUP BY c.cls),
+m AS (SELECT sum(tp) / sum(support) AS acc,
+             avg(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END) AS avg_f1
+      FROM pc)
+SELECT version, task, acc, avg_f1, key FROM reg
+UNION ALL
+SELECT (SELECT max(version) + 1 FROM reg), 'cls', round(acc, 6), round(avg_f1, 6),
+       CAST((SELECT max(version) + 1 FROM reg) AS BIGINT) FROM m""")
+def registry_append_q(spark, sf):
+    reg = X.registry(spark, sf)
+    path = TB.scratch_path(spark, f"registry-{uuid.uuid4().hex}")
+    reg.write.parquet(path)
+    rec = evaluate_and_register_q(spark, sf).select(
+        "version", "task", "acc", "avg_f1", F.col("version").cast("long").alias("key"))
+    TB.append_rows(rec, path)
+    return TB.read_table(spark, path).select("version", "task", "acc", "avg_f1", "key")
+
+
+@query("fallback_prediction", f"""WITH {ASP}
+SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE p_label END AS prediction,
+       '[-1, -1, -1, -1]' AS acsa FROM asp""")
+def fallback_prediction_q(spark, sf):
+    from kestrel.functions.arrays import argmax_class, with_fallback
+    from kestrel.sources.messages import list_text
+    a = X.aspect_rows(spark, sf)
+    # the label head fails on every 10th request; the aspect head is not deployed
+    label = F.when(F.col("vec_id") % 10 != 0, argmax_class("label_scores"))
+    aspects = F.lit(None).cast("array<int>")
+    return a.select("vec_id", with_fallback(label).alias("prediction"),
+                    list_text(with_fallback(aspects, 4)).alias("acsa"))

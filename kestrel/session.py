@@ -53,10 +53,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, creating a local one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Local runs (tests, bench) get a fresh scratch folder.
+    used as is (and must be set). Local-mode runs (tests, bench) without it
+    get a fresh scratch folder.
     """
     d = checkpoint_dir(spark)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="kestrel-ckpt-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)
     elif not spark.sparkContext.getCheckpointDir():
