@@ -45,36 +45,76 @@ def ledger_of(df: DataFrame, key: str, n: int, m: int) -> DataFrame:
     return led.repartitionByRange("trigger_id").sortWithinPartitions("trigger_id").checkpoint(eager=True)
 
 
+class OnlineLearner:
+    """State of one online run: registry records, champion, and the weights that
+    can still seed a trigger (the champion's and the newest)."""
+
+    FIELDS = ("version", "trigger_id", "kind", "rows", "start_version",
+              "acc", "avg_pre", "avg_recall", "avg_f1")
+
+    def __init__(self, vec: str, label: str, dev: DataFrame, n_classes: int, strategy: str, m: int,
+                 epochs: int = 1, lr: float = 0.5):
+        if strategy not in ("continue", "champion", "replay"):
+            raise ValueError(strategy)
+        self.vec, self.label, self.dev, self.k = vec, label, dev, n_classes
+        self.strategy, self.m, self.epochs, self.lr = strategy, m, epochs, lr
+        self.records: list[dict] = []
+        self.champion: dict | None = None
+        self.models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def start(self, w0: np.ndarray, b0: np.ndarray) -> dict:
+        """Register version 1 (the start model)."""
+        rec = dict(version=1, trigger_id=0, kind="start", rows=0, start_version=None,
+                   **evaluate(self.dev, self.vec, self.label, w0, b0))
+        self._add(rec, (w0, b0))
+        return rec
+
+    def restore(self, records: list[dict], weights) -> None:
+        """Continue a run from stored records; ``weights(version)`` loads a version."""
+        self.records = sorted(records, key=lambda r: r["version"])
+        self.champion = max(self.records, key=lambda r: (r["avg_f1"], -r["version"]))
+        for v in {self.champion["version"], self.records[-1]["version"]}:
+            self.models[v] = weights(v)
+
+    def base_version(self) -> int:
+        return self.records[-1]["version"] if self.strategy == "continue" else self.champion["version"]
+
+    def step(self, rows_df: DataFrame, trigger_id: int, rows: int) -> tuple[dict, tuple]:
+        """Train on one trigger's rows from the base weights, evaluate, register."""
+        base = self.base_version()
+        w, b = H.train_heads(rows_df, self.vec, self.label, self.k, epochs=self.epochs, lr=self.lr,
+                             init=self.models[base])
+        kind = "replay" if self.strategy == "replay" and trigger_id % self.m == 0 else "own"
+        rec = dict(version=self.records[-1]["version"] + 1, trigger_id=trigger_id, kind=kind, rows=rows,
+                   start_version=base, **evaluate(self.dev, self.vec, self.label, w, b))
+        self._add(rec, (w, b))
+        return rec, (w, b)
+
+    def _add(self, rec: dict, wb) -> None:
+        self.records.append(rec)
+        self.models[rec["version"]] = wb
+        if self.champion is None or (rec["avg_f1"], -rec["version"]) > (self.champion["avg_f1"],
+                                                                         -self.champion["version"]):
+            self.champion = rec
+        # only the champion and the newest weights can seed a later trigger
+        keep = {self.champion["version"], rec["version"]}
+        self.models = {v: x for v, x in self.models.items() if v in keep}
+
+    def registry(self, spark) -> DataFrame:
+        return spark.createDataFrame([tuple(r[c] for c in self.FIELDS) for r in self.records], RECORD_SCHEMA)
+
+
 def online_learn(train: DataFrame, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
                  strategy: str, n: int, m: int, epochs: int = 1, lr: float = 0.5,
                  start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """Run the strategy over all full triggers; returns the evaluation registry."""
-    if strategy not in ("continue", "champion", "replay"):
-        raise ValueError(strategy)
-    spark = train.sparkSession
+    """Run the strategy over all full triggers of a table; returns the evaluation registry."""
+    learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr)
     d = train.select(F.size(F.col(vec).cast("array<double>")).alias("d")).first()["d"]
     w0, b0 = start if start is not None else (np.zeros((1, n_classes, d)), np.zeros((1, n_classes)))
-    models = {1: (w0, b0)}
-    records = [dict(version=1, trigger_id=0, kind="start", rows=0, start_version=None,
-                    **evaluate(dev, vec, label, w0, b0))]
+    learner.start(w0, b0)
     ledger = ledger_of(train, key, n, m if strategy == "replay" else 10**12)
-    champion = records[0]
     # the ledger streams to the driver one partition at a time, in trigger order
     for r in ledger.toLocalIterator():
-        trigger_id, lo, hi, rows = r["trigger_id"], r["lo"], r["hi"], r["rows"]
-        base = records[-1]["version"] if strategy == "continue" else champion["version"]
-        part = train.where((F.col(key) >= F.lit(lo)) & (F.col(key) <= F.lit(hi)))
-        w, b = H.train_heads(part, vec, label, n_classes, epochs=epochs, lr=lr, init=models[base])
-        version = records[-1]["version"] + 1
-        models[version] = (w, b)
-        kind = "replay" if strategy == "replay" and trigger_id % m == 0 else "own"
-        rec = dict(version=version, trigger_id=trigger_id, kind=kind, rows=rows, start_version=base,
-                   **evaluate(dev, vec, label, w, b))
-        records.append(rec)
-        if (rec["avg_f1"], -rec["version"]) > (champion["avg_f1"], -champion["version"]):
-            champion = rec
-        # only the champion and the newest weights can seed a later trigger
-        models = {v: models[v] for v in {champion["version"], version}}
-    return spark.createDataFrame([tuple(r[c] for c in ("version", "trigger_id", "kind", "rows", "start_version",
-                                                       "acc", "avg_pre", "avg_recall", "avg_f1"))
-                                  for r in records], RECORD_SCHEMA)
+        part = train.where((F.col(key) >= F.lit(r["lo"])) & (F.col(key) <= F.lit(r["hi"])))
+        learner.step(part, r["trigger_id"], r["rows"])
+    return learner.registry(train.sparkSession)

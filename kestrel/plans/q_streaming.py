@@ -113,3 +113,28 @@ def online_champion_q(spark, sf):
 @query("online_replay")
 def online_replay_q(spark, sf):
     return _online(spark, sf, "replay")
+
+
+@query("stream_online")
+def stream_online_q(spark, sf):
+    """Replay strategy driven by the trigger stream, with a restart between two arrivals."""
+    from kestrel.streaming.online import StreamingLearner
+    e = X.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    base = scratch_path(spark, f"stream-online-{uuid.uuid4().hex}")
+    start = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
+    bounds = e.agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
+    split = (bounds["lo"] + bounds["hi"]) // 2
+
+    def run():
+        learner = StreamingLearner(spark, "vec_id", "embedding", "label", e, 10, "replay", M,
+                                   f"{base}/staging", f"{base}/ledger", f"{base}/registry", f"{base}/store", start)
+        src = spark.readStream.schema(e.schema).parquet(f"{base}/src")
+        _await(stream_trigger(src, "vec_id", f"{base}/staging", f"{base}/ledger", f"{base}/ckpt", N, M,
+                              on_trigger=learner))
+        return learner
+
+    e.where(F.col("vec_id") <= split).write.mode("append").parquet(f"{base}/src")
+    run()
+    e.where(F.col("vec_id") > split).write.mode("append").parquet(f"{base}/src")
+    learner = run()
+    return R(learner.registry_frame(spark))
