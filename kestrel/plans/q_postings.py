@@ -194,3 +194,20 @@ def url_id_q(spark, sf):
     pattern = r"/(\d+)(?:[?#].*)?$"
     return pg.select("page_id", F.startswith("url", F.lit("https://")).alias("is_site"),
                      T.url_posting_id("url", "https://", pattern).alias("posting_id"))
+
+
+def _html_chain_sql(e: str) -> str:
+    chain = f"""regexp_replace(regexp_replace(regexp_replace({e}, '[\\t\\n]', ' ', 'g'),
+  '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', '', 'g'),
+  '<[A-Za-z/!?][^>]*>', '', 'g')"""
+    return _unescape_sql(_unescape_sql(chain))
+
+
+@query("model_input", f"""WITH {POST}
+SELECT recruitment_id, {_html_chain_sql(_ASM)} AS input_data FROM post""")
+def model_input_q(spark, sf):
+    """The model input of one posting: assembled fields, then HTML to text (P10-P12 together)."""
+    p = X.postings(spark, sf)
+    lay = P.posting_layout(p, drop=["label", "explanation"], keep=["recruitment_id"])
+    cols = [DISPLAY_NAMES[c] for c in ("title", "body", "company_name", "vacancy")]
+    return lay.select("recruitment_id", T.html_to_text(P.assemble_text(lay, cols)).alias("input_data"))
