@@ -149,33 +149,59 @@ def mean_score(per_pair: DataFrame, cols=("precision", "recall", "fmeasure")) ->
 
 
 def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", vec: str = "vec",
-                 cand_side=0) -> DataFrame:
+                 cand_side=0, token_id: str | None = None, block: int = 2048) -> DataFrame:
     """Embedding greedy match per pair (BERTScore shape) over given token vectors.
 
     For every candidate token, the best cosine against the reference tokens
     of its pair (precision), and the reverse (recall); F1 = 2PR / (P + R).
-    The tokens of a pair meet in one grouped pandas task, where the
-    similarity matrix is a single matrix product; no pair rows are emitted.
-    A pair is one sentence pair, so its size is bounded by the encoder length.
+
+    The similarity matrix of a pair is cut into blocks of at most ``block``
+    tokens per side: a pair with ``nc`` candidate and ``nr`` reference
+    tokens becomes ``ceil(nc/block) x ceil(nr/block)`` groups, each holding
+    one candidate block and one reference block and computing their product
+    in numpy. Each group emits one partial maximum per token (no pair rows);
+    a max per token and a mean per pair finish the job. A normal sentence
+    pair is a single group; a pair holding a large share of all tokens is
+    spread over many tasks instead of landing in one.
     """
     import numpy as np
 
-    def score(g: pd.DataFrame) -> pd.DataFrame:
-        is_c = (g["_side"] == cand_side).to_numpy()
-        if is_c.all() or not is_c.any():
-            return pd.DataFrame({pair: [], "precision": [], "recall": [], "f1": []})
+    t = tokens.select(pair, F.col(side).alias("_side"), F.col(vec).alias("_vec"),
+                      (F.col(token_id) if token_id else F.monotonically_increasing_id()).alias("_tid"))
+    is_c = F.col("_side") == F.lit(cand_side)
+    sizes = t.groupBy(pair).agg(F.sum(is_c.cast("long")).alias("_nc"), F.sum((~is_c).cast("long")).alias("_nr"))
+    sizes = sizes.where((F.col("_nc") > 0) & (F.col("_nr") > 0)).select(
+        pair, F.ceil(F.col("_nc") / block).alias("_sc"), F.ceil(F.col("_nr") / block).alias("_sr"))
+    # a skewed pair is one key on the token side only: AQE splits that join partition
+    j = t.join(sizes, pair, "inner")
+    own = F.pmod(F.xxhash64("_tid"), F.when(is_c, F.col("_sc")).otherwise(F.col("_sr")))
+    other = F.sequence(F.lit(0), F.when(is_c, F.col("_sr")).otherwise(F.col("_sc")) - 1)
+    placed = j.select(pair, "_side", "_vec", "_tid", own.alias("_own"), F.explode(other).alias("_other"))
+    placed = placed.select(pair, "_side", "_vec", "_tid",
+                           F.when(is_c, F.col("_own")).otherwise(F.col("_other")).alias("_cb"),
+                           F.when(is_c, F.col("_other")).otherwise(F.col("_own")).alias("_rb"))
+
+    def block_max(g: pd.DataFrame) -> pd.DataFrame:
+        c = (g["_side"] == cand_side).to_numpy()
+        if c.all() or not c.any():
+            return pd.DataFrame({pair: [], "_side": [], "_tid": [], "_best": []})
         m = np.stack([np.asarray(x, dtype=np.float64) for x in g["_vec"]])
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        sim = m[is_c] @ m[~is_c].T
-        p = float(sim.max(axis=1).mean())
-        rr = float(sim.max(axis=0).mean())
-        f = 2 * p * rr / (p + rr) if p + rr != 0 else 0.0
-        return pd.DataFrame({pair: [g[pair].iloc[0]], "precision": [p], "recall": [rr], "f1": [f]})
+        sim = m[c] @ m[~c].T
+        return pd.DataFrame({pair: g[pair].iloc[0], "_side": np.concatenate([g["_side"][c], g["_side"][~c]]),
+                             "_tid": np.concatenate([g["_tid"][c], g["_tid"][~c]]),
+                             "_best": np.concatenate([sim.max(axis=1), sim.max(axis=0)])})
 
     key_type = tokens.schema[pair].dataType.simpleString()
-    schema = f"{pair} {key_type}, precision double, recall double, f1 double"
-    t = tokens.select(pair, F.col(side).alias("_side"), F.col(vec).alias("_vec"))
-    return t.groupBy(pair).applyInPandas(score, schema)
+    side_type = tokens.schema[side].dataType.simpleString()
+    partial = placed.groupBy(pair, "_cb", "_rb").applyInPandas(
+        block_max, f"{pair} {key_type}, _side {side_type}, _tid long, _best double")
+    best = partial.groupBy(pair, "_side", "_tid").agg(F.max("_best").alias("_best"))
+    per = best.groupBy(pair).agg(
+        F.avg(F.when(F.col("_side") == F.lit(cand_side), F.col("_best"))).alias("precision"),
+        F.avg(F.when(F.col("_side") != F.lit(cand_side), F.col("_best"))).alias("recall"))
+    p, r = F.col("precision"), F.col("recall")
+    return per.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:

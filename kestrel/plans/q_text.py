@@ -104,8 +104,8 @@ FROM p JOIN r ON p.pair_id = r.pair_id""")
 def greedy_match_q(spark, sf):
     e = X.table(spark, sf, "embeddings")
     toks = e.select((F.col("vec_id") / 10).cast("long").alias("pair_id"),
-                    (F.col("vec_id") % 2).cast("int").alias("side"), F.col("embedding").alias("vec"))
-    return R(TM.greedy_match(toks, "pair_id", "side", "vec"))
+                    (F.col("vec_id") % 2).cast("int").alias("side"), F.col("embedding").alias("vec"), "vec_id")
+    return R(TM.greedy_match(toks, "pair_id", "side", "vec", token_id="vec_id"))
 
 
 @query("mean_pool", """SELECT pair_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS x FROM (

@@ -115,3 +115,18 @@ def test_greedy_match_and_mean_pool(spark):
         assert got[pid]["recall"] == pytest.approx(s.max(axis=0).mean())
     pooled = {r["pair_id"]: r["mean_vec"] for r in TM.mean_pool(df, "pair_id", "vec").collect()}
     assert pooled[0] == pytest.approx(list(vecs[:6].mean(axis=0)))
+
+
+def test_greedy_match_blocked_equals_single_block(spark):
+    rnd = np.random.default_rng(4)
+    rows = []
+    for pid, (nc, nr) in enumerate([(7, 5), (1, 9), (12, 12), (3, 0)]):
+        for i in range(nc + nr):
+            rows.append((pid, 0 if i < nc else 1, i + 100 * pid, [float(x) for x in rnd.normal(size=4)]))
+    df = spark.createDataFrame(rows, "pair_id long, side int, tid long, vec array<double>")
+    one = {r["pair_id"]: r for r in TM.greedy_match(df, token_id="tid").collect()}
+    many = {r["pair_id"]: r for r in TM.greedy_match(df, token_id="tid", block=2).collect()}
+    assert set(one) == set(many) == {0, 1, 2}      # pair 3 has no reference side
+    for k in one:
+        assert (many[k]["precision"], many[k]["recall"], many[k]["f1"]) == \
+               pytest.approx((one[k]["precision"], one[k]["recall"], one[k]["f1"]))
