@@ -87,16 +87,16 @@ def rouge_l_q(spark, sf):
     return R(TM.rouge_l(X.text_pairs(spark, sf)))
 
 
-_EMB = """tok AS (SELECT vec_id // 10 AS pair_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v
+_EMB = """tok AS (SELECT vec_id, vec_id // 10 AS pair_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v
                  FROM embeddings)"""
 
 
 @query("greedy_match", f"""WITH {_EMB},
-sim AS (SELECT c.pair_id, c.v AS cv, r.v AS rv, list_cosine_similarity(c.v, r.v) AS s
+sim AS (SELECT c.pair_id, c.vec_id AS cid, r.vec_id AS rid, list_cosine_similarity(c.v, r.v) AS s
         FROM tok c JOIN tok r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
-p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, cv, max(s) AS m FROM sim GROUP BY pair_id, cv)
+p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, cid, max(s) AS m FROM sim GROUP BY pair_id, cid)
       GROUP BY pair_id),
-r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rv, max(s) AS m FROM sim GROUP BY pair_id, rv)
+r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rid, max(s) AS m FROM sim GROUP BY pair_id, rid)
       GROUP BY pair_id)
 SELECT p.pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
