@@ -88,19 +88,22 @@ def bleu_corpus(pairs: DataFrame, cand: str = "cand", ref: str = "ref", max_n: i
                     F.when(F.col("r_len") > 0, F.col("c_len") / F.col("r_len")).alias("length_ratio"), "c_len", "r_len")
 
 
-def rouge_n(pairs: DataFrame, n: int, cand: str = "cand", ref: str = "ref") -> DataFrame:
-    """Per-pair ROUGE-N precision, recall and F-measure.
+def rouge_n(pairs: DataFrame, n, cand: str = "cand", ref: str = "ref") -> DataFrame:
+    """Per-pair ROUGE-N precision, recall and F-measure for one order or several.
 
     precision = overlap / max(cand n-grams, 1), recall = overlap / max(ref n-grams, 1),
     F = 2PR / (P + R), 0 when both are 0. Pairs without n-grams score 0.
+    Several orders share one scan and one n-gram shuffle; the result has a
+    column ``n``.
     """
-    overlap = _ngram_counts(pairs, cand, ref, [n]).groupBy("pair_id").agg(
+    orders = [n] if isinstance(n, int) else list(n)
+    overlap = _ngram_counts(pairs, cand, ref, orders).groupBy("pair_id", "n").agg(
         F.sum(F.least("c", "r")).cast("long").alias("overlap"))
-    tot = _totals(pairs, cand, ref, [n])
-    j = tot.join(overlap, "pair_id", "left").fillna(0, subset=["overlap"])
+    tot = _totals(pairs, cand, ref, orders)
+    j = tot.join(overlap, ["pair_id", "n"], "left").fillna(0, subset=["overlap"])
     p = F.col("overlap") / F.greatest(F.col("cand_total"), F.lit(1))
     r = F.col("overlap") / F.greatest(F.col("ref_total"), F.lit(1))
-    s = j.select("pair_id", p.alias("precision"), r.alias("recall"))
+    s = j.select("pair_id", "n", p.alias("precision"), r.alias("recall"))
     return s.withColumn("fmeasure", F.when(F.col("precision") + F.col("recall") > 0,
                                            2 * F.col("precision") * F.col("recall")
                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0))

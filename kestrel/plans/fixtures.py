@@ -66,7 +66,11 @@ def registry(spark, sf_dir) -> DataFrame:
     reg = days.select(
         (F.datediff("d", d0) + 1).cast("int").alias("version"),
         F.lit("cls").alias("task"), "acc", "avg_f1")
-    return reg.withColumn("key", F.col("version").cast("long"))
+    reg = reg.withColumn("key", F.col("version").cast("long"))
+    # one row per day, read by several branches of a query: derive it once
+    from kestrel.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return reg.checkpoint(eager=True)
 
 
 def artefacts(reg: DataFrame) -> DataFrame:

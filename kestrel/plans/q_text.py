@@ -61,9 +61,7 @@ pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall /
 
 
 def _rouge_pairs(spark, sf):
-    pairs = X.text_pairs(spark, sf)
-    return TM.rouge_n(pairs, 1).withColumn("n", F.lit(1)).unionByName(
-        TM.rouge_n(pairs, 2).withColumn("n", F.lit(2)))
+    return TM.rouge_n(X.text_pairs(spark, sf), [1, 2])
 
 
 @query("rouge_n", f"""WITH {_ROUGE_PAIRS}
