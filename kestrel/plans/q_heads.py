@@ -31,8 +31,10 @@ cent AS (SELECT cls, list(m ORDER BY dim) AS c FROM (
            SELECT label AS cls, dim, avg(x) AS m FROM (
              SELECT label, unnest(generate_series(0, len(e) - 1)) AS dim, unnest(e) AS x FROM emb)
            GROUP BY label, dim) GROUP BY cls),
-sc AS (SELECT emb.vec_id, emb.label AS t, arg_max(cent.cls, list_inner_product(emb.e, cent.c)) AS p,
-              max(list_inner_product(emb.e, cent.c)) AS best FROM emb CROSS JOIN cent GROUP BY emb.vec_id, emb.label)"""
+cl AS (SELECT list(c ORDER BY cls) AS cs, list(cls ORDER BY cls) AS ks FROM cent),
+s0 AS (SELECT vec_id, label AS t, list_transform((SELECT cs FROM cl), lambda cc: list_inner_product(e, cc)) AS s
+       FROM emb),
+sc AS (SELECT vec_id, t, (SELECT ks FROM cl)[list_position(s, list_max(s))] AS p, list_max(s) AS best FROM s0)"""
 
 
 def _centroid_scored(spark, sf):
@@ -50,9 +52,11 @@ def score_batch_q(spark, sf):
 
 @query("evaluate_and_register", f"""WITH {_CENT}, {REG},
 classes AS (SELECT t AS cls FROM sc UNION SELECT p FROM sc),
-pc AS (SELECT c.cls, count(*) FILTER (WHERE x.t = c.cls AND x.p = c.cls) AS tp,
-              count(*) FILTER (WHERE x.t = c.cls) AS support, count(*) FILTER (WHERE x.p = c.cls) AS predicted
-       FROM sc x JOIN classes c ON true GROUP BY c.cls),
+tpc AS (SELECT t AS cls, count(*) AS n FROM sc WHERE t = p GROUP BY t),
+supc AS (SELECT t AS cls, count(*) AS n FROM sc GROUP BY t),
+prdc AS (SELECT p AS cls, count(*) AS n FROM sc GROUP BY p),
+pc AS (SELECT c.cls, coalesce(tpc.n, 0) AS tp, coalesce(supc.n, 0) AS support, coalesce(prdc.n, 0) AS predicted
+       FROM classes c LEFT JOIN tpc USING (cls) LEFT JOIN supc USING (cls) LEFT JOIN prdc USING (cls)),
 m AS (SELECT sum(tp) / sum(support) AS acc,
              avg(CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END) AS avg_pre,
              avg(CASE WHEN support > 0 THEN tp / support ELSE 0 END) AS avg_recall,
@@ -127,9 +131,11 @@ _ = POST
 
 @query("registry_append", f"""WITH {_CENT}, {REG},
 classes AS (SELECT t AS cls FROM sc UNION SELECT p FROM sc),
-pc AS (SELECT c.cls, count(*) FILTER (WHERE x.t = c.cls AND x.p = c.cls) AS tp,
-              count(*) FILTER (WHERE x.t = c.cls) AS support, count(*) FILTER (WHERE x.p = c.cls) AS predicted
-       FROM sc x JOIN classes c ON true GROUP BY c.cls),
+tpc AS (SELECT t AS cls, count(*) AS n FROM sc WHERE t = p GROUP BY t),
+supc AS (SELECT t AS cls, count(*) AS n FROM sc GROUP BY t),
+prdc AS (SELECT p AS cls, count(*) AS n FROM sc GROUP BY p),
+pc AS (SELECT c.cls, coalesce(tpc.n, 0) AS tp, coalesce(supc.n, 0) AS support, coalesce(prdc.n, 0) AS predicted
+       FROM classes c LEFT JOIN tpc USING (cls) LEFT JOIN supc USING (cls) LEFT JOIN prdc USING (cls)),
 m AS (SELECT sum(tp) / sum(support) AS acc,
              avg(CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END) AS avg_f1
       FROM pc)

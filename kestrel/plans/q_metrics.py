@@ -42,21 +42,21 @@ def cross_entropy_q(spark, sf):
     return ce.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ce"), 6).alias("loss"))
 
 
-_PER_CLASS_SQL = """classes AS (SELECT t AS cls FROM {src} UNION SELECT p FROM {src}),
+_PER_CLASS_SQL = """classes AS (SELECT {keys} t AS cls FROM {src} UNION SELECT {keys} p FROM {src}),
+tp AS (SELECT {keys} t AS cls, count(*) AS n FROM {src} WHERE t = p GROUP BY {keys} t),
+sup AS (SELECT {keys} t AS cls, count(*) AS n FROM {src} GROUP BY {keys} t),
+prd AS (SELECT {keys} p AS cls, count(*) AS n FROM {src} GROUP BY {keys} p),
 pc AS (
-  SELECT {keys} c.cls,
-    CAST(count(*) FILTER (WHERE x.t = c.cls AND x.p = c.cls) AS BIGINT) AS tp,
-    CAST(count(*) FILTER (WHERE x.t = c.cls) AS BIGINT) AS support,
-    CAST(count(*) FILTER (WHERE x.p = c.cls) AS BIGINT) AS predicted
-  FROM {src} x JOIN classes c ON {join}
-  GROUP BY {keys} c.cls),
+  SELECT {ckeys} c.cls, CAST(coalesce(tp.n, 0) AS BIGINT) AS tp, CAST(coalesce(sup.n, 0) AS BIGINT) AS support,
+         CAST(coalesce(prd.n, 0) AS BIGINT) AS predicted
+  FROM classes c LEFT JOIN tp USING ({using}) LEFT JOIN sup USING ({using}) LEFT JOIN prd USING ({using})),
 pcm AS (
   SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision,
             CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall,
             CASE WHEN support + predicted > 0 THEN 2.0 * tp / (support + predicted) ELSE 0 END AS f1
   FROM pc)"""
 
-CLS_PC = CLS + ",\n" + _PER_CLASS_SQL.format(src="cls", keys="", join="true")
+CLS_PC = CLS + ",\n" + _PER_CLASS_SQL.format(src="cls", keys="", ckeys="", using="cls")
 
 
 @query("per_class_metrics", f"""WITH {CLS_PC}
@@ -85,11 +85,8 @@ def confusion_matrix_q(spark, sf):
 
 # --- aspects ---------------------------------------------------------------
 
-ASP_PC = ASP + ",\n" + _PER_CLASS_SQL.format(
-    src="asp_long", keys="x.aspect,", join="true").replace(
-    "classes AS (SELECT t AS cls FROM asp_long UNION SELECT p FROM asp_long)",
-    "classes AS (SELECT aspect, t AS cls FROM asp_long UNION SELECT aspect, p FROM asp_long)").replace(
-    "JOIN classes c ON true", "JOIN classes c ON x.aspect = c.aspect")
+ASP_PC = ASP + ",\n" + _PER_CLASS_SQL.format(src="asp_long", keys="aspect,", ckeys="aspect,",
+                                             using="aspect, cls")
 
 
 def _aspect_avg_sql(kind: str) -> str:
@@ -147,7 +144,7 @@ def aspect_confusion_q(spark, sf):
 
 
 _TPFPFN_SQL = ASP + """,
-grid AS (SELECT CAST(a AS INTEGER) AS aspect, CAST(c AS INTEGER) AS cls FROM range(0, 4) r1(a), range(0, 4) r2(c)),
+grid AS (SELECT CAST(a AS INTEGER) AS aspect, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS cls FROM range(0, 4) r(a)),
 tff AS (
   SELECT g.aspect, g.cls,
     CAST(count(x.vec_id) FILTER (WHERE x.t = g.cls AND x.p = g.cls) AS BIGINT) AS tp,

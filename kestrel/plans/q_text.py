@@ -11,19 +11,20 @@ from kestrel.plans.catalogue import query
 from kestrel.plans.sqlparts import PAIRS
 
 _GRAMS = PAIRS + """,
+po AS (SELECT pair_id, cand, ref, unnest([1, 2, 3, 4]) AS n FROM pairs),
 g AS (
   SELECT pair_id, n, 'c' AS side, unnest(list_transform(range(1, len(cand) - n + 2),
          lambda i: array_to_string(cand[i:i + n - 1], ' '))) AS gram
-  FROM pairs, range(1, 5) o(n) WHERE len(cand) >= n
+  FROM po WHERE len(cand) >= n
   UNION ALL
   SELECT pair_id, n, 'r', unnest(list_transform(range(1, len(ref) - n + 2),
          lambda i: array_to_string(ref[i:i + n - 1], ' ')))
-  FROM pairs, range(1, 5) o(n) WHERE len(ref) >= n),
+  FROM po WHERE len(ref) >= n),
 gc AS (SELECT pair_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c,
               count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY pair_id, n, gram),
 tot AS (SELECT n, CAST(sum(greatest(len(cand) - n + 1, 0)) AS BIGINT) AS possible,
                CAST(sum(greatest(len(ref) - n + 1, 0)) AS BIGINT) AS ref_possible
-        FROM pairs, range(1, 5) o(n) GROUP BY n),
+        FROM po GROUP BY n),
 mt AS (SELECT n, CAST(sum(least(c, r)) AS BIGINT) AS matches FROM gc GROUP BY n),
 prec AS (SELECT CAST(tot.n AS INTEGER) AS n, coalesce(matches, 0) AS matches, possible, ref_possible,
                 CASE WHEN possible > 0 THEN coalesce(matches, 0) / possible ELSE 0 END AS precision
@@ -53,9 +54,9 @@ def bleu_corpus_q(spark, sf):
 
 _ROUGE_PAIRS = _GRAMS + """,
 ov AS (SELECT pair_id, n, CAST(sum(least(c, r)) AS BIGINT) AS overlap FROM gc GROUP BY pair_id, n),
-pp AS (SELECT p.pair_id, CAST(o.n AS INTEGER) AS n, coalesce(ov.overlap, 0) / greatest(len(p.cand) - o.n + 1, 1) AS precision,
-              coalesce(ov.overlap, 0) / greatest(len(p.ref) - o.n + 1, 1) AS recall
-       FROM pairs p CROSS JOIN range(1, 3) o(n) LEFT JOIN ov ON ov.pair_id = p.pair_id AND ov.n = o.n),
+pp AS (SELECT o.pair_id, CAST(o.n AS INTEGER) AS n, coalesce(ov.overlap, 0) / greatest(len(o.cand) - o.n + 1, 1) AS precision,
+              coalesce(ov.overlap, 0) / greatest(len(o.ref) - o.n + 1, 1) AS recall
+       FROM po o LEFT JOIN ov ON ov.pair_id = o.pair_id AND ov.n = o.n WHERE o.n <= 2),
 pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
                       ELSE 0 END AS fmeasure FROM pp)"""
 

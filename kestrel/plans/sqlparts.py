@@ -22,8 +22,8 @@ ASP = """asp AS (
     e[1:16] AS aspect_scores, e[17:19] AS label_scores
   FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)),
 asp_long AS (
-  SELECT vec_id, CAST(a - 1 AS INTEGER) AS aspect, t_aspects[a] AS t, p_aspects[a] AS p
-  FROM asp, range(1, 5) r(a))"""
+  SELECT vec_id, CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS aspect, unnest(t_aspects) AS t, unnest(p_aspects) AS p
+  FROM asp)"""
 
 # evaluation registry: one record per day of events
 REG = """reg AS (

@@ -75,6 +75,13 @@ def save_weights(weights: DataFrame, path: str, task: str, version: int) -> None
         .partitionBy("task", "version").parquet(path))
 
 
+def save_weights_many(weights: DataFrame, path: str, task: str) -> None:
+    """Write weight tables of several versions (a ``version`` column) in one job."""
+    out = weights.withColumn("task", F.lit(task)).withColumn("version", F.col("version").cast("int"))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("task", "version").parquet(path))
+
+
 def load_weights(spark: SparkSession, path: str, task: str, version: int) -> DataFrame:
     """Read one stored version (partition-pruned)."""
     w = spark.read.parquet(path)

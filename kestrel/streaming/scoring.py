@@ -31,3 +31,34 @@ def score_requests(requests: DataFrame, w: np.ndarray | None, b: np.ndarray | No
                           with_fallback(acsa, 4).alias("acsa"))
     value = F.to_json(F.struct("id", "prediction", list_text("acsa").alias("acsa"), "data"))
     return out.select(F.col("key").cast("string"), value.alias("value"))
+
+
+def champion_scorer(registry_path: str, store_path: str, sink_path: str, task: str = "cls",
+                    aspect_scores=None):
+    """``foreachBatch`` scorer that serves the current champion.
+
+    At the start of every micro-batch it reads the registry and the stored
+    artefacts (both one row per version), picks the best version that has an
+    artefact, loads its weights and scores the batch. Responses go to the
+    sink partition of that micro-batch, replaced on a replay, so a repeated
+    micro-batch does not answer twice.
+    """
+    from kestrel.operators.heads import weights_arrays
+    from kestrel.operators.registry import best_servable_version
+    from kestrel.sources.tables import load_weights, stored_versions
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        reg = spark.read.parquet(registry_path).where(F.col("task") == task)
+        best = best_servable_version(reg, stored_versions(spark, store_path)).first()
+        if best is None:
+            w = b = None
+            version = None
+        else:
+            version = int(best["version"])
+            w, b = weights_arrays(load_weights(spark, store_path, task, version))
+        out = score_requests(batch, w, b, aspect_scores).withColumn("version", F.lit(version).cast("int"))
+        (out.withColumn("_mb", F.lit(int(batch_id))).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("_mb").parquet(sink_path))
+
+    return run
