@@ -26,20 +26,42 @@ def _col(c) -> Column:
 
 # --- HTML -------------------------------------------------------------------
 
-# fixed entity map of the native path (named + the common numeric forms);
-# "&amp;" goes last so an escaped entity is decoded one level per pass
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# fixed entity map of the native path: the markup-significant and the most
+# common named entities (numeric references other than &#39; need the exact path)
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "amp": "&",
+            "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122",
+            "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026", "ndash": "\u2013",
+            "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
+            "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac",
+            "deg": "\u00b0", "times": "\u00d7"}
+# of those, the names HTML also accepts without the closing semicolon
+LEGACY_NAMES = ["amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "deg", "times"]
 
 # patterns are kept to the common subset of Java regex and RE2
 _NON_TEXT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 _TAG = r"<[A-Za-z/!?][^>]*>"
 
 
+def entity_rules() -> list[tuple[str, str]]:
+    """``(prefix after '&', replacement)`` in matching order: with ';' first, longest first."""
+    semi = sorted(((f"{n};", ch) for n, ch in ENTITIES.items()), key=lambda r: -len(r[0]))
+    bare = sorted(((n, ENTITIES[n]) for n in LEGACY_NAMES), key=lambda r: -len(r[0]))
+    return semi + bare + [("#39", "'")]
+
+
 def _unescape(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """One left-to-right decoding pass: text after each '&' is matched once, never re-scanned."""
+    parts = F.split(c, "&", -1)
+
+    def piece(p):
+        out = F.concat(F.lit("&"), p)
+        for prefix, ch in reversed(entity_rules()):
+            out = F.when(F.startswith(p, F.lit(prefix)),
+                         F.concat(F.lit(ch), F.substring(p, len(prefix) + 1, 1 << 30))).otherwise(out)
+        return out
+
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), "")
+    return F.when(c.isNull(), c).otherwise(F.concat(F.element_at(parts, 1), rest))
 
 
 def html_to_text(col) -> Column:

@@ -163,18 +163,30 @@ def pad_tokens_q(spark, sf):
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
-_HTML_SQL = """regexp_replace(regexp_replace(regexp_replace(html, '[\\t\\n]', ' ', 'g'),
-  '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', '', 'g'),
+_HTML_CHAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '[\t\n]', ' ', 'g'),
+  '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'),
   '<[A-Za-z/!?][^>]*>', '', 'g')"""
 
 
-def _unescape_sql(e: str) -> str:
-    for ent, ch in T.ENTITIES:
-        e = f"replace({e}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
-    return e
+def _unescape_sql(x: str) -> str:
+    """One left-to-right entity pass, the SQL twin of ``functions.text._unescape``."""
+    def q(v):
+        return v.replace("'", "''")
+    cases = " ".join(f"WHEN starts_with(p, '{q(pre)}') THEN '{q(ch)}' || substr(p, {len(pre) + 1})"
+                     for pre, ch in T.entity_rules())
+    return (f"list_first(string_split({x}, '&')) || array_to_string(list_transform("
+            f"string_split({x}, '&')[2:], lambda p: CASE {cases} ELSE '&' || p END), '')")
 
 
-@query("html_to_text", f"""SELECT page_id, {_unescape_sql(_unescape_sql(_HTML_SQL))} AS text FROM pages""")
+def _html_ctes(src: str, key: str, col: str) -> str:
+    """CTEs h0 (tags removed), h1, h2 (two entity passes) over ``src``."""
+    return (f"h0 AS (SELECT {key}, {_HTML_CHAIN.format(x=col)} AS x FROM {src}),\n"
+            f"h1 AS (SELECT {key}, {_unescape_sql('x')} AS x FROM h0),\n"
+            f"h2 AS (SELECT {key}, {_unescape_sql('x')} AS x FROM h1)")
+
+
+@query("html_to_text", f"""WITH {_html_ctes("pages", "page_id", "html")}
+SELECT page_id, x AS text FROM h2""")
 def html_to_text_q(spark, sf):
     pg = X.table(spark, sf, "pages")
     return pg.select("page_id", T.html_to_text("html").alias("text"))
@@ -196,15 +208,9 @@ def url_id_q(spark, sf):
                      T.url_posting_id("url", "https://", pattern).alias("posting_id"))
 
 
-def _html_chain_sql(e: str) -> str:
-    chain = f"""regexp_replace(regexp_replace(regexp_replace({e}, '[\\t\\n]', ' ', 'g'),
-  '(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->', '', 'g'),
-  '<[A-Za-z/!?][^>]*>', '', 'g')"""
-    return _unescape_sql(_unescape_sql(chain))
-
-
-@query("model_input", f"""WITH {POST}
-SELECT recruitment_id, {_html_chain_sql(_ASM)} AS input_data FROM post""")
+@query("model_input", f"""WITH {POST}, asm AS (SELECT recruitment_id, {_ASM} AS a FROM post),
+{_html_ctes("asm", "recruitment_id", "a")}
+SELECT recruitment_id, x AS input_data FROM h2""")
 def model_input_q(spark, sf):
     """The model input of one posting: assembled fields, then HTML to text (P10-P12 together)."""
     p = X.postings(spark, sf)

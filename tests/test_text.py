@@ -108,3 +108,14 @@ def test_response_text_roundtrip(spark):
     assert text == '<cid-1>42: "1 - [0, 3, 2, 1]"'
     r = df.select(MS.parse_response(MS.format_response("c", "i", "p", "a")).alias("r")).first()["r"]
     assert (r["correlation_id"], r["id"], r["cls"], r["acsa"]) == ("cid-1", "42", 1, [0, 3, 2, 1])
+
+
+def test_html_native_equals_exact_on_pages(spark):
+    pg = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    r = pg.select(T.html_to_text("html").alias("a"), T.html_to_text_exact("html").alias("b"))
+    assert r.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_entities_single_left_to_right_pass(spark):
+    for s in ["a &amp;lt; b", "x&ampTo y", "&copy 2024 &middot; z", "&amp;amp;", "& lone &unknown; &#39;q"]:
+        assert one(spark, s, T.html_to_text) == T.html_text_exact(s), s
