@@ -50,9 +50,11 @@ def entity_rules() -> list[tuple[str, str]]:
 
 
 def _unescape(c: Column) -> Column:
-    """One left-to-right decoding pass: text after each '&' is matched once, never re-scanned."""
-    parts = F.split(c, "&", -1)
+    """One left-to-right decoding pass: text after each '&' is matched once, never re-scanned.
 
+    The input is referenced once (one ``split``), so nested passes do not
+    re-evaluate the expressions underneath.
+    """
     def piece(p):
         out = F.concat(F.lit("&"), p)
         for prefix, ch in reversed(entity_rules()):
@@ -60,8 +62,7 @@ def _unescape(c: Column) -> Column:
                          F.concat(F.lit(ch), F.substring(p, len(prefix) + 1, 1 << 30))).otherwise(out)
         return out
 
-    rest = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), piece), "")
-    return F.when(c.isNull(), c).otherwise(F.concat(F.element_at(parts, 1), rest))
+    return F.array_join(F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
 
 
 def html_to_text(col) -> Column:
