@@ -33,12 +33,22 @@ def argmax_class(scores) -> Column:
     return (F.array_position(s, F.array_max(s)) - 1).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding).
+
+    Expressions used inside a higher-order function's lambda are evaluated
+    per element; binding them first keeps an O(k) pass O(k).
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_softmax(scores) -> Column:
-    """Numerically stable log-softmax over an array of scores."""
-    s = as_doubles(scores)
-    m = F.array_max(s)
-    lse = F.log(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
-    return F.transform(s, lambda x: x - lse)
+    """Numerically stable log-softmax over an array of scores (one max, one sum)."""
+    def with_scores(s):
+        return let(F.array_max(s), lambda m: let(
+            F.log(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m,
+            lambda lse: F.transform(s, lambda x: x - lse)))
+    return let(as_doubles(scores), with_scores)
 
 
 def cross_entropy(logp, label) -> Column:

@@ -95,7 +95,7 @@ def train_aspect_heads_q(spark, sf):
     return R(_history_frame(spark, hist))
 
 
-@query("model_store", """SELECT 0 AS head, label AS cls, 0.0 AS bias, CAST(max(len(embedding)) AS INTEGER) AS dims
+@query("model_store", """SELECT 0 AS head, label AS cls, CAST(0.0 AS DOUBLE) AS bias, CAST(max(len(embedding)) AS INTEGER) AS dims
 FROM embeddings GROUP BY label""")
 def model_store_q(spark, sf):
     e = X.table(spark, sf, "embeddings")

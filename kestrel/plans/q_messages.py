@@ -23,7 +23,7 @@ def with_correlation_id_q(spark, sf):
 
 
 @query("request_json", f"""SELECT {_CID_SQL} AS key,
-  to_json({{'id': CAST(event_id AS VARCHAR), 'data': props}}) AS value FROM events""")
+  CAST(to_json({{'id': CAST(event_id AS VARCHAR), 'data': props}}) AS VARCHAR) AS value FROM events""")
 def request_json_q(spark, sf):
     ev = MS.with_correlation_id(X.table(spark, sf, "events"), ["event_id", "user_id"])
     return MS.to_messages(ev, "correlation_id", {"id": F.col("event_id").cast("string"), "data": F.col("props")})
@@ -47,8 +47,8 @@ _ACSA_SQL = "'[' || array_to_string(p_aspects, ', ') || ']'"
 
 @query("response_json", f"""WITH {ASP}
 SELECT sha256(CAST(vec_id AS VARCHAR)) AS key,
-  to_json({{'id': CAST(vec_id AS VARCHAR), 'prediction': p_label, 'acsa': {_ACSA_SQL},
-            'data': 'vec ' || CAST(vec_id AS VARCHAR)}}) AS value FROM asp""")
+  CAST(to_json({{'id': CAST(vec_id AS VARCHAR), 'prediction': p_label, 'acsa': {_ACSA_SQL},
+            'data': 'vec ' || CAST(vec_id AS VARCHAR)}}) AS VARCHAR) AS value FROM asp""")
 def response_json_q(spark, sf):
     a = X.aspect_rows(spark, sf)
     a = a.withColumn("cid", F.sha2(F.col("vec_id").cast("string"), 256))
