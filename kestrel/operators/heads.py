@@ -238,11 +238,6 @@ def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: s
     return df.withColumn(prefix + "pred", preds)
 
 
-def with_fallback_pred(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
-    from kestrel.functions.arrays import with_fallback
-    return df.withColumn(col, with_fallback(col, k))
-
-
 # --- cascade --------------------------------------------------------------------------
 
 ASPECT_OUTPUTS = ["predicted_title", "predicted_desc", "predicted_comp", "predicted_other"]

@@ -8,10 +8,11 @@ pre-aggregates on the map side, so the shuffle carries at most
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.codebook import EPS
+from kestrel.functions.arrays import mismatches
 
 
 def _by(by) -> list[str]:
@@ -157,9 +158,7 @@ def aspect_rollup(smoothed: DataFrame) -> DataFrame:
 
 def multilabel_losses(df: DataFrame, t: str, p: str) -> DataFrame:
     """Hamming loss, 0/1 loss and exact match ratio over per-row code arrays."""
-    mism = F.aggregate(F.zip_with(F.col(t), F.col(p), lambda x, y: F.when(x == y, 0).otherwise(1)),
-                       F.lit(0), lambda a, v: a + v)
-    rows = df.select(mism.alias("m"), F.size(t).alias("k"))
+    rows = df.select(mismatches(t, p).alias("m"), F.size(t).alias("k"))
     return rows.agg(
         (F.sum("m") / F.sum("k")).alias("hamming_loss"),
         F.avg(F.when(F.col("m") > 0, 1.0).otherwise(0.0)).alias("zero_one_loss"),
@@ -204,7 +203,3 @@ def round_cols(df: DataFrame, digits: int = 6, cols: list[str] | None = None) ->
     """Round every double column (or the given ones) to ``digits``."""
     names = cols or [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in names else F.col(c) for c in df.columns])
-
-
-def bounded(col: Column, lo, hi) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), col))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.codebook import CLS_TOKEN, DISPLAY_NAMES, LAYOUT_GROUPS, OFFLINE_FIELD_NAMES, SEP_TOKEN
+from kestrel.codebook import (CLS_TOKEN, DISPLAY_NAMES, LAYOUT_GROUPS, OFFLINE_FIELD_NAMES, POSTER_DROP,
+                              SEP_TOKEN)
 from kestrel.functions.text import amount_number, br_to_space, salary_range, tokens
 
 MAX_DISCOVERED_LABELS = 10_000
@@ -166,6 +167,10 @@ def pad_tokens(df: DataFrame, col: str, vocab: DataFrame, length: int, key: str)
 
 def posting_with_poster(detail: DataFrame, poster: DataFrame, on_detail: str = "user_id",
                         on_poster: str = "id", prefix: str = "poster_") -> DataFrame:
-    """Each posting with its poster's columns (left join; AQE picks broadcast by size)."""
+    """Each posting with its poster's columns (left join; AQE picks broadcast by size).
+
+    Profile columns that are not poster data are dropped first (missing ones ignored).
+    """
+    poster = poster.drop(*[c for c in POSTER_DROP if c in poster.columns])
     p = poster.select(*[F.col(c).alias(prefix + c) for c in poster.columns])
     return detail.join(p, detail[on_detail] == p[prefix + on_poster], "left")

@@ -147,10 +147,6 @@ def rouge_l(pairs: DataFrame, cand: str = "cand", ref: str = "ref") -> DataFrame
                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def mean_score(per_pair: DataFrame, cols=("precision", "recall", "fmeasure")) -> DataFrame:
-    return per_pair.agg(*[F.avg(c).alias(c) for c in cols])
-
-
 def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", vec: str = "vec",
                  cand_side=0, token_id: str | None = None, block: int = 2048) -> DataFrame:
     """Embedding greedy match per pair (BERTScore shape) over given token vectors.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kestrel.functions import labels as L
-from kestrel.functions.arrays import one_hot
+from kestrel.functions.arrays import one_hot, one_hot_matrix
 from kestrel.operators import latency as LT
 from kestrel.operators.metrics import round_cols as R
 from kestrel.plans import fixtures as X
@@ -73,9 +73,9 @@ SELECT 'vec ' || CAST(vec_id AS VARCHAR) AS input_data, CAST(t_label AS VARCHAR)
        '[' || array_to_string(t_aspects, ', ') || ']' AS acsa, array_to_string(t_aspects, ',') AS acsa_parsed
 FROM asp""")
 def training_records_q(spark, sf):
-    a = X.aspect_rows(spark, sf)
-    rec = a.select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("input_data"),
-                   F.col("t_label").cast("string").alias("prediction"), MS.list_text("t_aspects").alias("acsa"))
+    from kestrel.sources.tables import to_training_records
+    a = X.aspect_rows(spark, sf).withColumn("text", F.concat(F.lit("vec "), F.col("vec_id").cast("string")))
+    rec = to_training_records(a, "text", "t_label", "t_aspects")
     return rec.withColumn("acsa_parsed", F.array_join(MS.parse_list_text("acsa"), ","))
 
 
@@ -144,7 +144,7 @@ def one_hot_q(spark, sf):
     a = X.aspect_rows(spark, sf)
     txt = lambda arr: F.array_join(F.transform(arr, lambda x: x.cast("string")), ",")
     return a.select("vec_id", txt(one_hot("t_label", 3)).alias("label_onehot"),
-                    F.array_join(F.transform("t_aspects", lambda c: txt(one_hot(c, 4))), ";").alias("aspects_onehot"))
+                    F.array_join(F.transform(one_hot_matrix("t_aspects", 4), txt), ";").alias("aspects_onehot"))
 
 
 def _asp_vi(x: str) -> str:

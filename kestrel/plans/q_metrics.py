@@ -8,7 +8,7 @@ from kestrel.functions.arrays import cross_entropy, log_softmax
 from kestrel.operators import metrics as M
 from kestrel.plans import fixtures as X
 from kestrel.plans.catalogue import query
-from kestrel.plans.sqlparts import ASP, CLS, CLS_COUNTS, REG
+from kestrel.plans.sqlparts import ASP, CLS
 
 R = M.round_cols
 
@@ -233,6 +233,3 @@ def epoch_stats_q(spark, sf):
                      (F.col("event_type") == "purchase").cast("int").alias("correct"))
     return R(M.epoch_stats(rows, "epoch", "loss", "correct"))
 
-
-# registry-side CTE is shared by q_registry; keep the import used
-_ = REG
