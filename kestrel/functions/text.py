@@ -165,6 +165,10 @@ def amount_number(col) -> Column:
     return F.replace(_col(col), F.lit("."), F.lit("")).cast("long")
 
 
+# the characters Python's ``str.split()`` treats as whitespace, as a Java regex class
+WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def tokens(col) -> Column:
-    """Whitespace tokens of a whole text (empty tokens removed)."""
-    return F.filter(F.split(_col(col), r"[ \t\n\r\f]+"), lambda x: x != "")
+    """Whitespace tokens of a whole text, split as Python's ``str.split()`` does."""
+    return F.filter(F.split(_col(col), WHITESPACE), lambda x: x != "")

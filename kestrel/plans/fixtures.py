@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrel.functions.arrays import argmax_class, argmax_per_group, scores_slice
+from kestrel.functions.text import tokens
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -160,7 +161,7 @@ def responses(spark, sf_dir) -> DataFrame:
 def text_pairs(spark, sf_dir) -> DataFrame:
     """Reference = whitespace tokens of a user turn; candidate = same without every 7th."""
     c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    toks = F.filter(F.split(F.col("text"), r"[ \t\n\r\f]+"), lambda x: x != "")
+    toks = tokens("text")
     ref = c.select("conv_id", "turn", toks.alias("ref"))
     cand = F.filter(F.col("ref"), lambda x, i: (i + 1) % 7 != 0)
     return ref.select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"),

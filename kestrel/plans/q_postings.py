@@ -133,7 +133,8 @@ def special_tokens_q(spark, sf):
                     T.special_tokens(t, "no_cls").alias("no_cls"))
 
 
-_TOK = "list_filter(regexp_split_to_array(body, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')"
+_TOK = ("list_filter(regexp_split_to_array(body, '" + r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}"
+        r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+" + "'), lambda x: x <> '')")
 _VOCAB = f"""vocab AS (
   SELECT token, n, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS id
   FROM (SELECT token, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest({_TOK}) AS token FROM post)

@@ -68,7 +68,7 @@ PAIRS = """pairs AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS pair_id, ref,
          list_filter(ref, lambda x, i: i % 7 <> 0) AS cand
   FROM (SELECT conv_id, turn,
-               list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS ref
+               list_filter(regexp_split_to_array(text, '""" + r"""[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+""" + """'), lambda x: x <> '') AS ref
         FROM conversations WHERE role = 'user'))"""
 
 # ordered stream: orders numbered by key

@@ -119,3 +119,9 @@ def test_html_native_equals_exact_on_pages(spark):
 def test_entities_single_left_to_right_pass(spark):
     for s in ["a &amp;lt; b", "x&ampTo y", "&copy 2024 &middot; z", "&amp;amp;", "& lone &unknown; &#39;q"]:
         assert one(spark, s, T.html_to_text) == T.html_text_exact(s), s
+
+
+def test_tokens_split_like_python(spark):
+    s = "a b\tc d　e\x0bf  g\n"
+    got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
+    assert got == s.split()
