@@ -169,6 +169,16 @@ def amount_number(col) -> Column:
 WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
+def rouge_tokens(col) -> Column:
+    """Tokens as the common ROUGE scorer's default tokenizer makes them.
+
+    Lower case, every run of characters outside ``a-z0-9`` becomes a space,
+    then split; accented letters are dropped, as that tokenizer does.
+    """
+    c = F.regexp_replace(F.lower(_col(col)), r"[^a-z0-9]+", " ")
+    return F.filter(F.split(c, " "), lambda x: x != "")
+
+
 def tokens(col) -> Column:
     """Whitespace tokens of a whole text, split as Python's ``str.split()`` does."""
     return F.filter(F.split(_col(col), WHITESPACE), lambda x: x != "")

@@ -115,3 +115,50 @@ def mean_pool_q(spark, sf):
     pooled = TM.mean_pool(e, "pair_id", "embedding")
     return pooled.select("pair_id", F.posexplode("mean_vec").alias("dim", "x")) \
                  .select("pair_id", F.col("dim").cast("int"), F.round("x", 6).alias("x"))
+
+
+_LIB = """lp AS (
+  SELECT pair_id,
+    list_filter(string_split(regexp_replace(lower(array_to_string(cand, ' ')), '[^a-z0-9]+', ' ', 'g'), ' '),
+                lambda x: x <> '') AS cand,
+    list_filter(string_split(regexp_replace(lower(array_to_string(ref, ' ')), '[^a-z0-9]+', ' ', 'g'), ' '),
+                lambda x: x <> '') AS ref
+  FROM pairs)"""
+
+
+def _library_token_pairs(spark, sf):
+    from kestrel.functions.text import rouge_tokens
+    p = X.text_pairs(spark, sf)
+    return p.select("pair_id", rouge_tokens(F.array_join("cand", " ")).alias("cand"),
+                    rouge_tokens(F.array_join("ref", " ")).alias("ref"))
+
+
+@query("rouge_n_library_tokens", f"""WITH {PAIRS}, {_LIB},
+po AS (SELECT pair_id, cand, ref, unnest([1, 2]) AS n FROM lp),
+g AS (
+  SELECT pair_id, n, 'c' AS side, unnest(list_transform(range(1, len(cand) - n + 2),
+         lambda i: array_to_string(cand[i:i + n - 1], ' '))) AS gram FROM po WHERE len(cand) >= n
+  UNION ALL
+  SELECT pair_id, n, 'r', unnest(list_transform(range(1, len(ref) - n + 2),
+         lambda i: array_to_string(ref[i:i + n - 1], ' '))) FROM po WHERE len(ref) >= n),
+gc AS (SELECT pair_id, n, gram, count(*) FILTER (WHERE side = 'c') AS c,
+              count(*) FILTER (WHERE side = 'r') AS r FROM g GROUP BY pair_id, n, gram),
+ov AS (SELECT pair_id, n, sum(least(c, r)) AS overlap FROM gc GROUP BY pair_id, n),
+pp AS (SELECT o.pair_id, o.n, coalesce(ov.overlap, 0) / greatest(len(o.cand) - o.n + 1, 1) AS precision,
+              coalesce(ov.overlap, 0) / greatest(len(o.ref) - o.n + 1, 1) AS recall
+       FROM po o LEFT JOIN ov ON ov.pair_id = o.pair_id AND ov.n = o.n),
+pf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall)
+                      ELSE 0 END AS fmeasure FROM pp)
+SELECT CAST(n AS INTEGER) AS n, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(fmeasure), 6) AS fmeasure FROM pf GROUP BY n""")
+def rouge_n_library_tokens_q(spark, sf):
+    """ROUGE-1/2 on the ROUGE scorer's default tokens (ASCII letters and digits only)."""
+    per = TM.rouge_n(_library_token_pairs(spark, sf), [1, 2])
+    return R(per.groupBy("n").agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
+                                  F.avg("fmeasure").alias("fmeasure")))
+
+
+@query("rouge_l_library_tokens")
+def rouge_l_library_tokens_q(spark, sf):
+    """ROUGE-L per pair on the ROUGE scorer's default tokens."""
+    return R(TM.rouge_l(_library_token_pairs(spark, sf)))

@@ -125,3 +125,11 @@ def test_tokens_split_like_python(spark):
     s = "a b\tc d　e\x0bf  g\n"
     got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
     assert got == s.split()
+
+
+def test_rouge_tokens_like_default_scorer(spark):
+    import re
+    s = "Lương CAO, 7.000.000 VNĐ / tháng -- OK2go"
+    exp = [t for t in re.sub(r"[^a-z0-9]+", " ", s.lower()).split() if re.match(r"^[a-z0-9]+$", t)]
+    got = spark.createDataFrame([(s,)], "x string").select(T.rouge_tokens("x").alias("t")).first()["t"]
+    assert got == exp
