@@ -165,8 +165,9 @@ def amount_number(col) -> Column:
     return F.replace(_col(col), F.lit("."), F.lit("")).cast("long")
 
 
-# the characters Python's ``str.split()`` treats as whitespace, as a Java regex class
-WHITESPACE = r"[\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+# the characters Python's ``str.split()`` treats as whitespace: Unicode White_Space
+# plus the four separators U+001C..U+001F (the (?U) class is as fast as a plain \s)
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def rouge_tokens(col) -> Column:

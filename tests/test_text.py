@@ -133,3 +133,11 @@ def test_rouge_tokens_like_default_scorer(spark):
     exp = [t for t in re.sub(r"[^a-z0-9]+", " ", s.lower()).split() if re.match(r"^[a-z0-9]+$", t)]
     got = spark.createDataFrame([(s,)], "x string").select(T.rouge_tokens("x").alias("t")).first()["t"]
     assert got == exp
+
+
+def test_tokens_all_python_whitespace(spark):
+    import sys
+    ws = "".join(chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace())
+    s = "a" + ws + "b" + ws.join("cde")
+    got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
+    assert got == s.split()
