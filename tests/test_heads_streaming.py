@@ -154,3 +154,39 @@ def test_replayed_micro_batch_is_idempotent(spark, scratch):
     assert first == again
     assert [(r[0], r[1], r[2]) for r in first] == [(1, 1, 10), (2, 11, 20), (3, 21, 30), (4, 31, 40)]
     assert spark.read.parquet(f"{scratch}/stage").count() == 40
+
+
+def test_stream_correlate_drops_answers_past_the_bound(spark, scratch):
+    import datetime as dt
+    from kestrel.streaming.correlate import stream_correlate
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    req = spark.createDataFrame([(1, t0, "a"), (2, t0, "a"), (3, t0, "b")],
+                                "correlation_id long, sent_at timestamp, config string")
+    resp = spark.createDataFrame([(1, t0 + dt.timedelta(seconds=1.5)), (2, t0 + dt.timedelta(hours=2))],
+                                 "correlation_id long, answered_at timestamp")
+    req.write.parquet(f"{scratch}/req")
+    resp.write.parquet(f"{scratch}/resp")
+    rs = spark.readStream.schema(req.schema).parquet(f"{scratch}/req")
+    ss = spark.readStream.schema(resp.schema).parquet(f"{scratch}/resp")
+    q = (stream_correlate(rs, ss, max_wait="1 hour").writeStream.format("parquet")
+         .option("checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start(f"{scratch}/out"))
+    q.awaitTermination()
+    rows = spark.read.parquet(f"{scratch}/out").collect()
+    assert [(r["correlation_id"], r["latency"]) for r in rows] == [(1, 1.5)]
+
+
+def test_registry_seed_object_and_list(spark, scratch):
+    import json
+    import os
+    from kestrel.sources.tables import seed_registry
+    d = scratch.replace("file:", "")
+    os.makedirs(d, exist_ok=True)
+    one = {"_id": {"$oid": "65a1"}, "version": 1, "task": "cls", "acc": 0.5, "avg_f1": 0.4}
+    many = [{"_id": {"$oid": "65a2"}, "version": 1, "task": "acsa", "acc": 0.3, "avg_f1": 0.2},
+            {"_id": {"$oid": "65a3"}, "version": 2, "task": "acsa", "acc": 0.35, "avg_f1": 0.25}]
+    with open(f"{d}/a.json", "w") as f:
+        json.dump(one, f, indent=2)
+    with open(f"{d}/b.json", "w") as f:
+        json.dump(many, f, indent=2)
+    rows = sorted((r["oid"], r["task"], r["version"]) for r in seed_registry(spark, d).collect())
+    assert rows == [("65a1", "cls", 1), ("65a2", "acsa", 1), ("65a3", "acsa", 2)]
