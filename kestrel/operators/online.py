@@ -53,11 +53,11 @@ class OnlineLearner:
               "acc", "avg_pre", "avg_recall", "avg_f1")
 
     def __init__(self, vec: str, label: str, dev: DataFrame, n_classes: int, strategy: str, m: int,
-                 epochs: int = 1, lr: float = 0.5):
+                 epochs: int = 1, lr: float = 0.5, method: str = "gd"):
         if strategy not in ("continue", "champion", "replay"):
             raise ValueError(strategy)
         self.vec, self.label, self.dev, self.k = vec, label, dev, n_classes
-        self.strategy, self.m, self.epochs, self.lr = strategy, m, epochs, lr
+        self.strategy, self.m, self.epochs, self.lr, self.method = strategy, m, epochs, lr, method
         self.records: list[dict] = []
         self.champion: dict | None = None
         self.models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -83,7 +83,7 @@ class OnlineLearner:
         """Train on one trigger's rows from the base weights, evaluate, register."""
         base = self.base_version()
         w, b = H.train_heads(rows_df, self.vec, self.label, self.k, epochs=self.epochs, lr=self.lr,
-                             init=self.models[base])
+                             init=self.models[base], method=self.method, seed=trigger_id)
         kind = "replay" if self.strategy == "replay" and trigger_id % self.m == 0 else "own"
         rec = dict(version=self.records[-1]["version"] + 1, trigger_id=trigger_id, kind=kind, rows=rows,
                    start_version=base, **evaluate(self.dev, self.vec, self.label, w, b))
@@ -106,9 +106,9 @@ class OnlineLearner:
 
 def online_learn(train: DataFrame, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
                  strategy: str, n: int, m: int, epochs: int = 1, lr: float = 0.5,
-                 start: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+                 start: tuple[np.ndarray, np.ndarray] | None = None, method: str = "gd") -> DataFrame:
     """Run the strategy over all full triggers of a table; returns the evaluation registry."""
-    learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr)
+    learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method)
     d = train.select(F.size(F.col(vec).cast("array<double>")).alias("d")).first()["d"]
     w0, b0 = start if start is not None else (np.zeros((1, n_classes, d)), np.zeros((1, n_classes)))
     learner.start(w0, b0)

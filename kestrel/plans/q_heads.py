@@ -87,6 +87,16 @@ def train_head_q(spark, sf):
     return R(_history_frame(spark, hist))
 
 
+@query("train_head_adam")
+def train_head_adam_q(spark, sf):
+    """Mini-batch Adam (batch 32, lr 1e-3 as configured originally) per partition, averaged per epoch."""
+    e = X.table(spark, sf, "embeddings")
+    hist: list = []
+    H.train_heads(e, "embedding", "label", 10, epochs=EPOCHS, lr=1e-3, method="adam", batch_size=32,
+                  history=hist)
+    return R(_history_frame(spark, hist))
+
+
 @query("train_aspect_heads")
 def train_aspect_heads_q(spark, sf):
     a = X.aspect_rows(spark, sf).join(X.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")

@@ -25,10 +25,11 @@ class StreamingLearner:
 
     def __init__(self, spark: SparkSession, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
                  strategy: str, m: int, staging: str, ledger: str, registry: str, store: str,
-                 start: tuple[np.ndarray, np.ndarray], task: str = "cls", epochs: int = 1, lr: float = 0.5):
+                 start: tuple[np.ndarray, np.ndarray], task: str = "cls", epochs: int = 1, lr: float = 0.5,
+                 method: str = "gd"):
         self.key, self.staging, self.ledger, self.registry, self.store, self.task = \
             key, staging, ledger, registry, store, task
-        self.learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr)
+        self.learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method)
         stored = self._stored(spark)
         if stored:
             self.learner.restore(stored, lambda v: weights_arrays(load_weights(spark, store, task, v)))

@@ -190,3 +190,13 @@ def test_registry_seed_object_and_list(spark, scratch):
         json.dump(many, f, indent=2)
     rows = sorted((r["oid"], r["task"], r["version"]) for r in seed_registry(spark, d).collect())
     assert rows == [("65a1", "cls", 1), ("65a2", "acsa", 1), ("65a3", "acsa", 2)]
+
+
+def test_train_heads_local_adam(spark):
+    df = blobs(spark, n=300).repartition(3)
+    hist = []
+    w, b = H.train_heads(df, "vec", "y", 3, epochs=4, lr=0.05, method="adam", batch_size=32, history=hist)
+    acc = H.score_batch(df, "vec", w, b).select(F.avg((F.col("pred") == F.col("y")).cast("double"))).first()[0]
+    assert acc > 0.9 and hist[-1][2] < hist[0][2]
+    again, _ = H.train_heads(df, "vec", "y", 3, epochs=4, lr=0.05, method="adam", batch_size=32)
+    assert np.allclose(again, w)          # seeded: the same mini-batches every run
