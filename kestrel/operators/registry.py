@@ -127,8 +127,20 @@ def early_stop(epochs: DataFrame, epoch: str = "epoch", loss: str = "loss", pati
     return e.withColumn("stop", F.coalesce(F.col(epoch) == first_stop, F.lit(False)))
 
 
-def latest_epoch(names: DataFrame, name: str = "name", pattern: str = r"^(.*)_(\d+)\.[^.]+$") -> DataFrame:
-    """Newest epoch per prefix parsed out of checkpoint file names like ``model_12.pt``."""
+def latest_epoch(names: DataFrame, name: str = "name", pattern: str = r"^(.*)_(\d+)\.[^.]+$",
+                 prefix: str | None = None) -> DataFrame:
+    """Newest epoch parsed out of checkpoint file names like ``model_12.pt``.
+
+    Without ``prefix``: one row per name prefix. With ``prefix``: a single
+    row for the files whose name starts with it (0 when there is none), the
+    number being the digits after the last ``_`` and before the first ``.``.
+    """
+    if prefix is not None:
+        last = F.element_at(F.split(F.col(name), "_"), -1)
+        epoch = F.regexp_extract(last, r"^(\d+)\.", 1)
+        hits = names.where(F.startswith(F.col(name), F.lit(prefix)) & (epoch != ""))
+        return hits.agg(F.coalesce(F.max(epoch.cast("long")), F.lit(0).cast("long")).alias("latest_epoch")) \
+                   .select(F.lit(prefix).alias("prefix"), "latest_epoch")
     parsed = names.select(F.regexp_extract(name, pattern, 1).alias("prefix"),
                           F.regexp_extract(name, pattern, 2).alias("epoch_text"))
     parsed = parsed.where(F.col("epoch_text") != "")

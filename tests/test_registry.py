@@ -69,6 +69,9 @@ def test_latest_epoch_and_sample(spark):
     names = spark.createDataFrame([("model_1.pt",), ("model_12.pt",), ("model_acsa_3.pt",), ("junk",)], "name string")
     r = {x["prefix"]: x["latest_epoch"] for x in G.latest_epoch(names).collect()}
     assert r == {"model": 12, "model_acsa": 3}
+    assert G.latest_epoch(names, prefix="model_acsa").first()["latest_epoch"] == 3
+    assert G.latest_epoch(names, prefix="model").first()["latest_epoch"] == 12
+    assert G.latest_epoch(names, prefix="none").first()["latest_epoch"] == 0
     df = spark.createDataFrame([(i,) for i in range(50)], "id long")
     a = G.sample_example(df, "id", 3).collect()
     assert a == G.sample_example(df, "id", 3).collect() and len(a) == 1
