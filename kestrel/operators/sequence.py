@@ -37,7 +37,8 @@ def number_rows(df: DataFrame, order, partitions: int | None = None,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many ranges as input splits: partition sizes follow the data, not a fixed count
+    n = partitions or max(df.rdd.getNumPartitions(), 1)
     ranged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
