@@ -136,8 +136,6 @@ def registry_seed_q(spark, sf):
     return TB.seed_registry(spark, path, multi_line=False).select("oid", "acc", "avg_f1", "task", F.col("version").cast("int"))
 
 
-_ = POST
-
 
 @query("registry_append", f"""WITH {_CENT}, {REG},
 classes AS (SELECT t AS cls FROM sc UNION SELECT p FROM sc),

@@ -1,7 +1,5 @@
 """Registry operators: ties, first record, replay split, pruning, early stop, upsert."""
 
-from pyspark.sql import functions as F
-
 from kestrel.operators import registry as G
 
 
