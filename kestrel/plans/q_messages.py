@@ -89,17 +89,14 @@ SELECT * FROM tr UNION ALL SELECT * FROM rp""")
 def report_to_training_q(spark, sf):
     a = X.aspect_rows(spark, sf)
     train = a.select(F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("input_data"),
-                     F.col("t_label").cast("string").alias("prediction"), MS.list_text("t_aspects").alias("acsa"),
-                     F.lit("train").alias("source"))
+                     F.col("t_label").cast("string").alias("prediction"), MS.list_text("t_aspects").alias("acsa"))
     # a user report: the corrected 5-element list [label, a1..a4] for a wrong prediction
     reports = a.where(F.col("p_label") != F.col("t_label")).select(
-        F.col("vec_id").cast("string").alias("id"),
-        F.concat(F.array(F.col("t_label")), F.col("t_aspects")).alias("report"),
+        F.col("vec_id").cast("string").alias("id"), F.col("t_label").alias("prediction"),
+        F.concat(F.array(F.col("t_label")), F.col("t_aspects")).alias("acsa"),
+        F.lit("report").alias("type"),
         F.concat(F.lit("vec "), F.col("vec_id").cast("string")).alias("data"))
-    rep = reports.select(F.col("data").alias("input_data"),
-                         F.element_at("report", 1).cast("string").alias("prediction"),
-                         MS.list_text(F.slice("report", 2, 4)).alias("acsa"), F.lit("report").alias("source"))
-    return train.unionByName(rep)
+    return MS.training_pool(train, reports)
 
 
 @query("correlate_latency", f"""WITH {REQRESP}

@@ -99,3 +99,22 @@ def write_responses(df: DataFrame, fmt: str, options: dict, checkpoint: str, pat
           .outputMode("append")
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start(path) if path else w.start()
+
+
+def report_to_training(reports: DataFrame, prediction: str = "prediction", acsa: str = "acsa",
+                       data: str = "data") -> DataFrame:
+    """User reports -> training records ``input_data, prediction, acsa``.
+
+    A report carries the five corrected codes ``[label, a1, a2, a3, a4]``;
+    the training record keeps the four aspects as list text and the label as
+    text, and renames ``data`` to ``input_data``. Works on batch and
+    streaming frames alike (a projection).
+    """
+    return reports.select(F.col(data).alias("input_data"), F.col(prediction).cast("string").alias("prediction"),
+                          list_text(F.slice(F.col(acsa), 2, 4)).alias("acsa"))
+
+
+def training_pool(train: DataFrame, reports: DataFrame) -> DataFrame:
+    """Labelled rows plus user reports, with the report source marked (stream or batch)."""
+    return (train.select("input_data", "prediction", "acsa", F.lit("train").alias("source"))
+                 .unionByName(report_to_training(reports).withColumn("source", F.lit("report"))))

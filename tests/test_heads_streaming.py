@@ -200,3 +200,19 @@ def test_train_heads_local_adam(spark):
     assert acc > 0.9 and hist[-1][2] < hist[0][2]
     again, _ = H.train_heads(df, "vec", "y", 3, epochs=4, lr=0.05, method="adam", batch_size=32)
     assert np.allclose(again, w)          # seeded: the same mini-batches every run
+
+
+def test_training_pool_on_streams(spark, scratch):
+    from kestrel.sources.messages import training_pool
+    train = spark.createDataFrame([("t1", "0", "[0, 1, 2, 3]")], "input_data string, prediction string, acsa string")
+    reports = spark.createDataFrame([("9", 2, [2, 3, 3, 0, 1], "report", "t2")],
+                                    "id string, prediction int, acsa array<int>, type string, data string")
+    train.write.parquet(f"{scratch}/train")
+    reports.write.parquet(f"{scratch}/reports")
+    ts = spark.readStream.schema(train.schema).parquet(f"{scratch}/train")
+    rs = spark.readStream.schema(reports.schema).parquet(f"{scratch}/reports")
+    q = (training_pool(ts, rs).writeStream.format("parquet").option("checkpointLocation", f"{scratch}/ckpt")
+         .trigger(availableNow=True).start(f"{scratch}/pool"))
+    q.awaitTermination()
+    rows = sorted(tuple(r) for r in spark.read.parquet(f"{scratch}/pool").collect())
+    assert rows == [("t1", "0", "[0, 1, 2, 3]", "train"), ("t2", "2", "[3, 3, 0, 1]", "report")]
