@@ -177,9 +177,19 @@ def rouge_tokens(col) -> Column:
     then split; accented letters are dropped, as that tokenizer does.
     """
     c = F.regexp_replace(F.lower(_col(col)), r"[^a-z0-9]+", " ")
-    return F.filter(F.split(c, " "), lambda x: x != "")
+    return _drop_empty_ends(F.split(c, " "))
+
+
+def _drop_empty_ends(a: Column) -> Column:
+    """Drop the empty first/last piece a split leaves for leading/trailing separators.
+
+    Runs of separators are matched whole, so only the ends can be empty; two
+    ``slice`` calls do it without a per-element lambda.
+    """
+    a = F.when(F.get(a, 0) == "", F.slice(a, 2, F.size(a))).otherwise(a)
+    return F.when(F.get(a, F.size(a) - 1) == "", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
 
 
 def tokens(col) -> Column:
     """Whitespace tokens of a whole text, split as Python's ``str.split()`` does."""
-    return F.filter(F.split(_col(col), WHITESPACE), lambda x: x != "")
+    return _drop_empty_ends(F.split(_col(col), WHITESPACE))

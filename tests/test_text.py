@@ -1,5 +1,6 @@
 """Cleaning and assembly functions on literal frames covering the edge cases."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from kestrel.functions import labels as L
@@ -141,3 +142,9 @@ def test_tokens_all_python_whitespace(spark):
     s = "a" + ws + "b" + ws.join("cde")
     got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
     assert got == s.split()
+
+
+@pytest.mark.parametrize("s", ["", "   ", "a", " a", "a ", "  a  b  ", "\n\na\tb\n", None])
+def test_tokens_edges(spark, s):
+    got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
+    assert got == (None if s is None else s.split())
