@@ -181,13 +181,13 @@ def rouge_tokens(col) -> Column:
 
 
 def _drop_empty_ends(a: Column) -> Column:
-    """Drop the empty first/last piece a split leaves for leading/trailing separators.
+    """Drop the empty pieces a split leaves for leading/trailing separators.
 
-    Runs of separators are matched whole, so only the ends can be empty; two
-    ``slice`` calls do it without a per-element lambda.
+    A ``filter`` evaluates the split once and tests each piece; conditional
+    forms that reference the split several times would re-run it per branch
+    wherever the projection is not code-generated.
     """
-    a = F.when(F.get(a, 0) == "", F.slice(a, 2, F.size(a))).otherwise(a)
-    return F.when(F.get(a, F.size(a) - 1) == "", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(a)
+    return F.filter(a, lambda x: x != "")
 
 
 def tokens(col) -> Column:
