@@ -23,12 +23,14 @@ def score_requests(requests: DataFrame, w: np.ndarray | None, b: np.ndarray | No
     ``data`` holds the model input vector as JSON. A missing label head
     answers -1; missing aspect scores answer ``[-1, -1, -1, -1]``.
     """
-    vec = F.from_json(F.col("data"), "array<double>")
+    # parse the vector once; both heads read the parsed column
+    parsed = requests.withColumn("_vec", F.from_json(F.col("data"), "array<double>"))
+    vec = F.col("_vec")
     pred: Column = argmax_class(head_scores(vec, w, b)) if w is not None else F.lit(None).cast("int")
     acsa = argmax_per_group(aspect_scores(vec), 4, 4) if aspect_scores is not None \
         else F.lit(None).cast("array<int>")
-    out = requests.select("key", "id", "data", with_fallback(pred).alias("prediction"),
-                          with_fallback(acsa, 4).alias("acsa"))
+    out = parsed.select("key", "id", "data", with_fallback(pred).alias("prediction"),
+                        with_fallback(acsa, 4).alias("acsa"))
     value = F.to_json(F.struct("id", "prediction", list_text("acsa").alias("acsa"), "data"))
     return out.select(F.col("key").cast("string"), value.alias("value"))
 
