@@ -28,19 +28,23 @@ def latency_stats(df: DataFrame, by: str = "config", value: str = "latency",
                   quantiles=(0.25, 0.5, 0.75, 0.95), resolution: float = 1e-3) -> DataFrame:
     """Mean, min, max and exact (linearly interpolated) quantiles per group.
 
-    Latencies are quantised to ``resolution`` seconds and counted per
-    ``(group, value)`` first (a partial aggregate); the exact percentile then
-    runs over distinct values with their frequencies, so its state per group
-    is bounded by the number of distinct latencies, not by the row count.
+    Latencies are quantised to ``resolution`` seconds (integer units) and
+    counted per ``(group, unit)`` first, a partial aggregate; the exact
+    percentile then runs over distinct values with their frequencies, so its
+    state per group is bounded by the number of distinct latencies, not by
+    the row count. Sums are integer, so the mean does not depend on the
+    order in which partitions are combined.
     """
-    q = df.select(by, F.col(value).alias("v"))
-    if resolution:
-        q = q.withColumn("v", F.round(F.col("v") / resolution) * resolution)
-    counts = q.groupBy(by, "v").agg(F.count(F.lit(1)).alias("f"))
-    pct = F.percentile(F.col("v"), F.array(*[F.lit(x) for x in quantiles]), F.col("f"))
+    per_second = int(round(1 / resolution))
+    q = df.select(by, F.round(F.col(value) * per_second).cast("long").alias("u"))
+    counts = q.groupBy(by, "u").agg(F.count(F.lit(1)).alias("f"))
+    v = F.col("u") / F.lit(float(per_second))
+    pct = F.percentile(v, F.array(*[F.lit(x) for x in quantiles]), F.col("f"))
     agg = counts.groupBy(by).agg(
-        F.sum("f").alias("n"), (F.sum(F.col("v") * F.col("f")) / F.sum("f")).alias("avg"),
-        F.min("v").alias("min"), F.max("v").alias("max"), pct.alias("_q"))
+        F.sum("f").alias("n"), F.sum(F.col("u") * F.col("f")).alias("_s"),
+        F.min("u").alias("_min"), F.max("u").alias("_max"), pct.alias("_q"))
     names = [f"p{int(round(x * 100))}" for x in quantiles]
-    return agg.select(by, "n", "avg", "min", "max",
-                      *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return agg.select(by, "n", (F.col("_s") / F.col("n") / F.lit(float(per_second))).alias("avg"),
+                      (F.col("_min") / F.lit(float(per_second))).alias("min"),
+                      (F.col("_max") / F.lit(float(per_second))).alias("max"),
+                      *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])

@@ -149,9 +149,13 @@ def aspect_rollup(smoothed: DataFrame) -> DataFrame:
     """Per-aspect means of the smoothed class metrics plus an ``Overall`` row.
 
     Every aspect has the same number of classes, so the grand mean of the
-    rollup equals the mean of the aspect means.
+    rollup equals the mean of the aspect means. Means are exact (decimal) and
+    rounded half-up to the 6 decimals of the inputs.
     """
-    r = smoothed.rollup("aspect").agg(*[F.avg(c).alias(c) for c in ("acc", "precision", "recall", "f1")])
+    # the inputs have 6 decimals: average them exactly and round half-up at 6
+    r = smoothed.rollup("aspect").agg(*[
+        F.round(F.avg(F.col(c).cast("decimal(20,6)")), 6).cast("double").alias(c)
+        for c in ("acc", "precision", "recall", "f1")])
     return r.select(F.coalesce(F.col("aspect").cast("string"), F.lit("Overall")).alias("aspect"),
                     "acc", "precision", "recall", "f1")
 

@@ -59,9 +59,11 @@ def registry(spark, sf_dir) -> DataFrame:
     acc = round(share of purchases, 6); ``key`` orders the records.
     """
     ev = table(spark, sf_dir, "events").select(F.to_date("ts").alias("d"), "value", "event_type")
+    # values carry cents: exact decimal means, rounded half-up at 6 decimals
     days = ev.groupBy("d").agg(
-        F.round(F.avg("value"), 6).alias("avg_f1"),
-        F.round(F.avg(F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0)), 6).alias("acc"))
+        F.round(F.avg(F.col("value").cast("decimal(20,2)")), 6).cast("double").alias("avg_f1"),
+        F.round(F.avg(F.when(F.col("event_type") == "purchase", 1).otherwise(0).cast("decimal(20,2)")), 6)
+         .cast("double").alias("acc"))
     # one row per day: a window over the whole (tiny) day table is fine here
     d0 = F.min("d").over(Window.partitionBy())
     reg = days.select(

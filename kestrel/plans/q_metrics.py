@@ -160,6 +160,10 @@ sm AS (
 sm2 AS (SELECT *, round(2 * precision * recall / (precision + recall + 2.220446049250313e-16), 6) AS f1 FROM sm)"""
 
 
+# exact half-up mean of 6-decimal values, in integer micro-units
+_MEAN6 = ("((2 * sum(CAST(round({c} * 1000000) AS BIGINT)) + count(*)) // (2 * count(*))) / 1000000.0")
+
+
 def _tpfpfn(spark, sf):
     a = M.aspect_long(X.aspect_rows(spark, sf), "t_aspects", "p_aspects")
     return M.aspect_tp_fp_fn(M.count_table(a, "t", "p", by="aspect"))
@@ -178,10 +182,11 @@ def smoothed_metrics_q(spark, sf):
 
 
 @query("aspect_rollup", f"""WITH {_TPFPFN_SQL}
-SELECT CAST(aspect AS VARCHAR) AS aspect, round(avg(acc), 6) AS acc, round(avg(precision), 6) AS precision,
-       round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1 FROM sm2 GROUP BY aspect
+SELECT CAST(aspect AS VARCHAR) AS aspect, {_MEAN6.format(c="acc")} AS acc, {_MEAN6.format(c="precision")} AS precision,
+       {_MEAN6.format(c="recall")} AS recall, {_MEAN6.format(c="f1")} AS f1 FROM sm2 GROUP BY aspect
 UNION ALL
-SELECT 'Overall', round(avg(acc), 6), round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM sm2""")
+SELECT 'Overall', {_MEAN6.format(c="acc")}, {_MEAN6.format(c="precision")}, {_MEAN6.format(c="recall")},
+       {_MEAN6.format(c="f1")} FROM sm2""")
 def aspect_rollup_q(spark, sf):
     return R(M.aspect_rollup(M.smoothed_metrics(_tpfpfn(spark, sf))))
 

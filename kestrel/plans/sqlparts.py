@@ -29,8 +29,11 @@ asp_long AS (
 REG = """reg AS (
   SELECT CAST(date_diff('day', min(d) OVER (), d) + 1 AS INTEGER) AS version, 'cls' AS task,
          acc, avg_f1, CAST(date_diff('day', min(d) OVER (), d) + 1 AS BIGINT) AS key
-  FROM (SELECT CAST(ts AS DATE) AS d, round(avg(value), 6) AS avg_f1,
-               round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS acc
+  FROM (SELECT CAST(ts AS DATE) AS d,
+               ((2 * sum(CAST(round(value * 100) AS BIGINT)) * 10000 + count(*)) // (2 * count(*))) / 1000000.0
+                 AS avg_f1,
+               ((2 * sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) * 1000000 + count(*))
+                 // (2 * count(*))) / 1000000.0 AS acc
         FROM events GROUP BY CAST(ts AS DATE))),
 art AS (SELECT task, version FROM reg WHERE version % 7 <> 0)"""
 
