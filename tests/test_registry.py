@@ -73,3 +73,14 @@ def test_latest_epoch_and_sample(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "id long")
     a = G.sample_example(df, "id", 3).collect()
     assert a == G.sample_example(df, "id", 3).collect() and len(a) == 1
+
+
+def test_champion_and_best_per_task(spark):
+    rows = [(1, "cls", 0.5, 1), (2, "cls", 0.6, 2), (1, "acsa", 0.3, 3), (2, "acsa", 0.2, 4), (3, "cls", 0.55, 5)]
+    r = spark.createDataFrame(rows, "version int, task string, avg_f1 double, key long")
+    champ = {(x["task"], x["version"]): x["champion"] for x in G.champion_timeline(r).collect()}
+    assert champ == {("cls", 1): 1, ("cls", 2): 2, ("cls", 3): 2, ("acsa", 1): 1, ("acsa", 2): 1}
+    best = {x["task"]: x["version"] for x in G.best_version(r).collect()}
+    assert best == {"cls": 2, "acsa": 1}
+    hist = {x["task"]: (x["records"], x["next_version"]) for x in G.registry_history(r).collect()}
+    assert hist == {"cls": (3, 4), "acsa": (2, 3)}

@@ -148,3 +148,29 @@ def test_tokens_all_python_whitespace(spark):
 def test_tokens_edges(spark, s):
     got = spark.createDataFrame([(s,)], "x string").select(T.tokens("x").alias("t")).first()["t"]
     assert got == (None if s is None else s.split())
+
+
+def test_posting_with_poster_drops_profile_noise(spark):
+    detail = spark.createDataFrame([(1, 10, "a"), (2, 99, "b")], "id long, user_id long, title string")
+    poster = spark.createDataFrame([(10, "Ann", "x", 5)], "id long, name string, image_url string, reputation int")
+    rows = {r["id"]: r for r in P.posting_with_poster(detail, poster).collect()}
+    assert "poster_image_url" not in rows[1].asDict() and "poster_reputation" not in rows[1].asDict()
+    assert rows[1]["poster_name"] == "Ann" and rows[2]["poster_name"] is None
+
+
+def test_csv_roundtrip_multiline_and_quotes(spark, scratch):
+    from kestrel.sources.tables import read_postings, write_csv
+    df = spark.createDataFrame([(1, 'line one\nline "two"', None), (2, "a,b", "")],
+                               "recruitment_id long, body string, title string")
+    write_csv(df, f"{scratch}/csv")
+    back = {r["recruitment_id"]: r for r in read_postings(spark, f"{scratch}/csv", df.schema).collect()}
+    assert back[1]["body"] == 'line one\nline "two"' and back[1]["title"] is None
+    assert back[2]["body"] == "a,b"
+
+
+def test_params_discovered_labels(spark):
+    df = spark.createDataFrame([(1, [("x", "1")]), (2, [("y", "2"), ("x", "3")])],
+                               "id int, parameters array<struct<label:string,value:string>>")
+    out = P.params_to_columns(df)
+    assert out.columns == ["id", "x", "y"]
+    assert {r["id"]: (r["x"], r["y"]) for r in out.collect()} == {1: ("1", None), 2: ("3", "2")}
