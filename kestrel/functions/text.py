@@ -40,6 +40,8 @@ LEGACY_NAMES = ["amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laq
 # patterns are kept to the common subset of Java regex and RE2
 _NON_TEXT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
 _TAG = r"<[A-Za-z/!?][^>]*>"
+# boundary mark left where markup was removed (a private-use character)
+BOUNDARY = "\ue000"
 
 
 def entity_rules() -> list[tuple[str, str]]:
@@ -72,9 +74,13 @@ def html_to_text(col) -> Column:
     placeholders look like tags and are removed, as an HTML parser does.
     """
     c = F.regexp_replace(_col(col), r"[\t\n]", " ")
-    c = F.regexp_replace(c, _NON_TEXT, "")
-    c = F.regexp_replace(c, _TAG, "")
-    return _unescape(_unescape(c))
+    # removed markup leaves a boundary mark, so text on both sides never merges
+    # into a new tag or entity; the first entity pass runs per text piece
+    # (as the parser's), the second over the joined text
+    c = F.regexp_replace(c, _NON_TEXT, BOUNDARY)
+    c = F.regexp_replace(c, _TAG, BOUNDARY)
+    c = F.replace(_unescape(c), F.lit(BOUNDARY), F.lit(""))
+    return _unescape(c)
 
 
 class _TextOnly(HTMLParser):

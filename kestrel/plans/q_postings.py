@@ -165,8 +165,8 @@ def pad_tokens_q(spark, sf):
 
 
 _HTML_CHAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '[\t\n]', ' ', 'g'),
-  '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g'),
-  '<[A-Za-z/!?][^>]*>', '', 'g')"""
+  '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '{b}', 'g'),
+  '<[A-Za-z/!?][^>]*>', '{b}', 'g')"""
 
 
 def _unescape_sql(x: str) -> str:
@@ -181,8 +181,8 @@ def _unescape_sql(x: str) -> str:
 
 def _html_ctes(src: str, key: str, col: str) -> str:
     """CTEs h0 (tags removed), h1, h2 (two entity passes) over ``src``."""
-    return (f"h0 AS (SELECT {key}, {_HTML_CHAIN.format(x=col)} AS x FROM {src}),\n"
-            f"h1 AS (SELECT {key}, {_unescape_sql('x')} AS x FROM h0),\n"
+    return (f"h0 AS (SELECT {key}, {_HTML_CHAIN.format(x=col, b=T.BOUNDARY)} AS x FROM {src}),\n"
+            f"h1 AS (SELECT {key}, replace({_unescape_sql('x')}, '{T.BOUNDARY}', '') AS x FROM h0),\n"
             f"h2 AS (SELECT {key}, {_unescape_sql('x')} AS x FROM h1)")
 
 

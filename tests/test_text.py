@@ -174,3 +174,8 @@ def test_params_discovered_labels(spark):
     out = P.params_to_columns(df)
     assert out.columns == ["id", "x", "y"]
     assert {r["id"]: (r["x"], r["y"]) for r in out.collect()} == {1: ("1", None), 2: ("3", "2")}
+
+
+def test_removed_markup_does_not_join_text(spark):
+    for s in ["&#39<style>p{}</style>;", "&amp</p>; ", "<<<!-- c -->b<p>", "x&lt<br/>;y"]:
+        assert one(spark, s, T.html_to_text) == T.html_text_exact(s), s
