@@ -1,19 +1,19 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Words are ordered by rarity: the number of
-lines' words in their hash bucket (2^18 buckets, a fixed table), then hash.
-Lines of equal sets are one class. Two sets with Jaccard >= t share a word
-among their first few (prefix filter); the shorter one's prefix can be
-shorter still, lengths must be within t, the words' positions must leave room
-for the overlap (positional filter), and a 128-bit parity sketch bounds the
-difference of the sets. What is left is verified on the words themselves.
-A line goes if it is not the first of its class, or if a line of another
-class that matches it comes earlier.
+words in their hash bucket (2^18 buckets, a fixed table), then hash. Equal
+lines are one class. Two sets with Jaccard >= t share a word among their
+first few (prefix filter); the shorter one's prefix can be shorter still,
+lengths must be within t, the words' positions must leave room for the
+overlap (positional filter), and a 64-bit parity sketch bounds the difference
+of the sets. What is left is verified on the words themselves. A line goes if
+it is not the first of its class, or if a line of another class that matches
+it comes earlier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.llm.common import row_id, stored
@@ -21,22 +21,30 @@ from kestrel.llm.common import row_id, stored
 SIMILARITY = 0.8
 BUCKETS = 1 << 18
 SPACE = "\t\x0b\x0c\r"
+SENT = 2_000_000  # class numbers that are broadcast at most (16 MB); more are joined by shuffles
 
 
-def words(line):
+def words(line: Column) -> Column:
     """Words of a line: parts between white space (9 to 13 and 32)."""
-    return F.array_remove(F.split(F.translate(line, SPACE, " " * len(SPACE)), " "), "")
+    odd = F.lit(False)
+    for c in SPACE:
+        odd = odd | F.contains(line, F.lit(c))
+    plain = F.when(odd, F.translate(line, SPACE, " " * len(SPACE))).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, line_no, line), line_no from 0; a null text has no line. Rows equal in doc_id and text are one document."""
+    """(doc_id, rid, line_no, line, k1, k2): the lines with words, from 0. Rows equal in doc_id and text are one document."""
     return (docs.select(F.col("doc_id").cast("long"), row_id().alias("rid"), F.col("text").cast("string"))
-            .select("doc_id", "rid", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+            .select("doc_id", "rid", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+            .where(F.col("line").rlike("[^\t\x0b\x0c\r ]"))
+            .select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(2)).alias("k2")))
 
 
-def rarity(docs: DataFrame):
+def rarity(docs: DataFrame) -> Column:
     """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words."""
-    spread = (docs.select(F.explode(words(F.translate(F.col("text").cast("string"), "\n", " "))).alias("w"))
+    spread = (docs.select(F.explode_outer(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+              .select(F.explode_outer(words(F.col("line"))).alias("w"))
               .select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")))
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
@@ -45,48 +53,79 @@ def rarity(docs: DataFrame):
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank.alias("r")))), lambda e: e["r"]).alias("ranks")).scalar()
 
 
-def need(a, b, t):
+def need(a: Column, b: Column, t: float) -> Column:
     """Least overlap of sets of sizes a and b for Jaccard >= t."""
     return F.ceil((a + b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
-    """One row per line with words: doc_id, rid, line_no, class_doc, class_line, n_links, removed.
-
-    Class: the place (smallest doc_id, line number) of the first line with
-    the same words. n_links: classes of other word sets with Jaccard >= t.
-    """
-    hashed = F.transform(words(F.col("line")), lambda w: F.xxhash64(w))
-    bucket_rank = lambda h: F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+def postings(docs: DataFrame, t: float) -> DataFrame:
+    """(w, c, size, at, sketch): the prefix words of every class, with their position."""
+    hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # rank in the upper bits, 48 bits of the hash below: rare words first
-    ordered = F.sort_array(F.transform(F.array_distinct("h"), lambda h: F.shiftleft(bucket_rank(h), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
-    keyed = (lines(docs).withColumn("h", hashed).where(F.size("h") > 0)
-             .withColumn("h", F.array_sort(F.array_distinct("h")))
-             .select("doc_id", "rid", "line_no", "line", "h", F.xxhash64("h").alias("k1"), F.xxhash64(F.reverse("h")).alias("k2")))
-    occurrences = keyed.select("doc_id", "rid", "line_no", "k1", "k2")
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"), F.col("line_no"))
-    classes = stored(keyed.groupBy("k1", "k2").agg(F.min(F.struct(*[place[c].alias(c) for c in ("z", "doc_id", "rid", "line_no")], F.col("line").alias("line"))).alias("f"), F.count(F.lit(1)).alias("n"))
-                     .select(F.xxhash64("k1", "k2").alias("c"), "k1", "k2", "n", F.struct("f.z", "f.doc_id", "f.rid", "f.line_no").alias("first"), F.col("f.line").alias("line")), "line-classes")
-    sketch = lambda half: F.expr(  # noqa: E731  parity of the words at each of 64 bits
-        f"aggregate(s, 0L, (acc, x) -> if((x & 64L) = {half}L, acc ^ shiftleft(1L, cast(x & 63L as int)), acc))")
-    sets = (classes.select("c", F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w))).alias("h"))
-            .withColumn("ranks", rarity(docs)).select("c", ordered.alias("s")).withColumn("size", F.size("s")))
-    prefix = F.col("size") - F.ceil(F.col("size") * t - 1e-9) + 1
-    posted = (sets.select("c", "size", sketch(0).alias("x"), sketch(64).alias("y"), F.posexplode(F.slice("s", 1, prefix.cast("int"))).alias("at", "w")))
+    ordered = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(
+        F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+
+    def described(s):  # a lambda, so that the words are prepared once
+        size = F.size(s)
+        sketch = F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function(
+            "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+        return F.struct(size.alias("size"), F.slice(s, 1, (size - F.ceil(size * t - 1e-9) + 1).cast("int")).alias("prefix"), sketch.alias("sketch"))
+
+    classes = lines(docs).select("line", "k1", "k2").distinct()
+    return (classes.withColumn("ranks", rarity(docs))
+            .select(F.xxhash64("k1", "k2").alias("c"), F.transform(F.array(ordered), described)[0].alias("d"))
+            # never null, and said so: else filters on them would be pushed down and prepare the words again
+            .select("c", F.coalesce("d.size", F.lit(0)).alias("size"), F.coalesce("d.sketch", F.lit(0)).alias("sketch"), F.posexplode_outer("d.prefix").alias("at", "w"))
+            .select("c", "size", "sketch", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("w", F.lit(0)).alias("w")))
+
+
+def candidates(docs: DataFrame, t: float) -> DataFrame:
+    """(p, q): classes that pass all filters, each pair once."""
+    posted = stored(postings(docs, t), "line-postings")
     a, b = posted.alias("a"), posted.alias("b")
-    short = F.col("a.at") < F.col("a.size") - need(F.col("a.size"), F.col("a.size"), t) + 1
+    size = F.col("a.size") + F.col("b.size")
     least = need(F.col("a.size"), F.col("b.size"), t)
-    differ = F.bit_count(F.col("a.x").bitwiseXOR(F.col("b.x"))) + F.bit_count(F.col("a.y").bitwiseXOR(F.col("b.y")))
+    # a join condition over both sides, not a filter: so both sides read one shuffle
+    short = (F.col("a.at") <= F.col("a.size") - need(F.col("a.size"), F.col("a.size"), t)) | (F.col("b.size") < 0)
     ahead = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.c") < F.col("b.c")))
     room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    close = (ahead & (F.col("a.size") >= F.col("b.size") * t - 1e-9) & (room >= least - F.least(F.col("a.at"), F.col("b.at")))
-             & (differ <= F.col("a.size") + F.col("b.size") - 2 * least))
-    pairs = (a.where(short).join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct())
-    text = classes.select("c", "first", "line")
-    both = pairs.join(text.select(F.col("c").alias("p"), F.col("first").alias("f1"), F.col("line").alias("l1")), "p").join(
-        text.select(F.col("c").alias("q"), F.col("first").alias("f2"), F.col("line").alias("l2")), "q")
-    both = (both.withColumn("u", F.array_distinct(words(F.col("l1")))).withColumn("v", F.array_distinct(words(F.col("l2"))))
-            .withColumn("o", F.size(F.array_intersect("u", "v"))).where(F.col("o") >= t * (F.size("u") + F.size("v") - F.col("o")) - 1e-9))
+    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
+    close = (ahead & short & (F.col("a.size") >= F.col("b.size") * t - 1e-9)
+             & (room + F.least(F.col("a.at"), F.col("b.at")) >= least) & (differ <= size - 2 * least))
+    return a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct()
+
+
+def similar(docs: DataFrame, t: float) -> DataFrame:
+    """(p, q): classes with Jaccard >= t, verified on their words."""
+    pairs = stored(candidates(docs, t), "line-pairs")
+    ids = stored(pairs.select(F.explode(F.array("p", "q")).alias("c")).distinct(), "line-ids")
+    if ids.count() <= SENT:
+        ids = F.broadcast(ids)
+    text = lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").join(ids, "c").distinct()
+    both = pairs.join(text.select(F.col("c").alias("p"), F.col("line").alias("u")), "p").join(
+        text.select(F.col("c").alias("q"), F.col("line").alias("v")), "q")
+
+    def enough(w):  # a lambda, so that the words are split once
+        common = F.size(F.array_intersect(w["u"], w["v"]))
+        return common >= t * (F.size(w["u"]) + F.size(w["v"]) - common) - 1e-9
+
+    sets = F.struct(F.array_distinct(words(F.col("u"))).alias("u"), F.array_distinct(words(F.col("v"))).alias("v"))
+    return both.select("p", "q", F.transform(F.array(sets), enough)[0].alias("enough")).where("enough").drop("enough")
+
+
+def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """One row per line with words: doc_id, rid, line_no, class_doc, class_line, n_links, removed.
+
+    Class: the place (smallest doc_id, line number) of the first equal line.
+    n_links: other classes with Jaccard >= t.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"), F.col("line_no"))
+    occurrences = stored(lines(docs).drop("line"), "lines")
+    classes = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("first")).withColumn("c", F.xxhash64("k1", "k2"))
+    links = stored(similar(docs, t), "line-links")
+    first = classes.select("c", "first")
+    both = links.join(first.select(F.col("c").alias("p"), F.col("first").alias("f1")), "p").join(
+        first.select(F.col("c").alias("q"), F.col("first").alias("f2")), "q")
     ends = both.select(F.explode(F.array(F.struct(F.col("p").alias("c"), (F.col("f2") < F.col("f1")).alias("later")),
                                          F.struct(F.col("q").alias("c"), (F.col("f1") < F.col("f2")).alias("later")))).alias("e")).select("e.*")
     linked = ends.groupBy("c").agg(F.count(F.lit(1)).alias("n_links"), F.max("later").alias("later"))

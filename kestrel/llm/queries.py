@@ -124,9 +124,9 @@ OP2_SQL = r"""
 with l as (
   select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
 s as (
-  select doc_id, line_no, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\t\x0b\x0c\r ]'), lambda w: w <> ''))) as ws from l),
+  select doc_id, line_no, line, list_sort(list_distinct(list_filter(regexp_split_to_array(line, '[\t\x0b\x0c\r ]'), lambda w: w <> ''))) as ws from l),
 c as (
-  select ws, min((doc_id, line_no)) as f, row_number() over (order by ws) as c from s where len(ws) > 0 group by ws),
+  select line, any_value(ws) as ws, min((doc_id, line_no)) as f, row_number() over (order by line) as c from s where len(ws) > 0 group by line),
 t as (select c, len(ws) as n, unnest(ws) as w from c),
 d as (select w, count(*) as k from t group by w),
 p as (select c, n, w, row_number() over (partition by c order by k, w) as at from t join d using (w)),
@@ -143,7 +143,7 @@ e as (
 g as (select c, count(*) as n_links, bool_or(late) as late from e group by c)
 select s.doc_id, s.line_no::int as line_no, c.f[1] as class_doc, c.f[2]::int as class_line, coalesce(g.n_links, 0)::bigint as n_links,
   coalesce(g.late, false) or (s.doc_id, s.line_no) <> c.f as removed
-from s join c on s.ws = c.ws left join g on g.c = c.c where len(s.ws) > 0
+from s join c on s.line = c.line left join g on g.c = c.c where len(s.ws) > 0
 """
 
 QUERIES = {f.__name__: f for f in (
