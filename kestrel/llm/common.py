@@ -60,6 +60,14 @@ def row_id():
                       F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(col: pa.Array) -> list[bytes]:
     """UTF-8 of every text; a null is empty."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]

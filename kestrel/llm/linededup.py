@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import row_id, stored
+from kestrel.llm.common import row_id, stored, unused
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 18
@@ -95,9 +95,9 @@ def candidates(docs: DataFrame, t: float) -> DataFrame:
     return a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct()
 
 
-def similar(docs: DataFrame, t: float) -> DataFrame:
-    """(p, q): classes with Jaccard >= t, verified on their words."""
-    pairs = stored(candidates(docs, t), "line-pairs")
+def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """The pairs (p, q) of classes with Jaccard >= t, by their words."""
+    pairs = stored(pairs, "line-pairs")
     ids = stored(pairs.select(F.explode(F.array("p", "q")).alias("c")).distinct(), "line-ids")
     if ids.count() <= SENT:
         ids = F.broadcast(ids)
@@ -110,7 +110,35 @@ def similar(docs: DataFrame, t: float) -> DataFrame:
         return common >= t * (F.size(w["u"]) + F.size(w["v"]) - common) - 1e-9
 
     sets = F.struct(F.array_distinct(words(F.col("u"))).alias("u"), F.array_distinct(words(F.col("v"))).alias("v"))
-    return both.select("p", "q", F.transform(F.array(sets), enough)[0].alias("enough")).where("enough").drop("enough")
+    return stored(both.select("p", "q", F.transform(F.array(sets), enough)[0].alias("enough")).where("enough").drop("enough"), "line-links")
+
+
+def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(p, q, f): p's class comes first, f is its place."""
+    first = classes.select("c", "first")
+    both = pairs.join(first.select(F.col("c").alias("p"), F.col("first").alias("f1")), "p").join(
+        first.select(F.col("c").alias("q"), F.col("first").alias("f2")), "q")
+    swap = F.col("f2") < F.col("f1")
+    return both.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"),
+                       F.least("f1", "f2").alias("f"))
+
+
+def later_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """(c): classes that match an earlier one. Each is compared with its first candidate, and with all only if that fails."""
+    pairs = stored(placed(candidates(docs, t), classes), "line-placed")
+    hit = verified(docs, pairs.groupBy("q").agg(F.min_by("p", "f").alias("p")), t).select("q")
+    rest = verified(docs, pairs.select("p", "q").join(hit, "q", "left_anti"), t)
+    return hit.union(rest.select("q").distinct()).withColumnRenamed("q", "c")
+
+
+def occurrences_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    occurrences = stored(lines(docs).drop("line"), "lines")
+    classes = occurrences.groupBy("k1", "k2").agg(F.min(place()).alias("first")).withColumn("c", F.xxhash64("k1", "k2"))
+    return occurrences, classes
+
+
+def place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"), F.col("line_no"))
 
 
 def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -119,20 +147,23 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     Class: the place (smallest doc_id, line number) of the first equal line.
     n_links: other classes with Jaccard >= t.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"), F.col("line_no"))
-    occurrences = stored(lines(docs).drop("line"), "lines")
-    classes = occurrences.groupBy("k1", "k2").agg(F.min(place).alias("first")).withColumn("c", F.xxhash64("k1", "k2"))
-    links = stored(similar(docs, t), "line-links")
-    first = classes.select("c", "first")
-    both = links.join(first.select(F.col("c").alias("p"), F.col("first").alias("f1")), "p").join(
-        first.select(F.col("c").alias("q"), F.col("first").alias("f2")), "q")
-    ends = both.select(F.explode(F.array(F.struct(F.col("p").alias("c"), (F.col("f2") < F.col("f1")).alias("later")),
-                                         F.struct(F.col("q").alias("c"), (F.col("f1") < F.col("f2")).alias("later")))).alias("e")).select("e.*")
+    occurrences, classes = occurrences_and_classes(docs)
+    links = placed(verified(docs, candidates(docs, t), t), classes)
+    ends = links.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.lit(False).alias("later")),
+                                          F.struct(F.col("q").alias("c"), F.lit(True).alias("later")))).alias("e")).select("e.*")
     linked = ends.groupBy("c").agg(F.count(F.lit(1)).alias("n_links"), F.max("later").alias("later"))
     known = classes.join(linked, "c", "left").select("k1", "k2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("later", F.lit(False)).alias("later"))
     return occurrences.join(known, ["k1", "k2"]).select(
         "doc_id", "rid", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links",
-        (F.col("later") | (place != F.col("first"))).alias("removed"))
+        (F.col("later") | (place() != F.col("first"))).alias("removed"))
+
+
+def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
+    """(rid, line_no): the removed lines of ``remove_marks``, without counting links."""
+    occurrences, classes = occurrences_and_classes(docs)
+    later = later_classes(docs, classes, t).withColumn("later", F.lit(True))
+    known = classes.join(later, "c", "left").select("k1", "k2", "first", "later")
+    return occurrences.join(known, ["k1", "k2"]).where(F.col("later").isNotNull() | (place() != F.col("first"))).select("rid", "line_no")
 
 
 def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
@@ -143,7 +174,8 @@ def dedup_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     are one document: neither repeats the other and both get the same text. A null
     doc_id comes after all others.
     """
-    gone = remove_marks(docs, t).where("removed").groupBy("rid").agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    rows = docs.withColumn("_rid", row_id()).join(gone.withColumnRenamed("rid", "_rid"), "_rid", "left")
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    rid, gone = unused(docs, "rid"), unused(docs, "gone")
+    marks = removed_lines(docs, t).groupBy(F.col("rid").alias(rid)).agg(F.collect_set("line_no").alias(gone))
+    kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(gone, i))
+    rows = docs.withColumn(rid, row_id()).join(marks, rid, "left")
+    return rows.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

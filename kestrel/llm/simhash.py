@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import components, row_id, slices, star, stored, text_bytes
+from kestrel.llm.common import components, row_id, slices, star, stored, text_bytes, unused
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 GENERATOR = 0b110001110101  # of the binary Golay code of length 23
@@ -225,6 +225,7 @@ def simhash_groups(docs: DataFrame, k: int = 4, bits: int = MAX_BITS) -> DataFra
 def keep_first(docs: DataFrame, k: int = 4, bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs`` with all columns, one of each component: the smallest doc_id (null last)."""
     _, named = grouped(docs, k, bits)
-    firsts = named.select(F.col("first.rid").alias("_rid")).distinct()
-    rows = docs.withColumn("_rid", row_id()).join(firsts, "_rid", "left_semi")
-    return rows.dropDuplicates(["_rid"]).select(*docs.columns)  # rows equal in doc_id and text are one
+    rid = unused(docs, "rid")
+    firsts = named.select(F.col("first.rid").alias(rid)).distinct()
+    rows = docs.withColumn(rid, row_id()).join(firsts, rid, "left_semi")
+    return rows.dropDuplicates([rid]).select(*docs.columns)  # rows equal in doc_id and text are one
