@@ -5,8 +5,8 @@ words in their hash bucket (2^18 buckets, a fixed table), then hash. Equal
 lines are one class. Two sets with Jaccard >= t share a word among their
 first few (prefix filter); the shorter one's prefix can be shorter still,
 lengths must be within t, the words' positions must leave room for the
-overlap (positional filter), and a 64-bit parity sketch bounds the difference
-of the sets. What is left is verified on the words themselves. A line goes if
+overlap (positional filter), and parity sketches of 64, then 256 bits bound
+the difference of the sets. What is left is verified on the words themselves. A line goes if
 it is not the first of its class, or if a line of another class that matches
 it comes earlier.
 """
@@ -95,15 +95,36 @@ def candidates(docs: DataFrame, t: float) -> DataFrame:
     return a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """The pairs (p, q) of classes with Jaccard >= t, by their words."""
-    pairs = stored(pairs, "line-pairs")
+def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(c, line, n, sketches) of the classes in ``pairs``: the line, its number of words, their parity at each of 256 bits."""
     ids = stored(pairs.select(F.explode(F.array("p", "q")).alias("c")).distinct(), "line-ids")
     if ids.count() <= SENT:
         ids = F.broadcast(ids)
     text = lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").join(ids, "c").distinct()
-    both = pairs.join(text.select(F.col("c").alias("p"), F.col("line").alias("u")), "p").join(
-        text.select(F.col("c").alias("q"), F.col("line").alias("v")), "q")
+
+    def described(h):  # a lambda, so that the words are hashed once
+        one = F.lit(1).cast("long")
+        part = lambda k: F.aggregate(h, F.lit(0).cast("long"), lambda acc, x: F.when(
+            F.shiftrightunsigned(x, 62) == k, acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+        return F.struct(F.size(h).alias("n"), F.array(*[part(k) for k in range(4)]).alias("sketches"))
+
+    hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    return stored(text.select("c", "line", F.transform(F.array(hashed), described)[0].alias("d")).select("c", "line", "d.*"), "line-texts")
+
+
+def plausible(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """The pairs whose 256-bit sketches differ in no more bits than sets with Jaccard >= t can."""
+    side = lambda c, n: texts.select(F.col("c").alias(c), F.struct("n", "sketches").alias(n))
+    both = pairs.join(side("p", "u"), "p").join(side("q", "v"), "q")
+    differ = sum((F.bit_count(F.col("u.sketches")[k].bitwiseXOR(F.col("v.sketches")[k])) for k in range(4)), F.lit(0))
+    size = F.col("u.n") + F.col("v.n")
+    return stored(both.where(differ <= size - 2 * need(F.col("u.n"), F.col("v.n"), t)).select("p", "q"), "line-plausible")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
+    """The pairs (p, q) of classes with Jaccard >= t, by their words."""
+    both = pairs.join(texts.select(F.col("c").alias("p"), F.col("line").alias("u")), "p").join(
+        texts.select(F.col("c").alias("q"), F.col("line").alias("v")), "q")
 
     def enough(w):  # a lambda, so that the words are split once
         common = F.size(F.array_intersect(w["u"], w["v"]))
@@ -125,9 +146,11 @@ def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def later_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
     """(c): classes that match an earlier one. Each is compared with its first candidate, and with all only if that fails."""
-    pairs = stored(placed(candidates(docs, t), classes), "line-placed")
-    hit = verified(docs, pairs.groupBy("q").agg(F.min_by("p", "f").alias("p")), t).select("q")
-    rest = verified(docs, pairs.select("p", "q").join(hit, "q", "left_anti"), t)
+    pairs = stored(candidates(docs, t), "line-pairs")
+    texts = candidate_texts(docs, pairs)
+    pairs = stored(placed(plausible(pairs, texts, t), classes), "line-placed")
+    hit = verified(pairs.groupBy("q").agg(F.min_by("p", "f").alias("p")), texts, t).select("q")
+    rest = verified(pairs.select("p", "q").join(hit, "q", "left_anti"), texts, t)
     return hit.union(rest.select("q").distinct()).withColumnRenamed("q", "c")
 
 
@@ -148,7 +171,9 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     n_links: other classes with Jaccard >= t.
     """
     occurrences, classes = occurrences_and_classes(docs)
-    links = placed(verified(docs, candidates(docs, t), t), classes)
+    pairs = stored(candidates(docs, t), "line-pairs")
+    texts = candidate_texts(docs, pairs)
+    links = placed(verified(plausible(pairs, texts, t), texts, t), classes)
     ends = links.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.lit(False).alias("later")),
                                           F.struct(F.col("q").alias("c"), F.lit(True).alias("later")))).alias("e")).select("e.*")
     linked = ends.groupBy("c").agg(F.count(F.lit(1)).alias("n_links"), F.max("later").alias("later"))
