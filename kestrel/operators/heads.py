@@ -185,6 +185,7 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
         raise ValueError(method)
     multi = n_heads is not None
     H = n_heads or 1
+    df = df.where(F.col(label).isNotNull())  # unlabelled rows do not train
     first = df.select(F.size(as_doubles(vec)).alias("d")).first()
     if first is None:
         raise ValueError("no training rows")

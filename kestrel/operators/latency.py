@@ -25,11 +25,11 @@ def correlate(req: DataFrame, resp: DataFrame, key: str = "correlation_id",
 
 
 def latency_stats(df: DataFrame, by: str = "config", value: str = "latency",
-                  quantiles=(0.25, 0.5, 0.75, 0.95), resolution: float = 1e-3) -> DataFrame:
+                  quantiles=(0.25, 0.5, 0.75, 0.95), resolution: float = 1e-6) -> DataFrame:
     """Mean, min, max and exact (linearly interpolated) quantiles per group.
 
-    Latencies are quantised to ``resolution`` seconds (integer units) and
-    counted per ``(group, unit)`` first, a partial aggregate; the exact
+    Latencies are integers of ``resolution`` seconds, by default the
+    microsecond that timestamps have, and are counted per ``(group, unit)`` first, a partial aggregate; the exact
     percentile then runs over distinct values with their frequencies, so its
     state per group is bounded by the number of distinct latencies, not by
     the row count. Sums are integer, so the mean does not depend on the

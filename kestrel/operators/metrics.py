@@ -86,8 +86,19 @@ def cls_metrics(counts: DataFrame, by=None, average: str = "macro") -> DataFrame
 
 
 def confusion_matrix(counts: DataFrame, codes: list[int], by=None, prefix: str = "p") -> DataFrame:
-    """Rows = true class, one column per predicted code (fixed list), zeros filled."""
+    """A row per true class and a column per predicted one, zeros filled.
+
+    Every code of the list has its row and column in each group, also one
+    that is never true or never predicted; codes outside the list raise.
+    """
     keys = _by(by)
+    stray = ~F.col("t").isin(*codes) | ~F.col("p").isin(*codes)
+    counts = counts.withColumn("n", F.when(stray, F.raise_error(F.lit("a class is not in the list of codes")).cast("long")).otherwise(F.col("n")))
+    groups = counts.select(*keys).distinct() if keys else counts.sparkSession.range(1).select()
+    kind = {f.name: f.dataType for f in counts.schema}
+    zero = groups.select(*keys, F.explode(F.array(*[F.lit(c).cast(kind["t"]) for c in codes])).alias("t"),
+                         F.lit(codes[0]).cast(kind["p"]).alias("p"), F.lit(0).cast("long").alias("n"))
+    counts = counts.select(*keys, "t", "p", "n").unionByName(zero)
     out = counts.groupBy(*keys, "t").pivot("p", codes).agg(F.sum("n")).na.fill(0)
     return out.select(*keys, "t", *[F.col(str(c)).cast("long").alias(f"{prefix}{c}") for c in codes])
 

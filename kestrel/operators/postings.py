@@ -41,7 +41,8 @@ def param_labels(df: DataFrame, col: str = "parameters") -> list[str]:
 def params_to_columns(df: DataFrame, col: str = "parameters", labels: list[str] | None = None) -> DataFrame:
     """``[{label, value}]`` -> one column per label; the last duplicate wins."""
     labels = labels if labels is not None else param_labels(df, col)
-    m = F.map_from_entries(dedup_last(col))
+    # an entry without a label names no column
+    m = F.map_from_entries(dedup_last(F.filter(F.col(col), lambda e: e["label"].isNotNull())))
     return df.select(*[c for c in df.columns if c != col],
                      *[F.element_at(m, F.lit(lab)).alias(lab) for lab in labels])
 

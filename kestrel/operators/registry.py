@@ -100,9 +100,10 @@ def upsert_latest(base: DataFrame, changes: DataFrame, keys, order: str) -> Data
     rows is reduced on the map side before the shuffle.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    u = base.unionByName(changes)
-    rest = [c for c in u.columns if c not in keys]
-    latest = u.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r"))
+    u = base.withColumn("_src", F.lit(0)).unionByName(changes.withColumn("_src", F.lit(1)))
+    rest = [c for c in base.columns if c not in keys]
+    # of equal order values the change wins
+    latest = u.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order), F.col("_src"))).alias("_r"))
     return latest.select(*keys, "_r.*")
 
 

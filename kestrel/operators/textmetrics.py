@@ -169,6 +169,7 @@ def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", v
                       (F.col(token_id) if token_id else F.monotonically_increasing_id()).alias("_tid"))
     is_c = F.col("_side") == F.lit(cand_side)
     sizes = t.groupBy(pair).agg(F.sum(is_c.cast("long")).alias("_nc"), F.sum((~is_c).cast("long")).alias("_nr"))
+    pairs = sizes.select(pair)
     sizes = sizes.where((F.col("_nc") > 0) & (F.col("_nr") > 0)).select(
         pair, F.ceil(F.col("_nc") / block).alias("_sc"), F.ceil(F.col("_nr") / block).alias("_sr"))
     # a skewed pair is one key on the token side only: AQE splits that join partition
@@ -200,6 +201,8 @@ def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", v
         F.avg(F.when(F.col("_side") == F.lit(cand_side), F.col("_best"))).alias("precision"),
         F.avg(F.when(F.col("_side") != F.lit(cand_side), F.col("_best"))).alias("recall"))
     p, r = F.col("precision"), F.col("recall")
+    # a pair with an empty side matches nothing
+    per = pairs.join(per, pair, "left").na.fill(0.0, ["precision", "recall"])
     return per.withColumn("f1", F.when(p + r != 0, 2 * p * r / (p + r)).otherwise(0.0))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from kestrel.session import ensure_checkpoint_dir
 
-# raw labelled posting CSV: 26 columns, all text except the key
+# fixed values: the header of the raw labelled posting CSV, in its order; all text except the key
 POSTING_CSV_SCHEMA = StructType(
     [StructField("recruitment_id", LongType())]
     + [StructField(c, StringType()) for c in (
         "title_aspect", "desc_aspect", "company_aspect", "other_aspect", "label", "explanation",
         "title", "job_type", "body", "experience", "education", "certification", "benefit",
         "company_name", "location", "phone", "contact_name", "vacancy", "contact_type",
-        "salary_type", "gender", "min_salary", "max_salary", "min_age", "max_age")])
+        "salary_type", "min_salary", "max_salary", "gender", "min_age", "max_age")])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,6 +23,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written at ``path``; errors of the store are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

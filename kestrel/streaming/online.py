@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from kestrel.operators.heads import weights_arrays, weights_frame
 from kestrel.operators.online import RECORD_SCHEMA, OnlineLearner
-from kestrel.sources.tables import append_rows, load_weights, save_weights
-from kestrel.streaming.triggers import LEDGER_SCHEMA
+from kestrel.sources.tables import append_rows, load_weights, path_exists, save_weights
+from kestrel.streaming.triggers import triggered
 
 
 class StreamingLearner:
@@ -38,10 +38,9 @@ class StreamingLearner:
             self._persist(spark, rec, start)
 
     def _stored(self, spark) -> list[dict]:
-        try:
-            rows = spark.read.schema(RECORD_SCHEMA).parquet(self.registry).collect()
-        except Exception:  # noqa: BLE001 - no registry yet
+        if not path_exists(spark, self.registry):
             return []
+        rows = spark.read.schema(RECORD_SCHEMA).parquet(self.registry).collect()
         # one row per trigger: the registry is small next to the data
         return [r.asDict() for r in rows]
 
@@ -52,18 +51,15 @@ class StreamingLearner:
 
     def __call__(self, spark: SparkSession, new_ledger: DataFrame) -> None:
         done = {r["trigger_id"] for r in self.learner.records}
-        staged = spark.read.parquet(self.staging)
-        all_ledger = spark.read.schema(LEDGER_SCHEMA).parquet(self.ledger)
+        staged = triggered(spark, self.staging)
         for row in new_ledger.orderBy("trigger_id").toLocalIterator():
             t = row["trigger_id"]
             if t in done:
                 continue
-            lo = row["lo"]
+            first = t
             if self.learner.strategy == "replay" and t % self.learner.m == 0:
-                # a replay trigger trains on the last M batches
-                lo = all_ledger.where(F.col("trigger_id").between(t - self.learner.m + 1, t)) \
-                               .agg(F.min("lo")).first()[0]
-            part = staged.where((F.col(self.key) >= F.lit(lo)) & (F.col(self.key) <= F.lit(row["hi"])))
+                first = t - self.learner.m + 1  # a replay trigger trains on the last M batches
+            part = staged.where(F.col("_trigger").between(first, t)).drop("_trigger", "_mb")
             rows = part.count()
             rec, wb = self.learner.step(part, t, rows)
             self._persist(spark, rec, wb)

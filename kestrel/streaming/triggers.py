@@ -1,11 +1,13 @@
 """N-row triggers over a growing stream.
 
-``foreachBatch`` stages each micro-batch and cuts the rows beyond the
-ledger's last key into full N-row triggers; the remainder waits for later
-micro-batches. Both writes are keyed by the micro-batch id and replace that
-partition, so a micro-batch that Spark replays after a failure rewrites the
-same rows instead of adding them twice (exactly-once effect). Restarting
-with the same checkpoint resumes where the ledger ends.
+``foreachBatch`` stages each micro-batch and cuts its rows, with those that
+earlier micro-batches left over, into full N-row triggers in key order; the
+remainder waits. Every row keeps the number of its trigger, so late keys and
+tied keys are triggered once like any other. All writes are keyed by the
+micro-batch id and replace that partition, so a micro-batch that Spark
+replays after a failure rewrites the same rows instead of adding them twice
+(exactly-once effect). Restarting with the same checkpoint resumes where the
+ledger ends.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from kestrel.operators.sequence import trigger_batches
+from kestrel.sources.tables import path_exists
 
 LEDGER_SCHEMA = StructType([
     StructField("trigger_id", LongType()), StructField("lo", LongType()), StructField("hi", LongType()),
@@ -38,30 +41,53 @@ def _overwrite_partition(df: DataFrame, path: str) -> None:
        .partitionBy("_mb").parquet(path))
 
 
+def cut_path(staging: str) -> str:
+    """Where the staged rows stand with their trigger (``_trigger``, null while they wait)."""
+    return staging.rstrip("/") + "-cut"
+
+
+def triggered(spark: SparkSession, staging: str) -> DataFrame:
+    """Rows of all triggers, one row per staged row, with ``_trigger``."""
+    return spark.read.parquet(cut_path(staging)).where(F.col("_trigger").isNotNull())
+
+
+def waiting(spark: SparkSession, staging: str, before: int | None = None) -> DataFrame | None:
+    """Rows that no trigger has yet: what the last micro-batch (before ``before``) left over."""
+    if not path_exists(spark, cut_path(staging)):
+        return None
+    cut = spark.read.parquet(cut_path(staging))
+    if before is not None:
+        cut = cut.where(F.col("_mb") < before)
+    last = cut.agg(F.max("_mb")).first()[0]
+    return None if last is None else cut.where((F.col("_mb") == last) & F.col("_trigger").isNull()).drop("_mb", "_trigger")
+
+
 def stage_and_cut(key: str, staging: str, ledger: str, n: int, m: int,
                   on_trigger: Callable[[SparkSession, DataFrame], None] | None = None):
-    """The ``foreachBatch`` function: stage, then cut full triggers beyond the ledger."""
+    """The ``foreachBatch`` function: stage, then cut the waiting rows into full triggers."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _overwrite_partition(batch.withColumn("_mb", F.lit(int(batch_id))), staging)
+        spark, mb = batch.sparkSession, int(batch_id)
+        _overwrite_partition(batch.withColumn("_mb", F.lit(mb)), staging)
         # the ledger as it was before this micro-batch (a replay ignores its own earlier rows)
-        led = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("_mb") != int(batch_id))
-        last = led.agg(F.max("hi").alias("hi"), F.max("trigger_id").alias("t")).first()
-        last_hi, last_t = last["hi"], last["t"] or 0
-        staged = spark.read.parquet(staging)
-        pending = staged if last_hi is None else staged.where(F.col(key) > F.lit(last_hi))
-        cut = trigger_batches(pending.select(key), key, n)
-        rows = cut.groupBy("batch_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
-                                           F.count(F.lit(1)).alias("n"))
-        tid = (F.col("batch_id") + F.lit(int(last_t))).cast("long")
-        new = rows.select(tid.alias("trigger_id"), F.col("lo").cast("long"), F.col("hi").cast("long"), "n",
-                          F.when(tid % m == 0, "replay").otherwise("own").alias("kind"),
-                          F.lit(int(batch_id)).alias("_mb"))
+        led = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("_mb") != mb)
+        last_t = led.agg(F.max("trigger_id").alias("t")).first()["t"] or 0
+        rest = waiting(spark, staging, mb)
+        pool = spark.read.parquet(staging).where(F.col("_mb") == mb).drop("_mb")
+        pool = pool if rest is None else pool.unionByName(rest)
+        cut = trigger_batches(pool, key, n, keep_partial=True)
+        full = F.col("rn") <= F.floor(F.col("total") / n) * n
+        tid = F.when(full, F.col("batch_id") + F.lit(int(last_t))).cast("long")
+        _overwrite_partition(cut.select(*pool.columns, tid.alias("_trigger"), F.lit(mb).alias("_mb")), cut_path(staging))
+        rows = (spark.read.parquet(cut_path(staging)).where((F.col("_mb") == mb) & F.col("_trigger").isNotNull())
+                .groupBy(F.col("_trigger").alias("trigger_id"))
+                .agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"), F.count(F.lit(1)).alias("n")))
+        new = rows.select("trigger_id", "lo", "hi", "n",
+                          F.when(F.col("trigger_id") % m == 0, "replay").otherwise("own").alias("kind"),
+                          F.lit(mb).alias("_mb"))
         _overwrite_partition(new, ledger)
         if on_trigger is not None:
-            on_trigger(spark, spark.read.schema(LEDGER_SCHEMA).parquet(ledger)
-                       .where(F.col("_mb") == int(batch_id)))
+            on_trigger(spark, spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("_mb") == mb))
 
     return run
 

@@ -126,7 +126,8 @@ def test_greedy_match_blocked_equals_single_block(spark):
     df = spark.createDataFrame(rows, "pair_id long, side int, tid long, vec array<double>")
     one = {r["pair_id"]: r for r in TM.greedy_match(df, token_id="tid").collect()}
     many = {r["pair_id"]: r for r in TM.greedy_match(df, token_id="tid", block=2).collect()}
-    assert set(one) == set(many) == {0, 1, 2}      # pair 3 has no reference side
+    assert set(one) == set(many) == {0, 1, 2, 3}
+    assert (one[3]["precision"], one[3]["recall"], one[3]["f1"]) == (0, 0, 0)      # pair 3 has no reference side
     for k in one:
         assert (many[k]["precision"], many[k]["recall"], many[k]["f1"]) == \
                pytest.approx((one[k]["precision"], one[k]["recall"], one[k]["f1"]))
