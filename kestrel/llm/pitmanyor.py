@@ -311,9 +311,10 @@ class Model:
                        + float(lgamma(np.array([STRENGTH]))[0] - lgamma(np.array([STRENGTH + self.d]))[0]))
         return np.where(n > 0, np.maximum(STRENGTH / self.d * (grown - 1), 1.0), 0.0)
 
-    def seat(self, b: Block, s: State, chain: int, sweep: int) -> np.ndarray:
-        """Tables of every pair of the block, the same in each block that holds the pair."""
-        return gibbs(s.pair, self.d, STRENGTH + self.d * self.busy(s, chain)[b.u], self.parent(s, chain)[b.w], b.key, (sweep * CHAINS + chain) << 20)
+    def seat(self, b: Block, s: State, chain: int, sweep: int, at: np.ndarray) -> np.ndarray:
+        """Tables of the block's pairs numbered ``at``, the same in each block that holds the pair."""
+        weight = STRENGTH + self.d * self.busy(s, chain)[b.u[at]]
+        return gibbs(s.pair[at], self.d, weight, self.parent(s, chain)[b.w[at]], b.key[at], (sweep * CHAINS + chain) << 20)
 
 
 def discount(one: int, two: int) -> float:
@@ -365,10 +366,11 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
                 b.pairs()
                 s = State(b, right)
                 columns: list[list[np.ndarray]] = [[], []]
+                own = np.flatnonzero(s.own)  # the others are reported by their first blocks
                 for chain in range(CHAINS):
-                    t = np.where(s.own, model.seat(b, s, chain, sweep), 0)
-                    columns[0].append(np.bincount(b.u, t, len(b.words)).astype(np.int64))
-                    columns[1].append(np.bincount(b.w, t, len(b.words)).astype(np.int64))
+                    t = model.seat(b, s, chain, sweep, own)
+                    columns[0].append(np.bincount(b.u[own], t, len(b.words)).astype(np.int64))
+                    columns[1].append(np.bincount(b.w[own], t, len(b.words)).astype(np.int64))
                 rows += b.messages(TABLES, b.words, columns[0] + columns[1], shards)
             return message_batch(rows)
 
@@ -401,7 +403,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             s, past = State(b, right), State(b, right, BEFORE)
             total = np.zeros(len(b.key))
             for chain in range(CHAINS):
-                t, p = last.seat(b, past, chain, sweeps - 1), model.parent(s, chain)[b.w]  # the tables that the last sweep has reported
+                t, p = last.seat(b, past, chain, sweeps - 1, np.arange(len(b.key))), model.parent(s, chain)[b.w]  # the tables that the last sweep has reported
                 busy, guests = model.busy(s, chain)[b.u], s.follow[b.u]
                 total += np.where(guests > 0, (np.maximum(s.pair - model.d * t, 0) + (STRENGTH + model.d * busy) * p) / (STRENGTH + guests), p)
             logp = np.log10(total / CHAINS)[b.at]
