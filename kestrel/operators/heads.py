@@ -22,8 +22,6 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 from kestrel.functions.arrays import argmax_class, as_doubles, linear_scores, log_softmax
 from kestrel.functions.labels import verbalise
 
-MAX_MODEL_VALUES = 5_000_000   # heads x classes x (dims + 1) collected per epoch
-
 
 # --- weights as a DataFrame ---------------------------------------------------
 
@@ -42,8 +40,6 @@ def weights_arrays(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     heads = max(r["head"] for r in rows) + 1
     k = max(r["cls"] for r in rows) + 1
     d = len(rows[0]["w"])
-    if heads * k * (d + 1) > MAX_MODEL_VALUES:
-        raise ValueError("weight table too large to inline")
     w = np.zeros((heads, k, d))
     b = np.zeros((heads, k))
     for r in rows:
@@ -224,17 +220,6 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
 
 # --- scoring ----------------------------------------------------------------------
 
-INLINE_MAX_VALUES = 100_000   # larger heads travel as a broadcast variable, not in the closure
-
-
-def _shipped(spark, w: np.ndarray, b: np.ndarray):
-    """Weights as a value the tasks can read: the arrays themselves, or a broadcast."""
-    if w.size + b.size <= INLINE_MAX_VALUES:
-        return lambda: (w, b)
-    bc = spark.sparkContext.broadcast((w, b))
-    return lambda: bc.value
-
-
 def _place(ok: np.ndarray, rows) -> pd.Series:
     """Rows back at the non-null positions; null vectors give null."""
     if ok.all():
@@ -263,28 +248,22 @@ def head_scores(vec, w: np.ndarray, b: np.ndarray, head: int = 0, engine: str =
     """
     if engine == "native":
         return linear_scores(vec, w[head].tolist(), b[head].tolist())
-    from pyspark.sql import SparkSession
-    get = _shipped(SparkSession.getActiveSession(), w[head:head + 1], b[head:head + 1])
+    wh, bh = w[head], b[head]  # they travel with the function
 
     def scores(v: pd.Series) -> pd.Series:
-        ww, bb = get()
         ok, x = _vectors(v)
-        return _place(ok, x @ ww[0].T + bb[0] if ok.any() else [])
+        return _place(ok, x @ wh.T + bh if ok.any() else [])
 
     return F.pandas_udf(scores, ArrayType(DoubleType()))(as_doubles(vec))
 
 
 def head_predictions(vec, w: np.ndarray, b: np.ndarray) -> Column:
     """Arg-max class of every head (``array<int>``, first index wins ties) in one pass."""
-    from pyspark.sql import SparkSession
-    get = _shipped(SparkSession.getActiveSession(), w, b)
-
     def preds(v: pd.Series) -> pd.Series:
-        ww, bb = get()
         ok, x = _vectors(v)
         if not ok.any():
             return _place(ok, [])
-        p = np.stack([np.argmax(x @ ww[h].T + bb[h], axis=1) for h in range(ww.shape[0])], axis=1)
+        p = np.stack([np.argmax(x @ w[h].T + b[h], axis=1) for h in range(w.shape[0])], axis=1)
         return _place(ok, p.astype(np.int32))
 
     return F.pandas_udf(preds, ArrayType(IntegerType()))(as_doubles(vec))

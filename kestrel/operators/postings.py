@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 
 from kestrel.codebook import (CLS_TOKEN, DISPLAY_NAMES, LAYOUT_GROUPS, OFFLINE_FIELD_NAMES, POSTER_DROP,
                               SEP_TOKEN)
-from kestrel.functions.text import amount_number, br_to_space, salary_range, tokens
-
-MAX_DISCOVERED_LABELS = 10_000
-MAX_INLINE_VOCAB = 5_000
+from kestrel.functions.text import WHITESPACE, amount_number, br_to_space, salary_range, tokens
 
 
 def valid_posters(df: DataFrame, col: str = "user_id") -> DataFrame:
@@ -30,19 +27,25 @@ def dedup_last(entries) -> Column:
 
 
 def param_labels(df: DataFrame, col: str = "parameters") -> list[str]:
-    """Distinct parameter labels, found by one distributed distinct pass."""
-    labels = df.select(F.explode(F.col(col)["label"]).alias("l")).distinct()
-    rows = labels.limit(MAX_DISCOVERED_LABELS + 1).collect()
-    if len(rows) > MAX_DISCOVERED_LABELS:
-        raise ValueError("too many distinct parameter labels to widen into columns")
-    return sorted(r["l"] for r in rows if r["l"] is not None)
+    """Distinct parameter labels, found by one distributed distinct pass.
+
+    They become column names, so they belong to the schema; for an open set
+    of labels use ``params_map``.
+    """
+    labels = df.select(F.explode(F.col(col)["label"]).alias("l")).where("l is not null").distinct()
+    return sorted(r["l"] for r in labels.collect())
+
+
+def params_map(col: str = "parameters") -> Column:
+    """``[{label, value}]`` as a map, for any number of labels; the last duplicate wins."""
+    # an entry without a label names nothing
+    return F.map_from_entries(dedup_last(F.filter(F.col(col), lambda e: e["label"].isNotNull())))
 
 
 def params_to_columns(df: DataFrame, col: str = "parameters", labels: list[str] | None = None) -> DataFrame:
     """``[{label, value}]`` -> one column per label; the last duplicate wins."""
     labels = labels if labels is not None else param_labels(df, col)
-    # an entry without a label names no column
-    m = F.map_from_entries(dedup_last(F.filter(F.col(col), lambda e: e["label"].isNotNull())))
+    m = params_map(col)
     return df.select(*[c for c in df.columns if c != col],
                      *[F.element_at(m, F.lit(lab)).alias(lab) for lab in labels])
 
@@ -117,50 +120,21 @@ def vocab_topk(df: DataFrame, col: str, k: int, first_id: int = 2) -> DataFrame:
     return top.withColumn("id", (F.row_number().over(w) + first_id - 1).cast("int"))
 
 
-def _bucketed_lookup(vocab: DataFrame, max_rows: int, per_bucket: int = 16):
-    """Vocabulary as an array of small map literals indexed by a token hash.
-
-    A map literal is searched linearly, so one flat map of k entries costs k
-    comparisons per token; with ``k / per_bucket`` hash buckets a lookup
-    scans about ``per_bucket`` keys and stays inside generated code.
-    Returns None when the vocabulary has more than ``max_rows`` entries.
-    """
-    rows = vocab.select("token", "id", F.hash("token").alias("h")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    nb = max(1, len(rows) // per_bucket)
-    buckets: list[list] = [[] for _ in range(nb)]
-    for r in rows:
-        buckets[r["h"] % nb].append(r)   # Python's % matches Spark's pmod for nb > 0
-    maps = [F.create_map(*[x for r in bk for x in (F.lit(r["token"]), F.lit(r["id"]))])
-            if bk else F.create_map().cast("map<string,int>") for bk in buckets]
-    table = F.array(*maps)
-    return lambda t: F.element_at(F.element_at(table, F.pmod(F.hash(t), F.lit(nb)) + 1), t)
-
-
 def pad_tokens(df: DataFrame, col: str, vocab: DataFrame, length: int, key: str) -> DataFrame:
-    """Token ids truncated/padded to ``length`` plus the attention mask.
+    """Token ids truncated/padded to ``length`` plus the attention mask; ``key`` is unique.
 
-    The whole text is tokenised, then cut to ``length``. A vocabulary of at
-    most ``MAX_INLINE_VOCAB`` entries is inlined as hash-bucketed map
-    literals (no shuffle); a larger one is broadcast-joined to the first
-    ``length`` tokens of each row (per-row groups are bounded by ``length``).
+    Only the first ``length`` tokens are cut off the text. They are joined
+    with the vocabulary (AQE picks the side by its measured size) and put
+    back together per row, in groups of at most ``length``. Null and empty
+    texts are all padding.
     """
-    head = F.slice(tokens(col), 1, length)
-    lookup = _bucketed_lookup(vocab, MAX_INLINE_VOCAB)
-    if lookup is not None:
-        ids = F.transform(head, lambda t: F.coalesce(lookup(t), F.lit(1)))
-        base = df.select(key, ids.alias("_ids"))
-    else:
-        toks = df.select(key, F.posexplode(head).alias("_pos", "_tok"))
-        v = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
-        # the vocabulary has k rows (k is the caller's bound), so it is broadcast
-        looked = toks.join(F.broadcast(v), "_tok", "left")
-        base = looked.groupBy(key).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_vid", F.lit(1)).alias("i")))),
-                        lambda s: s["i"]).alias("_ids"))
-        base = df.select(key).join(base, key, "left") \
-                 .withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+    # one piece may be empty in front, one holds the rest of the text
+    head = F.slice(F.filter(F.split(F.col(col), WHITESPACE, length + 2), lambda t: t != ""), 1, length)
+    toks = df.select(key, F.posexplode_outer(head).alias("_pos", "_tok"))
+    known = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_vid", F.lit(1)).alias("i")))
+    base = toks.join(known, "_tok", "left").groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["i"]).alias("_ids"))
     pad = F.array_repeat(F.lit(0), F.lit(length) - F.size("_ids"))
     return base.select(key, F.concat("_ids", pad).alias("input_ids"),
                        F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))

@@ -37,15 +37,15 @@ def number_rows(df: DataFrame, order, partitions: int | None = None,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order_cols = _cols(order)
-    # as many ranges as input splits: partition sizes follow the data, not a fixed count
-    n = partitions or max(df.rdd.getNumPartitions(), 1)
-    ranged = (df.repartitionByRange(n, *order_cols)
+    # without a count, the session's shuffle partitions, which AQE merges by size
+    spread = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
+    ranged = (spread
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), 33)
     sizes = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per partition: an unpartitioned window here is bounded by n
+    # one row per partition: an unpartitioned window here is bounded by their number
     w = Window.orderBy("_pid")
     offsets = sizes.select(
         "_pid",

@@ -161,8 +161,8 @@ def responses(spark, sf_dir) -> DataFrame:
 # --- text pairs ----------------------------------------------------------
 
 def text_pairs(spark, sf_dir) -> DataFrame:
-    """Reference = whitespace tokens of a user turn; candidate = same without every 7th."""
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    """Reference = whitespace tokens of a turn; candidate = same without every 7th."""
+    c = table(spark, sf_dir, "conversations")
     toks = tokens("text")
     ref = c.select("conv_id", "turn", toks.alias("ref"))
     cand = F.filter(F.col("ref"), lambda x, i: (i + 1) % 7 != 0)

@@ -39,7 +39,7 @@ def stream_score_q(spark, sf):
     base = scratch_path(spark, f"stream-score-{uuid.uuid4().hex}")
     reqs = MS.to_messages(e.withColumn("cid", F.sha2(F.col("vec_id").cast("string"), 256)), "cid", {
         "id": F.col("vec_id").cast("string"), "data": F.to_json(as_doubles("embedding"))})
-    reqs.repartition(4).write.parquet(f"{base}/requests")
+    reqs.write.parquet(f"{base}/requests")
     # the model: class centroids (classes x dims values)
     w, b = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
     stream = MS.read_requests(spark, "parquet", {"maxFilesPerTrigger": "2"}, path=f"{base}/requests")
@@ -68,9 +68,9 @@ def stream_trigger_q(spark, sf):
         _await(stream_trigger(src, "o_orderkey", f"{base}/staging", f"{base}/ledger", f"{base}/ckpt", N, M))
 
     # first arrivals, one run; then the rest arrives and the stream restarts from its checkpoint
-    o.where(F.col("o_orderkey") <= split).repartition(3).write.mode("append").parquet(f"{base}/src")
+    o.where(F.col("o_orderkey") <= split).write.mode("append").parquet(f"{base}/src")
     run()
-    o.where(F.col("o_orderkey") > split).repartition(3).write.mode("append").parquet(f"{base}/src")
+    o.where(F.col("o_orderkey") > split).write.mode("append").parquet(f"{base}/src")
     run()
     return read_ledger(spark, f"{base}/ledger").select("trigger_id", "lo", "hi", "n", "kind")
 
@@ -82,8 +82,8 @@ WHERE answered_at >= sent_at AND answered_at <= sent_at + INTERVAL 1 HOUR""")
 def stream_correlate_q(spark, sf):
     base = scratch_path(spark, f"stream-correlate-{uuid.uuid4().hex}")
     req, resp = X.requests(spark, sf), X.responses(spark, sf)
-    req.repartition(4).write.parquet(f"{base}/req")
-    resp.repartition(4).write.parquet(f"{base}/resp")
+    req.write.parquet(f"{base}/req")
+    resp.write.parquet(f"{base}/resp")
     rs = spark.readStream.schema(req.schema).parquet(f"{base}/req")
     ss = spark.readStream.schema(resp.schema).parquet(f"{base}/resp")
     j = stream_correlate(rs, ss, max_wait="1 hour").select("correlation_id", "config", "latency")
@@ -161,7 +161,7 @@ def stream_score_champion_q(spark, sf):
                       f"{base}/store", "cls")
     reqs = MS.to_messages(e.withColumn("cid", F.sha2(F.col("vec_id").cast("string"), 256)), "cid", {
         "id": F.col("vec_id").cast("string"), "data": F.to_json(as_doubles("embedding"))})
-    reqs.repartition(4).write.parquet(f"{base}/requests")
+    reqs.write.parquet(f"{base}/requests")
     stream = MS.read_requests(spark, "parquet", {"maxFilesPerTrigger": "2"}, path=f"{base}/requests")
     q = (stream.writeStream.foreachBatch(champion_scorer(f"{base}/registry", f"{base}/store", f"{base}/out",
                                                          aspect_scores=lambda v: F.slice(v, 1, 16)))

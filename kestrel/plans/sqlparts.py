@@ -72,7 +72,7 @@ PAIRS = """pairs AS (
          list_filter(ref, lambda x, i: i % 7 <> 0) AS cand
   FROM (SELECT conv_id, turn,
                list_filter(regexp_split_to_array(text, '""" + r"""[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+""" + """'), lambda x: x <> '') AS ref
-        FROM conversations WHERE role = 'user'))"""
+        FROM conversations))"""
 
 # ordered stream: orders numbered by key
 ORD = """ord AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn,

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+# one process: a local-cluster has executors of its own
+LOCAL = re.compile(r"local(\[.*\])?$")
+
 # Settings every kestrel job relies on. AQE re-plans joins and coalesces
 # small shuffles at run time; UTC keeps timestamp arithmetic engine-neutral.
 DEFAULT_CONF = {
@@ -58,7 +62,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     d = checkpoint_dir(spark)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not LOCAL.match(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="kestrel-ckpt-", dir=os.environ.get("KESTREL_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(d)

@@ -83,13 +83,19 @@ def test_vocab_and_padding(spark):
     assert out[1] == ([2, 1, 2, 1], [1, 1, 1, 1])
     assert out[2] == ([1, 2, 3, 3], [1, 1, 1, 1])
     assert out[3] == ([0, 0, 0, 0], [0, 0, 0, 0])
-    P.MAX_INLINE_VOCAB, old = 0, P.MAX_INLINE_VOCAB
-    try:
-        joined = {r["id"]: (r["input_ids"], r["attention_mask"])
-                  for r in P.pad_tokens(df, "text", vocab, 4, "id").collect()}
-    finally:
-        P.MAX_INLINE_VOCAB = old
-    assert joined == out
+
+
+def test_padding_of_odd_texts(spark):
+    df = spark.createDataFrame([(1, " \t a\u00a0b  a d c "), (2, None), (3, " \n"), (4, "a " * 5000)], "id int, text string")
+    vocab = spark.createDataFrame([("a", 2), ("d", 3)], "token string, id int")
+    out = {r["id"]: (r["input_ids"], r["attention_mask"]) for r in P.pad_tokens(df, "text", vocab, 3, "id").collect()}
+    assert out == {1: ([2, 1, 2], [1, 1, 1]), 2: ([0] * 3, [0] * 3), 3: ([0] * 3, [0] * 3), 4: ([2] * 3, [1] * 3)}
+
+
+def test_parameters_as_a_map(spark):
+    df = spark.createDataFrame([([("a", "1"), ("b", "2"), ("a", "3"), (None, "4")],), ([],), (None,)],
+                               "parameters array<struct<label:string,value:string>>")
+    assert [r["m"] for r in df.select(P.params_map().alias("m")).collect()] == [{"b": "2", "a": "3"}, {}, None]
 
 
 def test_labels_and_verbalise(spark):
