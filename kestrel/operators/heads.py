@@ -6,8 +6,8 @@ which each partition computes its gradient with numpy inside
 ``groupBy`` sums them (the shuffle carries partitions x model-size rows),
 the driver takes the summed gradient (model-size, independent of data) and
 updates the weights, which the next pass ships in the task closure.
-Warm starts take any earlier weights. Scoring inlines the weights as
-literal arrays, so it is a plain projection inside generated code.
+Warm starts take any earlier weights. Scoring is an Arrow-batched function
+with one matrix product per batch; the weights travel with it.
 """
 
 from __future__ import annotations

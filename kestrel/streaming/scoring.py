@@ -1,7 +1,7 @@
 """Streaming scoring (R1, S1, S2): request messages in, keyed JSON responses out.
 
-One stateless plan: parse the message, score with the head inlined as
-literals, format the response. No ``collect`` per micro-batch; the sink is
+One stateless plan: parse the message, score with the head in an
+Arrow-batched function, format the response. No ``collect`` per micro-batch; the sink is
 any streaming format (Kafka when its connector is present, files otherwise).
 """
 
