@@ -96,8 +96,11 @@ class Codec:
     def chunk_ids(self, chunk: str) -> bytes:
         got = self.memory.get(chunk)
         if got is None:
-            if len(chunk) > 2 and chunk[-2:] not in self.pairs:  # no piece crosses there
-                got = self.chunk_ids(chunk[:-1]) + self.chunk_ids(chunk[-1])
+            end = len(chunk)
+            while end > 2 and chunk[end - 2:end] not in self.pairs:  # no piece crosses there
+                end -= 1
+            if end < len(chunk):
+                got = b"".join([self.chunk_ids(chunk[:end]), *map(self.chunk_ids, chunk[end:])])
             else:
                 got = np.array(self.viterbi(chunk), np.int32).tobytes()
             if len(self.memory) >= REMEMBERED:

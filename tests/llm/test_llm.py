@@ -367,6 +367,14 @@ def test_round_trip(spark, docs, odd, none, codec):
     assert codec.decode(codec.encode("▁ a▁ ▁").tolist()) == "▁ a▁ ▁"
 
 
+@pytest.mark.parametrize("text", ["1" * 100_000, "0" * 1200, "\u6f22" * 100_000, "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(100_000)), "\u65e5\u672c\u8a9e\u306e\u6587" * 20_000, "word " * 3 + "\u6f22" * 2000 + " end"])
+def test_long_stretches_without_known_pairs(codec, text):
+    ids = codec.encode(text).tolist()
+    assert codec.decode(ids) == text
+    if " " not in text:  # the whole chunk in one Viterbi run
+        assert ids == codec.viterbi(pieces.MARK + text)
+
+
 # 8 MaxScore
 
 
