@@ -85,7 +85,7 @@ from merged
 
 def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that lose sentences."""
-    cut = spans.remove_repeats(table(spark, sf_dir, "documents")).where(F.size("removed") > 0)
+    cut = spans.remove_repeats(table(spark, sf_dir, "documents"), span=None).where(F.size("removed") > 0)
     return cut.select("doc_id", "n_sentences", "removed", "first_docs", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

@@ -332,6 +332,52 @@ def test_spans_odd_rows(odd, none):
     assert spans.remove_repeats(none).count() == 0
 
 
+def brute_runs(rows, least):
+    """Per text the sentences of its stretches with ``least`` words that stand before them, as a stretch of sentences, too."""
+    parts = [[s.lower().split() for s in spans.sentences(t.encode()) if s.split()] for t in rows]
+    gone, seen = [], set()
+    for own in parts:
+        out, new = set(), set()
+        for p in range(len(own)):
+            for q in range(p + 1, len(own) + 1):
+                run = tuple(b" ".join(x) for x in own[p:q])
+                if sum(map(len, own[p:q])) >= least:
+                    if run in seen or run in new:
+                        out.update(range(p, q))
+                    new.add(run)
+        seen |= new
+        gone.append(sorted(out))
+    return gone
+
+
+PASSAGES = {
+    "one": ["".join(f"long{i} " for i in range(60)) + "stops. "],
+    "two": ["".join(f"first{i} " for i in range(9)) + "stops. ", "".join(f"second{i} " for i in range(50)) + "ends. "],
+    "list": [f"item number {i}\n" for i in range(40)],
+    "tail": ["".join(f"begin{i} " for i in range(20)) + "here. ", "Then little. ", "And less. "],
+}
+
+
+@pytest.mark.parametrize("name", PASSAGES)
+def test_passages_of_any_number_of_sentences_are_found(spark, tmp_path, name):
+    passage = PASSAGES[name]
+    texts = ["".join(passage)] * 2 + ["".join(["Own lead of this text.\n", *passage, f"Own end of text {i}."]) for i in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op6_span_dedup(spark, str(tmp_path)).collect()}
+    n = len(passage)
+    assert got[1] == list(range(n)) and set(range(1, n + 1)) <= set(got[2]) and set(range(1, n + 1)) <= set(got[3]) and 0 not in got
+
+
+def test_every_repeated_stretch_is_removed_whole(spark):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"w{rng.integers(5)}" for _ in range(rng.choice([1, 2, 3, 5, 14]))) + ".\n" for _ in range(25)]
+    texts = ["".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 14))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in spans.remove_repeats(df, span=None).collect()}
+    want = brute_runs(texts, spans.MIN_WORDS)
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 100
+
+
 # 7 pieces
 
 
