@@ -514,6 +514,27 @@ def test_toxicity_odd_rows(odd, none, labels):
     assert toxicity.score(none, labels).count() == 0
 
 
+def test_toxicity_counts_all_labelled_rows_and_votes(spark, monkeypatch):
+    """A toxic word in few of many labelled rows is a voter, and the label model reads every training row."""
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    monkeypatch.setattr(toxicity, "LABELLED", 100, raising=False)
+    text = {i: ("idiots " * 3 + "zorgle rest") if i % 50 == 0 else "calm words about rivers" for i in range(4000)}
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 50 == 0)) for i in text], "doc_id long, quality int, toxic int")
+    train = [i for i in text if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert (1, "zorgle") in toxicity.lexicon(docs, labels)
+    seen = []
+    rule = toxicity.label_rule
+    monkeypatch.setattr(toxicity, "label_rule", lambda total, both, sums: (seen.append((total, both)), rule(total, both, sums))[1])
+    words, weights, b = toxicity.fit(docs, labels)
+    voters = toxicity.Voters(words)
+    fired = toxicity.matrix([voters(text[i]) for i in train], voters.size).astype(float)
+    assert seen[0][0] == len(train) and (seen[0][1] == fired.T @ fired).all()
+    monkeypatch.setattr(toxicity, "LOCAL", 0)
+    _, again, c = toxicity.fit(docs, labels)
+    assert np.allclose(weights, again, atol=1e-6) and b == pytest.approx(c, abs=1e-6)
+
+
 # pipeline and queries
 
 
