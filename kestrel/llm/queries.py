@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.llm import decontam, langid, linededup, maxscore, pieces, pitmanyor, revisit, simhash, spans, toxicity
+from kestrel.llm import (
+    collocations, decontam, langid, linededup, maxscore, pieces, pitmanyor, quality, revisit, simhash, spans, toxicity, whitening)
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -120,6 +121,79 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, table(spark, sf_dir, "labels"), keep=("doc_id", "held_out"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\v\f\r]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^ \t]+') as w from p),
+g as (
+  select lang, 1 as size, unnest(w) as phrase from w
+  union all select lang, 2, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda x: x[1] || ' ' || x[2])) from w where len(w) >= 2
+  union all select lang, 3, unnest(list_transform(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:]), lambda x: x[1] || ' ' || x[2] || ' ' || x[3])) from w where len(w) >= 3),
+f as (select lang, size, phrase, count(*) as f from g group by all),
+t as (select lang, sum(f)::bigint as n from f where size = 1 group by lang),
+c as (select *, string_split(phrase, ' ') as w from f where size > 1 and f >= 10),
+long as (
+  select lang, phrase, max(f) as f from (
+    select lang, w[1] || ' ' || w[2] as phrase, f from c where size = 3 union all select lang, w[2] || ' ' || w[3], f from c where size = 3) group by all),
+k as (
+  select c.lang, c.phrase, c.f as a, unnest(case when size = 2 then [{'k': 1, 'x': w[1], 'y': w[2]}] else [{'k': 1, 'x': w[1], 'y': w[2] || ' ' || w[3]}, {'k': 2, 'x': w[1] || ' ' || w[2], 'y': w[3]}] end, recursive := true)
+  from c left join long using (lang, phrase) where long.f is null or 100 * long.f < 50 * c.f),
+s as (
+  select k.lang, k.phrase, k.a, k.k, l.f as l, r.f as r, ((1000000::hugeint * k.a * k.a) // (l.f::hugeint * r.f))::bigint as score
+  from k join f l on l.lang = k.lang and l.phrase = k.x join f r on r.lang = k.lang and r.phrase = k.y),
+o as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o join t using (lang)
+qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("level", "failed")
+
+
+OP12_SQL = r"""
+with d as (select doc_id, lang, source, row_number() over () as i, coalesce(text, '') as t from documents),
+m as (
+  select *, regexp_extract_all(t, '[^ \t\n\v\f\r]+') as w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\v\f\r]')) as l from d),
+g as (select i, unnest(range(1, len(w) - 1)) as p, unnest(list_zip(w[1:len(w) - 2], w[2:len(w) - 1], w[3:])) as x from m where len(w) >= 3),
+r as (select i, p, count(*) over (partition by i, x) as k from g),
+s as (select i, sum(least(3, coalesce(q - p, 3))) as n from (select i, p, lead(p) over (partition by i order by p) as q from r where k > 1) group by i),
+c as (
+  select doc_id, lang, source, m.i, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+    len(l)::bigint as n_lines, (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(s.n, 0)::bigint as n_repeat_words from m left join s using (i)),
+b as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    case when word_chars > 0 then 1000 * n_symbols // word_chars else 0 end as symbol_rate, case when n_lines > 0 then 1000 * n_dup_lines // n_lines else 0 end as dup_line_rate,
+    case when n_words > 0 then 1000 * n_repeat_words // n_words else 0 end as repeat_rate, case when n_words > 0 then 1000 * word_chars // n_words else 0 end as word_length from c),
+v as (
+  select i, lang, source, unnest([{'rate': 'symbol_rate', 'v': symbol_rate, 'least': 25, 'low': false}, {'rate': 'dup_line_rate', 'v': dup_line_rate, 'least': 100, 'low': false},
+    {'rate': 'repeat_rate', 'v': repeat_rate, 'least': 100, 'low': false}, {'rate': 'word_length', 'v': word_length, 'least': 500, 'low': true}], recursive := true) from b where not base_failed),
+k as (select lang, source, rate, least, low, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) as bucket from v),
+lv as (select lang, source, 2 as level, * exclude (lang, source) from k union all select lang, null, 1, * exclude (lang, source) from k union all select null, null, 0, * exclude (lang, source) from k),
+h as (select lang, source, level, rate, least, low, bucket, count(*) as n from lv group by all),
+u as (select *, sum(n) over (partition by lang, source, level, rate) as total, sum(n) over (partition by lang, source, level, rate order by bucket) as seen from h),
+q as (
+  select lang, source, level, rate, least, low, max(total) as total, min(bucket) filter (100 * seen >= 10 * total) as lo,
+    min(bucket) filter (100 * seen >= 50 * total) as mid, min(bucket) filter (100 * seen >= 90 * total) as hi from u group by all),
+f as (select lang, source, level, rate, hi + 3 * greatest(hi - mid, least) as hi, case when low then lo - 3 * greatest(mid - lo, least) else -1 end as lo from q where total >= 100),
+e as (
+  select v.i, v.rate, v.v, f.lo, f.hi, f.level, row_number() over (partition by v.i, v.rate order by f.level desc) as o from (
+    select i, lang, source, unnest([{'rate': 'symbol_rate', 'v': symbol_rate}, {'rate': 'dup_line_rate', 'v': dup_line_rate}, {'rate': 'repeat_rate', 'v': repeat_rate}, {'rate': 'word_length', 'v': word_length}], recursive := true) from b) v
+  join f on f.rate = v.rate and (f.level = 0 or f.lang is not distinct from v.lang and (f.level = 1 or f.source is not distinct from v.source))),
+z as (select i, max(level) as level, bool_or(v > hi or v < lo) as failed from e where o = 1 group by i)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, symbol_rate, dup_line_rate, repeat_rate, word_length, base_failed,
+  not base_failed and not coalesce(failed, false) as kept from b left join z using (i)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = r"""
 with l as (
   select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no, unnest(string_split(text, chr(10))) as line from documents),
@@ -148,5 +222,5 @@ from s join c on s.line = c.line left join g on g.c = c.c where len(s.ws) > 0
 
 QUERIES = {f.__name__: f for f in (
     op1_pitman_yor, op2_line_dedup, op3_language_id, op4_simhash, op5_revisits, op6_span_dedup,
-    op7_sentencepiece, op8_maxscore, op9_decontamination, op10_toxicity)}
-SQL = {"op2_line_dedup": OP2_SQL, "op5_revisits": OP5_SQL, "op8_maxscore": OP8_SQL}
+    op7_sentencepiece, op8_maxscore, op9_decontamination, op10_toxicity, op11_collocations, op12_quality_rules, op13_whitening)}
+SQL = {"op2_line_dedup": OP2_SQL, "op5_revisits": OP5_SQL, "op8_maxscore": OP8_SQL, "op11_collocations": OP11_SQL, "op12_quality_rules": OP12_SQL}

@@ -578,5 +578,5 @@ def test_sql(spark, name):
 def test_every_operator_is_registered(spark):
     import __spark_entry__
     own = [q for q in __spark_entry__.queries() if q.startswith("op")]
-    assert sorted(int(q[2:].split("_")[0]) for q in own) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert sorted(int(q[2:].split("_")[0]) for q in own) == list(range(1, 14)) and "pipeline" in __spark_entry__.queries()
     assert queries.op9_decontamination(spark, SF).select(F.col("doc_id")).schema[0].dataType.simpleString() == "bigint"
