@@ -7,14 +7,18 @@ since no phrase with one can be frequent. Over what is left a shard builds a
 bidirectional FM-index: suffixes of the text and of its reverse, sorted as
 deep as phrases go, with their BWTs. Intervals of phrases are extended to the
 right in the reverse BWT and to the left in the forward one, which lists every
-phrase up to the depth with its count. Spark adds these up over all shards.
+phrase up to the depth with its count. Spark adds these up over all shards, a
+length at a time: longer phrases are only looked for where their first and
+their last words are frequent together, which a bit table of fixed size tells
+without missing any. If it fills up, more rows are summed, with the same result.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -25,10 +29,12 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import slices, stored
 
 #: words of a shard; a shard ends at the next end of a piece
-SHARD = 2_000_000
+SHARD = 1 << 20
 #: ends of pieces as one byte that UTF-8 never has; A-Z in lower case; a tab is a space
 BREAK = b"\xff"
 TABLE = bytes(BREAK[0] if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: bits of the table of frequent phrases (a prime), and the numbers of its hash
+BITS, FACTOR, FOLD = 67_108_859, 1_000_003, 2_147_483_647
 
 
 class Index:
@@ -48,7 +54,7 @@ class Index:
             key = key * self.base
             key[:size - i] += text[i:]
             bound *= self.base
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         del key
         self.bwt = text[order - 1]
         self.size = size
@@ -70,24 +76,33 @@ class Index:
         return of, number, np.searchsorted(self.seen, number * self.size + low[of]), n, before
 
 
-def phrases(text: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def phrases(text: np.ndarray, depth: int, frequent: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Phrases of 2, 3, ... ``depth`` numbers with their counts, a length at a time.
 
     Extends to the right and to the left in turn, with both intervals kept
-    in step, so each length costs one pass over the rows of the last.
+    in step, so each length costs one pass over the rows of the last. Phrases
+    that ``frequent`` rules out are not extended, nor longer ones with such a
+    phrase at either end given out.
     """
-    forward, backward = Index(text, depth), Index(text[::-1], depth)
-    words = np.flatnonzero(np.diff(forward.start)[1:]) + 1
+    backward = Index(text[::-1], depth)
+    forward = Index(text, depth) if depth > 2 else backward  # both start a number's suffixes at the same row
+    words = np.flatnonzero(np.diff(backward.start)[1:]) + 1
     found = words[:, None]
-    lows, n = [forward.start[words], backward.start[words]], forward.start[words + 1] - forward.start[words]
+    lows, n = [forward.start[words], backward.start[words]], backward.start[words + 1] - backward.start[words]
     for size in range(2, depth + 1):
         right = size % 2 == 0
-        index = backward if right else forward
-        of, number, low, n, before = index.extend(lows[right], n)
-        other = lows[not right][of] + before
-        lows = [other, low] if right else [low, other]
+        of, number, low, n, before = (backward if right else forward).extend(lows[right], n)
         pair = (found[of], number[:, None])
         found = np.hstack(pair if right else pair[::-1])
+        other = lows[not right][of] + before
+        lows = [other, low] if right else [low, other]
+        if frequent is not None:
+            keep = np.ones(len(n), bool)
+            if size > 2:
+                keep = frequent(found[:, :-1]) & frequent(found[:, 1:])
+            if size < depth:
+                keep &= frequent(found)
+            found, lows, n = found[keep], [x[keep] for x in lows], n[keep]
         yield found, n
 
 
@@ -144,16 +159,21 @@ def dictionary(parts: DataFrame, least: int) -> DataFrame:
     return words.withColumn("id", F.monotonically_increasing_id())
 
 
-def shard_phrases(parts: DataFrame, words: DataFrame, depth: int) -> DataFrame:
-    """Every shard's phrases of 2 to ``depth`` dictionary words: w1, w2, ... (ids, -1 beyond the phrase), n."""
+def known_words(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """Shards with the numbers and ids of their dictionary words: text, known."""
     own = parts.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
     own = own.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))  # at most the words of a shard
-    names = [f"w{i + 1}" for i in range(depth)]
+    return parts.select("shard", "text").join(own, "shard").select("text", "known")
+
+
+def shard_phrases(known: DataFrame, size: int, tables: dict[int, bytes]) -> DataFrame:
+    """Every shard's phrases of ``size`` dictionary words: w1, w2, ... (ids), n; ``tables`` are those of ``bit_table`` by length."""
+    names = [f"w{i + 1}" for i in range(size)]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            known = b.column(1)[0].values
-            at, ids = np.asarray(known.field(0)) + 1, np.asarray(known.field(1))
+            pairs = b.column(1)[0].values
+            at, ids = np.asarray(pairs.field(0)) + 1, np.asarray(pairs.field(1))
             text = np.frombuffer(b.column(0)[0].as_py(), np.int32)
             code, order = np.zeros(max(int(text.max()), int(at.max())) + 1, np.int32), np.argsort(at)
             code[at[order]] = np.arange(1, len(at) + 1)
@@ -162,14 +182,37 @@ def shard_phrases(parts: DataFrame, words: DataFrame, depth: int) -> DataFrame:
             kept[1:] = (text[1:] > 0) | (text[:-1] > 0)
             text = np.concatenate([[0], text[kept], [0]]).astype(np.int32)
             table = np.concatenate([[-1], ids[order]])
-            for found, n in phrases(text, depth):
+
+            def frequent(found, table=table):
+                bits = tables.get(found.shape[1])
+                if bits is None:
+                    return np.ones(len(found), bool)
+                h = np.zeros(len(found), np.int64)
+                for j in range(found.shape[1]):
+                    h = (h * FACTOR + (table % FOLD)[found[:, j]]) % BITS
+                return np.frombuffer(bits, np.uint8)[h >> 3] >> (h & 7).astype(np.uint8) & 1 > 0
+
+            for found, n in phrases(text, size, frequent):
+                if found.shape[1] < size:
+                    continue
                 for i in range(0, len(n), 1 << 16):
                     part = table[found[i:i + (1 << 16)]]
-                    columns = [part[:, j] if j < part.shape[1] else np.full(len(part), -1) for j in range(depth)]
-                    yield pa.record_batch([pa.array(c) for c in columns] + [pa.array(n[i:i + (1 << 16)])], names=[*names, "n"])
+                    yield pa.record_batch([pa.array(part[:, j]) for j in range(size)] + [pa.array(n[i:i + (1 << 16)])], names=[*names, "n"])
+
+    return known.mapInArrow(search, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+
 
-    both = parts.select("shard", "text").join(own, "shard").select("text", "known")
-    return both.mapInArrow(search, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+def bit_table(counts: DataFrame, size: int) -> bytes:
+    """A bit for the hash of every phrase of ``counts``: ``BITS`` bits, however many phrases there are."""
+    h = F.lit(0).cast("long")
+    for i in range(size):
+        h = F.pmod(h * FACTOR + F.pmod(F.col(f"w{i + 1}"), F.lit(FOLD)), F.lit(BITS))
+    at = h + 1  # buckets and positions of the bitmap functions count from 1
+    bits = bytearray(BITS // 8 + (1 << 12))
+    rows = counts.select(at.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("m"))
+    for r in rows.collect():  # a row for 32768 bits
+        bits[(r["b"] - 1) << 12:((r["b"] - 1) << 12) + len(r["m"])] = r["m"]
+    return bytes(bits)
 
 
 def collocations(docs: DataFrame, lang: str = "lang", depth: int = 3, least: int = 10, cover: int = 50, top: int = 2000, size: int = SHARD) -> DataFrame:
@@ -187,8 +230,15 @@ def collocations(docs: DataFrame, lang: str = "lang", depth: int = 3, least: int
     words = stored(dictionary(parts, least), "colloc-words")
     totals = parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     names = [f"w{i + 1}" for i in range(depth)]
-    counts = shard_phrases(parts, words, depth).groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    counts = stored(counts, "colloc-counts")
+    known = stored(known_words(parts, words), "colloc-known")
+    counts, tables = [], {}
+    for m in range(2, depth + 1):
+        ids = [f"w{i + 1}" for i in range(m)]
+        found = shard_phrases(known, m, tables).groupBy(*ids).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        counts.append(stored(found, "colloc-counts").select(*[F.col(c) if c in ids else F.lit(-1).cast("long").alias(c) for c in names], "f"))
+        if m < depth:
+            tables[m] = bit_table(counts[-1], m)
+    counts = reduce(DataFrame.union, counts)
     return ranked(counts, words, totals, names, cover, top)
 
 
@@ -197,14 +247,14 @@ def ranked(counts: DataFrame, words: DataFrame, totals: DataFrame, names: list[s
     depth, spark = len(names), counts.sparkSession
     length = sum(((F.col(c) >= 0).cast("int") for c in names[1:]), F.lit(1))
     counts = counts.withColumn("size", length)
-    # the longest-lived of the phrases around each phrase
+    # phrases inside a longer one
     spans = [F.struct(*[F.col(names[i + j]).alias(names[j]) if j < k else F.lit(-1).cast("long").alias(names[j]) for j in range(depth)], F.lit(i + k).alias("stop"))
              for k in range(2, depth) for i in range(depth - k + 1)]
     rows = counts
     if spans:
         inside = counts.where(F.col("size") > 2).select("f", "size", F.explode(F.array(*spans)).alias("s"))
         inside = inside.where((F.col("s.stop") <= F.col("size")) & (F.col(f"s.{names[1]}") >= 0)).select(*[f"s.{c}" for c in names], "f", "size")
-        # a phrase is not around itself
+        # a phrase does not cover itself
         inside = inside.where(sum(((F.col(c) >= 0).cast("int") for c in names[1:]), F.lit(1)) < F.col("size"))
         inside = inside.groupBy(*names).agg(F.max("f").alias("longer"))
         rows = rows.join(inside, names, "left").where(F.col("longer").isNull() | (100 * F.col("longer") < cover * F.col("f"))).drop("longer")
@@ -223,10 +273,7 @@ def ranked(counts: DataFrame, words: DataFrame, totals: DataFrame, names: list[s
                          F.lit(k).alias("k"), F.col(f"g0_{k}").alias("l"), F.col(f"g{k}_{size}").alias("r")) for k in range(1, size)]
         best = F.array_min(F.array(*cuts))  # the lowest score, then the first cut
         parts.append(part.select("lang", F.concat_ws(" ", *[f"t{i}" for i in range(size)]).alias("phrase"), F.col("f").alias("a"), best.alias("c")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.union(part)
-    rows = rows.select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
+    rows = reduce(DataFrame.union, parts).select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"), F.col("c.score").alias("score"))
     # the best of every part of a language first, so that no task sorts all of it
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
