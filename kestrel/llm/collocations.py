@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices, stored
+from kestrel.llm.common import discard, slices, stored
 
 #: words of a shard; a shard ends at the next end of a piece
-SHARD = 1 << 20
+SHARD = 3 << 18
 #: ends of pieces as one byte that UTF-8 never has; A-Z in lower case; a tab is a space
 BREAK = b"\xff"
 TABLE = bytes(BREAK[0] if b in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -54,21 +54,30 @@ class Index:
             key = key * self.base
             key[:size - i] += text[i:]
             bound *= self.base
-        order = np.argsort(key, kind="stable").astype(np.int32)
+        order = np.argsort(key).astype(np.int32)
         del key
         self.bwt = text[order - 1]
         self.size = size
         # rows by (number before the suffix, row): where a number's suffixes start, and its ranks
         self.start = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.base))])
-        self.seen = np.sort(self.bwt.astype(np.int64) * size + np.arange(size))
+        del order
+        self.seen = self.bwt.astype(np.int64)
+        self.seen *= size
+        self.seen += np.arange(size, dtype=np.int32)
+        self.seen.sort()
 
     def extend(self, low: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
         """All extensions of intervals to the left: (interval, number, its rows' start, rows, rows of smaller numbers)."""
-        which = np.repeat(np.arange(len(low)), length)
         first = np.cumsum(length) - length
-        rows = np.arange(len(which)) - first[which] + low[which]
-        key, n = np.unique(which * self.base + self.bwt[rows], return_counts=True)
-        of, number = key // self.base, key % self.base
+        key = np.arange(int(length.sum()), dtype=np.int64)
+        key += np.repeat(low - first, length)  # the intervals' rows
+        key = self.bwt[key].astype(np.int64)
+        key += np.repeat(np.arange(len(low)) * self.base, length)
+        key.sort()
+        ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(ends, prepend=-1)
+        of, number = key[ends] // self.base, key[ends] % self.base
+        del key, ends
         before = np.cumsum(n) - n
         before -= first[of]  # rows of the interval with a smaller number
         keep = number > 0
@@ -229,8 +238,10 @@ def collocations(docs: DataFrame, lang: str = "lang", depth: int = 3, least: int
     parts = stored(shards(docs, lang, size), "colloc-shards")
     words = stored(dictionary(parts, least), "colloc-words")
     totals = parts.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    totals = stored(totals, "colloc-totals")
     names = [f"w{i + 1}" for i in range(depth)]
     known = stored(known_words(parts, words), "colloc-known")
+    discard(parts)
     counts, tables = [], {}
     for m in range(2, depth + 1):
         ids = [f"w{i + 1}" for i in range(m)]
@@ -238,6 +249,7 @@ def collocations(docs: DataFrame, lang: str = "lang", depth: int = 3, least: int
         counts.append(stored(found, "colloc-counts").select(*[F.col(c) if c in ids else F.lit(-1).cast("long").alias(c) for c in names], "f"))
         if m < depth:
             tables[m] = bit_table(counts[-1], m)
+    discard(known)
     counts = reduce(DataFrame.union, counts)
     return ranked(counts, words, totals, names, cover, top)
 

@@ -1,5 +1,6 @@
 """Phrase collocations, adaptive quality rules and whitening, against plain brute force."""
 
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kestrel.llm import collocations, quality, whitening
+from kestrel.llm import collocations, common, quality, whitening
 
 SCHEMA = "doc_id long, text string, lang string, source string, f long, n long, size int, shard string, word string, k_0 int, bare string, kept int, failed int, level int, x int"
 EXTRA = (1, 2, 3, "s", "w", 4, "b", 5, 6, 7, 8)
@@ -247,3 +248,11 @@ def test_whitening_leaves_out_what_is_no_vector(spark):
     got = whitening.whiten(df, keep=("vec_id", "n")).toPandas()
     assert got.columns.tolist()[:2] == ["vec_id", "n_"] and Counter(got["vec_id"].fillna(-1)) == {1: 2, 8: 4, -1: 2} and set(got["n"]) == {3}
     assert whitening.whiten(df.limit(0)).count() == 0
+
+
+def test_stored_tables_can_be_discarded(spark):
+    a, b = common.stored(spark.range(5), "a"), common.stored(spark.range(5), "b")
+    path = a.inputFiles()[0].removeprefix("file://")
+    common.discard(a)
+    common.discard(common.stored(spark.range(0), "none"))
+    assert not os.path.exists(path) and b.count() == 5
