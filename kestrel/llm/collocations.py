@@ -172,6 +172,7 @@ def known_words(parts: DataFrame, words: DataFrame) -> DataFrame:
     """Shards with the numbers and ids of their dictionary words: text, known."""
     own = parts.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
     own = own.groupBy("shard").agg(F.collect_list(F.struct("at", "id")).alias("known"))  # at most the words of a shard
+    own = stored(own, "colloc-ids")  # the shuffles of the words end before that of the texts
     return parts.select("shard", "text").join(own, "shard").select("text", "known")
 
 
