@@ -14,6 +14,8 @@ ASPECT_CLASS_NAMES = ["neutral", "positive", "negative", "not_mentioned"]
 # the four aspects, in column order
 ASPECTS = ["title", "desc", "company", "other"]
 ASPECT_COLUMNS = ["title_aspect", "desc_aspect", "company_aspect", "other_aspect"]
+# columns of the aspect task's output
+ASPECT_OUTPUTS = ["predicted_title", "predicted_desc", "predicted_comp", "predicted_other"]
 
 # Vietnamese decode maps used when verbalising predictions
 LABEL_NAMES_VI = {0: "rõ ràng", 1: "cảnh báo", 2: "có yếu tố thu hút"}

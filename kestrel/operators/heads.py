@@ -1,17 +1,21 @@
 """Trainable linear heads over given vectors, batch scoring and the cascade.
 
-Training is distributed softmax regression: every epoch is one pass in
-which each partition computes its gradient with numpy inside
-``mapInPandas`` and emits it as ``(head, index, value)`` rows; a
-``groupBy`` sums them (the shuffle carries partitions x model-size rows),
-the driver takes the summed gradient (model-size, independent of data) and
-updates the weights, which the next pass ships in the task closure.
-Warm starts take any earlier weights. Scoring is an Arrow-batched function
-with one matrix product per batch; the weights travel with it.
+Training is distributed softmax regression: for every step each partition
+computes its gradient with numpy inside ``mapInPandas`` and emits it as
+``(head, index, value)`` rows; a ``groupBy`` sums them (the shuffle carries
+partitions x model-size rows), the driver takes the summed gradient
+(model-size, independent of data) and updates the weights, which the next
+step ships in the task closure. A step is all rows (gradient descent) or one
+numbered mini-batch (Adam), so the partitioning never changes the model.
+Warm starts take any earlier weights. Rows that cannot train are left out and
+counted (:func:`left_out`). Scoring is an Arrow-batched function with one
+matrix product per batch; the weights travel with it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -19,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
+from kestrel.codebook import ASPECT_OUTPUTS
 from kestrel.functions.arrays import argmax_class, as_doubles, linear_scores, log_softmax
 from kestrel.functions.labels import verbalise
 
@@ -48,173 +53,227 @@ def weights_arrays(weights: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return w, b
 
 
-def centroid_weights(df: DataFrame, vec: str, label: str) -> DataFrame:
+def _labels(label: str, n_classes: int | None, multi: bool) -> Column:
+    """One code per head; null where a head has no label or no class of that code."""
+    fine = lambda y: F.when((y >= 0) & (F.lit(True) if n_classes is None else y < n_classes), y)
+    y = F.col(label)
+    return F.transform(y.cast("array<int>"), fine) if multi else F.array(fine(y.cast("int")))
+
+
+def _finite(vec: str) -> Column:
+    x = as_doubles(vec)
+    return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+
+
+def dimensions(df: DataFrame, vec: str) -> int | None:
+    """The commonest length of the usable vectors (of equally common ones the longest)."""
+    r = df.where(_finite(vec)).groupBy(F.size(vec).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    return r["d"] if r else None
+
+
+def training_rows(df: DataFrame, vec: str, label: str, n_classes: int | None, d: int, n_heads: int | None = None) -> DataFrame:
+    """``x array<double>, y array<int>`` of the rows that can train.
+
+    A row needs a finite vector of ``d`` entries and a label for one head at
+    least; a head without a label (null, or no class of that code) skips it.
+    """
+    multi = n_heads is not None
+    rows = df.where(_finite(vec) & (F.size(vec) == d)).select(as_doubles(vec).alias("x"), _labels(label, n_classes, multi).alias("y"))
+    return rows.where(F.col("y").isNotNull() & (F.size("y") == (n_heads or 1)) & F.exists("y", lambda v: v.isNotNull()))
+
+
+def left_out(df: DataFrame, vec: str, label: str, n_classes: int, d: int, n_heads: int | None = None) -> DataFrame:
+    """What training leaves out, counted: ``rows, no_vector, no_label, labels, missing_labels``."""
+    heads = n_heads or 1
+    y = _labels(label, n_classes, n_heads is not None)
+    y = F.when(F.size(y) == heads, y)
+    known = F.coalesce(F.size(F.filter(y, lambda v: v.isNotNull())), F.lit(0))
+    ok = F.coalesce(_finite(vec) & (F.size(vec) == d), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    return df.select(ok.alias("ok"), known.alias("known")).agg(
+        F.count(F.lit(1)).alias("rows"), count(~F.col("ok")).alias("no_vector"), count(F.col("ok") & (F.col("known") == 0)).alias("no_label"),
+        F.coalesce(F.sum(F.when(F.col("ok"), F.col("known"))), F.lit(0)).alias("labels"),
+        F.coalesce(F.sum(F.when(F.col("ok") & (F.col("known") > 0), heads - F.col("known"))), F.lit(0)).alias("missing_labels"))
+
+
+def centroid_weights(df: DataFrame, vec: str, label: str, n_heads: int | None = None) -> DataFrame:
     """A fixed head whose class rows are the class centroids (bias 0).
 
-    The mean per (class, dimension) is a partial aggregate; the result has
-    classes x dims values.
+    One Arrow pass sums the vectors of each class per task; the sums that meet
+    in the shuffle are tasks x heads x classes rows. ``label`` is a code, or an
+    array with a code per head. Rows that cannot train are left out.
     """
-    long = df.select(F.col(label).alias("cls"), F.posexplode(as_doubles(vec)).alias("dim", "x"))
-    per = long.groupBy("cls", "dim").agg(F.avg("x").alias("x"))
-    return per.groupBy("cls").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("w")) \
-        .select(F.lit(0).alias("head"), F.col("cls").cast("int"), F.lit(0.0).alias("bias"), "w")
+    d = dimensions(df, vec)
+
+    def add_up(batches):
+        sums: dict[tuple[int, int], list] = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x, ys = _matrices(pdf)
+            for h in range(ys.shape[1]):
+                for c in np.unique(ys[:, h][ys[:, h] >= 0]):
+                    of = ys[:, h] == c
+                    old = sums.setdefault((h, int(c)), [0, np.zeros(x.shape[1])])
+                    old[0] += int(of.sum())
+                    old[1] += x[of].sum(axis=0)
+        yield pd.DataFrame([(h, c, n, s.tolist()) for (h, c), (n, s) in sums.items()], columns=["head", "cls", "n", "s"])
+
+    rows = training_rows(df, vec, label, None, d or 0, n_heads)
+    parts = rows.mapInPandas(add_up, "head int, cls int, n long, s array<double>")
+    per = (parts.select("head", "cls", "n", F.posexplode("s").alias("dim", "v")).groupBy("head", "cls", "dim")
+           .agg((F.sum("v") / F.sum("n")).alias("v")))
+    w = F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda s: s["v"])
+    return per.groupBy("head", "cls").agg(w.alias("w")).select("head", "cls", F.lit(0.0).alias("bias"), "w")
 
 
 # --- training -------------------------------------------------------------------
 
-def _epoch_rows(w: np.ndarray, b: np.ndarray, vec: str, label: str, multi: bool):
+def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and codes of a batch of :func:`training_rows`; -1 where a head has no label."""
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["x"]])
+    ys = np.stack([np.asarray([-1 if c is None or c != c else c for c in v], dtype=np.int64) for v in pdf["y"]])
+    return x, ys
+
+
+def _gradient_rows(w: np.ndarray, b: np.ndarray):
+    """Per task: summed gradient, loss, hits and labelled rows of every head."""
     H, k, d = w.shape
 
     def run(batches):
-        g = np.zeros((H, k, d))
-        gb = np.zeros((H, k))
-        loss = np.zeros(H)
-        correct = np.zeros(H)
-        n = 0
+        total = np.zeros((H, k * d + k + 3))
         for pdf in batches:
             if pdf.empty:
                 continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            ys = np.stack([np.asarray(v, dtype=np.int64) for v in pdf[label]]) if multi \
-                else pdf[label].to_numpy(dtype=np.int64)[:, None]
-            n += len(x)
+            every, ys = _matrices(pdf)
             for h in range(H):
+                known = ys[:, h] >= 0
+                x, y = every[known], ys[known, h]
+                if not len(x):
+                    continue
                 z = x @ w[h].T + b[h]
                 z -= z.max(axis=1, keepdims=True)
                 p = np.exp(z)
                 p /= p.sum(axis=1, keepdims=True)
-                y = ys[:, h]
-                idx = np.arange(len(y))
-                loss[h] += -np.log(np.maximum(p[idx, y], 1e-300)).sum()
-                correct[h] += (p.argmax(axis=1) == y).sum()
-                p[idx, y] -= 1.0
-                g[h] += p.T @ x
-                gb[h] += p.sum(axis=0)
-        heads, index, value = [], [], []
-        for h in range(H):
-            flat = np.concatenate([g[h].ravel(), gb[h], [loss[h], correct[h], float(n)]])
-            heads.append(np.full(len(flat), h, dtype=np.int32))
-            index.append(np.arange(len(flat), dtype=np.int32))
-            value.append(flat)
-        yield pd.DataFrame({"head": np.concatenate(heads), "idx": np.concatenate(index),
-                            "v": np.concatenate(value)})
+                at = np.arange(len(y))
+                loss = -np.log(np.maximum(p[at, y], 1e-300)).sum()
+                hits = (p.argmax(axis=1) == y).sum()
+                p[at, y] -= 1.0
+                total[h] += np.concatenate([(p.T @ x).ravel(), p.sum(axis=0), [loss, hits, len(y)]])
+        yield pd.DataFrame({"head": np.repeat(np.arange(H, dtype=np.int32), total.shape[1]),
+                            "idx": np.tile(np.arange(total.shape[1], dtype=np.int32), H), "v": total.ravel()})
 
     return run
 
 
-def _local_adam_rows(w: np.ndarray, b: np.ndarray, vec: str, label: str, multi: bool, lr: float,
-                     batch: int, seed: int):
-    """Per partition: mini-batch Adam from the shared weights, then the weights times rows.
+def _gradient(rows: DataFrame, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sums of :func:`_gradient_rows` over all rows: an array of heads x (model + 3)."""
+    H, k, d = w.shape
+    total = np.zeros((H, k * d + k + 3))
+    summed = rows.mapInPandas(_gradient_rows(w, b), "head int, idx int, v double").groupBy("head", "idx").agg(F.sum("v").alias("v"))
+    for r in summed.collect():  # model-size rows
+        total[r["head"], r["idx"]] = r["v"]
+    return total
+
+
+#: folders that a numbered epoch is cut into; a step reads one
+STEP_BLOCKS = 64
 
-    Mini-batches are drawn in a seeded order inside each Arrow batch, so a
-    partition is streamed, never held whole. The driver averages the
-    partitions' weights by row count (parameter averaging, one round per epoch).
+
+def _numbered_steps(rows: DataFrame, batch: int, seed: int, path: str) -> int:
+    """Write the rows with their step (seeded MD5 order of the content, ``batch`` rows a step); returns the steps.
+
+    Equal rows are interchangeable, so the steps hold the same rows however
+    the input is partitioned.
     """
-    H, k, d = w.shape
-    b1, b2, eps = 0.9, 0.999, 1e-8
+    from kestrel.operators.sequence import number_rows
+    content = F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct("x", "y")))
+    numbered = number_rows(rows.withColumn("_h", F.md5(content)), ["_h"])
+    step = F.floor((F.col("rn") - 1) / batch).cast("long")
+    steps = F.ceil(F.col("total") / batch)
+    (numbered.select("x", "y", step.alias("step"), steps.cast("long").alias("steps"), F.floor(step * STEP_BLOCKS / steps).cast("int").alias("block"))
+     .write.partitionBy("block").parquet(path))
+    last = rows.sparkSession.read.parquet(path).select("steps").first()
+    return last["steps"] if last else 0
 
-    def run(batches):
-        from pyspark import TaskContext
-        ctx = TaskContext.get()
-        rng = np.random.default_rng([seed, ctx.partitionId() if ctx else 0])
-        ww, bb = w.copy(), b.copy()
-        mw, vw, mb, vb = np.zeros_like(ww), np.zeros_like(ww), np.zeros_like(bb), np.zeros_like(bb)
-        loss, correct, n, t = np.zeros(H), np.zeros(H), 0, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            ys = np.stack([np.asarray(v, dtype=np.int64) for v in pdf[label]]) if multi \
-                else pdf[label].to_numpy(dtype=np.int64)[:, None]
-            order = rng.permutation(len(x))
-            n += len(x)
-            for s0 in range(0, len(x), batch):
-                idx = order[s0:s0 + batch]
-                xb, t = x[idx], t + 1
-                for h in range(H):
-                    z = xb @ ww[h].T + bb[h]
-                    z -= z.max(axis=1, keepdims=True)
-                    p = np.exp(z)
-                    p /= p.sum(axis=1, keepdims=True)
-                    y = ys[idx, h]
-                    r = np.arange(len(y))
-                    loss[h] += -np.log(np.maximum(p[r, y], 1e-300)).sum()
-                    correct[h] += (p.argmax(axis=1) == y).sum()
-                    p[r, y] -= 1.0
-                    gw, gb = p.T @ xb / len(y), p.mean(axis=0)
-                    mw[h] = b1 * mw[h] + (1 - b1) * gw
-                    vw[h] = b2 * vw[h] + (1 - b2) * gw * gw
-                    mb[h] = b1 * mb[h] + (1 - b1) * gb
-                    vb[h] = b2 * vb[h] + (1 - b2) * gb * gb
-                    c1, c2 = 1 - b1 ** t, 1 - b2 ** t
-                    ww[h] -= lr * (mw[h] / c1) / (np.sqrt(vw[h] / c2) + eps)
-                    bb[h] -= lr * (mb[h] / c1) / (np.sqrt(vb[h] / c2) + eps)
-        heads, index, value = [], [], []
-        for h in range(H):
-            flat = np.concatenate([ww[h].ravel() * n, bb[h] * n, [loss[h], correct[h], float(n)]])
-            heads.append(np.full(len(flat), h, dtype=np.int32))
-            index.append(np.arange(len(flat), dtype=np.int32))
-            value.append(flat)
-        yield pd.DataFrame({"head": np.concatenate(heads), "idx": np.concatenate(index),
-                            "v": np.concatenate(value)})
 
-    return run
+def _adam_epoch(rows: DataFrame, w: np.ndarray, b: np.ndarray, state: dict, lr: float, batch: int, seed: int) -> np.ndarray:
+    """One epoch of mini-batch Adam in place: a summed gradient per step; returns loss, hits, rows per head.
+
+    ``state`` keeps the moments and the step count over epochs.
+    """
+    from kestrel.sources.tables import remove_path, scratch_path
+    spark, (H, k, d) = rows.sparkSession, w.shape
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    path = scratch_path(spark, f"adam-{uuid.uuid4().hex}")
+    totals = np.zeros((H, 3))
+    try:
+        steps = _numbered_steps(rows, batch, seed, path)
+        stored = spark.read.parquet(path) if steps else None
+        for i in range(steps):
+            part = stored.where((F.col("block") == i * STEP_BLOCKS // steps) & (F.col("step") == i)).select("x", "y")
+            got = _gradient(part, w, b)
+            totals += got[:, -3:]
+            state["t"] += 1
+            for h in range(H):
+                n = got[h, -1]
+                g = got[h, :-3] / n if n else np.zeros(k * d + k)
+                state["m"][h] = b1 * state["m"][h] + (1 - b1) * g
+                state["v"][h] = b2 * state["v"][h] + (1 - b2) * g * g
+                move = lr * (state["m"][h] / (1 - b1 ** state["t"])) / (np.sqrt(state["v"][h] / (1 - b2 ** state["t"])) + eps)
+                w[h] -= move[:k * d].reshape(k, d)
+                b[h] -= move[k * d:]
+    finally:
+        remove_path(spark, path)
+    return totals
 
 
 def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int = 5, lr: float = 0.5,
                 init: tuple[np.ndarray, np.ndarray] | None = None, n_heads: int | None = None,
                 history: list | None = None, method: str = "gd", batch_size: int = 32,
                 seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Train softmax-regression heads, one distributed pass per epoch.
-
-    ``method="gd"``: full-batch gradient descent (partition gradients summed).
-    ``method="adam"``: mini-batches of ``batch_size`` with Adam inside every
-    partition, partition weights averaged by row count after each epoch (as
-    the original trains with mini-batch Adam; use a small ``lr`` such as 1e-3).
+    """Train softmax-regression heads; returns the new ``(w, b)``.
+
+    ``method="gd"``: full-batch gradient descent, one pass per epoch.
+    ``method="adam"``: mini-batches of ``batch_size`` rows in a seeded order
+    of every epoch, one summed gradient and one Adam step each, moments kept
+    over epochs (as the original trains; use a small ``lr`` such as 1e-3, and
+    on large data a large ``batch_size``, since steps follow one another).
+    Both give the same model for any partitioning, up to the rounding of sums.
     ``label`` is an int column (one head) or an int array column with
     ``n_heads`` entries (one head per entry, e.g. the four aspects; their
-    losses add up). ``init`` warm-starts from earlier ``(w, b)``. Returns the
-    new ``(w, b)``; per-epoch ``(epoch, head, loss, acc, n)`` go to ``history``.
+    losses add up). ``init`` warm-starts from earlier ``(w, b)``. Rows and
+    labels that cannot train are left out. Per-epoch
+    ``(epoch, head, loss, acc, n)`` go to ``history``.
     """
     if method not in ("gd", "adam"):
         raise ValueError(method)
-    multi = n_heads is not None
     H = n_heads or 1
-    df = df.where(F.col(label).isNotNull())  # unlabelled rows do not train
-    first = df.select(F.size(as_doubles(vec)).alias("d")).first()
-    if first is None:
+    d = init[0].shape[2] if init is not None else dimensions(df, vec)
+    if d is None:
         raise ValueError("no training rows")
-    d = first["d"]
-    if init is None:
-        w, b = np.zeros((H, n_classes, d)), np.zeros((H, n_classes))
-    else:
-        w, b = init[0].copy(), init[1].copy()
-    data = df.select(as_doubles(vec).alias(vec), F.col(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    w, b = (init[0].copy(), init[1].copy()) if init is not None else (np.zeros((H, n_classes, d)), np.zeros((H, n_classes)))
+    rows = training_rows(df, vec, label, n_classes, d, n_heads)
+    state = {"t": 0, "m": np.zeros((H, n_classes * d + n_classes)), "v": np.zeros((H, n_classes * d + n_classes))}
+    keep = method == "gd" and epochs > 1  # one pass needs no copy
+    if keep:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for e in range(epochs):
-            fn = _epoch_rows(w, b, vec, label, multi) if method == "gd" else \
-                _local_adam_rows(w, b, vec, label, multi, lr, batch_size, seed + e)
-            rows = data.mapInPandas(fn, "head int, idx int, v double")
-            summed = rows.groupBy("head", "idx").agg(F.sum("v").alias("v")).collect()
-            tot = np.zeros((H, n_classes * d + n_classes + 3))
-            for r in summed:
-                tot[r["head"], r["idx"]] = r["v"]
-            n = tot[0, -1]
-            if n == 0:
-                break
-            for h in range(H):
-                a = tot[h, : n_classes * d].reshape(n_classes, d) / n
-                c = tot[h, n_classes * d: n_classes * d + n_classes] / n
-                if method == "gd":
-                    w[h] -= lr * a
-                    b[h] -= lr * c
-                else:
-                    w[h], b[h] = a, c
-                if history is not None:
-                    history.append((e + 1, h, float(tot[h, -3] / n), float(tot[h, -2] / n), int(n)))
+            if method == "adam":
+                stats = _adam_epoch(rows, w, b, state, lr, batch_size, seed + e)
+            else:
+                got = _gradient(rows, w, b)
+                stats = got[:, -3:]
+                for h in range(H):
+                    if stats[h, 2]:
+                        w[h] -= lr * got[h, :n_classes * d].reshape(n_classes, d) / stats[h, 2]
+                        b[h] -= lr * got[h, n_classes * d:-3] / stats[h, 2]
+            if history is not None:
+                history += [(e + 1, h, float(loss / n), float(hits / n), int(n)) for h, (loss, hits, n) in enumerate(stats) if n]
     finally:
-        data.unpersist()
+        if keep:
+            rows.unpersist()
     return w, b
 
 
@@ -291,9 +350,6 @@ def score_batch(df: DataFrame, vec: str, w: np.ndarray, b: np.ndarray, prefix: s
 
 # --- cascade --------------------------------------------------------------------------
 
-ASPECT_OUTPUTS = ["predicted_title", "predicted_desc", "predicted_comp", "predicted_other"]
-
-
 def task1_output(df: DataFrame, key: str, label_scores: str) -> DataFrame:
     """Label task output: ``key, predicted_label``."""
     return df.select(key, argmax_class(label_scores).alias("predicted_label"))

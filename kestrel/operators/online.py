@@ -1,120 +1,204 @@
-"""Online learning over N-row triggers with three strategies.
+"""Online learning over N-row triggers with three strategies, for both tasks.
 
 * ``continue``: every trigger trains from the previous trigger's weights;
 * ``champion``: every trigger trains from the best registered version;
 * ``replay``: as ``champion``, and every M-th trigger trains on the last M
   batches (N*M rows) instead of its own N.
 
-Each trigger is a key range ``(lo, hi]`` from the ledger, so its rows are
-read with a pushed-down range filter instead of a scan of everything. After
-training, the head is evaluated on the dev set (one pass, count table) and
-an evaluation record with the next version is added. The loop over triggers
-is sequential by nature: each trigger starts from the previous outcome.
+The label task has one head, the aspect task one per aspect (its metrics are
+means over the aspects). The rows are numbered once and written by batch, so
+a trigger's rows are exactly those of its ledger entry, tied keys included.
+After training, the heads are evaluated on the dev set (one pass, count
+table), the weights are saved under the next version, and then the evaluation
+record is written, which names them: a version without a record does not
+exist, and a step cut off in between is done again. The loop over triggers is
+sequential by nature: each starts from the previous outcome.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrel.operators import heads as H
 from kestrel.operators import metrics as M
-from kestrel.operators.sequence import trigger_replay
+from kestrel.operators.sequence import trigger_batches
+from kestrel.sources.tables import append_rows, load_weights, path_exists, remove_path, save_weights, scratch_path
+
+RECORD_SCHEMA = ("version int, task string, pretrained string, classifier string, split string, trigger_id long, kind string, "
+                 "rows long, start_version int, acc double, avg_pre double, avg_recall double, avg_f1 double, artefact string")
 
-RECORD_SCHEMA = ("version int, trigger_id long, kind string, rows long, start_version int, "
-                 "acc double, avg_pre double, avg_recall double, avg_f1 double")
+#: batches in one folder of the numbered rows
+BATCHES_A_FOLDER = 256
 
 
 def evaluate(dev: DataFrame, vec: str, label: str, w: np.ndarray, b: np.ndarray) -> dict:
-    """Accuracy and macro precision/recall/F1 of a head on the dev set."""
-    scored = H.score_batch(dev.select(vec, label), vec, w, b)
-    r = M.cls_metrics(M.count_table(scored, label, "pred")).first()
-    return {"acc": r["acc"], "avg_pre": r["precision"], "avg_recall": r["recall"], "avg_f1": r["f1"]}
+    """Accuracy and macro precision/recall/F1 on labelled rows; several heads: the mean over them.
+
+    Rows without a usable vector and labels that are null take no part.
+    """
+    heads, k, d = w.shape
+    rows = H.training_rows(dev, vec, label, None, d, heads if heads > 1 else None)
+    if heads == 1:
+        scored = H.score_batch(rows.select("x", F.get("y", F.lit(0)).alias("t")), "x", w, b)
+        r = M.cls_metrics(M.count_table(scored, "t", "pred")).first()
+    else:
+        scored = H.score_batch(rows, "x", w, b)
+        pairs = M.aspect_long(scored, "y", "pred").where(F.col("t").isNotNull())
+        r = M.aspect_mean(M.cls_metrics(M.count_table(pairs, "t", "p", by="aspect"), by="aspect")).first()
+    return {"acc": r["acc"], "avg_pre": r["precision"], "avg_recall": r["recall"], "avg_f1": r["f1"]} if r else dict.fromkeys(
+        ("acc", "avg_pre", "avg_recall", "avg_f1"))
+
+
+class RunStore:
+    """Weights and evaluation records of one run on shared storage, visible together.
+
+    Weights are written first, under ``task=.../version=...``; the record, which
+    names them in ``artefact``, last. Readers go by the records.
+    """
+
+    def __init__(self, spark: SparkSession, registry: str, store: str, task: str):
+        self.spark, self.registry, self.store, self.task = spark, registry, store, task
 
+    def put(self, rec: dict, wb: tuple[np.ndarray, np.ndarray] | None) -> dict:
+        if wb is not None:
+            save_weights(H.weights_frame(self.spark, *wb), self.store, self.task, rec["version"])
+        rec = rec | {"artefact": f"task={self.task}/version={rec['version']}"}
+        append_rows(self.spark.createDataFrame([tuple(rec[c] for c in OnlineLearner.FIELDS)], RECORD_SCHEMA), self.registry)
+        return rec
 
-def ledger_of(df: DataFrame, key: str, n: int, m: int) -> DataFrame:
-    """``(trigger_id, lo, hi, rows)`` of every trigger, replay ranges widened to M batches.
+    def records(self) -> DataFrame:
+        rows = self.spark.read.schema(RECORD_SCHEMA).parquet(self.registry) if path_exists(self.spark, self.registry) \
+            else self.spark.createDataFrame([], RECORD_SCHEMA)
+        return rows.where(F.col("task") == self.task)
 
-    One row per trigger (rows / N of them), written once to the checkpoint
-    folder so the sequential loop below can page through it.
-    """
-    t = trigger_replay(df.select(key), key, n, m)
-    led = t.groupBy("trigger_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"),
-                                      F.count(F.lit(1)).alias("rows"))
-    return led.repartitionByRange("trigger_id").sortWithinPartitions("trigger_id").checkpoint(eager=True)
+    def resume(self, learner: OnlineLearner) -> bool:
+        """Give the learner the newest record and the champion of the store; false if there is none."""
+        dev = self.records().where(F.col("split") == "dev")
+        newest = dev.orderBy(F.desc("version")).limit(1).collect()
+        if not newest:
+            return False
+        best = dev.orderBy(F.desc_nulls_last("avg_f1"), "version").limit(1).collect()
+        pair = {r["version"]: r.asDict() for r in (*best, *newest)}
+        learner.restore(list(pair.values()), lambda v: H.weights_arrays(load_weights(self.spark, self.store, self.task, v)))
+        return True
 
 
 class OnlineLearner:
-    """State of one online run: registry records, champion, and the weights that
-    can still seed a trigger (the champion's and the newest)."""
+    """State of one run: the newest record, the champion, and the weights that can still seed a trigger."""
 
-    FIELDS = ("version", "trigger_id", "kind", "rows", "start_version",
-              "acc", "avg_pre", "avg_recall", "avg_f1")
+    FIELDS = ("version", "task", "pretrained", "classifier", "split", "trigger_id", "kind", "rows", "start_version",
+              "acc", "avg_pre", "avg_recall", "avg_f1", "artefact")
 
     def __init__(self, vec: str, label: str, dev: DataFrame, n_classes: int, strategy: str, m: int,
-                 epochs: int = 1, lr: float = 0.5, method: str = "gd"):
+                 epochs: int = 1, lr: float = 0.5, method: str = "gd", task: str = "cls", n_heads: int | None = None,
+                 pretrained: str = "given vectors", classifier: str = "linear", store: RunStore | None = None):
         if strategy not in ("continue", "champion", "replay"):
             raise ValueError(strategy)
-        self.vec, self.label, self.dev, self.k = vec, label, dev, n_classes
+        self.vec, self.label, self.dev, self.k, self.n_heads = vec, label, dev, n_classes, n_heads
         self.strategy, self.m, self.epochs, self.lr, self.method = strategy, m, epochs, lr, method
-        self.records: list[dict] = []
+        self.names = {"task": task, "pretrained": pretrained, "classifier": classifier}
+        self.store = store
+        self.newest: dict | None = None
         self.champion: dict | None = None
         self.models: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def start(self, w0: np.ndarray, b0: np.ndarray) -> dict:
         """Register version 1 (the start model)."""
-        rec = dict(version=1, trigger_id=0, kind="start", rows=0, start_version=None,
+        rec = dict(version=1, **self.names, split="dev", trigger_id=0, kind="start", rows=0, start_version=None, artefact=None,
                    **evaluate(self.dev, self.vec, self.label, w0, b0))
-        self._add(rec, (w0, b0))
-        return rec
+        return self._add(rec, (w0, b0))
 
     def restore(self, records: list[dict], weights) -> None:
-        """Continue a run from stored records; ``weights(version)`` loads a version."""
-        self.records = sorted(records, key=lambda r: r["version"])
-        self.champion = max(self.records, key=lambda r: (r["avg_f1"], -r["version"]))
-        for v in {self.champion["version"], self.records[-1]["version"]}:
-            self.models[v] = weights(v)
+        """Continue from the newest record and the champion; ``weights(version)`` loads a version."""
+        self.newest = max(records, key=lambda r: r["version"])
+        self.champion = max(records, key=self._rank)
+        self.models = {v: weights(v) for v in {self.champion["version"], self.newest["version"]}}
+
+    @staticmethod
+    def _rank(rec: dict) -> tuple:
+        f1 = rec["avg_f1"]
+        return f1 is not None, f1 or 0.0, -rec["version"]
 
     def base_version(self) -> int:
-        return self.records[-1]["version"] if self.strategy == "continue" else self.champion["version"]
+        return (self.newest if self.strategy == "continue" else self.champion)["version"]
+
+    def batches(self, trigger_id: int) -> tuple[int, int]:
+        """The first and the last batch that a trigger trains on."""
+        again = self.strategy == "replay" and trigger_id % self.m == 0
+        return (trigger_id - self.m + 1 if again else trigger_id), trigger_id
 
     def step(self, rows_df: DataFrame, trigger_id: int, rows: int) -> tuple[dict, tuple]:
-        """Train on one trigger's rows from the base weights, evaluate, register."""
+        """Train on one trigger's rows from the base weights, evaluate, save and register."""
         base = self.base_version()
-        w, b = H.train_heads(rows_df, self.vec, self.label, self.k, epochs=self.epochs, lr=self.lr,
+        w, b = H.train_heads(rows_df, self.vec, self.label, self.k, epochs=self.epochs, lr=self.lr, n_heads=self.n_heads,
                              init=self.models[base], method=self.method, seed=trigger_id)
         kind = "replay" if self.strategy == "replay" and trigger_id % self.m == 0 else "own"
-        rec = dict(version=self.records[-1]["version"] + 1, trigger_id=trigger_id, kind=kind, rows=rows,
-                   start_version=base, **evaluate(self.dev, self.vec, self.label, w, b))
-        self._add(rec, (w, b))
-        return rec, (w, b)
-
-    def _add(self, rec: dict, wb) -> None:
-        self.records.append(rec)
+        rec = dict(version=self.newest["version"] + 1, **self.names, split="dev", trigger_id=trigger_id, kind=kind, rows=rows,
+                   start_version=base, artefact=None, **evaluate(self.dev, self.vec, self.label, w, b))
+        return self._add(rec, (w, b)), (w, b)
+
+    def test(self, test: DataFrame) -> dict:
+        """Evaluate the champion on the test split: a record of its version, no new one."""
+        w, b = self.models[self.champion["version"]]
+        rec = self.champion | {"split": "test"} | evaluate(test, self.vec, self.label, w, b)
+        return self.store.put(rec, None) if self.store else rec
+
+    def _add(self, rec: dict, wb) -> dict:
+        if self.store:
+            rec = self.store.put(rec, wb)
+        self.newest = rec
         self.models[rec["version"]] = wb
-        if self.champion is None or (rec["avg_f1"], -rec["version"]) > (self.champion["avg_f1"],
-                                                                         -self.champion["version"]):
+        if self.champion is None or self._rank(rec) > self._rank(self.champion):
             self.champion = rec
         # only the champion and the newest weights can seed a later trigger
         keep = {self.champion["version"], rec["version"]}
         self.models = {v: x for v, x in self.models.items() if v in keep}
+        return rec
+
 
-    def registry(self, spark) -> DataFrame:
-        return spark.createDataFrame([tuple(r[c] for c in self.FIELDS) for r in self.records], RECORD_SCHEMA)
+def number_batches(train: DataFrame, key: str, n: int, path: str) -> int:
+    """Write the rows of all full batches with their ``batch_id``; returns the number of batches."""
+    rows = trigger_batches(train, key, n)
+    folder = F.floor((F.col("batch_id") - 1) / BATCHES_A_FOLDER)
+    (rows.select(*train.columns, F.col("batch_id").alias("_batch"), folder.alias("_folder"))
+     .write.partitionBy("_folder").parquet(path))
+    last = train.sparkSession.read.schema(rows.select(*train.columns).schema.add("_batch", "long").add("_folder", "long")).parquet(path)
+    return last.agg(F.max("_batch")).first()[0] or 0
 
 
 def online_learn(train: DataFrame, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
                  strategy: str, n: int, m: int, epochs: int = 1, lr: float = 0.5,
-                 start: tuple[np.ndarray, np.ndarray] | None = None, method: str = "gd") -> DataFrame:
-    """Run the strategy over all full triggers of a table; returns the evaluation registry."""
-    learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method)
-    d = train.select(F.size(F.col(vec).cast("array<double>")).alias("d")).first()["d"]
-    w0, b0 = start if start is not None else (np.zeros((1, n_classes, d)), np.zeros((1, n_classes)))
-    learner.start(w0, b0)
-    ledger = ledger_of(train, key, n, m if strategy == "replay" else 10**12)
-    # the ledger streams to the driver one partition at a time, in trigger order
-    for r in ledger.toLocalIterator():
-        part = train.where((F.col(key) >= F.lit(r["lo"])) & (F.col(key) <= F.lit(r["hi"])))
-        learner.step(part, r["trigger_id"], r["rows"])
-    return learner.registry(train.sparkSession)
+                 start: tuple[np.ndarray, np.ndarray] | None = None, method: str = "gd", task: str = "cls",
+                 n_heads: int | None = None, test: DataFrame | None = None, registry: str | None = None,
+                 store: str | None = None) -> DataFrame:
+    """Run the strategy over all full triggers of a table; returns the evaluation records.
+
+    Records and weights go to ``registry`` and ``store`` (new folders of the
+    shared scratch folder if not given). A run whose records are there goes on
+    behind the last one. ``test`` adds the champion's record on that split.
+    """
+    spark, run = train.sparkSession, uuid.uuid4().hex
+    records = RunStore(spark, registry or scratch_path(spark, f"online-{run}/registry"), store or scratch_path(spark, f"online-{run}/store"), task)
+    learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method, task, n_heads, store=records)
+    if not records.resume(learner):
+        heads = n_heads or 1
+        d = H.dimensions(train, vec) or 0
+        learner.start(*(start if start is not None else (np.zeros((heads, n_classes, d)), np.zeros((heads, n_classes)))))
+    path = scratch_path(spark, f"online-{run}/batches")
+    rows = train.select(*dict.fromkeys([key, vec, label]))
+    try:
+        batches = number_batches(rows, key, n, path)
+        stored = spark.read.parquet(path) if batches else None
+        for t in range(learner.newest["trigger_id"] + 1, batches + 1):
+            first, last = learner.batches(t)
+            folders = F.col("_folder").between((first - 1) // BATCHES_A_FOLDER, (last - 1) // BATCHES_A_FOLDER)
+            learner.step(stored.where(folders & F.col("_batch").between(first, last)), t, n * (last - first + 1))
+    finally:
+        remove_path(spark, path)
+    if test is not None:
+        learner.test(test)
+    return records.records()

@@ -50,6 +50,14 @@ def aspect_rows(spark, sf_dir) -> DataFrame:
     )
 
 
+def vector_rows(spark, sf_dir) -> DataFrame:
+    """``vec_id, embedding`` with the codes of both tasks: class = label, label task = label mod 3, aspect i = (label + i) mod 4."""
+    c = F.col("label")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", c.cast("int").alias("t_class"), (c % 3).cast("int").alias("t_label"),
+        F.array(*[((c + i) % 4).cast("int") for i in range(4)]).alias("t_aspects"))
+
+
 # --- evaluation registry ---------------------------------------------------
 
 def registry(spark, sf_dir) -> DataFrame:

@@ -6,14 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kestrel.codebook import EPOCHS
+from kestrel.codebook import EPOCHS, OFFLINE_FIELD_NAMES, TRIGGER_ROWS
 from kestrel.operators import heads as H
 from kestrel.operators import metrics as M
 from kestrel.operators.metrics import round_cols as R
 from kestrel.plans import fixtures as X
 from kestrel.plans.catalogue import query
 from kestrel.plans.q_messages import VERB_SQL
-from kestrel.plans.sqlparts import ASP, POST, REG
+from kestrel.plans.sqlparts import ASP, POST, REG, STORED, history_sql
 from kestrel.sources import tables as TB
 
 
@@ -79,7 +79,7 @@ def _history_frame(spark, hist):
     return spark.createDataFrame(hist, "epoch int, head int, loss double, acc double, n long")
 
 
-@query("train_head")
+@query("train_head", history_sql(1, 10, EPOCHS, 0.5))
 def train_head_q(spark, sf):
     e = X.table(spark, sf, "embeddings")
     hist: list = []
@@ -89,22 +89,39 @@ def train_head_q(spark, sf):
 
 @query("train_head_adam")
 def train_head_adam_q(spark, sf):
-    """Mini-batch Adam (batch 32, lr 1e-3 as configured originally) per partition, averaged per epoch."""
+    """Mini-batch Adam (lr 1e-3 as configured originally, batches of a trigger's rows), a summed gradient per step."""
     e = X.table(spark, sf, "embeddings")
     hist: list = []
-    H.train_heads(e, "embedding", "label", 10, epochs=EPOCHS, lr=1e-3, method="adam", batch_size=32,
+    H.train_heads(e, "embedding", "label", 10, epochs=EPOCHS, lr=1e-3, method="adam", batch_size=TRIGGER_ROWS,
                   history=hist)
     return R(_history_frame(spark, hist))
 
 
-@query("train_aspect_heads")
+@query("train_aspect_heads", history_sql(4, 4, EPOCHS, 0.5))
 def train_aspect_heads_q(spark, sf):
-    a = X.aspect_rows(spark, sf).join(X.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id")
     hist: list = []
-    H.train_heads(a, "embedding", "t_aspects", 4, epochs=EPOCHS, lr=0.5, n_heads=4, history=hist)
+    H.train_heads(X.vector_rows(spark, sf), "embedding", "t_aspects", 4, epochs=EPOCHS, lr=0.5, n_heads=4, history=hist)
     return R(_history_frame(spark, hist))
 
 
+@query("cascade_stored", f"""WITH {STORED}, c AS (
+  SELECT vec_id, p_label, p_aspects, d.lang, d.source, d.text FROM scored s LEFT JOIN documents d ON d.doc_id = s.vec_id)
+SELECT vec_id, p_label AS predicted_label, p_aspects[1] AS predicted_title, p_aspects[2] AS predicted_desc, p_aspects[3] AS predicted_comp,
+       p_aspects[4] AS predicted_other, {VERB_SQL} AS pre_tasks,
+       '[CLS] {OFFLINE_FIELD_NAMES[0]}: ' || coalesce(lang, 'nan') || ' [SEP] {OFFLINE_FIELD_NAMES[1]}: ' || coalesce(source, 'nan')
+         || ' [SEP] {OFFLINE_FIELD_NAMES[2]}: ' || coalesce(text, 'nan') || ' [SEP] ' || ({VERB_SQL}) AS text FROM c""")
+def cascade_stored_q(spark, sf):
+    """Both tasks' heads stored as version 1, loaded, scored in one pass, verbalised, written and read back."""
+    from kestrel.operators.cascade import run_cascade
+    e = X.vector_rows(spark, sf)
+    base = TB.scratch_path(spark, f"cascade-{uuid.uuid4().hex}")
+    TB.save_weights(H.centroid_weights(e, "embedding", "t_label"), f"{base}/store", "cls", 1)
+    TB.save_weights(H.centroid_weights(e, "embedding", "t_aspects", 4), f"{base}/store", "acsa", 1)
+    docs = X.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", "text")
+    rows = e.select("vec_id", "embedding").join(docs, "vec_id", "left")
+    return run_cascade(rows, "vec_id", "embedding", ["lang", "source", "text"], f"{base}/store", {"cls": 1, "acsa": 1}, f"{base}/out")
+
+
 @query("model_store", """SELECT 0 AS head, label AS cls, CAST(0.0 AS DOUBLE) AS bias, CAST(max(len(embedding)) AS INTEGER) AS dims
 FROM embeddings GROUP BY label""")
 def model_store_q(spark, sf):

@@ -14,7 +14,7 @@ from kestrel.operators.online import online_learn
 from kestrel.plans import fixtures as X
 from kestrel.plans.catalogue import query
 from kestrel.plans.q_heads import _CENT
-from kestrel.plans.sqlparts import ASP, ORD, REG, REQRESP
+from kestrel.plans.sqlparts import ASP, ORD, REG, REQRESP, online_sql
 from kestrel.sources import messages as MS
 from kestrel.sources.tables import scratch_path
 from kestrel.streaming.correlate import stream_correlate
@@ -93,29 +93,29 @@ def stream_correlate_q(spark, sf):
     return R(spark.read.parquet(f"{base}/out"))
 
 
-def _online(spark, sf, strategy):
-    e = X.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
-    start = H.weights_arrays(H.centroid_weights(e, "embedding", "label"))
-    reg = online_learn(e, "vec_id", "embedding", "label", e, 10, strategy, N, M, epochs=1, lr=0.5, start=start)
+def online_run(spark, sf, task: str, strategy: str):
+    """All full triggers of ``embeddings`` for one task, from the class centroids, evaluated on the whole table."""
+    e = X.vector_rows(spark, sf).select("vec_id", "embedding", "t_class", "t_aspects")
+    label, k, heads = ("t_class", 10, None) if task == "cls" else ("t_aspects", 4, 4)
+    start = H.weights_arrays(H.centroid_weights(e, "embedding", label, heads))
+    reg = online_learn(e, "vec_id", "embedding", label, e, k, strategy, N, M, epochs=1, lr=0.5, start=start, task=task, n_heads=heads)
     return R(reg)
 
 
-@query("online_continue")
-def online_continue_q(spark, sf):
-    return _online(spark, sf, "continue")
-
+def _register_online(task: str, strategy: str, name: str) -> None:
+    heads, k = (1, 10) if task == "cls" else (4, 4)
 
-@query("online_champion")
-def online_champion_q(spark, sf):
-    return _online(spark, sf, "champion")
+    @query(name, online_sql(task, strategy, N, M, 0.5, heads, k))
+    def run(spark, sf):
+        return online_run(spark, sf, task, strategy)
 
 
-@query("online_replay")
-def online_replay_q(spark, sf):
-    return _online(spark, sf, "replay")
+for _strategy in ("continue", "champion", "replay"):
+    _register_online("cls", _strategy, f"online_{_strategy}")
+    _register_online("acsa", _strategy, f"online_aspects_{_strategy}")
 
 
-@query("stream_online")
+@query("stream_online", online_sql("cls", "replay", N, M, 0.5, 1, 10))
 def stream_online_q(spark, sf):
     """Replay strategy driven by the trigger stream, with a restart between two arrivals."""
     from kestrel.streaming.online import StreamingLearner

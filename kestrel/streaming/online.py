@@ -1,11 +1,11 @@
 """Online learning driven by the trigger stream (R2-R7 together).
 
 ``stage_and_cut`` hands every micro-batch's new ledger rows to a
-:class:`StreamingLearner`, which trains one step per trigger, appends the
-evaluation record to a registry table and stores the weights under the new
-version. Registry and weights live on shared storage, so a restarted stream
-resumes from the stored champion and newest version; a replayed micro-batch
-finds its triggers already registered and skips them.
+:class:`StreamingLearner`, which trains one step per trigger; the learner's
+store keeps weights and records on shared storage, so a restarted stream goes
+on from the stored champion and newest version. Triggers come in order, so a
+replayed micro-batch finds its triggers at or below the newest record's and
+skips them; no list of past triggers is kept.
 """
 
 from __future__ import annotations
@@ -14,9 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kestrel.operators.heads import weights_arrays, weights_frame
-from kestrel.operators.online import RECORD_SCHEMA, OnlineLearner
-from kestrel.sources.tables import append_rows, load_weights, path_exists, save_weights
+from kestrel.operators.online import OnlineLearner, RunStore
 from kestrel.streaming.triggers import triggered
 
 
@@ -26,43 +24,20 @@ class StreamingLearner:
     def __init__(self, spark: SparkSession, key: str, vec: str, label: str, dev: DataFrame, n_classes: int,
                  strategy: str, m: int, staging: str, ledger: str, registry: str, store: str,
                  start: tuple[np.ndarray, np.ndarray], task: str = "cls", epochs: int = 1, lr: float = 0.5,
-                 method: str = "gd"):
-        self.key, self.staging, self.ledger, self.registry, self.store, self.task = \
-            key, staging, ledger, registry, store, task
-        self.learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method)
-        stored = self._stored(spark)
-        if stored:
-            self.learner.restore(stored, lambda v: weights_arrays(load_weights(spark, store, task, v)))
-        else:
-            rec = self.learner.start(*start)
-            self._persist(spark, rec, start)
-
-    def _stored(self, spark) -> list[dict]:
-        if not path_exists(spark, self.registry):
-            return []
-        rows = spark.read.schema(RECORD_SCHEMA).parquet(self.registry).collect()
-        # one row per trigger: the registry is small next to the data
-        return [r.asDict() for r in rows]
-
-    def _persist(self, spark, rec: dict, wb) -> None:
-        save_weights(weights_frame(spark, *wb), self.store, self.task, rec["version"])
-        append_rows(spark.createDataFrame([tuple(rec[c] for c in OnlineLearner.FIELDS)], RECORD_SCHEMA),
-                    self.registry)
+                 method: str = "gd", n_heads: int | None = None):
+        self.key, self.staging, self.ledger = key, staging, ledger
+        self.store = RunStore(spark, registry, store, task)
+        self.learner = OnlineLearner(vec, label, dev, n_classes, strategy, m, epochs, lr, method, task, n_heads, store=self.store)
+        if not self.store.resume(self.learner):
+            self.learner.start(*start)
 
     def __call__(self, spark: SparkSession, new_ledger: DataFrame) -> None:
-        done = {r["trigger_id"] for r in self.learner.records}
         staged = triggered(spark, self.staging)
-        for row in new_ledger.orderBy("trigger_id").toLocalIterator():
+        for row in new_ledger.where(F.col("trigger_id") > self.learner.newest["trigger_id"]).orderBy("trigger_id").toLocalIterator():
             t = row["trigger_id"]
-            if t in done:
-                continue
-            first = t
-            if self.learner.strategy == "replay" and t % self.learner.m == 0:
-                first = t - self.learner.m + 1  # a replay trigger trains on the last M batches
-            part = staged.where(F.col("_trigger").between(first, t)).drop("_trigger", "_mb")
-            rows = part.count()
-            rec, wb = self.learner.step(part, t, rows)
-            self._persist(spark, rec, wb)
+            first, last = self.learner.batches(t)
+            part = staged.where(F.col("_trigger").between(first, last)).drop("_trigger", "_mb")
+            self.learner.step(part, t, part.count())
 
-    def registry_frame(self, spark) -> DataFrame:
-        return spark.read.schema(RECORD_SCHEMA).parquet(self.registry)
+    def registry_frame(self, spark: SparkSession) -> DataFrame:
+        return self.store.records()
