@@ -1,66 +1,77 @@
 """Generation metrics: corpus BLEU, ROUGE-N, ROUGE-L, greedy embedding match.
 
-Inputs are pairs ``(pair_id, cand tokens, ref tokens)``. N-gram overlap is a
-shuffle keyed by ``(pair_id, n, gram)``: a long text spreads over many keys,
-so no pair lands in one task whole. ROUGE-L needs a longest common
-subsequence per pair; it runs in an Arrow UDF with a bit-parallel LCS
-(one big-integer step per candidate token), whole texts included.
+Inputs are pairs ``(pair_id, cand tokens, ref tokens)``, one per row. Clipped
+n-gram matches are counted inside the row: an Arrow function numbers the
+tokens of a batch, packs them to n-gram numbers order by order and intersects
+the two multisets of every row at once. Nothing but matches and totals leaves
+it, so per-pair scores need no shuffle and corpus scores one of a row per
+order and task. ROUGE-L needs a longest common subsequence per pair; it runs
+bit-parallel over blocks of the reference, whole texts included.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 
-def ngrams(tokens, n: int) -> Column:
-    """All n-grams of a token array, each joined with single spaces."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.transform(F.sequence(F.lit(0), F.size(t) - n),
-                       lambda i: F.array_join(F.slice(t, i + 1, n), " "))
+def clipped_matches(cand: pa.Array, ref: pa.Array, orders: list[int]) -> np.ndarray:
+    """Rows x orders: how many n-grams of ``cand`` meet one of ``ref``, each at most as often as it occurs there.
 
-
-def _tagger(n: int, side: str):
-    """``gram -> {n, side, gram}`` (PySpark counts lambda parameters, so no defaults)."""
-    return lambda x: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), x.alias("gram"))
-
-
-def _ngram_counts(pairs: DataFrame, cand: str, ref: str, orders: list[int]) -> DataFrame:
-    """``(pair_id, n, gram, c, r)``: occurrences of each n-gram on both sides.
-
-    All orders and both sides come out of one scan and one ``explode``.
+    Exact: n-grams are compared by numbers that stand for their tokens. A
+    null array is empty; null tokens equal each other.
     """
-    items = []
-    for n in orders:
-        for side, col in (("c", cand), ("r", ref)):
-            g = F.when(F.size(col) >= n, ngrams(col, n)).otherwise(F.array().cast("array<string>"))
-            items.append(F.transform(g, _tagger(n, side)))
-    allg = pairs.select("pair_id", F.explode(F.concat(*items)).alias("x")).select("pair_id", "x.*")
-    return allg.groupBy("pair_id", "n", "gram").agg(
-        F.sum(F.when(F.col("side") == "c", 1).otherwise(0)).alias("c"),
-        F.sum(F.when(F.col("side") == "r", 1).otherwise(0)).alias("r"))
-
-
-def _totals(pairs: DataFrame, cand: str, ref: str, orders: list[int]) -> DataFrame:
-    """``(pair_id, n, cand_total, ref_total)`` from the token counts (one scan, no n-grams)."""
-    per = F.array(*[F.struct(F.lit(n).alias("n"),
-                             F.greatest(F.size(cand) - n + 1, F.lit(0)).cast("long").alias("cand_total"),
-                             F.greatest(F.size(ref) - n + 1, F.lit(0)).cast("long").alias("ref_total"))
-                    for n in orders])
-    return pairs.select("pair_id", F.explode(per).alias("x")).select("pair_id", "x.*")
+    rows = len(cand)
+    values, lengths = [], []
+    for side in (cand, ref):
+        lengths.append(np.asarray(pc.fill_null(pc.list_value_length(side), 0), dtype=np.int64))
+        values.append(side.flatten())
+    every = pa.concat_arrays(values).dictionary_encode(null_encoding="encode").indices
+    token = np.asarray(every, dtype=np.int64)
+    base = int(token.max(initial=0)) + 1
+    length = np.concatenate(lengths)
+    row = np.repeat(np.concatenate([np.arange(rows)] * 2), length)
+    is_ref = np.repeat(np.arange(2 * rows) >= rows, length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(token))  # tokens up to the end of the side
+    out, gram = np.zeros((rows, len(orders)), dtype=np.int64), token
+    for n in range(1, max(orders) + 1):
+        if n > 1:
+            gram = np.unique(gram, return_inverse=True)[1] * base  # number of the (n-1)-gram, then its next token
+            gram[:len(gram) - n + 1] += token[n - 1:]
+        if n in orders:
+            whole = left >= n
+            kind = np.unique(gram[whole], return_inverse=True)[1]
+            key, at = np.unique(row[whole] * (int(kind.max(initial=0)) + 1) + kind, return_inverse=True)
+            counts = [np.bincount(at[s], minlength=len(key)) for s in (~is_ref[whole], is_ref[whole])]
+            of = np.zeros(len(key), dtype=np.int64)
+            of[at] = row[whole]
+            out[:, orders.index(n)] = np.bincount(of, weights=np.minimum(*counts), minlength=rows).astype(np.int64)
+    return out
+
+
+def ngram_overlap(pairs: DataFrame, cand: str, ref: str, orders: list[int], keep: list[str] = ()) -> DataFrame:
+    """``keep``, and per row and order ``n, overlap, cand_total, ref_total``; no shuffle."""
+    def count(c: pa.Array, r: pa.Array) -> pa.Array:
+        found = clipped_matches(c, r, orders)
+        return pa.ListArray.from_arrays(np.arange(0, found.size + 1, len(orders), dtype=np.int32), pa.array(found.ravel()))
+
+    rows = pairs.select(*keep, F.arrow_udf(count, "array<bigint>")(F.col(cand), F.col(ref)).alias("_m"),
+                        *[F.coalesce(F.size(c), F.lit(0)).alias(a) for c, a in ((cand, "_c"), (ref, "_r"))])
+    total = lambda c, n: F.greatest(F.col(c) - n + 1, F.lit(0)).cast("long")
+    per = F.array(*[F.struct(F.lit(n).alias("n"), F.get("_m", F.lit(i)).alias("overlap"), total("_c", n).alias("cand_total"),
+                             total("_r", n).alias("ref_total")) for i, n in enumerate(orders)])
+    return rows.select(*keep, F.explode(per).alias("_x")).select(*keep, "_x.*")
 
 
 def ngram_precision(pairs: DataFrame, cand: str = "cand", ref: str = "ref", max_n: int = 4) -> DataFrame:
     """Corpus-level clipped n-gram matches and candidate n-gram totals per order."""
-    orders = list(range(1, max_n + 1))
-    clipped = _ngram_counts(pairs, cand, ref, orders).groupBy("n").agg(
-        F.sum(F.least("c", "r")).cast("long").alias("matches"))
-    totals = _totals(pairs, cand, ref, orders).groupBy("n").agg(
-        F.sum("cand_total").cast("long").alias("possible"),
-        F.sum("ref_total").cast("long").alias("ref_possible"))
-    out = totals.join(clipped, "n", "left").fillna(0, subset=["matches"])
+    out = ngram_overlap(pairs, cand, ref, list(range(1, max_n + 1))).groupBy("n").agg(
+        F.sum("overlap").alias("matches"), F.sum("cand_total").alias("possible"), F.sum("ref_total").alias("ref_possible"))
     return out.select("n", "matches", "possible", "ref_possible",
                       F.when(F.col("possible") > 0, F.col("matches") / F.col("possible"))
                        .otherwise(0.0).alias("precision"))
@@ -93,14 +104,10 @@ def rouge_n(pairs: DataFrame, n, cand: str = "cand", ref: str = "ref") -> DataFr
 
     precision = overlap / max(cand n-grams, 1), recall = overlap / max(ref n-grams, 1),
     F = 2PR / (P + R), 0 when both are 0. Pairs without n-grams score 0.
-    Several orders share one scan and one n-gram shuffle; the result has a
-    column ``n``.
+    Several orders share one scan; the result has a column ``n``. One row per
+    pair row and order.
     """
-    orders = [n] if isinstance(n, int) else list(n)
-    overlap = _ngram_counts(pairs, cand, ref, orders).groupBy("pair_id", "n").agg(
-        F.sum(F.least("c", "r")).cast("long").alias("overlap"))
-    tot = _totals(pairs, cand, ref, orders)
-    j = tot.join(overlap, ["pair_id", "n"], "left").fillna(0, subset=["overlap"])
+    j = ngram_overlap(pairs, cand, ref, [n] if isinstance(n, int) else list(n), ["pair_id"])
     p = F.col("overlap") / F.greatest(F.col("cand_total"), F.lit(1))
     r = F.col("overlap") / F.greatest(F.col("ref_total"), F.lit(1))
     s = j.select("pair_id", "n", p.alias("precision"), r.alias("recall"))
@@ -109,24 +116,40 @@ def rouge_n(pairs: DataFrame, n, cand: str = "cand", ref: str = "ref") -> DataFr
                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
-def lcs_length(a: list, b: list) -> int:
-    """Length of the longest common subsequence (bit-parallel, Hyyrö 2004).
+#: positions of the reference in one block of the LCS
+LCS_BLOCK = 1 << 15
+
 
-    Bits of ``v`` stand for positions of ``b``; each token of ``a`` costs a
-    few big-integer operations over ``len(b)`` bits.
+def lcs_length(a: list, b: list, block: int = LCS_BLOCK) -> int:
+    """Length of the longest common subsequence (bit-parallel, Hyyrö 2004, in blocks).
+
+    Bits of ``v`` stand for positions of ``b``. Blocks of ``b`` are taken one
+    after the other, each over all of ``a``; what the addition carries out of
+    a block at a token of ``a`` is handed to the next block at that token. So
+    a step works on ``block`` bits, memory is a block and a byte per token of
+    ``a``, and tokens that a block does not hold are passed over.
     """
-    m = len(b)
-    if not a or not m:
+    if not a or not b:
         return 0
-    masks: dict = {}
-    for j, tok in enumerate(b):
-        masks[tok] = masks.get(tok, 0) | (1 << j)
-    full = (1 << m) - 1
-    v = full
-    for tok in a:
-        u = v & masks.get(tok, 0)
-        v = ((v + u) | (v - u)) & full
-    return m - bin(v).count("1")
+    carry, common = bytearray(len(a)), 0
+    for start in range(0, len(b), block):
+        part = b[start:start + block]
+        m = len(part)
+        masks: dict = {}
+        for j, tok in enumerate(part):
+            masks[tok] = masks.get(tok, 0) | (1 << j)
+        full = (1 << m) - 1
+        v = full
+        for i, tok in enumerate(a):
+            u, c = masks.get(tok, 0), carry[i]
+            if not u and not c:
+                continue
+            u &= v
+            s = v + u + c
+            carry[i] = s >> m
+            v = (s & full) | (v - u)
+        common += m - v.bit_count()
+    return common
 
 
 @F.pandas_udf(LongType())
@@ -147,6 +170,11 @@ def rouge_l(pairs: DataFrame, cand: str = "cand", ref: str = "ref") -> DataFrame
                                            / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 
+def corpus_mean(scores: DataFrame, by: list[str] = (), cols: list[str] = ("precision", "recall", "fmeasure")) -> DataFrame:
+    """Corpus score: the mean over all pairs, and how many there are."""
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *[F.avg(c).alias(c) for c in cols])
+
+
 def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", vec: str = "vec",
                  cand_side=0, token_id: str | None = None, block: int = 2048) -> DataFrame:
     """Embedding greedy match per pair (BERTScore shape) over given token vectors.
@@ -163,8 +191,6 @@ def greedy_match(tokens: DataFrame, pair: str = "pair_id", side: str = "side", v
     pair is a single group; a pair holding a large share of all tokens is
     spread over many tasks instead of landing in one.
     """
-    import numpy as np
-
     t = tokens.select(pair, F.col(side).alias("_side"), F.col(vec).alias("_vec"),
                       (F.col(token_id) if token_id else F.monotonically_increasing_id()).alias("_tid"))
     is_c = F.col("_side") == F.lit(cand_side)

@@ -81,30 +81,72 @@ def rouge_n_pairs_q(spark, sf):
     return R(_rouge_pairs(spark, sf))
 
 
-@query("rouge_l")
+def _lcs(source: str) -> str:
+    """CTEs up to ``lf(pair_id, lcs, precision, recall, fmeasure)``: a row of the LCS table per step, all pairs at once."""
+    return f"""lt AS (SELECT pair_id, cand, ref, len(cand) AS cn, len(ref) AS rn, row_number() OVER () AS k FROM {source}),
+lc AS (SELECT k, unnest(range(1, cn + 1)) AS i, unnest(cand) AS tok FROM lt),
+lr AS (SELECT k, unnest(range(1, rn + 1)) AS j, unnest(ref) AS tok FROM lt),
+dp AS (
+  SELECT 0::BIGINT AS i, k, j, tok, 0::BIGINT AS v FROM lr
+  UNION ALL
+  SELECT i, k, j, tok, max(x) OVER (PARTITION BY k ORDER BY j) FROM (
+    SELECT dp.i + 1 AS i, dp.k, dp.j, dp.tok,
+           greatest(v, lag(v, 1, 0) OVER (PARTITION BY dp.k ORDER BY j) + CASE WHEN lc.tok = dp.tok THEN 1 ELSE 0 END) AS x
+    FROM dp JOIN lc ON lc.k = dp.k AND lc.i = dp.i + 1)),
+ll AS (SELECT pair_id, cn, rn, coalesce(dp.v, 0) AS lcs FROM lt LEFT JOIN dp ON dp.k = lt.k AND dp.i = cn AND dp.j = rn),
+lp0 AS (SELECT pair_id, lcs, CASE WHEN cn > 0 THEN lcs / cn ELSE 0 END AS precision, CASE WHEN rn > 0 THEN lcs / rn ELSE 0 END AS recall FROM ll),
+lf AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS fmeasure FROM lp0)"""
+
+
+_LF = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(fmeasure, 6) AS fmeasure"
+
+
+@query("rouge_l", f"""WITH RECURSIVE {PAIRS}, {_lcs("pairs")}
+SELECT pair_id, lcs, {_LF} FROM lf""")
 def rouge_l_q(spark, sf):
     return R(TM.rouge_l(X.text_pairs(spark, sf)))
 
 
+@query("rouge_l_corpus", f"""WITH RECURSIVE {PAIRS}, {_lcs("pairs")}
+SELECT count(*) AS pairs, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(fmeasure), 6) AS fmeasure FROM lf""")
+def rouge_l_corpus_q(spark, sf):
+    return R(TM.corpus_mean(TM.rouge_l(X.text_pairs(spark, sf))))
+
+
 _EMB = """tok AS (SELECT vec_id, vec_id // 10 AS pair_id, vec_id % 2 AS side, CAST(embedding AS DOUBLE[]) AS v
                  FROM embeddings)"""
 
 
-@query("greedy_match", f"""WITH {_EMB},
+_MATCH = f"""WITH {_EMB},
 sim AS (SELECT c.pair_id, c.vec_id AS cid, r.vec_id AS rid, list_cosine_similarity(c.v, r.v) AS s
         FROM tok c JOIN tok r ON c.pair_id = r.pair_id AND c.side = 0 AND r.side = 1),
 p AS (SELECT pair_id, avg(m) AS precision FROM (SELECT pair_id, cid, max(s) AS m FROM sim GROUP BY pair_id, cid)
       GROUP BY pair_id),
 r AS (SELECT pair_id, avg(m) AS recall FROM (SELECT pair_id, rid, max(s) AS m FROM sim GROUP BY pair_id, rid)
-      GROUP BY pair_id)
+      GROUP BY pair_id)"""
+
+
+@query("greedy_match", f"""{_MATCH}
 SELECT p.pair_id, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1
 FROM p JOIN r ON p.pair_id = r.pair_id""")
 def greedy_match_q(spark, sf):
+    return R(_matched(spark, sf))
+
+
+@query("greedy_match_corpus", f"""{_MATCH},
+m AS (SELECT coalesce(precision, 0) AS precision, coalesce(recall, 0) AS recall FROM (SELECT DISTINCT pair_id FROM tok) LEFT JOIN p USING (pair_id) LEFT JOIN r USING (pair_id))
+SELECT count(*) AS pairs, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(CASE WHEN precision + recall <> 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END), 6) AS f1 FROM m""")
+def greedy_match_corpus_q(spark, sf):
+    return R(TM.corpus_mean(_matched(spark, sf), cols=["precision", "recall", "f1"]))
+
+
+def _matched(spark, sf):
     e = X.table(spark, sf, "embeddings")
     toks = e.select((F.col("vec_id") / 10).cast("long").alias("pair_id"),
                     (F.col("vec_id") % 2).cast("int").alias("side"), F.col("embedding").alias("vec"), "vec_id")
-    return R(TM.greedy_match(toks, "pair_id", "side", "vec", token_id="vec_id"))
+    return TM.greedy_match(toks, "pair_id", "side", "vec", token_id="vec_id")
 
 
 @query("mean_pool", """SELECT pair_id, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS x FROM (
@@ -158,7 +200,8 @@ def rouge_n_library_tokens_q(spark, sf):
                                   F.avg("fmeasure").alias("fmeasure")))
 
 
-@query("rouge_l_library_tokens")
+@query("rouge_l_library_tokens", f"""WITH RECURSIVE {PAIRS}, {_LIB}, {_lcs("lp")}
+SELECT pair_id, lcs, {_LF} FROM lf""")
 def rouge_l_library_tokens_q(spark, sf):
     """ROUGE-L per pair on the ROUGE scorer's default tokens."""
     return R(TM.rouge_l(_library_token_pairs(spark, sf)))

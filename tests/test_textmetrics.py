@@ -131,3 +131,54 @@ def test_greedy_match_blocked_equals_single_block(spark):
     for k in one:
         assert (many[k]["precision"], many[k]["recall"], many[k]["f1"]) == \
                pytest.approx((one[k]["precision"], one[k]["recall"], one[k]["f1"]))
+
+
+def brute_matches(c, r, n):
+    from collections import Counter
+    grams = lambda t: Counter(tuple(t[i:i + n]) for i in range(len(t or []) - n + 1))
+    return sum((grams(c or []) & grams(r or [])).values())
+
+
+def test_clipped_matches_against_counters(spark):
+    import random
+    rnd = random.Random(4)
+    side = lambda: None if rnd.random() < 0.1 else [rnd.choice(["a", "b", "a b", "", None, "é"]) for _ in range(rnd.randrange(0, 30))]
+    rows = [(i % 50, side(), side()) for i in range(200)] + [(0, ["x"] * 3000, ["x"] * 2000)]
+    pairs = spark.createDataFrame(rows, "pair_id int, cand array<string>, ref array<string>")
+    found = TM.ngram_overlap(pairs, "cand", "ref", [1, 2, 3, 4], ["pair_id", "cand", "ref"]).collect()
+    assert len(found) == 4 * len(rows)
+    for r in found:
+        assert r["overlap"] == brute_matches(r["cand"], r["ref"], r["n"])
+        assert r["cand_total"] == max(len(r["cand"] or []) - r["n"] + 1, 0)
+    # repeated pair ids keep their rows
+    assert TM.rouge_n(pairs, [1, 2]).count() == 2 * len(rows)
+    assert TM.rouge_n(pairs.limit(0), 1).count() == 0 and TM.ngram_precision(pairs.limit(0)).count() == 0
+
+
+def test_ngrams_are_not_shuffled(spark):
+    pairs = spark.createDataFrame([(1, ["a"], ["a"])], "pair_id int, cand array<string>, ref array<string>")
+    per_pair = TM.rouge_n(pairs, [1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in per_pair
+    corpus = TM.ngram_precision(pairs)._jdf.queryExecution().executedPlan().toString()
+    assert corpus.count("Exchange") == 1 and "partial_sum" in corpus
+
+
+@pytest.mark.parametrize("block", [1, 3, 64, 1 << 15])
+def test_lcs_in_blocks(block):
+    import random
+    rnd = random.Random(block)
+    for _ in range(40):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randrange(0, 60))] for _ in range(2))
+        assert TM.lcs_length(a, b, block) == lcs_dp(a, b)
+
+
+def test_lcs_of_a_very_long_pair():
+    a = [i * 7919 % 5003 for i in range(100_000)]
+    b = [x for i, x in enumerate(a) if i % 7]
+    assert TM.lcs_length(b, a) == len(b)
+
+
+def test_corpus_mean(spark):
+    pairs = spark.createDataFrame([(1, ["a", "b"], ["a"]), (2, [], []), (2, None, ["x"])], "pair_id int, cand array<string>, ref array<string>")
+    r = TM.corpus_mean(TM.rouge_l(pairs)).first()
+    assert r["pairs"] == 3 and r["precision"] == pytest.approx(0.5 / 3) and r["recall"] == pytest.approx(1 / 3)
