@@ -18,7 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from kestrel.codebook import ASPECT_OUTPUTS, OFFLINE_FIELD_NAMES
 from kestrel.functions.arrays import as_doubles
 from kestrel.functions.labels import verbalise
-from kestrel.operators.heads import weights_arrays
+from kestrel.operators.heads import usable_vectors, weights_arrays
 from kestrel.operators.postings import assemble_text_offline
 from kestrel.sources.tables import load_weights, read_postings, write_csv
 
@@ -43,10 +43,10 @@ def score_tasks(df: DataFrame, vec: str, models: Models, out: str = "tasks") ->
     d = weights.shape[1]
 
     def predict(v: pd.Series) -> pd.DataFrame:
-        ok = np.array([x is not None and len(x) == d and not np.isnan(np.asarray(x, dtype=np.float64)).any() for x in v], dtype=bool)
+        ok, x = usable_vectors(v, d)
         codes = {task: [None] * len(v) for task in models}
         if ok.any():
-            scores = np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]]) @ weights.T + bias
+            scores = x @ weights.T + bias
             best = [s.argmax(axis=1) for s in np.split(scores, ends[:-1], axis=1)]
             for task in models:
                 own = np.stack([p for p, (t, _, _) in zip(best, heads, strict=True) if t == task], axis=1).astype(np.int32)

@@ -280,7 +280,7 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
 # --- scoring ----------------------------------------------------------------------
 
 def _place(ok: np.ndarray, rows) -> pd.Series:
-    """Rows back at the non-null positions; null vectors give null."""
+    """Rows back at the usable positions; other vectors give null."""
     if ok.all():
         return pd.Series(list(rows))
     out = [None] * len(ok)
@@ -289,8 +289,9 @@ def _place(ok: np.ndarray, rows) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _vectors(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    ok = v.notna().to_numpy()
+def usable_vectors(v: pd.Series, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors can be scored (not null, ``d`` entries, none of them null), and those as a matrix."""
+    ok = np.array([x is not None and len(x) == d and not np.isnan(np.asarray(x, dtype=np.float64)).any() for x in v], dtype=bool)
     if not ok.any():
         return ok, np.zeros((0, 0))
     return ok, np.stack([np.asarray(x, dtype=np.float64) for x in v[ok]])
@@ -310,7 +311,7 @@ def head_scores(vec, w: np.ndarray, b: np.ndarray, head: int = 0, engine: str =
     wh, bh = w[head], b[head]  # they travel with the function
 
     def scores(v: pd.Series) -> pd.Series:
-        ok, x = _vectors(v)
+        ok, x = usable_vectors(v, wh.shape[1])
         return _place(ok, x @ wh.T + bh if ok.any() else [])
 
     return F.pandas_udf(scores, ArrayType(DoubleType()))(as_doubles(vec))
@@ -319,7 +320,7 @@ def head_scores(vec, w: np.ndarray, b: np.ndarray, head: int = 0, engine: str =
 def head_predictions(vec, w: np.ndarray, b: np.ndarray) -> Column:
     """Arg-max class of every head (``array<int>``, first index wins ties) in one pass."""
     def preds(v: pd.Series) -> pd.Series:
-        ok, x = _vectors(v)
+        ok, x = usable_vectors(v, w.shape[2])
         if not ok.any():
             return _place(ok, [])
         p = np.stack([np.argmax(x @ w[h].T + b[h], axis=1) for h in range(w.shape[0])], axis=1)

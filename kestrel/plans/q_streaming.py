@@ -14,7 +14,7 @@ from kestrel.operators.online import online_learn
 from kestrel.plans import fixtures as X
 from kestrel.plans.catalogue import query
 from kestrel.plans.q_heads import _CENT
-from kestrel.plans.sqlparts import ASP, ORD, REG, REQRESP, online_sql
+from kestrel.plans.sqlparts import ASP, ORD, REG, REQRESP, STORED, online_sql
 from kestrel.sources import messages as MS
 from kestrel.sources.tables import scratch_path
 from kestrel.streaming.correlate import stream_correlate
@@ -140,33 +140,38 @@ def stream_online_q(spark, sf):
     return R(learner.registry_frame(spark))
 
 
-@query("stream_score_champion", f"""WITH {_CENT}, {ASP}, {REG.replace("art AS", "art0 AS")},
-best AS (SELECT version FROM reg WHERE version % 7 <> 0 ORDER BY avg_f1 DESC, version ASC LIMIT 1)
+@query("stream_score_champion", f"""WITH {_CENT}, {STORED}, {REG.replace("art AS", "art0 AS")},
+best AS (SELECT version FROM reg WHERE version % 7 <> 0 ORDER BY avg_f1 DESC, version ASC LIMIT 1),
+best_aspects AS (SELECT version FROM reg WHERE version % 7 <> 0 ORDER BY acc DESC, version ASC LIMIT 1)
 SELECT sha256(CAST(sc.vec_id AS VARCHAR)) AS key, CAST(sc.vec_id AS VARCHAR) AS id, CAST(sc.p AS INTEGER) AS prediction,
-       '[' || array_to_string(asp.p_aspects, ', ') || ']' AS acsa, (SELECT version FROM best) AS version
-FROM sc JOIN asp ON sc.vec_id = asp.vec_id""")
+       '[' || array_to_string(scored.p_aspects, ', ') || ']' AS acsa, (SELECT version FROM best) AS version, (SELECT version FROM best_aspects) AS aspect_version
+FROM sc JOIN scored ON sc.vec_id = scored.vec_id""")
 def stream_score_champion_q(spark, sf):
-    """Requests scored by the registry's best servable version, re-read every micro-batch (R1 + R9)."""
+    """Requests scored by the best servable version of each task, re-read every micro-batch (R1 + R9).
+
+    The aspect task's records take the other figure of the day as their F1, so
+    its champion is another version.
+    """
     from kestrel.sources.tables import save_weights_many
     from kestrel.streaming.scoring import champion_scorer
-    e = X.table(spark, sf, "embeddings")
+    e = X.vector_rows(spark, sf)
     base = scratch_path(spark, f"stream-champion-{uuid.uuid4().hex}")
     reg = X.registry(spark, sf)
-    reg.write.parquet(f"{base}/registry")
-    # artefacts of every version except multiples of 7; each holds the centroid head
-    cent = H.centroid_weights(e, "embedding", "label")
+    both = reg.unionByName(reg.withColumns({"task": F.lit("acsa"), "avg_f1": F.col("acc")}))
+    both.write.parquet(f"{base}/registry")
+    # artefacts of every version except multiples of 7; each holds the centroid heads
     # one row per registry version: a short list of literals
     versions = [r["version"] for r in X.artefacts(reg).select("version").collect()]
-    save_weights_many(cent.withColumn("version", F.explode(F.array(*[F.lit(v) for v in versions]))),
-                      f"{base}/store", "cls")
+    of = F.explode(F.array(*[F.lit(v) for v in versions]))
+    save_weights_many(H.centroid_weights(e, "embedding", "t_class").withColumn("version", of), f"{base}/store", "cls")
+    save_weights_many(H.centroid_weights(e, "embedding", "t_aspects", 4).withColumn("version", of), f"{base}/store", "acsa")
     reqs = MS.to_messages(e.withColumn("cid", F.sha2(F.col("vec_id").cast("string"), 256)), "cid", {
         "id": F.col("vec_id").cast("string"), "data": F.to_json(as_doubles("embedding"))})
     reqs.write.parquet(f"{base}/requests")
     stream = MS.read_requests(spark, "parquet", {"maxFilesPerTrigger": "2"}, path=f"{base}/requests")
-    q = (stream.writeStream.foreachBatch(champion_scorer(f"{base}/registry", f"{base}/store", f"{base}/out",
-                                                         aspect_scores=lambda v: F.slice(v, 1, 16)))
+    q = (stream.writeStream.foreachBatch(champion_scorer(f"{base}/registry", f"{base}/store", f"{base}/out", aspect_task="acsa"))
                .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     _await(q)
     out = spark.read.parquet(f"{base}/out")
-    parsed = out.select("key", "version", F.from_json("value", MS.RESPONSE_SCHEMA).alias("v"))
-    return parsed.select("key", "v.id", "v.prediction", "v.acsa", "version")
+    parsed = out.select("key", "version", "aspect_version", F.from_json("value", MS.RESPONSE_SCHEMA).alias("v"))
+    return parsed.select("key", "v.id", "v.prediction", "v.acsa", "version", "aspect_version")

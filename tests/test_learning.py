@@ -177,3 +177,37 @@ def test_cascade_from_the_store(spark, rows, scratch):
         C.load_models(spark, f"{scratch}/store", {"cls": 8})
     plan = C.cascade_from_models(df, "id", "vec", ["c_0"], loaded)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("ArrowEvalPython") == 1 and "Exchange" not in plan
+
+
+def test_requests_are_scored_by_both_champions(spark, rows, scratch):
+    """A micro-batch reads the store anew; a task without a servable version answers with its fallback."""
+    import json
+
+    from kestrel.streaming.scoring import champion_scorer
+    rng = np.random.default_rng(6)
+    models = {v: {"cls": (rng.normal(size=(1, 3, 5)), np.zeros((1, 3))), "acsa": (rng.normal(size=(4, 4, 5)), np.zeros((4, 4)))} for v in (1, 2, 3)}
+    save = lambda t, v: save_weights(H.weights_frame(spark, *models[v][t]), f"{scratch}/store", t, v)
+    save("cls", 1)
+    reg = [("cls", 1, 0.2), ("cls", 2, 0.9), ("acsa", 1, 0.5), ("acsa", 3, 0.4)]
+    spark.createDataFrame(reg, "task string, version int, avg_f1 double").write.parquet(f"{scratch}/registry")
+    vectors = [r[1] for r in rows[:6]] + [None, [1.0, 2.0]]
+    batch = spark.createDataFrame([(str(i), str(i), json.dumps(v)) for i, v in enumerate(vectors)], "key string, id string, data string")
+    run = champion_scorer(f"{scratch}/registry", f"{scratch}/store", f"{scratch}/out", aspect_task="acsa")
+
+    def answers(mb, cls, acsa):
+        run(batch, mb)
+        out = spark.read.parquet(f"{scratch}/out").where(F.col("_mb") == mb).collect()
+        assert len(out) == 8 and {(r["version"], r["aspect_version"]) for r in out} == {(cls, acsa)}
+        for r in out:
+            v, x = json.loads(r["value"]), vectors[int(r["key"])]
+            usable = x is not None and len(x) == 5
+            label = int(np.argmax(models[cls]["cls"][0][0] @ np.array(x))) if usable else -1
+            aspects = [int(np.argmax(models[acsa]["acsa"][0][h] @ np.array(x))) for h in range(4)] if usable and acsa else [-1] * 4
+            assert (v["prediction"], json.loads(v["acsa"])) == (label, aspects)
+
+    answers(0, 1, None)
+    save("cls", 2)
+    save("acsa", 3)
+    answers(1, 2, 3)
+    save("acsa", 1)
+    answers(2, 2, 1)
