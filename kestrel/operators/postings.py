@@ -121,20 +121,23 @@ def vocab_topk(df: DataFrame, col: str, k: int, first_id: int = 2) -> DataFrame:
 
 
 def pad_tokens(df: DataFrame, col: str, vocab: DataFrame, length: int, key: str) -> DataFrame:
-    """Token ids truncated/padded to ``length`` plus the attention mask; ``key`` is unique.
+    """Token ids truncated/padded to ``length`` plus the attention mask, a row per input row.
 
     Only the first ``length`` tokens are cut off the text. They are joined
     with the vocabulary (AQE picks the side by its measured size) and put
     back together per row, in groups of at most ``length``. Null and empty
-    texts are all padding.
+    texts are all padding. Rows are numbered where they lie, so repeated keys
+    keep their own rows; give an input whose rows may change places between
+    two computations as a written table or a checkpoint.
     """
     # one piece may be empty in front, one holds the rest of the text
     head = F.slice(F.filter(F.split(F.col(col), WHITESPACE, length + 2), lambda t: t != ""), 1, length)
-    toks = df.select(key, F.posexplode_outer(head).alias("_pos", "_tok"))
+    rows = df.select(F.col(key).alias("_key"), head.alias("_head"), F.monotonically_increasing_id().alias("_row"))
+    toks = rows.select("_key", "_row", F.posexplode_outer("_head").alias("_pos", "_tok"))
     known = vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_vid"))
     entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("_vid", F.lit(1)).alias("i")))
-    base = toks.join(known, "_tok", "left").groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["i"]).alias("_ids"))
+    base = toks.join(known, "_tok", "left").groupBy("_row").agg(
+        F.first("_key").alias(key), F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["i"]).alias("_ids"))
     pad = F.array_repeat(F.lit(0), F.lit(length) - F.size("_ids"))
     return base.select(key, F.concat("_ids", pad).alias("input_ids"),
                        F.concat(F.array_repeat(F.lit(1), F.size("_ids")), pad).alias("attention_mask"))

@@ -123,9 +123,9 @@ def latency_stats_q(spark, sf):
 SELECT recruitment_id, label,
   CASE label WHEN 0 THEN 'clean' WHEN 1 THEN 'warning' WHEN 2 THEN 'seeding' END AS name,
   CASE label WHEN 0 THEN 'rõ ràng' WHEN 1 THEN 'cảnh báo' WHEN 2 THEN 'có yếu tố thu hút' END AS name_vi,
-  label AS code_back FROM post WHERE label IS NOT NULL""")
+  label AS code_back FROM post""")
 def label_decode_q(spark, sf):
-    p = X.postings(spark, sf).where(F.col("label").isNotNull())
+    p = X.postings(spark, sf)
     d = p.select("recruitment_id", "label", L.label_decode("label").alias("name"),
                  L.label_decode("label", "label_vi").alias("name_vi"))
     return d.withColumn("code_back", L.label_encode("name"))

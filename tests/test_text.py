@@ -185,3 +185,12 @@ def test_params_discovered_labels(spark):
 def test_removed_markup_does_not_join_text(spark):
     for s in ["&#39<style>p{}</style>;", "&amp</p>; ", "<<<!-- c -->b<p>", "x&lt<br/>;y"]:
         assert one(spark, s, T.html_to_text) == T.html_text_exact(s), s
+
+
+def test_pad_tokens_keeps_the_rows_of_repeated_keys(spark):
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    rows = [(1, "a b"), (1, "c"), (1, "a b"), (None, "b x"), (2, None), (2, "")]
+    got = P.pad_tokens(spark.createDataFrame(rows, "id int, text string").repartition(3), "text", vocab, 3, "id").collect()
+    assert sorted((r["id"] or 0, r["input_ids"], r["attention_mask"]) for r in got) == [
+        (0, [3, 1, 0], [1, 1, 0]), (1, [2, 3, 0], [1, 1, 0]), (1, [2, 3, 0], [1, 1, 0]), (1, [4, 0, 0], [1, 0, 0]),
+        (2, [0, 0, 0], [0, 0, 0]), (2, [0, 0, 0], [0, 0, 0])]
