@@ -55,6 +55,27 @@ DISPLAY_NAMES = {
     "min_salary": "Lương tối thiểu", "max_salary": "Lương tối đa",
 }
 
+# crawled posting with its poster: column groups in output order (spelled as in the original)
+CRAWLED_GROUPS = [
+    ["title", "Ngành nghề"],
+    ["body", "Học vấn tối thiểu", "Kinh nghiệm", "Chứng chỉ, kỹ năng", "Các quyền lợi khác"],
+    ["Tên công ty", "location", "phone", "contact_name"],
+    ["ID người đăng", "Tên người đăng", "Số điện thoại người đăng", "URL người đăng",
+     "publish_at", "submisson_expired", "is_anonymous", "is_recruiters"],
+    ["id", "url", "Số lượng tuyển dụng", "total_image", "Loại hình công việc", "Hình thức trả lương",
+     "Lương tối thiểu", "Lương tối đa", "Giới tính", "Độ tuổi"],
+]
+
+# crawled posting: column -> display name, where the original's rename applies
+CRAWLED_NAMES = {
+    "title": "Tiêu đề", "body": "Mô tả", "location": "địa chỉ", "phone": "Số điện thoại liên lạc",
+    "is_anonymous": "Là người lạ", "is_recruiters": "Là người tuyển dụng", "total_image": "Số lượng ảnh",
+}
+
+# names of the six poster columns left after the drop, by position
+POSTER_NAMES = ["ID người đăng", "Tên người đăng", "Số điện thoại người đăng", "URL người đăng",
+                "u.created_date", "u.ad_id"]
+
 # poster columns dropped before the join, and the poster column names after it
 POSTER_DROP = ["microsite", "total", "post_hidden_phone", "post_hidden_microsite",
                "reputation", "image_url"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.codebook import (CLS_TOKEN, DISPLAY_NAMES, LAYOUT_GROUPS, OFFLINE_FIELD_NAMES, POSTER_DROP,
+from kestrel.codebook import (CLS_TOKEN, CRAWLED_GROUPS, CRAWLED_NAMES, DISPLAY_NAMES, LAYOUT_GROUPS, OFFLINE_FIELD_NAMES, POSTER_DROP, POSTER_NAMES,
                               SEP_TOKEN)
 from kestrel.functions.text import WHITESPACE, amount_number, br_to_space, salary_range, tokens
 
@@ -152,3 +152,27 @@ def posting_with_poster(detail: DataFrame, poster: DataFrame, on_detail: str = "
     poster = poster.drop(*[c for c in POSTER_DROP if c in poster.columns])
     p = poster.select(*[F.col(c).alias(prefix + c) for c in poster.columns])
     return detail.join(p, detail[on_detail] == p[prefix + on_poster], "left")
+
+
+def rename_positional(df: DataFrame, names: list[str]) -> DataFrame:
+    """Columns renamed by position; a table with another number of columns stays as it is."""
+    return df.toDF(*names) if len(df.columns) == len(names) else df
+
+
+def crawled_layout(detail: DataFrame, poster: DataFrame, on_detail: str = "user_id", on_poster: str = "id",
+                   keep: list[str] = ()) -> DataFrame:
+    """A crawled posting with its poster in the display layout: title, body, company, poster and other columns.
+
+    Profile columns that are not poster data go, the others are named by
+    position (a profile with another number of columns keeps its names, with
+    ``poster_`` in front, and then fills no poster column). Left join by the
+    poster's id; only columns of the layout come out, those that exist, behind
+    ``keep``.
+    """
+    poster = poster.drop(*[c for c in POSTER_DROP if c in poster.columns])
+    named = rename_positional(poster, POSTER_NAMES)
+    if named is poster:
+        named = poster.toDF(*[f"poster_{c}" for c in poster.columns])
+    key = named.columns[poster.columns.index(on_poster)]
+    joined = detail.join(named, detail[on_detail] == named[f"`{key}`"], "left")
+    return posting_layout(joined, keep=keep, groups=CRAWLED_GROUPS, names=CRAWLED_NAMES)

@@ -74,6 +74,18 @@ def posting_with_poster_q(spark, sf):
     return j.select("id", "user_id", "title", "poster_name", "poster_location")
 
 
+@query("crawled_layout", f"""WITH {DETAIL}
+SELECT d.user_id, d.title AS "Tiêu đề", d.phone AS "Số điện thoại liên lạc", s.s_suppkey AS "ID người đăng", s.s_name AS "Tên người đăng",
+       '0' || s.s_suppkey AS "Số điện thoại người đăng", 'user/' || s.s_suppkey AS "URL người đăng", d.id
+FROM det d LEFT JOIN supplier s ON d.user_id = s.s_suppkey""")
+def crawled_layout_q(spark, sf):
+    """Posting details with a six-column profile of their poster, named by position and laid out in groups."""
+    key = F.col("id").cast("string")
+    profile = X.posters(spark, sf).select("id", "name", F.concat(F.lit("0"), key).alias("phone"), F.concat(F.lit("user/"), key).alias("url"),
+                                          F.col("location").alias("created"), F.col("balance").alias("ad"), F.lit(1).alias("total"))
+    return P.crawled_layout(X.part_details(spark, sf), profile, keep=["user_id"])
+
+
 @query("null_policy", f"""WITH {POST}
 SELECT recruitment_id, label, explanation FROM post2 WHERE explanation IS NOT NULL""")
 def null_policy_q(spark, sf):

@@ -194,3 +194,15 @@ def test_pad_tokens_keeps_the_rows_of_repeated_keys(spark):
     assert sorted((r["id"] or 0, r["input_ids"], r["attention_mask"]) for r in got) == [
         (0, [3, 1, 0], [1, 1, 0]), (1, [2, 3, 0], [1, 1, 0]), (1, [2, 3, 0], [1, 1, 0]), (1, [4, 0, 0], [1, 0, 0]),
         (2, [0, 0, 0], [0, 0, 0]), (2, [0, 0, 0], [0, 0, 0])]
+
+
+def test_crawled_layout_names_poster_columns_by_position(spark):
+    detail = spark.createDataFrame([(1, 7, "t", "b", "0x"), (2, 8, "u", None, None), (3, None, "v", "w", "y")],
+                                   "id int, user_id int, title string, body string, submisson_expired string")
+    profile = spark.createDataFrame([(7, "n", "p", "l", "d", 3, 99)], "id int, a string, b string, c string, d string, e int, total int")
+    out = P.crawled_layout(detail, profile).orderBy("id")
+    assert out.columns == ["Tiêu đề", "Mô tả", "ID người đăng", "Tên người đăng", "Số điện thoại người đăng", "URL người đăng", "submisson_expired", "id"]
+    assert [tuple(r) for r in out.collect()] == [("t", "b", 7, "n", "p", "l", "0x", 1), ("u", None, None, None, None, None, None, 2),
+                                                 ("v", "w", None, None, None, None, "y", 3)]
+    short = P.crawled_layout(detail, profile.select("id", "a"))  # another number of columns: no names by position
+    assert short.columns == ["Tiêu đề", "Mô tả", "submisson_expired", "id"] and short.count() == 3
