@@ -9,6 +9,7 @@ bit-parallel distance, so the result is exact for the given budget.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import ahocorasick
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices, text_of, with_text
+from kestrel.llm.common import slices, stored, text_of, unused, with_text
 
 RATE = 0.07
 ITEM_BYTES = 32 << 20  # text of the items held by a task at once; more items take more passes
@@ -128,35 +129,40 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, most:
     """The columns ``keep`` of every document row, and ``hits``: items within their edit budget, nearest place each.
 
     Items are sent to the tasks in batches of bounded size; benchmarks above
-    ``most`` bytes take one pass over the documents per batch. Null or empty texts have no hits;
-    null or empty items, and items with a null id, match nothing. Items with
-    equal ids each report.
+    ``most`` bytes take one pass over the documents per batch. The rows are
+    then numbered and written first, and hits of all passes meet by that
+    number, so any number of passes gives one row per document row. Null or
+    empty texts have no hits; null or empty items, and items with a null id,
+    match nothing. Items with equal ids each report. A kept column called
+    hits stays; the new one, always the last, then has a lengthened name.
     """
-    spark, schema = docs.sparkSession, docs.select(*keep).schema
+    spark, kept = docs.sparkSession, docs.select(*keep)
+    hits = unused(kept, "hits")
+    kind = "array<struct<item_id:long,distance:int,start:int,`end`:int>>"
 
-    def one(items):
+    def one(rows: DataFrame, own: tuple[str, ...], items: list[tuple[int, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             match = Matcher(sent.value, rate)
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+            form = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
             for b in slices(batches):
-                hits = [[dict(zip(("item_id", "distance", "start", "end"), h)) for h in match(t)] for t in text_of(b, keep)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(hits, kind)], [*keep, "hits"])
-
-        out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        return with_text(docs, keep).mapInArrow(
-            run, f"{out}, hits array<struct<item_id:long,distance:int,start:int,`end`:int>>")
-
-    result = None
-    for items in item_batches(benchmark, most):
-        part = one(items)
-        if result is None:
-            result, passes = part, 1
-        else:
-            passes += 1
-            result = result.select(*keep, "hits").unionByName(part)
-    if passes > 1:
-        # rows equal in all kept columns fold together
-        result = result.groupBy(*keep).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-    return result
+                found = [[dict(zip(("item_id", "distance", "start", "end"), h)) for h in match(t)] for t in text_of(b, own)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(own))), pa.array(found, form)], [*own, hits])
+
+        out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*own).schema)
+        return with_text(rows, own).mapInArrow(run, f"{out}`{hits}` {kind}")
+
+    batches = item_batches(benchmark, most)
+    first, second = next(batches), next(batches, None)
+    if second is None:
+        return one(docs, keep, first)
+    rows = with_text(docs, keep)
+    row = unused(rows, "row")
+    rows = stored(rows.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = None
+    for items in itertools.chain([first, second], batches):
+        part = one(rows, (row,), items).where(F.size(hits) > 0)
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list(hits))).alias(hits))
+    return rows.join(found, row, "left").select(*keep, F.coalesce(hits, F.array().cast(kind)).alias(hits))

@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import slices, text_of, with_text
+from kestrel.llm.common import slices, text_of, unused, with_text
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
@@ -138,13 +138,17 @@ class Codec:
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ids (array<int>), n_tokens and round_trip (decoding the ids gives the text back).
 
+    Where a kept column has one of these names, the new one's is lengthened
+    (``common.unused``); the new columns are always the last three.
+
     Null texts have null ids, 0 tokens and round_trip true; empty texts have
     no ids. The vocabulary (bounded by its file) is read on the driver and
     sent to the tasks, so ``path`` need only exist there. Repeated rows give
     repeated results.
     """
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
-    schema = docs.select(*keep).schema
+    kept = docs.select(*keep)
+    schema, new = kept.schema, [unused(kept, c) for c in ("ids", "n_tokens", "round_trip")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(*sent.value)
@@ -156,10 +160,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             null = np.array([t is None for t in texts] + [False])
             ids = pa.ListArray.from_arrays(pa.array(offsets, mask=null), pa.array(np.concatenate(each) if each else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), ids, pa.array(sizes), pa.array(same)], [*keep, "ids", "n_tokens", "round_trip"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), ids, pa.array(sizes), pa.array(same)], [*keep, *new])
 
     out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
-    return with_text(docs, keep).mapInArrow(run, f"{out}ids array<int>, n_tokens int, round_trip boolean")
+    return with_text(docs, keep).mapInArrow(run, f"{out}`{new[0]}` array<int>, `{new[1]}` int, `{new[2]}` boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

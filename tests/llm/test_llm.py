@@ -480,6 +480,29 @@ def test_decontamination(spark, rows):
     assert decontam.find_items(df, items.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_passes_keep_every_row(spark):
+    """Repeated rows, equal ids with other texts and a kept column ``hits``: the same rows in one pass and in many."""
+    rows = [(1, A, 7), (1, A, 7), (1, B, 7), (2, "nothing of it here", 8), (None, A, None), (3, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits int")
+    items = spark.createDataFrame([(10, A), (11, B), (12, A)], "item_id long, text string")
+    for keep in (("doc_id",), ("doc_id", "hits"), ("doc_id", "text", "hits")):
+        one, many = (sorted(map(repr, decontam.find_items(df, items, most=most, keep=keep).collect())) for most in (1 << 20, 10))
+        assert one == many and len(one) == len(rows)
+    got = decontam.find_items(df, items, most=10, keep=("doc_id", "hits"))
+    assert got.columns == ["doc_id", "hits", "hits_"]
+    assert sorted(len(r["hits_"]) for r in got.collect()) == [0, 0, 1, 2, 2, 2]
+
+
+def test_new_columns_beside_kept_ones_of_their_names(spark, labels):
+    df = spark.createDataFrame([(1, A, "s", 5, [1]), (2, None, None, None, None)], "doc_id long, text string, score string, predicted int, ids array<int>")
+    got = toxicity.score(df, labels, keep=("doc_id", "score", "predicted"))
+    assert got.columns == ["doc_id", "score", "predicted", "score_", "predicted_"]
+    assert {(r["score"], r["predicted"], r["predicted_"]) for r in got.collect()} == {("s", 5, 0), (None, None, 0)}
+    enc = pieces.encode(df, queries.VOCABULARY, keep=("doc_id", "ids"))
+    assert enc.columns == ["doc_id", "ids", "ids_", "n_tokens", "round_trip"]
+    assert [(r["ids"], r["ids_"] is None) for r in enc.orderBy("doc_id").collect()] == [([1], False), (None, True)]
+
+
 # 10 toxicity
 
 
