@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import crc_mod, slices, stored, text_of, with_text
+from kestrel.llm.common import crc_mod, slices, stored, text_of, unused, with_text
 
 SAMPLE = 20_000  # rows the classifier is fitted on
 HELD = 500_000  # features or vote patterns a task counts before it sends them on
@@ -291,6 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, str]], np.n
 def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, score (0 to 1) and predicted (1 from ``THRESHOLD``); one row per document row.
 
+    A kept column called score or predicted stays; the new one's name is then
+    lengthened (``common.unused``). The new columns are always the last two.
+
     Fitted on rows whose crc32(doc_id) mod 3 is not 1; labels, lang, source
     and doc_id are no inputs of a score. Null and empty texts are scored as
     texts without words. Without labelled toxic rows only the fixed patterns vote; without any training
@@ -298,7 +301,8 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
     """
     words, weights, b0 = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast((words, weights, b0))
-    schema = docs.select(*keep).schema
+    kept = docs.select(*keep)
+    schema, new = kept.schema, [unused(kept, "score"), unused(kept, "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, b0 = sent.value
@@ -306,7 +310,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",
         for b in slices(batches):
             logit = np.array([weights[voters(t)].sum() + b0 for t in text_of(b, keep)])
             p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*keep, *new])
 
     out = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
-    return with_text(docs, keep).mapInArrow(run, f"{out}score double, predicted int")
+    return with_text(docs, keep).mapInArrow(run, f"{out}`{new[0]}` double, `{new[1]}` int")
