@@ -99,7 +99,7 @@ def lexicon(docs: DataFrame, labels: DataFrame) -> list[tuple[int, str]]:
                 both = {k: (Counter(), Counter()) for k in TIMES}
         yield from counted(both)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(train, "doc_id").select("y", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(train.hint("merge"), "doc_id").select("y", "text")  # one plan at any number of labels
     counts = rows.mapInArrow(run, "k int, f string, clean long, toxic long").groupBy("k", "f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     precision = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
     top = (counts.where((F.col("toxic") >= MIN_TOXIC) & (precision >= MIN_PRECISION))
