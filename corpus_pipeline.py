@@ -18,7 +18,7 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not predict toxic."""
     scored = toxicity.score(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return scored.where(F.col(scored.columns[-1]) == 0).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
     found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
