@@ -1,9 +1,9 @@
 """Model registry operators: champion, best-so-far, replay updates, pruning.
 
-The registry holds one evaluation record per trigger, so its size is the
-number of triggers, not the data. Windows without a partition key are used
-on it (and only on it); everything data-sized elsewhere stays partitioned.
-Records carry ``task, version, avg_f1`` and an ordering ``key``.
+The registry holds one evaluation record per trigger. What runs over its
+history (best so far, champion timeline) is a distributed prefix scan
+(``sequence.running_max``), so a task with millions of records spreads over
+partitions. Records carry ``task, version, avg_f1`` and an ordering ``key``.
 """
 
 from __future__ import annotations
@@ -11,17 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _w(order: str, task: str | None = "task"):
-    w = Window.partitionBy(task) if task else Window.partitionBy()
-    return w.orderBy(order)
+from kestrel.operators.sequence import running_max, seeded_hash
 
 
 def best_so_far(reg: DataFrame, order: str = "key", value: str = "avg_f1",
                 task: str | None = "task") -> DataFrame:
     """``is_update``: the value beats every earlier value (the first record never does)."""
-    prev = F.max(value).over(_w(order, task).rowsBetween(Window.unboundedPreceding, -1))
-    return reg.withColumn("is_update", F.coalesce(F.col(value) > prev, F.lit(False)))
+    b = running_max(reg, order, F.col(value), "_best", [task] if task else [], inclusive=False)
+    return b.withColumn("is_update", F.coalesce(F.col(value) > F.col("_best"), F.lit(False))).drop("_best")
 
 
 def replay_updates(reg: DataFrame, m: int, order: str = "key", value: str = "avg_f1",
@@ -55,9 +52,9 @@ def version_sets(reg: DataFrame, m: int, order: str = "key", value: str = "avg_f
 def champion_timeline(reg: DataFrame, order: str = "key", value: str = "avg_f1",
                       task: str | None = "task") -> DataFrame:
     """After each record: the version with the best value so far (ties -> lowest version)."""
-    w = _w(order, task).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best = F.max_by(F.col("version"), F.struct(F.col(value), -F.col("version"))).over(w)
-    return reg.withColumn("champion", best)
+    rank = F.struct(F.col(value).alias("value"), (-F.col("version")).alias("low"), F.col("version").alias("version"))
+    b = running_max(reg, order, rank, "_best", [task] if task else [], inclusive=True)
+    return b.withColumn("champion", F.col("_best.version")).drop("_best")
 
 
 def best_version(reg: DataFrame, value: str = "avg_f1", task: str | None = "task") -> DataFrame:
@@ -150,5 +147,4 @@ def latest_epoch(names: DataFrame, name: str = "name", pattern: str = r"^(.*)_(\
 
 def sample_example(df: DataFrame, id_col: str, seed: int, k: int = 1) -> DataFrame:
     """``k`` rows chosen by a seeded hash of the id (repeatable random example)."""
-    from kestrel.operators.sequence import seeded_hash
     return df.orderBy(seeded_hash(id_col, seed), F.col(id_col)).limit(k)

@@ -1,26 +1,33 @@
 """Global row numbering, N-row triggers, replay triggers and mini-batches.
 
 A global ``row_number()`` over an unpartitioned window runs in one task. Here
-numbering is done in two distributed passes instead:
-
-1. range-partition on the order key and sort inside each partition; tag
-   each row with ``monotonically_increasing_id`` (partition index in the
-   upper bits, position inside the partition in the lower 33 bits) and
-   checkpoint, so partition ids stay fixed for the second pass and a lost
-   executor does not renumber anything;
-2. count rows per partition (one row per partition), turn the counts into
+numbering is done in distributed passes instead:
+
+1. write the rows, so that the plan above them runs once: range partitioning
+   reads its input twice, to sample and to shuffle;
+2. range-partition the written rows on the order key and sort inside each
+   partition; tag each row with ``monotonically_increasing_id`` (partition
+   index in the upper bits, position inside the partition in the lower 33
+   bits) and checkpoint, so partition ids stay fixed for the next pass and a
+   lost executor does not renumber anything; the files of step 1 then go;
+3. count rows per partition (one row per partition), turn the counts into
    offsets, broadcast that table (its size is the partition count) and add
    offset + position.
 
-Keys should be unique; ties are broken by the extra ``tiebreak`` columns.
+Running maxima go the same way: a maximum per partition, carried into the
+partitions behind it. Rows of equal order have no fixed order among them;
+name further order columns where that matters.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kestrel.session import ensure_checkpoint_dir
+from kestrel.sources.tables import remove_path, scratch_path
 
 _LOW = (1 << 33) - 1
 
@@ -31,18 +38,31 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def number_rows(df: DataFrame, order, partitions: int | None = None,
-                rn: str = "rn", total: str | None = "total") -> DataFrame:
-    """Add a 1-based global row number ``rn`` in ``order`` (and the row ``total``)."""
+def _in_order(df: DataFrame, order, partitions: int | None, written: bool) -> DataFrame:
+    """The rows checkpointed in ranges of ``order``, with ``_mid``: partition number and place in it."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    order_cols = _cols(order)
+    keys, rows, path = _cols(order), df, None  # names, or expressions over names
+    if not written:
+        path = scratch_path(spark, f"in-order-{uuid.uuid4().hex}")
+        df.write.parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path)
     # without a count, the session's shuffle partitions, which AQE merges by size
-    spread = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
-    ranged = (spread
-                .sortWithinPartitions(*order_cols)
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.checkpoint(eager=True)
+    spread = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    out = (spread.sortWithinPartitions(*keys)
+           .withColumn("_mid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    if path:
+        remove_path(spark, path)
+    return out
+
+
+def number_rows(df: DataFrame, order, partitions: int | None = None,
+                rn: str = "rn", total: str | None = "total", written: bool = False) -> DataFrame:
+    """Add a 1-based global row number ``rn`` in ``order`` (and the row ``total``).
+
+    ``written``: the rows are a plain read of a table, which may be read twice.
+    """
+    ranged = _in_order(df, order, partitions, written)
     pid = F.shiftright(F.col("_mid"), 33)
     sizes = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: an unpartitioned window here is bounded by their number
@@ -58,13 +78,33 @@ def number_rows(df: DataFrame, order, partitions: int | None = None,
     return out.drop("_mid", "_pid", "_off", "_total")
 
 
-def trigger_batches(df: DataFrame, key, n: int, keep_partial: bool = False) -> DataFrame:
+def running_max(df: DataFrame, order, value: Column, out: str, keys: list[str], inclusive: bool,
+                partitions: int | None = None) -> DataFrame:
+    """Add ``out``: the maximum of ``value`` over the earlier rows of the same ``keys`` (and this one if ``inclusive``).
+
+    A distributed prefix scan: one group of ``keys`` spreads over the range
+    partitions. The maxima of the partitions (a row per partition and group in
+    it) are carried forward; null values count for nothing.
+    """
+    ranged = _in_order(df, [*keys, *_cols(order)], partitions, False).withColumns(
+        {"_pid": F.shiftright("_mid", 33), "_v": value})
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # what earlier partitions carry into one stands in front of its rows
+    carried = (ranged.groupBy(*keys, "_pid").agg(F.max("_v").alias("_v"))
+               .select(*keys, "_pid", F.max("_v").over(before).alias("_v"), F.lit(-1).cast("long").alias("_mid")))
+    upto = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    rows = ranged.unionByName(carried, allowMissingColumns=True)
+    return rows.withColumn(out, F.max("_v").over(upto)).where(F.col("_mid") >= 0).select(*df.columns, out)
+
+
+def trigger_batches(df: DataFrame, key, n: int, keep_partial: bool = False, written: bool = False) -> DataFrame:
     """Consecutive groups of ``n`` rows in key order: ``batch_id`` (1-based).
 
     Only full groups are emitted unless ``keep_partial``; the remainder waits
     for the next trigger.
     """
-    numbered = number_rows(df, key)
+    numbered = number_rows(df, key, written=written)
     out = numbered.withColumn("batch_id", (F.floor((F.col("rn") - 1) / n) + 1).cast("long"))
     if not keep_partial:
         out = out.where(F.col("rn") <= F.floor(F.col("total") / n) * n)

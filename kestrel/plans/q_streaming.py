@@ -11,6 +11,7 @@ from kestrel.functions.arrays import as_doubles
 from kestrel.operators import heads as H
 from kestrel.operators.metrics import round_cols as R
 from kestrel.operators.online import online_learn
+from kestrel.operators.sequence import seeded_hash
 from kestrel.plans import fixtures as X
 from kestrel.plans.catalogue import query
 from kestrel.plans.q_heads import _CENT
@@ -18,8 +19,9 @@ from kestrel.plans.sqlparts import ASP, ORD, REG, REQRESP, STORED, online_sql
 from kestrel.sources import messages as MS
 from kestrel.sources.tables import scratch_path
 from kestrel.streaming.correlate import stream_correlate
+from kestrel.streaming.pacing import run_paced, write_arrivals
 from kestrel.streaming.scoring import score_requests
-from kestrel.streaming.triggers import read_ledger, stream_trigger
+from kestrel.streaming.triggers import init_ledger, read_ledger, stage_and_cut, stream_trigger
 
 N, M = TRIGGER_ROWS, REPLAY_EVERY
 
@@ -75,6 +77,33 @@ def stream_trigger_q(spark, sf):
     return read_ledger(spark, f"{base}/ledger").select("trigger_id", "lo", "hi", "n", "kind")
 
 
+#: rows of one arrival in ``stream_paced``, and the order they come in
+PACE, PACE_SEED = 2000, 7
+
+
+@query("stream_paced", f"""WITH RECURSIVE arrival AS (
+  SELECT o_custkey, (row_number() OVER (ORDER BY md5('{PACE_SEED}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) // {PACE} AS mb FROM orders),
+per AS (SELECT mb, list(o_custkey) AS keys FROM arrival GROUP BY mb),
+run AS (
+  SELECT CAST(-1 AS BIGINT) AS mb, CAST([] AS BIGINT[]) AS cut, CAST([] AS BIGINT[]) AS rest, CAST(0 AS BIGINT) AS before
+  UNION ALL
+  SELECT mb, pool[1:(len(pool) // {N}) * {N}], pool[(len(pool) // {N}) * {N} + 1:], before
+  FROM (SELECT per.mb, list_sort(list_concat(rest, CAST(keys AS BIGINT[]))) AS pool, CAST(before + len(cut) // {N} AS BIGINT) AS before
+        FROM run JOIN per ON per.mb = run.mb + 1)),
+trig AS (SELECT cut, before, unnest(range(1, len(cut) // {N} + 1)) AS i FROM run)
+SELECT CAST(before + i AS BIGINT) AS trigger_id, cut[(i - 1) * {N} + 1] AS lo, cut[i * {N}] AS hi, CAST({N} AS BIGINT) AS n,
+       CASE WHEN (before + i) % {M} = 0 THEN 'replay' ELSE 'own' END AS kind FROM trig""")
+def stream_paced_q(spark, sf):
+    """Paced loading: orders arrive out of key order, many with equal keys, and are cut into triggers as they come."""
+    o = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    base = scratch_path(spark, f"stream-paced-{uuid.uuid4().hex}")
+    write_arrivals(o, [seeded_hash("o_orderkey", PACE_SEED), "o_orderkey"], f"{base}/src")
+    init_ledger(spark, f"{base}/ledger")
+    run_paced(spark, f"{base}/src", PACE, "200 milliseconds",
+              stage_and_cut("o_custkey", f"{base}/staging", f"{base}/ledger", N, M), f"{base}/ckpt")
+    return read_ledger(spark, f"{base}/ledger").select("trigger_id", "lo", "hi", "n", "kind")
+
+
 @query("stream_correlate", f"""WITH {REQRESP}
 SELECT req.correlation_id, config, round(date_diff('microsecond', sent_at, answered_at) / 1e6, 6) AS latency
 FROM req JOIN resp ON req.correlation_id = resp.correlation_id

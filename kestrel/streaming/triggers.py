@@ -2,11 +2,12 @@
 
 ``foreachBatch`` stages each micro-batch and cuts its rows, with those that
 earlier micro-batches left over, into full N-row triggers in key order; the
-remainder waits. Every row keeps the number of its trigger, so late keys and
-tied keys are triggered once like any other. All writes are keyed by the
-micro-batch id and replace that partition, so a micro-batch that Spark
-replays after a failure rewrites the same rows instead of adding them twice
-(exactly-once effect). Restarting with the same checkpoint resumes where the
+remainder waits in a table of its own, bounded by N rows, so what a micro-batch
+reads does not grow with the stream's past. Every row keeps the number of its
+trigger, so late keys and tied keys are triggered once like any other. All
+writes are keyed by the micro-batch id and replace that folder, so a
+micro-batch that Spark replays after a failure rewrites the same rows instead
+of adding them twice (exactly-once effect). Restarting with the same checkpoint resumes where the
 ledger ends.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from kestrel.operators.sequence import trigger_batches
-from kestrel.sources.tables import path_exists
+from kestrel.sources.tables import path_exists, remove_path
 
 LEDGER_SCHEMA = StructType([
     StructField("trigger_id", LongType()), StructField("lo", LongType()), StructField("hi", LongType()),
@@ -36,62 +37,105 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER_SCHEMA).parquet(path).dropDuplicates(["trigger_id"])
 
 
-def _overwrite_partition(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("_mb").parquet(path))
+def _write(df: DataFrame, path: str, mb: int) -> None:
+    """Replace what micro-batch ``mb`` has written; no other folder is listed."""
+    df.write.mode("overwrite").parquet(f"{path}/_mb={mb}")
+
+
+def _read(spark: SparkSession, path: str, mb: int) -> DataFrame:
+    """What micro-batch ``mb`` has written."""
+    return spark.read.parquet(f"{path}/_mb={mb}")
 
 
 def cut_path(staging: str) -> str:
-    """Where the staged rows stand with their trigger (``_trigger``, null while they wait)."""
+    """The rows of triggers, with ``_trigger``, by the micro-batch that cut them."""
     return staging.rstrip("/") + "-cut"
 
 
+def wait_path(staging: str) -> str:
+    """The rows that wait for their trigger: what the last micro-batches left over."""
+    return staging.rstrip("/") + "-wait"
+
+
+def state_path(staging: str) -> str:
+    """One row per micro-batch still needed: its number and the newest trigger (``last``)."""
+    return staging.rstrip("/") + "-state"
+
+
 def triggered(spark: SparkSession, staging: str) -> DataFrame:
     """Rows of all triggers, one row per staged row, with ``_trigger``."""
-    return spark.read.parquet(cut_path(staging)).where(F.col("_trigger").isNotNull())
+    return spark.read.parquet(cut_path(staging))
 
 
-def waiting(spark: SparkSession, staging: str, before: int | None = None) -> DataFrame | None:
-    """Rows that no trigger has yet: what the last micro-batch (before ``before``) left over."""
-    if not path_exists(spark, cut_path(staging)):
+def waiting(spark: SparkSession, staging: str) -> DataFrame | None:
+    """Rows that no trigger has yet; None before the first micro-batch."""
+    if not path_exists(spark, state_path(staging)):
         return None
-    cut = spark.read.parquet(cut_path(staging))
-    if before is not None:
-        cut = cut.where(F.col("_mb") < before)
-    last = cut.agg(F.max("_mb")).first()[0]
-    return None if last is None else cut.where((F.col("_mb") == last) & F.col("_trigger").isNull()).drop("_mb", "_trigger")
+    newest = spark.read.parquet(state_path(staging)).agg(F.max("_mb")).first()[0]
+    return _read(spark, wait_path(staging), newest)
+
+
+def _state_before(spark: SparkSession, staging: str, mb: int) -> tuple[int, int] | None:
+    """(micro-batch, newest trigger) of the last one before ``mb``; None for the first.
+
+    Only the last few are kept, so this reads a bounded number of rows.
+    """
+    if not path_exists(spark, state_path(staging)):
+        return None
+    r = (spark.read.schema("last long, _mb int").parquet(state_path(staging)).where(F.col("_mb") < mb)
+         .agg(F.max(F.struct("_mb", "last")).alias("s")).first()["s"])
+    return None if r is None else (r["_mb"], r["last"])
 
 
 def stage_and_cut(key: str, staging: str, ledger: str, n: int, m: int,
                   on_trigger: Callable[[SparkSession, DataFrame], None] | None = None):
-    """The ``foreachBatch`` function: stage, then cut the waiting rows into full triggers."""
+    """The ``foreachBatch`` function: cut the arriving and the waiting rows into full triggers.
+
+    A micro-batch reads its own rows and those that the one before left
+    waiting (fewer than ``n``), never what earlier triggers took. The state
+    row is written last: a micro-batch cut off before it starts again from the
+    state before. Waiting rows and states older than the last one are removed.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, mb = batch.sparkSession, int(batch_id)
-        _overwrite_partition(batch.withColumn("_mb", F.lit(mb)), staging)
-        # the ledger as it was before this micro-batch (a replay ignores its own earlier rows)
-        led = spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("_mb") != mb)
-        last_t = led.agg(F.max("trigger_id").alias("t")).first()["t"] or 0
-        rest = waiting(spark, staging, mb)
-        pool = spark.read.parquet(staging).where(F.col("_mb") == mb).drop("_mb")
-        pool = pool if rest is None else pool.unionByName(rest)
-        cut = trigger_batches(pool, key, n, keep_partial=True)
+        before = _state_before(spark, staging, mb)
+        last = before[1] if before else 0
+        _write(batch, staging, mb)
+        pool = _read(spark, staging, mb)
+        if before:
+            pool = pool.unionByName(_read(spark, wait_path(staging), before[0]))
+        columns = pool.columns
+        cut = trigger_batches(pool, key, n, keep_partial=True, written=True)
         full = F.col("rn") <= F.floor(F.col("total") / n) * n
-        tid = F.when(full, F.col("batch_id") + F.lit(int(last_t))).cast("long")
-        _overwrite_partition(cut.select(*pool.columns, tid.alias("_trigger"), F.lit(mb).alias("_mb")), cut_path(staging))
-        rows = (spark.read.parquet(cut_path(staging)).where((F.col("_mb") == mb) & F.col("_trigger").isNotNull())
-                .groupBy(F.col("_trigger").alias("trigger_id"))
-                .agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"), F.count(F.lit(1)).alias("n")))
-        new = rows.select("trigger_id", "lo", "hi", "n",
-                          F.when(F.col("trigger_id") % m == 0, "replay").otherwise("own").alias("kind"),
-                          F.lit(mb).alias("_mb"))
-        _overwrite_partition(new, ledger)
+        _write(cut.where(full).select(*columns, (F.col("batch_id") + F.lit(last)).cast("long").alias("_trigger")), cut_path(staging), mb)
+        _write(cut.where(~full).select(*columns), wait_path(staging), mb)
+        new = (_read(spark, cut_path(staging), mb).groupBy(F.col("_trigger").alias("trigger_id"))
+               .agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"), F.count(F.lit(1)).alias("n"))
+               .withColumn("kind", F.when(F.col("trigger_id") % m == 0, "replay").otherwise("own")))
+        _write(new, ledger, mb)
+        rows = _read(spark, ledger, mb)
+        newest = rows.agg(F.max("trigger_id")).first()[0]
         if on_trigger is not None:
-            on_trigger(spark, spark.read.schema(LEDGER_SCHEMA).parquet(ledger).where(F.col("_mb") == mb))
+            on_trigger(spark, rows)
+        _write(spark.createDataFrame([(newest or last,)], "last long").coalesce(1), state_path(staging), mb)
+        if before:  # this micro-batch may be replayed, the one before it no more
+            for path in (wait_path(staging), state_path(staging)):
+                _remove_before(spark, path, before[0])
 
     return run
 
 
+def _remove_before(spark: SparkSession, path: str, mb: int) -> None:
+    """Remove the folders of micro-batches before ``mb``; there are a few at most."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(path)
+    for s in root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root):
+        name = s.getPath().getName()
+        if name.startswith("_mb=") and int(name[4:]) < mb:
+            remove_path(spark, f"{path}/{name}")
+
+
 def stream_trigger(stream: DataFrame, key: str, staging: str, ledger: str, checkpoint: str,
                    n: int, m: int, trigger: dict | None = None, on_trigger=None):
     """Start the trigger stream; returns the running query."""

@@ -61,3 +61,35 @@ def test_key_range_bounds(spark):
     df = spark.createDataFrame([(i,) for i in range(10)], "k long")
     assert [r["k"] for r in S.key_range(df, "k", 3, 6).collect()] == [4, 5, 6]
     assert [r["k"] for r in S.key_range(df, "k", None, 1).collect()] == [0, 1]
+
+
+def test_numbering_runs_the_plan_above_it_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(k):
+        calls.add(1)
+        return k
+
+    df = spark.range(500).repartition(4).select(counted("id").alias("k"))
+    for partitions in (None, 6):
+        calls.value = 0
+        assert S.number_rows(df, F.col("k").desc(), partitions).agg(F.sum("rn")).first()[0] == 500 * 501 // 2
+        assert calls.value == 500
+
+
+def test_running_max_spreads_one_group(spark):
+    """One task name over several partitions; null values and null groups; structs."""
+    rng = random.Random(5)
+    rows = [(t, k, rng.choice([None, *range(100)])) for t, n in (("a", 400), ("b", 3), (None, 40)) for k in rng.sample(range(9999), n)]
+    df = spark.createDataFrame(rows, "task string, k long, v long").repartition(3)
+    for inclusive in (False, True):
+        out = S.running_max(df, "k", F.col("v"), "top", ["task"], inclusive, partitions=7)
+        got = {(r["task"], r["k"]): r["top"] for r in out.collect()}
+        assert len(got) == len(rows)
+        for t, k, _ in rows:
+            upto = [v for u, j, v in rows if u == t and v is not None and (j < k or inclusive and j == k)]
+            assert got[t, k] == (max(upto) if upto else None)
+    pair = S.running_max(df, "k", F.struct("v", "k"), "top", ["task"], True, partitions=7)
+    assert pair.where("top.v < v").count() == 0 and pair.count() == len(rows)
+    assert S.running_max(df.limit(0), "k", F.col("v"), "top", [], True).count() == 0

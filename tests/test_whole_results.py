@@ -84,3 +84,45 @@ def test_an_unreadable_registry_raises(spark, scratch):
     assert not path_exists(spark, f"{scratch}/none")
     spark.range(1).write.parquet(f"{scratch}/some")
     assert path_exists(spark, f"{scratch}/some")
+
+
+def test_a_micro_batch_reads_the_waiting_rows_only(spark, scratch):
+    """What is kept to go on does not grow with the stream's past."""
+    import os
+    stage, ledger = f"{scratch}/stage", f"{scratch}/ledger"
+    init_ledger(spark, ledger)
+    run = stage_and_cut("k", stage, ledger, 4, 2)
+    for mb in range(8):
+        run(spark.createDataFrame([(10 * mb + i,) for i in range(3)], "k long").coalesce(1), mb)
+        if mb >= 2:
+            for kept in ("wait", "state"):
+                folder = f"{stage}-{kept}".removeprefix("file:")
+                assert sorted(os.listdir(folder)) == [f"_mb={mb - 1}", f"_mb={mb}"]
+        assert waiting(spark, stage).count() == (3 * mb + 3) % 4
+    run(spark.createDataFrame([], "k long"), 8)  # nothing arrives
+    assert triggered(spark, stage).count() == 24 and waiting(spark, stage).count() == 0
+    assert sorted((r["trigger_id"], r["n"], r["kind"]) for r in read_ledger(spark, ledger).collect()) == [
+        (t, 4, "replay" if t % 2 == 0 else "own") for t in range(1, 7)]
+
+
+def test_paced_loading_goes_on_after_a_stop(spark, scratch):
+    from kestrel.streaming.pacing import run_paced, start_paced, write_arrivals
+    df = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, k long").repartition(4)
+    write_arrivals(df, [F.col("k").desc(), "id"], f"{scratch}/src")
+    order = [r["id"] for r in df.orderBy(F.col("k").desc(), "id").collect()]
+    seen = {}
+
+    def keep(batch, mb):
+        seen.setdefault(mb, []).append(sorted(r["id"] for r in batch.collect()))
+        if mb == 2 and len(seen[2]) == 1:
+            raise RuntimeError("lost")
+
+    query, done = start_paced(spark, f"{scratch}/src", 8, "50 milliseconds", keep, f"{scratch}/ckpt")
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination()
+    assert not done.is_set()
+    run_paced(spark, f"{scratch}/src", 8, "50 milliseconds", keep, f"{scratch}/ckpt")
+    assert seen[2][0] == seen[2][1]  # the same rows again
+    assert [seen[mb][-1] for mb in sorted(seen)] == [sorted(order[i:i + 8]) for i in range(0, 50, 8)]
+    write_arrivals(df.limit(0), "id", f"{scratch}/none")
+    run_paced(spark, f"{scratch}/none", 8, "50 milliseconds", keep, f"{scratch}/ckpt0")
