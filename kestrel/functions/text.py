@@ -1,20 +1,17 @@
 """Text column expressions: HTML to text, phone numbers, URLs, special tokens, salary.
 
-The fast paths are native ``regexp_replace`` / ``replace`` chains that stay in
-generated code. The exact HTML path is an Arrow ``pandas_udf`` around the
-standard library's ``html.parser``; use it when entities beyond the fixed map
-or malformed markup matter.
+All of them are native functions. HTML references are those of the standard
+library's table (``html.entities.html5``), looked up inside the row.
 """
 
 from __future__ import annotations
 
-import html as _html
-from html.parser import HTMLParser
+import json
+import zlib
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from kestrel.codebook import (POSTING_ID_PATTERN, SALARY_AMOUNT_PATTERN, SALARY_FROM,
                               SALARY_NEGOTIABLE, SALARY_TO, TOKEN_PROFILES)
@@ -26,98 +23,80 @@ def _col(c) -> Column:
 
 # --- HTML -------------------------------------------------------------------
 
-# fixed entity map of the native path: the markup-significant and the most
-# common named entities (numeric references other than &#39; need the exact path)
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "amp": "&",
-            "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122",
-            "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026", "ndash": "\u2013",
-            "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
-            "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac",
-            "deg": "\u00b0", "times": "\u00d7"}
-# of those, the names HTML also accepts without the closing semicolon
-LEGACY_NAMES = ["amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "deg", "times"]
-
-# patterns are kept to the common subset of Java regex and RE2
-_NON_TEXT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
-_TAG = r"<[A-Za-z/!?][^>]*>"
-# boundary mark left where markup was removed (a private-use character)
-BOUNDARY = "\ue000"
-
-
-def entity_rules() -> list[tuple[str, str]]:
-    """``(prefix after '&', replacement)`` in matching order: with ';' first, longest first."""
-    semi = sorted(((f"{n};", ch) for n, ch in ENTITIES.items()), key=lambda r: -len(r[0]))
-    bare = sorted(((n, ENTITIES[n]) for n in LEGACY_NAMES), key=lambda r: -len(r[0]))
-    return semi + bare + [("#39", "'")]
-
-
-def _unescape(c: Column) -> Column:
-    """One left-to-right decoding pass: text after each '&' is matched once, never re-scanned.
-
-    The input is referenced once (one ``split``), so nested passes do not
-    re-evaluate the expressions underneath.
+# markup, one alternative each: comments, raw text elements, start tags (a quoted
+# attribute value may hold '>'), end tags and declarations. Repetitions are
+# possessive, so long attributes neither backtrack nor recurse.
+_ATTRIBUTES = r"""(?:[^>=]++|=[\s=]*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
+_MARKUP = (rf"(?is)<!--.*?--\s*>|<script\b{_ATTRIBUTES}.*?</script\s*>|<style\b{_ATTRIBUTES}.*?</style\s*>"
+           rf"|<[a-z]{_ATTRIBUTES}|<[/!?][^>]*+>")
+# what may be a reference after '&': decimal, hexadecimal, named
+_REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# names that HTML also accepts without the closing semicolon, longest first
+_BARE = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+_SLOTS = 256  # the names are spread over so many small maps, as a map is searched entry by entry
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named reference (with its semicolon, if it has one), else null."""
+    slots: list[dict[str, str]] = [{} for _ in range(_SLOTS)]
+    for n, chars in html5.items():
+        slots[zlib.crc32(n.encode()) % _SLOTS][n] = chars
+    maps = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
+    return F.try_element_at(F.get(maps, (F.crc32(name.cast("binary")) % _SLOTS).cast("int")), name)
+
+
+def _code(ref: Column) -> Column:
+    """Code point of a numeric reference; beyond Unicode for very long numbers."""
+    digits = F.regexp_replace(ref, "^#[xX]?0*|;$", "")
+    n = F.when(F.lower(F.substring(ref, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10))
+    return F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(F.coalesce(n.cast("int"), F.lit(0)))
+
+
+def _character(n: Column) -> Column:
+    """Text of a numeric reference: code page 1252 for 0x80-0x9F, U+FFFD outside Unicode, none for noncharacters."""
+    c1 = F.array(*[F.lit(bytes([i]).decode("cp1252", "ignore") or chr(i)) for i in range(0x80, 0xA0)])
+    none = (n.between(1, 8) | (n == 0x0B) | n.between(0x0E, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+            | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE))
+    # a byte order mark in front, so that one in the text is not taken for it
+    char = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(n), 8, "0"))), "UTF-32")
+    return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+             .when(n.between(0x80, 0x9F), F.get(c1, n - 0x80)).when(none, F.lit("")).otherwise(char))
+
+
+def unescape(c: Column) -> Column:
+    """Named and numeric references to characters, in one left-to-right pass that re-reads nothing.
+
+    The text is split at '&' once; what follows each is looked at once for a
+    reference, then for the longest name that needs no semicolon.
     """
-    def piece(p):
-        out = F.concat(F.lit("&"), p)
-        for prefix, ch in reversed(entity_rules()):
-            out = F.when(F.startswith(p, F.lit(prefix)),
-                         F.concat(F.lit(ch), F.substring(p, len(prefix) + 1, 1 << 30))).otherwise(out)
-        return out
+    found = F.transform(F.split(c, "&", -1), lambda p, i: F.struct(
+        p.alias("p"), F.when(i > 0, F.regexp_extract(p, _REFERENCE, 0)).alias("ref")))
+    read = F.transform(found, lambda s: F.struct(
+        s["p"].alias("p"), s["ref"].alias("ref"), F.when(F.startswith(s["ref"], F.lit("#")), _code(s["ref"])).alias("code"),
+        F.when(s["ref"] != "", _named(s["ref"])).alias("whole"), F.regexp_extract(s["ref"], _BARE, 0).alias("bare")))
+
+    def text(s: Column) -> Column:
+        rest = lambda matched: F.substring(s["p"], F.length(matched) + 1, F.lit(1 << 30))
+        return (F.when(s["ref"].isNull(), s["p"])
+                 .when(s["code"].isNotNull(), F.concat(_character(s["code"]), rest(s["ref"])))
+                 .when(s["whole"].isNotNull(), F.concat(s["whole"], rest(s["ref"])))
+                 .when(s["bare"] != "", F.concat(_named(s["bare"]), rest(s["bare"])))
+                 .otherwise(F.concat(F.lit("&"), s["p"])))
 
-    return F.array_join(F.transform(F.split(c, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+    return F.array_join(F.transform(read, text), "")
 
 
 def html_to_text(col) -> Column:
-    """Tabs/newlines -> space, drop script/style/comments and tags, unescape twice.
+    """Tabs/newlines -> space, drop markup, scripts, styles and comments, unescape twice.
 
     ``<`` followed by a space (``< 1 year``) is text and stays; ``<XXX>``
-    placeholders look like tags and are removed, as an HTML parser does.
+    placeholders look like tags and are removed, as an HTML parser does. The
+    text is split at its markup and each piece unescaped by itself (as a
+    parser does), so text on both sides never merges into a new tag or
+    reference; the second pass runs over the joined text. Null gives null.
     """
-    c = F.regexp_replace(_col(col), r"[\t\n]", " ")
-    # removed markup leaves a boundary mark, so text on both sides never merges
-    # into a new tag or entity; the first entity pass runs per text piece
-    # (as the parser's), the second over the joined text
-    c = F.regexp_replace(c, _NON_TEXT, BOUNDARY)
-    c = F.regexp_replace(c, _TAG, BOUNDARY)
-    c = F.replace(_unescape(c), F.lit(BOUNDARY), F.lit(""))
-    return _unescape(c)
-
-
-class _TextOnly(HTMLParser):
-    """Collects text nodes; script/style content, comments and declarations are skipped."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self._skip = 0
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self._skip += 1
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self._skip:
-            self._skip -= 1
-
-    def handle_data(self, data):
-        if not self._skip:
-            self.parts.append(data)
-
-
-def html_text_exact(s: str | None) -> str | None:
-    """Exact text of one HTML string (helper of the pandas UDF, also used in tests)."""
-    if s is None:
-        return None
-    p = _TextOnly()
-    p.feed(s.replace("\t", " ").replace("\n", " "))
-    p.close()
-    return _html.unescape("".join(p.parts))
-
-
-@F.pandas_udf(StringType())
-def html_to_text_exact(s: pd.Series) -> pd.Series:
-    """Arrow-batched exact HTML to text (standard-library parser)."""
-    return s.map(html_text_exact)
+    pieces = F.split(F.regexp_replace(_col(col), r"[\t\n]", " "), _MARKUP, -1)
+    return unescape(F.array_join(F.transform(pieces, unescape), ""))
 
 
 # --- fields -----------------------------------------------------------------

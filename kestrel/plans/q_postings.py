@@ -176,6 +176,28 @@ def pad_tokens_q(spark, sf):
                       F.array_join("attention_mask", ",").alias("attention_mask"))
 
 
+# fixed values for the SQL: the markup-significant and the most common named
+# entities, and &#39; (the given pages hold no others)
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "amp": "&",
+            "nbsp": "\u00a0", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122",
+            "middot": "\u00b7", "bull": "\u2022", "hellip": "\u2026", "ndash": "\u2013",
+            "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c",
+            "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac",
+            "deg": "\u00b0", "times": "\u00d7"}
+# of those, the names HTML also accepts without the closing semicolon
+LEGACY_NAMES = ["amp", "lt", "gt", "quot", "nbsp", "copy", "reg", "middot", "laquo", "raquo", "deg", "times"]
+
+# boundary mark the SQL leaves where markup was removed (a private-use character)
+BOUNDARY = "\ue000"
+
+
+def entity_rules() -> list[tuple[str, str]]:
+    """``(prefix after '&', replacement)`` in matching order: with ';' first, longest first."""
+    semi = sorted(((f"{n};", ch) for n, ch in ENTITIES.items()), key=lambda r: -len(r[0]))
+    bare = sorted(((n, ENTITIES[n]) for n in LEGACY_NAMES), key=lambda r: -len(r[0]))
+    return semi + bare + [("#39", "'")]
+
+
 _HTML_CHAIN = r"""regexp_replace(regexp_replace(regexp_replace({x}, '[\t\n]', ' ', 'g'),
   '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '{b}', 'g'),
   '<[A-Za-z/!?][^>]*>', '{b}', 'g')"""
@@ -186,15 +208,15 @@ def _unescape_sql(x: str) -> str:
     def q(v):
         return v.replace("'", "''")
     cases = " ".join(f"WHEN starts_with(p, '{q(pre)}') THEN '{q(ch)}' || substr(p, {len(pre) + 1})"
-                     for pre, ch in T.entity_rules())
+                     for pre, ch in entity_rules())
     return (f"list_first(string_split({x}, '&')) || array_to_string(list_transform("
             f"string_split({x}, '&')[2:], lambda p: CASE {cases} ELSE '&' || p END), '')")
 
 
 def _html_ctes(src: str, key: str, col: str) -> str:
     """CTEs h0 (tags removed), h1, h2 (two entity passes) over ``src``."""
-    return (f"h0 AS (SELECT {key}, {_HTML_CHAIN.format(x=col, b=T.BOUNDARY)} AS x FROM {src}),\n"
-            f"h1 AS (SELECT {key}, replace({_unescape_sql('x')}, '{T.BOUNDARY}', '') AS x FROM h0),\n"
+    return (f"h0 AS (SELECT {key}, {_HTML_CHAIN.format(x=col, b=BOUNDARY)} AS x FROM {src}),\n"
+            f"h1 AS (SELECT {key}, replace({_unescape_sql('x')}, '{BOUNDARY}', '') AS x FROM h0),\n"
             f"h2 AS (SELECT {key}, {_unescape_sql('x')} AS x FROM h1)")
 
 
@@ -205,10 +227,16 @@ def html_to_text_q(spark, sf):
     return pg.select("page_id", T.html_to_text("html").alias("text"))
 
 
-@query("html_to_text_exact")
+@query("html_to_text_exact", r"""SELECT doc_id, regexp_replace(text, '[\t\n]', ' ', 'g') AS text FROM documents""")
 def html_to_text_exact_q(spark, sf):
-    pg = X.table(spark, sf, "pages")
-    return pg.select("page_id", T.html_to_text_exact("html").alias("text"))
+    """Every whole text, written as a page with references and awkward markup, comes back as it was."""
+    c = F.replace(F.col("text"), F.lit("&"), F.lit("&amp;amp;"))
+    for char, ref in (("<", "&lt;"), ("q", "&#113;"), ("Q", "&#x51;"), ("é", "&eacute;"), ("à", "&#xe0"), ("ç", "&ccedil;"),
+                      ("ü", "&#252;"), ("ö", "&ouml;"), ("ñ", "&#XF1;"), ("ß", "&szlig;"), ("€", "&#128;"), ("\u00a0", "&nbsp;")):
+        c = F.replace(c, F.lit(char), F.lit(ref if ref.endswith(";") else f"{ref}<i></i>"))
+    c = F.replace(c, F.lit("\n"), F.lit("<br title='>' alt=\"a > 'b'\"/>\n"))
+    page = F.concat(F.lit("<!doctype html><p title=\"a>b\" data-x='<i>'>"), c, F.lit("</p><script>if (a<b) '>'</script><!-- > -->"))
+    return X.table(spark, sf, "documents").select("doc_id", page.alias("html")).select("doc_id", T.html_to_text("html").alias("text"))
 
 
 @query("url_id", """SELECT page_id, starts_with(url, 'https://') AS is_site,
