@@ -3,17 +3,24 @@
 Every word u (and the start of a text) is a restaurant whose customers are the
 tokens that follow it; all of them share one parent, the restaurant of the
 empty context, whose customers are their tables; below it lies the uniform
-distribution over the V learned tokens and one unknown. A sweep reseats, given
-everything else, the customers of every dish (u, w), then those of every word
-in the parent. Predictive probabilities are averaged over independent chains.
+distribution over the V learned tokens and one unknown.
+
+A Gibbs sweep draws, each from its conditional law: the size x of every
+restaurant, Gamma(strength / d + tables), which makes its dishes independent;
+the tables t of every dish (u, w) with c customers, P(t) in proportion to
+S(c, t) (d x p)^t, S the generalised Stirling numbers and p the parent's share
+of w; the same for the parent; and the parent's shares given its seating (its
+unseen part is spread evenly, by its mean). The first sweep starts from the
+words' frequencies and the prior's mean number of tables. Predictive
+probabilities are averaged over independent chains after their last sweep.
 
 Layout: texts become blocks of about ``TOKENS`` tokens, written once, with
 block-local word numbers. A block sends its distinct words and pairs (64-bit
 hashes, counts) to hash shards; a shard adds up and answers by position, so
-no text is shuffled and every key of a block travels once. The seating of a
-pair follows from its count, its parent's state and random numbers drawn from
-its hash: each block that holds the pair samples the same tables, and the
-pair's first block reports them.
+no text is shuffled and every key of a block travels once. The tables of a
+pair follow from its count, the last sweep's totals and random numbers drawn
+from hashes: each block that holds the pair draws the same, and the pair's
+first block reports them.
 """
 
 from __future__ import annotations
@@ -35,7 +42,7 @@ TOKENS = 1_000_000  # tokens of a block
 KEYS = 3_000_000  # keys of a shard, about
 CHAINS = 2
 SWEEPS = 2
-STEPS = 2  # Metropolis-Hastings steps of a dish in a sweep
+UNIT = 1 << 16  # shares are added up in whole parts of this size
 STRENGTH = 1.0  # concentration of every restaurant
 END, START = 0, 1  # numbers of the text's end and start in every block
 WORDS, PAIRS, TABLES, BEFORE = 0, 1, 2, 3  # BEFORE: the tables one sweep ago
@@ -75,71 +82,149 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - np.log(low)
 
 
-EXACT = 16  # customers seated one by one; the following ones in groups of an eighth of those seated
-
-
-def openings(m: np.ndarray, q: np.ndarray, key: np.ndarray, stream: int) -> np.ndarray:
-    """Binomial numbers of m turns with probability q: by the normal law from a variance of 9, else exactly."""
-    u = uniform(key, stream)
-    few = np.minimum(q, 1 - q)
-    var = m * few * (1 - few)
-    k = np.rint(m * few + np.sqrt(var) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(key, stream + 1)))
-    low = np.flatnonzero(var < 9)
-    odds, n, left = few[low] / (1 - few[low]), m[low], u[low]
-    chance, got = (1 - few[low]) ** n, np.zeros(len(low))
-    left = left - chance
-    on = np.flatnonzero(left > 0)
-    while len(on):
-        got[on] += 1
-        chance[on] *= (n[on] - got[on] + 1) / got[on] * odds[on]
-        left[on] -= chance[on]
-        on = on[(left[on] > 0) & (got[on] < n[on])]
-    k[low] = got
-    k = np.clip(k, 0, m)
-    return np.where(q > 0.5, m - k, k)
-
-
-def reseat(c: np.ndarray, d: float, a: np.ndarray, p: np.ndarray, key: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tables, log weight) of c customers of a dish seated in turn; a new table has weight (a + d t) p.
-
-    ``c`` falls. A customer joins one of t tables with weight x - d t after x
-    customers. The log weight sums the normalisers of the turns, which the
-    turns' order adds to the posterior of the seating.
+def gammas(shape: np.ndarray, key: np.ndarray, stream: int) -> np.ndarray:
+    """Gamma numbers (scale 1) that follow from key and stream, by Marsaglia and Tsang; 0 where the shape is 0."""
+    k = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out = np.zeros(len(shape))
+    left, draw = np.flatnonzero(shape > 0), stream + 1
+    while len(left):
+        e, at = k[left], key[left]
+        z = np.sqrt(-2 * np.log(uniform(at, draw))) * np.cos(2 * np.pi * uniform(at, draw + 1))
+        v = np.maximum(1 + z / np.sqrt(9 * e), 1e-100) ** 3
+        ok = (v > 1e-200) & (np.log(uniform(at, draw + 2)) < z * z / 2 + e - e * v + e * np.log(v))
+        out[left[ok]] = (e * v)[ok]
+        left, draw = left[~ok], draw + 3
+    low = np.flatnonzero((shape > 0) & (shape < 1))
+    out[low] *= uniform(key[low], stream) ** (1 / shape[low])
+    return out
+
+
+RECURRED = 1024  # customers of a dish whose numbers of seatings come from the recurrence; beyond, from a contour integral
+NODES = 64  # numbers of tables at which a larger dish's density is computed
+PATH = 24  # points of the contour
+
+
+TABLED: dict[float, np.ndarray] = {}  # ``seatings`` of this worker's discounts
+
+
+def seatings(d: float) -> np.ndarray:
+    """log S(c, t) for c up to ``RECURRED``: generalised Stirling numbers, S(c + 1, t) = (c - d t) S(c, t) + S(c, t - 1)."""
+    if d in TABLED:
+        return TABLED[d]
+    out = np.full((RECURRED + 1, RECURRED + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(RECURRED + 1.0)
+    for c in range(1, RECURRED):
+        out[c + 1, 1:c + 1] = out[c, 1:c + 1] + np.log(c - d * t[1:c + 1])
+        out[c + 1, 1:c + 2] = np.logaddexp(out[c + 1, 1:c + 2], out[c, :c + 1])
+    TABLED[d] = out
+    return out
+
+
+def tilted(l: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of g(x) = 1 - (1 - x)^d at x = v / (1 + v), v = e^l: (v, g, mean, variance) of the law with weights x^n [x^n] g."""
+    v = np.exp(l)
+    y = -np.log1p(v)
+    g = -np.expm1(d * y)
+    m = d * v * np.exp(d * y) / g
+    return v, g, m, m * (1 + (1 - d) * v - m)
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) - log c! of many customers: S(c, t) = c! / (t! d^t) [x^c] g(x)^t.
+
+    The coefficient is a saddle-point value with its second-order term where
+    x is far from 1, else an integral along a parabola around the cut from 1
+    on (relative error about 1e-7).
     """
-    t, w = np.ones(len(c)), np.ones(len(c))
-    more = lambda x: int(np.searchsorted(-c, -x))  # noqa: E731  dishes with over x customers
-    x, draw = 1, stream
-    while x < EXACT and (n := more(x)):
-        new = (a[:n] + d * t[:n]) * p[:n]
-        total = new + x - d * t[:n]
-        w[:n] *= total
-        t[:n] += uniform(key[:n], draw) * total < new
-        x, draw = x + 1, draw + 1
-    w = np.log(w)
-    while n := more(x):
-        m = np.minimum(c[:n] - x, x // 8)
-        new = (a[:n] + d * t[:n]) * p[:n]
-        total = new + x + m / 2 - d * t[:n]
-        t[:n] += openings(m, new / total, key[:n], draw)
-        w[:n] += m * np.log(total)
-        x, draw = x + x // 8, draw + 2
-    return t, w
-
-
-def gibbs(c: np.ndarray, d: float, a: np.ndarray, p: np.ndarray, key: np.ndarray, stream: int) -> np.ndarray:
-    """Tables of every dish: its customers reseated together, corrected by Metropolis-Hastings."""
+    goal = np.log(c / np.minimum(t, c - 0.5) - 1)
+    l = np.where(goal > 0, goal / (1 - d), goal)
+    for _ in range(60):  # the saddle: mean c / t
+        v, g, m, k2 = tilted(l, d)
+        move = (np.log(m - 1) - goal) * (m - 1) * (1 + v) / k2
+        l = l - np.clip(move, -3, 3)
+        if np.max(np.abs(move), initial=0) < 1e-8:
+            break
+    v, g, m, k2 = tilted(l, d)
+    s, slope = np.log1p(np.exp(-l)), (1 - d) * v * (1 + v)
+    rest = 1 + (1 - d) * v - m
+    with np.errstate(all="ignore"):  # values near the cut are replaced below
+        k3 = k2 * rest + m * (slope - k2)
+        k4 = k3 * rest + 2 * k2 * (slope - k2) + m * (slope * (1 + 2 * v) - k3)
+        second = (k4 / k2**2 / 8 - 5 * k3**2 / k2**3 / 24) / t
+        out = t * np.log(g) + c * s - 0.5 * np.log(2 * np.pi * t * k2) + np.log1p(np.maximum(second, -0.5))
+    near = np.flatnonzero(s < 0.7)
+    many, few, at = c[near], t[near], np.maximum(s[near], 4 / c[near])
+    v, g, m, k2 = tilted(-np.log(np.expm1(at)), d)
+    bend = 2 * at**2 * few * k2 + at * (many - few * m)
+    reach = np.sqrt(30 / np.where(bend > 120, bend, np.minimum(bend, at * many)))
+    turn = 1 + 1j * reach[:, None] * (np.arange(PATH) / PATH)
+    x = -at[:, None] * turn**2
+    top = few * np.log(g) + many * at
+    f = (np.exp(few[:, None] * np.log(1 - (-np.expm1(x)) ** d) - many[:, None] * x - top[:, None]) * turn).real
+    f[:, 0] /= 2
+    out[near] = top + np.log(np.maximum(f.sum(axis=1), 1e-300) * 2 * at / np.pi * reach / PATH)
+    return np.where(t >= c, -lgamma(c + 1), out - t * np.log(d) - lgamma(t + 1))
+
+
+def large_dishes(c: np.ndarray, d: float, y: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """``seat_dishes`` of many customers: each number of tables within 7.5 deviations of the mode, or a piecewise linear density."""
+    goal = np.log(c / y)
+    l = np.where(goal > 0, goal / (1 - d), goal)
+    for _ in range(60):  # y x (1 - x)^(d - 1) = c at the mode
+        x = 1 / (1 + np.exp(-l))
+        move = (l - d * np.log1p(np.exp(l)) - goal) / (1 - d * x)
+        l = l - np.clip(move, -3, 3)
+        if np.max(np.abs(move), initial=0) < 1e-8:
+            break
+    v, g, m, k2 = tilted(l, d)
+    mode = y * g / d
+    wide = 7.5 * np.sqrt(mode * k2 / (k2 + m * m)) + 2
+    low, high = np.clip(np.floor(mode - wide), 1, c), np.clip(np.ceil(mode + wide), 1, c)
+    each = high - low < NODES
+    step = np.where(each, 1.0, (high - low) / (NODES - 1))
+    t = low[:, None] + step[:, None] * np.arange(NODES)
+    out = t > high[:, None] + 0.5
+    t = np.minimum(t, high[:, None])
+    w = log_seatings(np.repeat(c, NODES), t.ravel(), d).reshape(t.shape) + t * np.log(y)[:, None]
+    w = np.where(out, -np.inf, w)
+    w = np.exp(w - w.max(axis=1)[:, None])
+    part = np.where(each[:, None], w, np.pad((w[:, 1:] + w[:, :-1]) / 2, ((0, 0), (0, 1))))
+    total = np.cumsum(part, axis=1)
+    aim = u * total[:, -1]
+    i = np.minimum((total < aim[:, None]).sum(axis=1), NODES - 1)
+    row = np.arange(len(c))
+    f, h = w[row, i], w[row, np.minimum(i + 1, NODES - 1)]
+    within = np.clip((aim - total[row, i] + part[row, i]) / np.maximum(part[row, i], 1e-300), 0, 1)
+    root = np.sqrt(f * f + within * (h * h - f * f))
+    inside = within * (f + h) / np.maximum(f + root, 1e-300)  # where the linear density's integral reaches ``within``
+    return np.clip(np.where(each, t[row, i], np.rint(low + step * (i + inside))), 1, c)
+
+
+def seat_dishes(c: np.ndarray, d: float, y: np.ndarray, key: np.ndarray, stream: int) -> np.ndarray:
+    """Tables of every dish, drawn from their conditional law: P(t) in proportion to S(c, t) y^t; none without customers."""
     t = (c > 0).astype(np.float64)
-    many = np.flatnonzero(c > 1)
-    many = many[np.argsort(-c[many], kind="stable")]
-    if not len(many):
-        return t
-    args = (c[many].astype(np.float64), d, a[many], p[many], key[many])
-    best, w = reseat(*args, stream)
-    for s in range(1, STEPS):
-        again, v = reseat(*args, stream + s * 4096)
-        take = np.log(uniform(key[many], stream + s * 4096 - 1)) < v - w
-        best, w = np.where(take, again, best), np.where(take, v, w)
-    t[many] = best
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2):]
+    sizes, first = np.unique(c[order], return_index=True)
+    log_y, u = np.log(y[order]), uniform(key[order], stream)
+    for n, i, j in zip(sizes, first, np.append(first[1:], len(order))):
+        if n > RECURRED:
+            i, j, chunk = i, len(order), 512
+        else:
+            chunk = max(1, (1 << 20) // int(n))
+        for k in range(i, j, chunk):
+            at = slice(k, min(k + chunk, j))
+            if n > RECURRED:
+                t[order[at]] = large_dishes(c[order[at]].astype(np.float64), d, y[order[at]], u[at])
+            elif n == 2:
+                t[order[at]] = 2 - (u[at] * (1 - d + np.exp(log_y[at])) < 1 - d)
+            else:
+                w = seatings(d)[n, 1:n + 1] + np.arange(1, n + 1) * log_y[at, None]
+                w = np.cumsum(np.exp(w - w.max(axis=1)[:, None]), axis=1)
+                t[order[at]] = 1 + (w[:, :-1] < u[at, None] * w[:, -1:]).sum(axis=1)
+        if n > RECURRED:
+            break
     return t
 
 
@@ -287,21 +372,40 @@ class State:
         self.follow = follow  # customers of each restaurant
 
 
+SHARE, SIZE = 1 << 19, 1 << 18  # streams of the parent's shares and of the restaurants' sizes
+
+
+def stream(sweep: int, chain: int) -> int:
+    return (sweep * CHAINS + chain) << 20
+
+
 class Model:
-    """Fixed figures: learned tokens N, distinct V, discounts, and per chain the parent's totals."""
+    """Fixed figures: learned tokens N, distinct V, discounts, and per chain the parent's totals.
+
+    The totals are the parent's customers and tables, and of its drawn shares
+    the part left for new tables and the sum of all.
+    """
 
     def __init__(self, n: int, v: int, pair_discount: float, word_discount: float):
         self.n, self.v, self.d, self.d0 = n, v, pair_discount, word_discount
-        self.totals: list[tuple[int, int]] | None = None  # per chain: customers, tables of the parent
+        self.totals: list[tuple[int, int, float, float]] | None = None
 
     def parent(self, s: State, chain: int) -> np.ndarray:
         """P(w) of the block's words."""
         if s.tables is None:  # before the first sweep: the words' own frequencies
             return (s.count + 0.5) / (self.n + 0.5 * (self.v + 1))
-        customers, tables = self.totals[chain]
+        customers, tables, _, _ = self.totals[chain]
         c, t = s.tables[CHAINS + chain], s.tables[2 * CHAINS + chain]
         return (c - self.d0 * t + (STRENGTH + self.d0 * tables) / (self.v + 1)) / (STRENGTH + customers)
 
+    def share(self, b: Block, s: State, chain: int, sweep: int) -> np.ndarray:
+        """The parent's shares of the block's words, drawn given the seating of the sweep before."""
+        if s.tables is None:
+            return self.parent(s, chain)
+        _, _, rest, total = self.totals[chain]
+        c, t = s.tables[CHAINS + chain], s.tables[2 * CHAINS + chain]
+        return (gammas(c - self.d0 * t, b.words, stream(sweep - 1, chain) + SHARE) + rest / (self.v + 1)) / total
+
     def busy(self, s: State, chain: int) -> np.ndarray:
         """Tables of the block's restaurants; before the first sweep their prior mean."""
         if s.tables is not None:
@@ -313,8 +417,8 @@ class Model:
 
     def seat(self, b: Block, s: State, chain: int, sweep: int, at: np.ndarray) -> np.ndarray:
         """Tables of the block's pairs numbered ``at``, the same in each block that holds the pair."""
-        weight = STRENGTH + self.d * self.busy(s, chain)[b.u[at]]
-        return gibbs(s.pair[at], self.d, weight, self.parent(s, chain)[b.w[at]], b.key[at], (sweep * CHAINS + chain) << 20)
+        size = gammas(STRENGTH / self.d + self.busy(s, chain), b.words, stream(sweep, chain) + SIZE)
+        return seat_dishes(s.pair[at], self.d, self.d * size[b.u[at]] * self.share(b, s, chain, sweep)[b.w[at]], b.key[at], stream(sweep, chain))
 
 
 def discount(one: int, two: int) -> float:
@@ -359,6 +463,9 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     per_block = counted.where("block >= 0").drop("stats")
     heard, last, old = per_block, model, None
     for sweep in range(sweeps):
+        rng = np.random.default_rng(sweep)
+        sizes = [rng.gamma(STRENGTH / model.d0 + (model.totals[k][1] if model.totals else v)) for k in range(CHAINS)]  # of the parent
+
         def seat(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
             for row in left.to_pylist():
@@ -377,18 +484,23 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
         def parent(table: pa.Table) -> pa.Table:
             shard = table["shard"][0].as_py()
             names, cuts, distinct, at, sums, _ = merge(table, 2 * CHAINS)
-            size = np.full(len(distinct), 1 / (model.v + 1))
-            weight = np.full(len(distinct), STRENGTH + model.d0 * model.v)
-            seated = [gibbs(sums[CHAINS + k], model.d0, weight, size, distinct, ((sweep * CHAINS + k) << 20) + (1 << 60)).astype(np.int64) for k in range(CHAINS)]
-            stats = [int(x.sum()) for x in (*sums[CHAINS:], *seated)]
+            seated, drawn = [], []
+            for k in range(CHAINS):
+                guests = sums[CHAINS + k]
+                seated.append(seat_dishes(guests, model.d0, np.full(len(distinct), model.d0 * sizes[k] / (model.v + 1)), distinct, stream(sweep, k) + (1 << 60)).astype(np.int64))
+                drawn.append(gammas(guests - model.d0 * seated[k], distinct, stream(sweep, k) + SHARE).sum() * UNIT)
+            stats = [int(x) for x in (*(x.sum() for x in (*sums[CHAINS:], *seated)), *drawn)]
             return answers(TABLES, shard, names, cuts, at, sums + seated, None, stats)
 
         sent = blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(seat, MESSAGE)
         seated = stored(sent.groupBy("shard").applyInArrow(parent, ANSWER), "pitmanyor-tables")
-        found = totals(seated, TABLES, 2 * CHAINS)
+        found = totals(seated, TABLES, 3 * CHAINS)
         last = model
         model = Model(n, v, last.d, last.d0)
-        model.totals = [(found[k], found[CHAINS + k]) for k in range(CHAINS)]
+        model.totals = []
+        for k in range(CHAINS):
+            rest = rng.gamma(STRENGTH + model.d0 * found[CHAINS + k])
+            model.totals.append((found[k], found[CHAINS + k], rest, rest + found[2 * CHAINS + k] / UNIT))
         now = seated.where("block >= 0").drop("stats")
         before, old = old, now
         heard = per_block.union(now)

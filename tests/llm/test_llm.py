@@ -53,23 +53,136 @@ def words(text):
 # 1 language model
 
 
-def test_seating_has_the_exact_posterior(monkeypatch):
-    c, d, a, p, n = 6, 0.5, 3.0, 0.2, 100_000
-    ways = {1: 1.0}
+def log_ways(c, d):
+    """log S(c, t) for t from 0, by the recurrence."""
+    row = np.array([-np.inf, 0.0])
     for x in range(1, c):
-        ways = {t: ways.get(t, 0) * (x - d * t) + ways.get(t - 1, 0) for t in range(1, x + 2)}
-    weight = {t: w * math.prod((a + d * j) * p for j in range(1, t)) for t, w in ways.items()}
-    monkeypatch.setattr(pitmanyor, "STEPS", 12)
-    keys = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
-    got = Counter(pitmanyor.gibbs(np.full(n, c), d, np.full(n, a), np.full(n, p), keys, 0).astype(int).tolist())
-    for t, w in weight.items():
-        assert abs(got[t] / n - w / sum(weight.values())) < 0.01
-
-
-def test_large_dishes_keep_their_bounds():
-    c = np.array([1, 2, 17, 1000, 10**6, 10**6])
-    t = pitmanyor.gibbs(c, 0.8, np.array([1, 1, 5, 50, 10, 1e6]), np.full(6, 0.01), np.arange(6).astype(np.uint64), 3)
-    assert ((t >= 1) & (t <= c)).all() and t[5] > 1000
+        t = np.arange(1, x + 1)
+        row = np.logaddexp(np.concatenate([[-np.inf], row[1:] + np.log(x - d * t), [-np.inf]]), np.concatenate([[-np.inf], row]))
+    return row
+
+
+def distance(got, law, cells=50):
+    """Total variation between a sample and a law, in that many cells."""
+    cell = np.minimum((np.cumsum(law) * cells).astype(int), cells - 1)
+    return abs(np.bincount(cell, law, cells) - np.bincount(cell[np.clip(got, 0, len(law) - 1)], minlength=cells) / len(got)).sum() / 2
+
+
+@pytest.mark.parametrize("d", [0.3, 0.8, 0.95])
+@pytest.mark.parametrize("c", [2, 6, 17, 200])
+def test_seating_has_the_exact_law(c, d):
+    """With production settings, for few and many tables."""
+    ways, t, n = log_ways(c, d), np.arange(c + 1), 50_000
+    keys = np.random.default_rng(c).integers(0, 2**63, n).astype(np.uint64)
+    for y in (1e-4, 0.2, 5.0, 60.0, 30.0 * c):
+        law = ways + t * math.log(y)
+        law = np.exp(law - law.max())
+        got = pitmanyor.seat_dishes(np.full(n, c), d, np.full(n, y), keys, 0).astype(int)
+        assert got.min() >= 1 and distance(got, law / law.sum()) < 0.02
+
+
+@pytest.mark.parametrize("d", [0.3, 0.8, 0.95])
+def test_seating_of_many_customers_has_the_exact_law(d):
+    """Beyond the recurrence's bound, at evenly spaced quantiles."""
+    u = (np.arange(1000) + 0.5) / 1000
+    for c, several in ((1025, (1e-4, 5.0, 1000.0, 30_000.0)), (10_000, (0.2, 60.0))):
+        ways, t = log_ways(c, d), np.arange(c + 1)
+        for y in several:
+            law = ways + t * math.log(y)
+            law = np.exp(law - law.max())
+            got = pitmanyor.large_dishes(np.full(1000, float(c)), d, np.full(1000, y), u).astype(int)
+            assert got.min() >= 1 and distance(got, law / law.sum(), 20) < 0.02
+    assert pitmanyor.seat_dishes(np.array([10**6, 1025, 0]), d, np.array([3.0, 1e-6, 1.0]), np.arange(3).astype(np.uint64), 0).tolist()[1:] == [1, 0]
+
+
+@pytest.mark.parametrize("d", [0.05, 0.5, 0.8, 0.95])
+def test_numbers_of_seatings_of_many_customers(d):
+    ways, t = log_ways(3000, d), np.arange(1.0, 3001)
+    got = pitmanyor.log_seatings(np.full(3000, 3000.0), t, d) + math.lgamma(3001)
+    assert abs(got[:-30] - ways[1:-30]).max() < 1e-4 and abs(got - ways[1:]).max() < 0.01
+
+
+def test_gammas_have_their_law():
+    keys = np.random.default_rng(2).integers(0, 2**63, 200_000).astype(np.uint64)
+    for shape in (0.05, 0.7, 1.0, 3.5, 1e6):
+        x = pitmanyor.gammas(np.full(len(keys), shape), keys, 77)
+        assert x.mean() == pytest.approx(shape, rel=0.03) and x.var() == pytest.approx(shape, rel=0.06)
+    assert (pitmanyor.gammas(np.zeros(3), keys[:3], 1) == 0).all()
+
+
+def test_sweeps_reach_the_posterior_of_a_restaurant():
+    """Size and dishes in turn, against all seatings of three dishes under a Pitman-Yor restaurant."""
+    c, p, d, n = [5, 3, 1], [0.2, 0.05, 0.3], 0.6, 40_000
+    ways = [np.exp(log_ways(x, d)) for x in c]
+    law = np.zeros(sum(c) + 1)
+    for i in range(1, c[0] + 1):
+        for j in range(1, c[1] + 1):
+            t = i + j + 1
+            law[t] += (ways[0][i] * p[0] ** i * ways[1][j] * p[1] ** j * ways[2][1] * p[2]
+                       * math.prod(pitmanyor.STRENGTH + d * k for k in range(1, t)))
+    keys = np.random.default_rng(3).integers(0, 2**63, n).astype(np.uint64)
+    tables = np.full(n, 9.0)
+    for sweep in range(12):
+        x = pitmanyor.gammas(pitmanyor.STRENGTH / d + tables, keys, pitmanyor.stream(sweep, 0) + pitmanyor.SIZE)
+        tables = sum(pitmanyor.seat_dishes(np.full(n, c[k]), d, d * x * p[k], keys + np.uint64(k + 1), pitmanyor.stream(sweep, 0)) for k in range(3))
+    assert distance(tables.astype(int), law / law.sum()) < 0.02
+
+
+def brute_scores(texts, sweeps):
+    """{doc_id: score}: the model kept in plain dictionaries, seated with the same random numbers."""
+    key = lambda w: np.array([xxhash.xxh64_intdigest(w, 7)], np.uint64)
+    with np.errstate(over="ignore"):
+        pair_key = {(u, w): pitmanyor.mixed(key(u) * np.uint64(0x9E3779B97F4A7C15) + key(w)) for t in texts.values() for u, w in zip([b"\t", *words(t)], [*words(t), b"\n"])}
+    learn = [[*words(t), b"\n"] for i, t in texts.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    count = Counter(w for t in learn for w in t)
+    pair = Counter(p for t in learn for p in zip([b"\t", *t], t))
+    n, v, s = sum(count.values()), len(count), pitmanyor.STRENGTH
+    follow = {**count, b"\t": count[b"\n"]}
+    of = lambda c: pitmanyor.discount(sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values()))
+    d, d0 = of(pair), of(count)
+    one = lambda x: np.array([x], np.float64)
+    share = [{w: (c + 0.5) / (n + 0.5 * (v + 1)) for w, c in count.items()}] * pitmanyor.CHAINS
+    grown = lambda m: math.exp(math.lgamma(m + s + d) - math.lgamma(m + s) + math.lgamma(s) - math.lgamma(s + d))
+    busy = [{u: max(s / d * (grown(m) - 1), 1.0) for u, m in follow.items()}] * pitmanyor.CHAINS
+    roots = [v] * pitmanyor.CHAINS
+    total = Counter()
+    for sweep in range(sweeps):
+        rng = np.random.default_rng(sweep)
+        sizes = [rng.gamma(s / d0 + roots[k]) for k in range(pitmanyor.CHAINS)]
+        state = []
+        for k in range(pitmanyor.CHAINS):
+            at = pitmanyor.stream(sweep, k)
+            x = {u: pitmanyor.gammas(one(s / d + busy[k][u]), key(u), at + pitmanyor.SIZE)[0] for u in follow}
+            t = {(u, w): pitmanyor.seat_dishes(np.array([c]), d, one(d * x[u] * share[k][w]), pair_key[u, w], at)[0] for (u, w), c in pair.items()}
+            guests, tables = Counter(), Counter()
+            for (u, w), m in t.items():
+                tables[u] += m
+                guests[w] += int(m)
+            top = {w: pitmanyor.seat_dishes(np.array([m]), d0, one(d0 * sizes[k] / (v + 1)), key(w), at + (1 << 60))[0] for w, m in guests.items()}
+            drawn = {w: pitmanyor.gammas(one(guests[w] - d0 * top[w]), key(w), at + pitmanyor.SHARE)[0] for w in guests}
+            state.append((t, tables, guests, top, drawn))
+        busy, roots, share = [x[1] for x in state], [sum(x[3].values()) for x in state], []
+        for k, (t, tables, guests, top, drawn) in enumerate(state):
+            rest = rng.gamma(s + d0 * roots[k])
+            share.append({w: (drawn[w] + rest / (v + 1)) / (rest + sum(drawn.values())) for w in drawn})
+
+    def chance(u, w):
+        got = []
+        for t, tables, guests, top, _ in state:
+            p = (guests[w] - d0 * top.get(w, 0) + (s + d0 * sum(top.values())) / (v + 1)) / (s + sum(guests.values()))
+            c = follow.get(u, 0)
+            got.append((pair[u, w] - d * t.get((u, w), 0) + (s + d * tables[u]) * p) / (s + c) if c else p)
+        return sum(got) / len(got)
+
+    return {i: sum(math.log10(chance(u, w)) for u, w in zip([b"\t", *words(t)], [*words(t), b"\n"])) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("sweeps", [1, 2, 3])
+def test_language_model_equals_a_plain_one(spark, rows, sweeps):
+    texts = {i: t[:600] for i, t in sorted(rows.items())[:60]} | {10**6 + i: "a b a a b c " * i for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in pitmanyor.score(df, sweeps).collect()}
+    assert got == pytest.approx(brute_scores(texts, sweeps), rel=1e-4)
 
 
 def test_language_model(spark, docs, rows):
