@@ -20,7 +20,8 @@ hashes, counts) to hash shards; a shard adds up and answers by position, so
 no text is shuffled and every key of a block travels once. The tables of a
 pair follow from its count, the last sweep's totals and random numbers drawn
 from hashes: each block that holds the pair draws the same, and the pair's
-first block reports them.
+first block reports them. Pairs of many customers are drawn there only and
+answered to the other blocks by shards.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ SWEEPS = 2
 UNIT = 1 << 16  # shares are added up in whole parts of this size
 STRENGTH = 1.0  # concentration of every restaurant
 END, START = 0, 1  # numbers of the text's end and start in every block
-WORDS, PAIRS, TABLES, BEFORE = 0, 1, 2, 3  # BEFORE: the tables one sweep ago
+WORDS, PAIRS, TABLES, BEFORE, LARGE = 0, 1, 2, 3, 4  # BEFORE: the tables one sweep ago; LARGE: those of pairs of many customers
 
 MESSAGE = "kind int, shard int, block long, keys binary, vals binary"
 ANSWER = "block long, kind int, shard int, vals binary, own binary, stats array<long>"
@@ -367,6 +368,7 @@ class State:
         self.pair = of(PAIRS, 1)[0]
         self.own = np.concatenate([unpack(o, np.bool_) for k, _, _, o in rows if k == PAIRS])
         self.tables = of(tables, 3 * CHAINS)
+        self.large = of(LARGE, CHAINS)  # of the block's pairs with over ``RECURRED`` customers
         follow = self.count.copy()
         follow[block.start] = self.count[block.end]  # every learned text has one start
         self.follow = follow  # customers of each restaurant
@@ -474,15 +476,22 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
                 s = State(b, right)
                 columns: list[list[np.ndarray]] = [[], []]
                 own = np.flatnonzero(s.own)  # the others are reported by their first blocks
+                large = np.flatnonzero(s.pair > RECURRED)
+                drawn = np.zeros((CHAINS, len(b.key)), np.int64)
                 for chain in range(CHAINS):
                     t = model.seat(b, s, chain, sweep, own)
+                    drawn[chain, own] = t
                     columns[0].append(np.bincount(b.u[own], t, len(b.words)).astype(np.int64))
                     columns[1].append(np.bincount(b.w[own], t, len(b.words)).astype(np.int64))
                 rows += b.messages(TABLES, b.words, columns[0] + columns[1], shards)
+                rows += b.messages(LARGE, b.key[large], list(drawn[:, large]), shards)
             return message_batch(rows)
 
         def parent(table: pa.Table) -> pa.Table:
-            shard = table["shard"][0].as_py()
+            kind, shard = table["kind"][0].as_py(), table["shard"][0].as_py()
+            if kind == LARGE:  # drawn once, where the pair comes first
+                names, cuts, _, at, sums, _ = merge(table, CHAINS)
+                return answers(LARGE, shard, names, cuts, at, sums, None, [])
             names, cuts, distinct, at, sums, _ = merge(table, 2 * CHAINS)
             seated, drawn = [], []
             for k in range(CHAINS):
@@ -493,7 +502,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             return answers(TABLES, shard, names, cuts, at, sums + seated, None, stats)
 
         sent = blocks.groupBy("block").cogroup(heard.groupBy("block")).applyInArrow(seat, MESSAGE)
-        seated = stored(sent.groupBy("shard").applyInArrow(parent, ANSWER), "pitmanyor-tables")
+        seated = stored(sent.groupBy("kind", "shard").applyInArrow(parent, ANSWER), "pitmanyor-tables")
         found = totals(seated, TABLES, 3 * CHAINS)
         last = model
         model = Model(n, v, last.d, last.d0)
@@ -505,7 +514,7 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
         before, old = old, now
         heard = per_block.union(now)
     if before is not None:
-        heard = heard.union(before.withColumn("kind", F.lit(BEFORE)))
+        heard = heard.union(before.where(F.col("kind") == TABLES).withColumn("kind", F.lit(BEFORE)))
 
     def predict(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -513,9 +522,12 @@ def score(docs: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
             b = Block(row)
             b.pairs()
             s, past = State(b, right), State(b, right, BEFORE)
-            total = np.zeros(len(b.key))
+            total, small, t = np.zeros(len(b.key)), s.pair <= RECURRED, np.zeros(len(b.key))
             for chain in range(CHAINS):
-                t, p = last.seat(b, past, chain, sweeps - 1, np.arange(len(b.key))), model.parent(s, chain)[b.w]  # the tables that the last sweep has reported
+                t[small] = last.seat(b, past, chain, sweeps - 1, np.flatnonzero(small))  # the tables that the last sweep has reported
+                if s.large is not None:
+                    t[~small] = s.large[chain]
+                p = model.parent(s, chain)[b.w]
                 busy, guests = model.busy(s, chain)[b.u], s.follow[b.u]
                 total += np.where(guests > 0, (np.maximum(s.pair - model.d * t, 0) + (STRENGTH + model.d * busy) * p) / (STRENGTH + guests), p)
             logp = np.log10(total / CHAINS)[b.at]

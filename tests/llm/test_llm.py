@@ -177,8 +177,11 @@ def brute_scores(texts, sweeps):
     return {i: sum(math.log10(chance(u, w)) for u, w in zip([b"\t", *words(t)], [*words(t), b"\n"])) for i, t in texts.items()}
 
 
-@pytest.mark.parametrize("sweeps", [1, 2, 3])
-def test_language_model_equals_a_plain_one(spark, rows, sweeps):
+@pytest.mark.parametrize("sweeps, recurred", [(1, 8), (2, 1024), (3, 8)])
+def test_language_model_equals_a_plain_one(spark, rows, monkeypatch, sweeps, recurred):
+    monkeypatch.setattr(pitmanyor, "RECURRED", recurred)
+    monkeypatch.setattr(pitmanyor, "TOKENS", 500)
+    monkeypatch.setattr(pitmanyor, "TABLED", {})
     texts = {i: t[:600] for i, t in sorted(rows.items())[:60]} | {10**6 + i: "a b a a b c " * i for i in range(20)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: r["score"] for r in pitmanyor.score(df, sweeps).collect()}
