@@ -6,7 +6,8 @@ computes its gradient with numpy inside ``mapInPandas`` and emits it as
 partitions x model-size rows), the driver takes the summed gradient
 (model-size, independent of data) and updates the weights, which the next
 step ships in the task closure. A step is all rows (gradient descent) or one
-numbered mini-batch (Adam), so the partitioning never changes the model.
+numbered mini-batch (Adam), so the partitioning never changes the model. Small
+steps follow one another inside one task, a bounded block of them per job.
 Warm starts take any earlier weights. Rows that cannot train are left out and
 counted (:func:`left_out`). Scoring is an Arrow-batched function with one
 matrix product per batch; the weights travel with it.
@@ -15,9 +16,11 @@ matrix product per batch; the weights travel with it.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,14 +74,15 @@ def dimensions(df: DataFrame, vec: str) -> int | None:
     return r["d"] if r else None
 
 
-def training_rows(df: DataFrame, vec: str, label: str, n_classes: int | None, d: int, n_heads: int | None = None) -> DataFrame:
-    """``x array<double>, y array<int>`` of the rows that can train.
+def training_rows(df: DataFrame, vec: str, label: str, n_classes: int | None, d: int, n_heads: int | None = None,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """``x array<double>, y array<int>`` of the rows that can train, and the columns ``keep``.
 
     A row needs a finite vector of ``d`` entries and a label for one head at
     least; a head without a label (null, or no class of that code) skips it.
     """
     multi = n_heads is not None
-    rows = df.where(_finite(vec) & (F.size(vec) == d)).select(as_doubles(vec).alias("x"), _labels(label, n_classes, multi).alias("y"))
+    rows = df.where(_finite(vec) & (F.size(vec) == d)).select(as_doubles(vec).alias("x"), _labels(label, n_classes, multi).alias("y"), *keep)
     return rows.where(F.col("y").isNotNull() & (F.size("y") == (n_heads or 1)) & F.exists("y", lambda v: v.isNotNull()))
 
 
@@ -136,6 +140,30 @@ def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return x, ys
 
 
+def _arrays(batch: pa.RecordBatch, heads: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_matrices` of an Arrow batch with rows, whose ``y`` has ``heads`` entries."""
+    x, y = batch.column("x").flatten(), batch.column("y").flatten()
+    return x.to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1), y.fill_null(-1).to_numpy(zero_copy_only=False).reshape(-1, heads)
+
+
+def _add_gradient(total: np.ndarray, every: np.ndarray, ys: np.ndarray, w: np.ndarray, b: np.ndarray) -> None:
+    """Add the summed gradient, loss, hits and labelled rows of every head to ``total``."""
+    for h in range(len(w)):
+        known = ys[:, h] >= 0
+        x, y = every[known], ys[known, h]
+        if not len(x):
+            continue
+        z = x @ w[h].T + b[h]
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        at = np.arange(len(y))
+        loss = -np.log(np.maximum(p[at, y], 1e-300)).sum()
+        hits = (p.argmax(axis=1) == y).sum()
+        p[at, y] -= 1.0
+        total[h] += np.concatenate([(p.T @ x).ravel(), p.sum(axis=0), [loss, hits, len(y)]])
+
+
 def _gradient_rows(w: np.ndarray, b: np.ndarray):
     """Per task: summed gradient, loss, hits and labelled rows of every head."""
     H, k, d = w.shape
@@ -143,23 +171,8 @@ def _gradient_rows(w: np.ndarray, b: np.ndarray):
     def run(batches):
         total = np.zeros((H, k * d + k + 3))
         for pdf in batches:
-            if pdf.empty:
-                continue
-            every, ys = _matrices(pdf)
-            for h in range(H):
-                known = ys[:, h] >= 0
-                x, y = every[known], ys[known, h]
-                if not len(x):
-                    continue
-                z = x @ w[h].T + b[h]
-                z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                at = np.arange(len(y))
-                loss = -np.log(np.maximum(p[at, y], 1e-300)).sum()
-                hits = (p.argmax(axis=1) == y).sum()
-                p[at, y] -= 1.0
-                total[h] += np.concatenate([(p.T @ x).ravel(), p.sum(axis=0), [loss, hits, len(y)]])
+            if not pdf.empty:
+                _add_gradient(total, *_matrices(pdf), w, b)
         yield pd.DataFrame({"head": np.repeat(np.arange(H, dtype=np.int32), total.shape[1]),
                             "idx": np.tile(np.arange(total.shape[1], dtype=np.int32), H), "v": total.ravel()})
 
@@ -176,13 +189,82 @@ def _gradient(rows: DataFrame, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-#: folders that a numbered epoch is cut into; a step reads one
+def _descend(w: np.ndarray, b: np.ndarray, got: np.ndarray, lr: float) -> None:
+    """One step of gradient descent in place, along the mean of the sums ``got``."""
+    H, k, d = w.shape
+    for h in range(H):
+        n = got[h, -1]
+        if n:
+            w[h] -= lr * got[h, :k * d].reshape(k, d) / n
+            b[h] -= lr * got[h, k * d:-3] / n
+
+
+def _adam_step(w: np.ndarray, b: np.ndarray, state: dict, got: np.ndarray, lr: float) -> None:
+    """One step of Adam in place, along the mean of the sums ``got``; ``state`` keeps the moments and the step count."""
+    H, k, d = w.shape
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    state["t"] += 1
+    for h in range(H):
+        n = got[h, -1]
+        g = got[h, :-3] / n if n else np.zeros(k * d + k)
+        state["m"][h] = b1 * state["m"][h] + (1 - b1) * g
+        state["v"][h] = b2 * state["v"][h] + (1 - b2) * g * g
+        move = lr * (state["m"][h] / (1 - b1 ** state["t"])) / (np.sqrt(state["v"][h] / (1 - b2 ** state["t"])) + eps)
+        w[h] -= move[:k * d].reshape(k, d)
+        b[h] -= move[k * d:]
+
+
+#: steps that follow one another in one task at most, and the numbers that its rows (or its models) may have
+BLOCK_STEPS, BLOCK_VALUES = 64, 1 << 22
+#: folders that a numbered epoch is cut into if a single step is too large for a task
 STEP_BLOCKS = 64
 
 
-def _numbered_steps(rows: DataFrame, batch: int, seed: int, path: str) -> int:
-    """Write the rows with their step (seeded MD5 order of the content, ``batch`` rows a step); returns the steps.
+def _in_order(batches: Iterator[pa.RecordBatch], by: str, heads: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Vectors, codes and ``by`` of a bounded block of rows, ordered by ``by``; None if there are none."""
+    parts = [(*_arrays(x, heads), x.column(by).to_numpy(zero_copy_only=False)) for x in batches if x.num_rows]
+    if not parts:
+        return None
+    x, ys, of = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(of, kind="stable")
+    return x[order], ys[order], of[order]
+
+
+def block_models(rows: DataFrame, by: str, w: np.ndarray, b: np.ndarray, steps: list[tuple[int, int, int]], chained: bool,
+                 epochs: int, lr: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The model after gradient descent on the rows of each step ``(name, first, last)``: those with ``by`` from first to last.
+
+    ``chained``: a step starts from the one before, else each from ``(w, b)``.
+    ``rows`` are a bounded block of :func:`training_rows` with ``by``, whose
+    steps one task takes; use :data:`BLOCK_VALUES`.
+    """
+    H, k, d = w.shape
 
+    def run(batches):
+        block = _in_order(batches, by, H)
+        if block is None:
+            return
+        x, ys, of = block
+        v, c = w.copy(), b.copy()
+        for name, first, last in steps:
+            if not chained:
+                v, c = w.copy(), b.copy()
+            lo, hi = np.searchsorted(of, [first, last + 1])
+            for _ in range(epochs):
+                total = np.zeros((H, k * d + k + 3))
+                _add_gradient(total, x[lo:hi], ys[lo:hi], v, c)
+                _descend(v, c, total, lr)
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.int64()), "model": pa.array([np.concatenate([v.ravel(), c.ravel()])], pa.list_(pa.float64()))})
+
+    got = {r["name"]: np.array(r["model"]) for r in rows.repartition(1).mapInArrow(run, "name long, model array<double>").collect()}
+    # without a row that can train, no step moves
+    return {name: (got[name][:w.size].reshape(w.shape), got[name][w.size:].reshape(b.shape)) if got else (w.copy(), b.copy()) for name, _, _ in steps}
+
+
+def _numbered_steps(rows: DataFrame, batch: int, seed: int, path: str, together: int) -> tuple[int, int]:
+    """Write the rows with their step (seeded MD5 order of the content, ``batch`` rows a step), ``together`` steps in a folder.
+
+    Returns the steps and the steps in a folder (chosen if ``together`` is 0).
     Equal rows are interchangeable, so the steps hold the same rows however
     the input is partitioned.
     """
@@ -190,39 +272,65 @@ def _numbered_steps(rows: DataFrame, batch: int, seed: int, path: str) -> int:
     content = F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct("x", "y")))
     numbered = number_rows(rows.withColumn("_h", F.md5(content)), ["_h"])
     step = F.floor((F.col("rn") - 1) / batch).cast("long")
-    steps = F.ceil(F.col("total") / batch)
-    (numbered.select("x", "y", step.alias("step"), steps.cast("long").alias("steps"), F.floor(step * STEP_BLOCKS / steps).cast("int").alias("block"))
-     .write.partitionBy("block").parquet(path))
+    steps = F.ceil(F.col("total") / batch).cast("long")
+    per = F.lit(together) if together else F.ceil(steps / STEP_BLOCKS)
+    numbered.select("x", "y", step.alias("step"), steps.alias("steps"), F.floor(step / per).cast("int").alias("block")).write.partitionBy("block").parquet(path)
     last = rows.sparkSession.read.parquet(path).select("steps").first()
-    return last["steps"] if last else 0
+    last = last["steps"] if last else 0
+    return last, together or max(1, -(-last // STEP_BLOCKS))
+
+
+def _adam_block(block: DataFrame, w: np.ndarray, b: np.ndarray, state: dict, lr: float, totals: np.ndarray) -> None:
+    """The steps of one folder in place, one after the other in one task."""
+    H, k, d = w.shape
+    size = (w.size, b.size, b.size + w.size, b.size + w.size, totals.size)
+
+    def run(batches):
+        rows = _in_order(batches, "step", H)
+        if rows is None:
+            return
+        x, ys, of = rows
+        v, c, stats = w.copy(), b.copy(), np.zeros((H, 3))
+        now = {"t": state["t"], "m": state["m"].copy(), "v": state["v"].copy()}
+        cuts = [*np.flatnonzero(np.diff(of, prepend=of[0] - 1)), len(of)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            got = np.zeros((H, k * d + k + 3))
+            _add_gradient(got, x[lo:hi], ys[lo:hi], v, c)
+            stats += got[:, -3:]
+            _adam_step(v, c, now, got, lr)
+        flat = np.concatenate([z.ravel() for z in (v, c, now["m"], now["v"], stats)])
+        yield pa.RecordBatch.from_pydict({"t": pa.array([now["t"]], pa.int64()), "v": pa.array([flat], pa.list_(pa.float64()))})
+
+    r = block.select("x", "y", "step").repartition(1).mapInArrow(run, "t long, v array<double>").first()
+    new = np.split(np.array(r["v"]), np.cumsum(size)[:-1])
+    w[:], b[:] = new[0].reshape(w.shape), new[1].reshape(b.shape)
+    state.update(t=r["t"], m=new[2].reshape(H, -1), v=new[3].reshape(H, -1))
+    totals += new[4].reshape(H, 3)
 
 
 def _adam_epoch(rows: DataFrame, w: np.ndarray, b: np.ndarray, state: dict, lr: float, batch: int, seed: int) -> np.ndarray:
-    """One epoch of mini-batch Adam in place: a summed gradient per step; returns loss, hits, rows per head.
+    """One epoch of mini-batch Adam in place; returns loss, hits, rows per head.
 
-    ``state`` keeps the moments and the step count over epochs.
+    ``state`` keeps the moments and the step count over epochs. Small steps
+    follow one another in one task, up to :data:`BLOCK_STEPS` of them a job;
+    a step too large for that is one summed gradient over all tasks.
     """
     from kestrel.sources.tables import remove_path, scratch_path
     spark, (H, k, d) = rows.sparkSession, w.shape
-    b1, b2, eps = 0.9, 0.999, 1e-8
     path = scratch_path(spark, f"adam-{uuid.uuid4().hex}")
     totals = np.zeros((H, 3))
+    together = min(BLOCK_STEPS, BLOCK_VALUES // max(1, batch * d))
     try:
-        steps = _numbered_steps(rows, batch, seed, path)
-        stored = spark.read.parquet(path) if steps else None
-        for i in range(steps):
-            part = stored.where((F.col("block") == i * STEP_BLOCKS // steps) & (F.col("step") == i)).select("x", "y")
-            got = _gradient(part, w, b)
-            totals += got[:, -3:]
-            state["t"] += 1
-            for h in range(H):
-                n = got[h, -1]
-                g = got[h, :-3] / n if n else np.zeros(k * d + k)
-                state["m"][h] = b1 * state["m"][h] + (1 - b1) * g
-                state["v"][h] = b2 * state["v"][h] + (1 - b2) * g * g
-                move = lr * (state["m"][h] / (1 - b1 ** state["t"])) / (np.sqrt(state["v"][h] / (1 - b2 ** state["t"])) + eps)
-                w[h] -= move[:k * d].reshape(k, d)
-                b[h] -= move[k * d:]
+        steps, per = _numbered_steps(rows, batch, seed, path, together)
+        for i in range(0, steps, per):
+            block = spark.read.schema("x array<double>, y array<int>, step long").parquet(f"{path}/block={i // per}")
+            if together:
+                _adam_block(block, w, b, state, lr, totals)
+                continue
+            for step in range(i, min(i + per, steps)):
+                got = _gradient(block.where(F.col("step") == step).select("x", "y"), w, b)
+                totals += got[:, -3:]
+                _adam_step(w, b, state, got, lr)
     finally:
         remove_path(spark, path)
     return totals
@@ -237,8 +345,9 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
     ``method="gd"``: full-batch gradient descent, one pass per epoch.
     ``method="adam"``: mini-batches of ``batch_size`` rows in a seeded order
     of every epoch, one summed gradient and one Adam step each, moments kept
-    over epochs (as the original trains; use a small ``lr`` such as 1e-3, and
-    on large data a large ``batch_size``, since steps follow one another).
+    over epochs (as the original trains; use a small ``lr`` such as 1e-3).
+    Steps follow one another: small ones run in blocks, one task a block, so
+    on large data a large ``batch_size`` uses more of the cluster.
     Both give the same model for any partitioning, up to the rounding of sums.
     ``label`` is an int column (one head) or an int array column with
     ``n_heads`` entries (one head per entry, e.g. the four aspects; their
@@ -265,10 +374,7 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
             else:
                 got = _gradient(rows, w, b)
                 stats = got[:, -3:]
-                for h in range(H):
-                    if stats[h, 2]:
-                        w[h] -= lr * got[h, :n_classes * d].reshape(n_classes, d) / stats[h, 2]
-                        b[h] -= lr * got[h, n_classes * d:-3] / stats[h, 2]
+                _descend(w, b, got, lr)
             if history is not None:
                 history += [(e + 1, h, float(loss / n), float(hits / n), int(n)) for h, (loss, hits, n) in enumerate(stats) if n]
     finally:
@@ -279,6 +385,38 @@ def train_heads(df: DataFrame, vec: str, label: str, n_classes: int, epochs: int
 
 # --- scoring ----------------------------------------------------------------------
 
+def pair_counts(rows: DataFrame, models: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``(model, aspect, t, p, n)``: the true and predicted classes of every head by every model, in one pass.
+
+    ``rows`` are :func:`training_rows`; a head without a label skips the row,
+    the first index wins ties. A task emits at most models x heads x classes^2 rows.
+    """
+    heads, k, _ = models[0][0].shape
+
+    def run(batches):
+        counts: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            every, ys = _arrays(batch, heads)
+            for h in range(heads):
+                known = ys[:, h] >= 0
+                x = every[known]
+                codes, at = np.unique(ys[known, h], return_inverse=True)
+                for c in codes:
+                    counts.setdefault((h, int(c)), np.zeros((len(models), k), dtype=np.int64))
+                for i, (w, b) in enumerate(models):
+                    p = np.argmax(x @ w[h].T + b[h], axis=1)
+                    for c, n in zip(codes, np.bincount(at * k + p, minlength=len(codes) * k).reshape(-1, k)):
+                        counts[h, int(c)][i] += n
+        out = [(i, h, c, p, int(n[i, p])) for (h, c), n in counts.items() for i, p in zip(*(z.tolist() for z in np.nonzero(n)))]
+        kinds = {"model": pa.int32(), "aspect": pa.int32(), "t": pa.int32(), "p": pa.int32(), "n": pa.int64()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds.values())], names=list(kinds))
+
+    parts = rows.mapInArrow(run, "model int, aspect int, t int, p int, n long")
+    return parts.groupBy("model", "aspect", "t", "p").agg(F.sum("n").alias("n"))
+
+
 def _place(ok: np.ndarray, rows) -> pd.Series:
     """Rows back at the usable positions; other vectors give null."""
     if ok.all():
