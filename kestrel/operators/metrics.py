@@ -109,9 +109,9 @@ def aspect_metrics(df: DataFrame, t: str, p: str, average: str = "macro") -> Dat
     return cls_metrics(counts, by="aspect", average=average)
 
 
-def aspect_mean(per_aspect: DataFrame) -> DataFrame:
+def aspect_mean(per_aspect: DataFrame, by=None) -> DataFrame:
     """Unweighted mean of per-aspect metrics over the aspects."""
-    return per_aspect.agg(*[F.avg(c).alias(c) for c in ("acc", "precision", "recall", "f1")])
+    return per_aspect.groupBy(*_by(by)).agg(*[F.avg(c).alias(c) for c in ("acc", "precision", "recall", "f1")])
 
 
 def aspect_tp_fp_fn(counts: DataFrame, n_aspects: int = 4, n_classes: int = 4) -> DataFrame:
