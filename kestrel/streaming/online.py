@@ -1,7 +1,7 @@
 """Online learning driven by the trigger stream (R2-R7 together).
 
 ``stage_and_cut`` hands every micro-batch's new ledger rows to a
-:class:`StreamingLearner`, which trains one step per trigger; the learner's
+:class:`StreamingLearner`, which trains one step per trigger, small ones in blocks; the learner's
 store keeps weights and records on shared storage, so a restarted stream goes
 on from the stored champion and newest version. Triggers come in order, so a
 replayed micro-batch finds its triggers at or below the newest record's and
@@ -32,12 +32,23 @@ class StreamingLearner:
             self.learner.start(*start)
 
     def __call__(self, spark: SparkSession, new_ledger: DataFrame) -> None:
-        staged = triggered(spark, self.staging)
-        for row in new_ledger.where(F.col("trigger_id") > self.learner.newest["trigger_id"]).orderBy("trigger_id").toLocalIterator():
-            t = row["trigger_id"]
+        new = new_ledger.where(F.col("trigger_id") > self.learner.newest["trigger_id"]).agg(
+            F.min("trigger_id").alias("lo"), F.max("trigger_id").alias("hi"), F.max("n").alias("n")).first()
+        if new["lo"] is None:
+            return
+        staged = triggered(spark, self.staging).withColumnRenamed("_trigger", "_batch").drop("_mb")
+        rows_of = lambda first, last: staged.where(f"_batch between {first} and {last}")
+        sizes: dict[int, int] = {}  # rows of the batches looked at
+        for t in range(new["lo"], new["hi"] + 1):
             first, last = self.learner.batches(t)
-            part = staged.where(F.col("_trigger").between(first, last)).drop("_trigger", "_mb")
-            self.learner.step(part, t, part.count())
+            if t not in self.learner.ahead:
+                self.learner.look_ahead(rows_of, t, new["hi"], new["n"])
+                until = max([last, *self.learner.ahead])
+                sizes = {r["_batch"]: r["count"] for r in rows_of(first, until).groupBy("_batch").count().collect()}
+            missing = [i for i in range(first, last + 1) if i not in sizes]
+            if missing:  # a replay's batches before those of this block
+                sizes |= {r["_batch"]: r["count"] for r in rows_of(missing[0], missing[-1]).groupBy("_batch").count().collect()}
+            self.learner.step(rows_of(first, last), t, sum(sizes.get(i, 0) for i in range(first, last + 1)))
 
     def registry_frame(self, spark: SparkSession) -> DataFrame:
         return self.store.records()
