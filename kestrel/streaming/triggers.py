@@ -14,7 +14,9 @@ ledger ends.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -42,9 +44,9 @@ def _write(df: DataFrame, path: str, mb: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/_mb={mb}")
 
 
-def _read(spark: SparkSession, path: str, mb: int) -> DataFrame:
-    """What micro-batch ``mb`` has written."""
-    return spark.read.parquet(f"{path}/_mb={mb}")
+def _read(spark: SparkSession, path: str, mb: int, schema: StructType | None = None) -> DataFrame:
+    """What micro-batch ``mb`` has written; with its ``schema``, no file is opened for it."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(f"{path}/_mb={mb}")
 
 
 def cut_path(staging: str) -> str:
@@ -87,6 +89,26 @@ def _state_before(spark: SparkSession, staging: str, mb: int) -> tuple[int, int]
     return None if r is None else (r["_mb"], r["last"])
 
 
+#: rows of a micro-batch, with those that wait, that one task sorts at most
+ONE_TASK = 1 << 16
+
+
+def _numbered(pool: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The rows with ``rn`` and ``batch_id``, the same each time they are read (up to rows equal in all columns)."""
+    if total > ONE_TASK or any(kind in f.dataType.simpleString() for f in pool.schema for kind in ("map<", "variant")):
+        return trigger_batches(pool, key, n, keep_partial=True, written=True)
+    one = pool.coalesce(1).sortWithinPartitions(key, *[c for c in pool.columns if c != key])
+    numbered = one.withColumn("rn", F.monotonically_increasing_id() + 1)  # a single partition: no gaps
+    return numbered.withColumn("batch_id", (F.floor((F.col("rn") - 1) / n) + 1).cast("long"))
+
+
+def _together(spark: SparkSession, *jobs: Callable[[], None]) -> None:
+    """Run independent jobs at the same time."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(inheritable_thread_target(spark)(j)) for j in jobs]:
+            job.result()
+
+
 def stage_and_cut(key: str, staging: str, ledger: str, n: int, m: int,
                   on_trigger: Callable[[SparkSession, DataFrame], None] | None = None):
     """The ``foreachBatch`` function: cut the arriving and the waiting rows into full triggers.
@@ -97,28 +119,32 @@ def stage_and_cut(key: str, staging: str, ledger: str, n: int, m: int,
     state before. Waiting rows and states older than the last one are removed.
     """
 
+    done: dict[int, int] = {}  # the state that the last call has written
+
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, mb = batch.sparkSession, int(batch_id)
-        before = _state_before(spark, staging, mb)
+        follows = mb - 1 in done
+        before = (mb - 1, done[mb - 1]) if follows else _state_before(spark, staging, mb)
+        done.clear()
         last = before[1] if before else 0
         _write(batch, staging, mb)
-        pool = _read(spark, staging, mb)
+        pool = _read(spark, staging, mb, batch.schema)
         if before:
-            pool = pool.unionByName(_read(spark, wait_path(staging), before[0]))
-        columns = pool.columns
-        cut = trigger_batches(pool, key, n, keep_partial=True, written=True)
-        full = F.col("rn") <= F.floor(F.col("total") / n) * n
-        _write(cut.where(full).select(*columns, (F.col("batch_id") + F.lit(last)).cast("long").alias("_trigger")), cut_path(staging), mb)
-        _write(cut.where(~full).select(*columns), wait_path(staging), mb)
-        new = (_read(spark, cut_path(staging), mb).groupBy(F.col("_trigger").alias("trigger_id"))
+            pool = pool.unionByName(_read(spark, wait_path(staging), before[0], batch.schema if follows else None))
+        columns, total = pool.columns, pool.count()
+        newest = last + total // n
+        cut = _numbered(pool, key, n, total)
+        whole = F.col("rn") <= total // n * n
+        taken = cut.where(whole).select(*columns, (F.col("batch_id") + F.lit(last)).cast("long").alias("_trigger"))
+        new = (taken.groupBy(F.col("_trigger").alias("trigger_id"))
                .agg(F.min(key).cast("long").alias("lo"), F.max(key).cast("long").alias("hi"), F.count(F.lit(1)).alias("n"))
                .withColumn("kind", F.when(F.col("trigger_id") % m == 0, "replay").otherwise("own")))
-        _write(new, ledger, mb)
-        rows = _read(spark, ledger, mb)
-        newest = rows.agg(F.max("trigger_id")).first()[0]
+        _together(spark, lambda: _write(taken, cut_path(staging), mb), lambda: _write(cut.where(~whole).select(*columns), wait_path(staging), mb),
+                  lambda: _write(new, ledger, mb))
         if on_trigger is not None:
-            on_trigger(spark, rows)
-        _write(spark.createDataFrame([(newest or last,)], "last long").coalesce(1), state_path(staging), mb)
+            on_trigger(spark, _read(spark, ledger, mb))
+        _write(spark.range(0, 1, 1, 1).select(F.lit(newest).cast("long").alias("last")), state_path(staging), mb)
+        done[mb] = newest
         if before:  # this micro-batch may be replayed, the one before it no more
             for path in (wait_path(staging), state_path(staging)):
                 _remove_before(spark, path, before[0])
