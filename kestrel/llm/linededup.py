@@ -5,23 +5,33 @@ words in their hash bucket (2^18 buckets, a fixed table), then hash. Equal
 lines are one class. Two sets with Jaccard >= t share a word among their
 first few (prefix filter); the shorter one's prefix can be shorter still,
 lengths must be within t, the words' positions must leave room for the
-overlap (positional filter), and parity sketches of 64, then 256 bits bound
+overlap (positional filter), and parity sketches of 128, then 256 bits bound
 the difference of the sets. What is left is verified on the words themselves. A line goes if
 it is not the first of its class, or if a line of another class that matches
 it comes earlier.
+
+Many near copies of one line would make a row for every two of them. So each
+class is first compared with a few others of each of its prefix words' lists;
+classes that these links connect are a group. Large groups are cut into
+blocks, and two blocks are compared in one row, which counts links without
+a row for each. Only pairs of classes in different groups become rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kestrel.llm.common import row_id, stored, unused
+from kestrel.llm.common import components, discard, row_id, stored, unused
 
 SIMILARITY = 0.8
 BUCKETS = 1 << 18
 SPACE = "\t\x0b\x0c\r"
 SENT = 2_000_000  # class numbers that are broadcast at most (16 MB); more are joined by shuffles
+AHEAD = (1, 2, 5)  # how far before it in a word's list a class looks for one of its group
+MANY = 16  # classes of a group that are compared in blocks; pairs of smaller groups become rows
+ROW_COST = 32  # comparisons within blocks that cost about as much as a row of candidates
+BLOCK = 1 << 14  # words of a block, about
 
 
 def words(line: Column) -> Column:
@@ -41,13 +51,17 @@ def lines(docs: DataFrame) -> DataFrame:
             .select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(2)).alias("k2")))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words."""
-    spread = (docs.select(F.explode_outer(F.split(F.col("text").cast("string"), "\n")).alias("line"))
-              .select(F.explode_outer(words(F.col("line"))).alias("w"))
+def class_lines(docs: DataFrame) -> DataFrame:
+    """(c, line): the different lines."""
+    return stored(lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").distinct(), "line-classes")
+
+
+def rarity(known: DataFrame) -> Column:
+    """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words in different lines."""
+    spread = (known.select(F.explode_outer(words(F.col("line"))).alias("w"))
               .select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")))
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    every = docs.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
+    every = known.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 512).cast("int")
     # a table of fixed size, whatever the input
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank.alias("r")))), lambda e: e["r"]).alias("ranks")).scalar()
@@ -58,8 +72,8 @@ def need(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def postings(docs: DataFrame, t: float) -> DataFrame:
-    """(w, c, size, at, sketch): the prefix words of every class, with their position."""
+def postings(known: DataFrame, t: float) -> DataFrame:
+    """(w, c, shape, even, odd): the prefix words of every class; its size and their position, and the class's sketch of 128 bits."""
     hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # rank in the upper bits, 48 bits of the hash below: rare words first
     ordered = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(
@@ -67,40 +81,87 @@ def postings(docs: DataFrame, t: float) -> DataFrame:
 
     def described(s):  # a lambda, so that the words are prepared once
         size = F.size(s)
-        sketch = F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function(
-            "shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(size.alias("size"), F.slice(s, 1, (size - F.ceil(size * t - 1e-9) + 1).cast("int")).alias("prefix"), sketch.alias("sketch"))
+        one = F.lit(1).cast("long")
+        half = lambda k: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: F.when(
+            x.bitwiseAND(F.lit(64)) == 64 * k, acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
+        return F.struct(size.alias("size"), F.slice(s, 1, (size - F.ceil(size * t - 1e-9) + 1).cast("int")).alias("prefix"), half(0).alias("even"), half(1).alias("odd"))
 
-    classes = lines(docs).select("line", "k1", "k2").distinct()
-    return (classes.withColumn("ranks", rarity(docs))
-            .select(F.xxhash64("k1", "k2").alias("c"), F.transform(F.array(ordered), described)[0].alias("d"))
+    sure = lambda c: F.coalesce(c, F.lit(0))
+    return (known.withColumn("ranks", rarity(known))
+            .select("c", F.transform(F.array(ordered), described)[0].alias("d"))
             # never null, and said so: else filters on them would be pushed down and prepare the words again
-            .select("c", F.coalesce("d.size", F.lit(0)).alias("size"), F.coalesce("d.sketch", F.lit(0)).alias("sketch"), F.posexplode_outer("d.prefix").alias("at", "w"))
-            .select("c", "size", "sketch", F.coalesce("at", F.lit(0)).alias("at"), F.coalesce("w", F.lit(0)).alias("w")))
+            .select("c", sure("d.size").cast("long").alias("size"), sure("d.even").alias("even"), sure("d.odd").alias("odd"), F.posexplode_outer("d.prefix").alias("at", "w"))
+            .select("c", (F.shiftleft("size", 32) + sure("at")).alias("shape"), "even", "odd", sure("w").alias("w")))
+
+
+POSTED = ("c", "shape", "even", "odd")
+
+
+def part(name: str) -> dict:
+    """The parts of a posting in the struct or table ``name``."""
+    of = {k: F.col(f"{name}.{k}" if name else k) for k in POSTED}
+    return of | {"size": F.shiftright(of["shape"], 32), "at": of["shape"].bitwiseAND(F.lit((1 << 32) - 1))}
 
 
-def candidates(docs: DataFrame, t: float) -> DataFrame:
-    """(p, q): classes that pass all filters, each pair once."""
-    posted = stored(postings(docs, t), "line-postings")
-    a, b = posted.alias("a"), posted.alias("b")
-    size = F.col("a.size") + F.col("b.size")
-    least = need(F.col("a.size"), F.col("b.size"), t)
+def close(a: dict, b: dict, t: float) -> Column:
+    """Two postings of a word, a of the smaller set: their sets may have Jaccard >= t by sizes, positions and sketches."""
+    size, least = a["size"] + b["size"], need(a["size"], b["size"], t)
+    room = F.least(a["size"] - a["at"], b["size"] - b["at"])
+    differ = F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
     # a join condition over both sides, not a filter: so both sides read one shuffle
-    short = (F.col("a.at") <= F.col("a.size") - need(F.col("a.size"), F.col("a.size"), t)) | (F.col("b.size") < 0)
-    ahead = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.c") < F.col("b.c")))
-    room = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
-    differ = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch")))
-    close = (ahead & short & (F.col("a.size") >= F.col("b.size") * t - 1e-9)
-             & (room + F.least(F.col("a.at"), F.col("b.at")) >= least) & (differ <= size - 2 * least))
-    return a.join(b, (F.col("a.w") == F.col("b.w")) & close).select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct()
-
-
-def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(c, line, n, sketches) of the classes in ``pairs``: the line, its number of words, their parity at each of 256 bits."""
-    ids = stored(pairs.select(F.explode(F.array("p", "q")).alias("c")).distinct(), "line-ids")
-    if ids.count() <= SENT:
-        ids = F.broadcast(ids)
-    text = lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").join(ids, "c").distinct()
+    short = (a["at"] <= a["size"] - need(a["size"], a["size"], t)) | (b["size"] < 0)
+    return short & (a["size"] >= b["size"] * t - 1e-9) & (room + F.least(a["at"], b["at"]) >= least) & (differ <= size - 2 * least)
+
+
+def shared_postings(known: DataFrame, t: float) -> DataFrame:
+    """The postings of words that several classes have; ``near``: classes shortly before and the first one of the word's list, if close."""
+    order = Window.partitionBy("w").orderBy(F.shiftright("shape", 32), "c")
+    own = F.struct(*POSTED)
+    others = {f"x{k}": F.lag(own, k).over(order) for k in AHEAD} | {"y": F.first(own).over(order), "z": F.lead("c").over(order)}
+    listed = postings(known, t).withColumns(others)
+    near = [F.when((F.col(f"{n}.c") != F.col("c")) & close(part(n), part(""), t), F.col(f"{n}.c")) for n in others if n != "z"]
+    return stored(listed.where(F.col("x1").isNotNull() | F.col("z").isNotNull()).select("w", *POSTED, F.array_compact(F.array(*near)).alias("near")), "line-postings")
+
+
+def groups(posted: DataFrame, known: DataFrame, t: float) -> DataFrame:
+    """(c, g): the classes of groups that are compared in blocks.
+
+    A group is connected by the plausible ones of ``near``. It has many classes, and
+    comparing all of them costs less than the rows that its words' lists make.
+    """
+    links = stored(posted.select(F.explode("near").alias("p"), F.col("c").alias("q")).distinct(), "line-neighbours")
+    tied = components(plausible(links, texts_of(known, ends_of(links)), t).toDF("a", "b"))
+    every = tied.union(tied.select("root", "root").distinct()).toDF("c", "g")
+    large = stored(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "line-groups")
+    members = stored(every.join(sent(large), "g").select("c", "g", "n"), "line-members")
+    rows = posted.join(sent(members), "c").groupBy("w", "g").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    dense = stored(rows.groupBy("g").agg(F.max("n").alias("n"), F.sum(F.col("k") * F.col("k")).alias("rows"))
+                   .where(F.col("n") * F.col("n") <= F.col("rows") * ROW_COST).select("g"), "line-dense")
+    return stored(members.join(sent(dense), "g").select("c", "g"), "line-grouped")
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast if it is short."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def candidates(posted: DataFrame, grouped: DataFrame, t: float) -> DataFrame:
+    """(p, q): classes of different groups that pass all filters, each pair once."""
+    marked = posted.join(sent(grouped), "c", "left").select("w", *POSTED, F.coalesce("g", "c").alias("g"))
+    a, b = marked.alias("a"), marked.alias("b")
+    x, y = part("a"), part("b")
+    ahead = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["c"] < y["c"]))
+    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.g") != F.col("b.g")) & ahead & close(x, y, t))
+            .select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct())
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("p", "q")).alias("c"))
+
+
+def texts_of(known: DataFrame, ids: DataFrame) -> DataFrame:
+    """(c, line, n, sketches) of the classes in ``ids``: the line, its number of words, their parity at each of 256 bits."""
+    text = known.join(sent(stored(ids.distinct(), "line-ids")), "c")
 
     def described(h):  # a lambda, so that the words are hashed once
         one = F.lit(1).cast("long")
@@ -116,9 +177,55 @@ def plausible(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
     """The pairs whose 256-bit sketches differ in no more bits than sets with Jaccard >= t can."""
     side = lambda c, n: texts.select(F.col("c").alias(c), F.struct("n", "sketches").alias(n))
     both = pairs.join(side("p", "u"), "p").join(side("q", "v"), "q")
-    differ = sum((F.bit_count(F.col("u.sketches")[k].bitwiseXOR(F.col("v.sketches")[k])) for k in range(4)), F.lit(0))
-    size = F.col("u.n") + F.col("v.n")
-    return stored(both.where(differ <= size - 2 * need(F.col("u.n"), F.col("v.n"), t)).select("p", "q"), "line-plausible")
+    return stored(both.where(alike(F.col("u"), F.col("v"), t)).select("p", "q"), "line-plausible")
+
+
+def alike(u: Column, v: Column, t: float) -> Column:
+    differ = sum((F.bit_count(u["sketches"][k].bitwiseXOR(v["sketches"][k])) for k in range(4)), F.lit(0))
+    return differ <= u["n"] + v["n"] - 2 * need(u["n"], v["n"], t)
+
+
+def group_blocks(grouped: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, cuts, block, size, b): the groups cut into blocks of about BLOCK words. A set is told by its difference from the group's root.
+
+    With d(x) the words that x or the root has alone, and s(x) the number of
+    those that both have, x and y share s(x) + s(y) - size + |d(x) and d(y)| words.
+    """
+    hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
+    members = stored(grouped.join(texts, "c").join(classes.select("c", "first"), "c").select("g", "c", "n", "first", hashed.alias("words")), "line-group-texts")
+    cuts = stored(members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).alias("cuts")), "line-cuts")
+    roots = members.where("c = g").select("g", F.col("words").alias("root"))
+    blocks = (members.join(sent(cuts), "g").groupBy("g", "cuts", F.pmod("c", "cuts").alias("block"))
+              .agg(F.collect_list(F.struct("c", "first", "n", "words")).alias("b")).join(roots, "g"))
+    parts = F.transform("b", lambda x: F.struct(x["c"].alias("c"), x["first"].alias("first"), x["n"].alias("n"), F.array_except(x["words"], "root").alias("own"),
+                                                F.array_except("root", x["words"]).alias("lost")))
+    told = F.transform(parts, lambda x: F.struct(x["c"].alias("c"), x["first"].alias("first"), x["n"].alias("n"),
+                                                 (x["n"] - F.size(x["own"])).alias("same"), F.concat(x["own"], x["lost"]).alias("differ")))
+    return stored(blocks.select("g", "cuts", "block", F.size("root").alias("size"), told.alias("b")), "line-blocks")
+
+
+def group_links(grouped: DataFrame, texts: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """(c, n_links, later): the classes of a group that match c, and whether one of them comes earlier. All are compared, on 64-bit word hashes."""
+    blocks = group_blocks(grouped, texts, classes)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))
+    # few bytes and much work: as many tasks as there are partitions
+    dealt = lambda df: df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "i", "j")
+    asked = dealt(blocks.select("g", "size", F.col("block").alias("i"), every.alias("j"), F.col("b").alias("a")))
+    other = dealt(blocks.select("g", every.alias("i"), F.col("block").alias("j"), "b"))
+
+    def matches(x, y):
+        enough = lambda common: common >= t * (x["n"] + y["n"] - common) - 1e-9
+        least = x["same"] + y["same"] - F.col("size")
+        most = least + F.least(F.size(x["differ"]), F.size(y["differ"]))
+        return (x["c"] != y["c"]) & enough(most) & (enough(least) | enough(least + F.size(F.array_intersect(x["differ"], y["differ"]))))
+
+    def counted(x):
+        none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(False).alias("later"))
+        return F.struct(x["c"].alias("c"), F.aggregate("b", none, lambda acc, y: F.when(matches(x, y), F.struct(
+            (acc["n"] + 1).alias("n"), (acc["later"] | (y["first"] < x["first"])).alias("later"))).otherwise(acc)).alias("links"))
+
+    found = asked.join(other, ["g", "i", "j"]).select(F.explode(F.transform("a", counted)).alias("e"))
+    return stored(found.groupBy("e.c").agg(F.sum("e.links.n").alias("n_links"), F.max("e.links.later").alias("later")), "line-group-links")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
@@ -144,14 +251,25 @@ def placed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                        F.least("f1", "f2").alias("f"))
 
 
-def later_classes(docs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
-    """(c): classes that match an earlier one. Each is compared with its first candidate, and with all only if that fails."""
-    pairs = stored(candidates(docs, t), "line-pairs")
-    texts = candidate_texts(docs, pairs)
+def later_classes(pairs: DataFrame, texts: DataFrame, grouped: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """(c): classes that match an earlier one. Outside its group each is compared with its first candidate, and with all only if that fails."""
+    inside = group_links(grouped, texts, classes, t).where("later").select("c")
     pairs = stored(placed(plausible(pairs, texts, t), classes), "line-placed")
     hit = verified(pairs.groupBy("q").agg(F.min_by("p", "f").alias("p")), texts, t).select("q")
     rest = verified(pairs.select("p", "q").join(hit, "q", "left_anti"), texts, t)
-    return hit.union(rest.select("q").distinct()).withColumnRenamed("q", "c")
+    return hit.union(rest.select("q")).union(inside).distinct().withColumnRenamed("q", "c")
+
+
+def compared(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidates of different groups, the texts to compare, the groups."""
+    known = class_lines(docs)
+    posted = shared_postings(known, t)
+    grouped = groups(posted, known, t)
+    pairs = stored(candidates(posted, grouped, t), "line-pairs")
+    discard(posted)
+    texts = texts_of(known, ends_of(pairs).union(grouped.select("c")))
+    discard(known)
+    return pairs, texts, grouped
 
 
 def occurrences_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,13 +288,13 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     Class: the place (smallest doc_id, line number) of the first equal line.
     n_links: other classes with Jaccard >= t.
     """
+    pairs, texts, grouped = compared(docs, t)
     occurrences, classes = occurrences_and_classes(docs)
-    pairs = stored(candidates(docs, t), "line-pairs")
-    texts = candidate_texts(docs, pairs)
     links = placed(verified(plausible(pairs, texts, t), texts, t), classes)
     ends = links.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.lit(False).alias("later")),
                                           F.struct(F.col("q").alias("c"), F.lit(True).alias("later")))).alias("e")).select("e.*")
-    linked = ends.groupBy("c").agg(F.count(F.lit(1)).alias("n_links"), F.max("later").alias("later"))
+    ends = ends.select("c", F.lit(1).cast("long").alias("n_links"), "later").union(group_links(grouped, texts, classes, t))
+    linked = ends.groupBy("c").agg(F.sum("n_links").alias("n_links"), F.max("later").alias("later"))
     known = classes.join(linked, "c", "left").select("k1", "k2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("later", F.lit(False)).alias("later"))
     return occurrences.join(known, ["k1", "k2"]).select(
         "doc_id", "rid", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "n_links",
@@ -185,8 +303,9 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
 
 def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(rid, line_no): the removed lines of ``remove_marks``, without counting links."""
+    near = compared(docs, t)
     occurrences, classes = occurrences_and_classes(docs)
-    later = later_classes(docs, classes, t).withColumn("later", F.lit(True))
+    later = later_classes(*near, classes, t).withColumn("later", F.lit(True))
     known = classes.join(later, "c", "left").select("k1", "k2", "first", "later")
     return occurrences.join(known, ["k1", "k2"]).where(F.col("later").isNotNull() | (place() != F.col("first"))).select("rid", "line_no")
 

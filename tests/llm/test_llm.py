@@ -259,6 +259,36 @@ def test_line_dedup_without_broadcast(docs, rows, monkeypatch):
     assert {(r["doc_id"], r["line_no"]): r["removed"] for r in linededup.remove_marks(docs).collect()} == {k: v[3] for k, v in brute_lines(list(rows.items())).items()}
 
 
+@pytest.mark.parametrize("block", [1 << 14, 1 << 11])
+def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
+    """No step makes a row for every two near copies, and none of their links is lost."""
+    rng, monkey = np.random.default_rng(5), {}
+    base = [f"base{i}" for i in range(60)]
+
+    def copy(i):
+        line = list(base)
+        for k, at in enumerate(rng.permutation(60)[:int(rng.integers(0, 7))]):
+            line[at] = f"x{i}-{k}" if k % 2 else f"common{rng.integers(0, 30)}"
+        return " ".join(line)
+
+    near = [(i, copy(i)) for i in range(300)] + [(1000 + i, " ".join(f"own{i}-{j}" for j in range(12)) + "\n" + copy(i)) for i in range(100)]
+    df = spark.createDataFrame(near, "doc_id long, text string").repartition(4)
+    write = linededup.stored
+
+    def counted(df, name):
+        monkey[name] = max(monkey.get(name, 0), (out := write(df, name)).count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    monkeypatch.setattr(linededup, "BLOCK", block, raising=False)
+    expected = brute_lines(near)
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["removed"]) for r in linededup.remove_marks(df).collect()}
+    assert got == expected and sum(v[2] for v in expected.values()) > 40_000
+    rid = {r["rid"]: r["doc_id"] for r in df.select("doc_id", linededup.row_id().alias("rid")).collect()}
+    assert {(rid[r["rid"]], r["line_no"]) for r in linededup.removed_lines(df).collect()} == {k for k, v in expected.items() if v[3]}
+    assert max(n for name, n in monkey.items() if name != "line-postings") < 8_000, monkey
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == odd.columns
