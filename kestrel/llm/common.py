@@ -23,7 +23,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     The files outlive lost executors. ``clear`` removes them. The shuffle
@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.select("*").write.option("compression", "zstd").parquet(path)  # the new plan takes the setting
+        df.select("*").write.options(compression="zstd", **options).parquet(path)  # the new plan takes the setting
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)

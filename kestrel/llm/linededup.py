@@ -53,7 +53,7 @@ def lines(docs: DataFrame) -> DataFrame:
 
 def class_lines(docs: DataFrame) -> DataFrame:
     """(c, line): the different lines."""
-    return stored(lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").distinct(), "line-classes")
+    return stored(lines(docs).select(F.xxhash64("k1", "k2").alias("c"), "line").distinct(), "line-classes", **{"parquet.block.size": 16 << 20})  # a writer holds that much text
 
 
 def rarity(known: DataFrame) -> Column:
@@ -288,8 +288,8 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     Class: the place (smallest doc_id, line number) of the first equal line.
     n_links: other classes with Jaccard >= t.
     """
-    pairs, texts, grouped = compared(docs, t)
     occurrences, classes = occurrences_and_classes(docs)
+    pairs, texts, grouped = compared(docs, t)
     links = placed(verified(plausible(pairs, texts, t), texts, t), classes)
     ends = links.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.lit(False).alias("later")),
                                           F.struct(F.col("q").alias("c"), F.lit(True).alias("later")))).alias("e")).select("e.*")
@@ -303,9 +303,8 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
 
 def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(rid, line_no): the removed lines of ``remove_marks``, without counting links."""
-    near = compared(docs, t)
     occurrences, classes = occurrences_and_classes(docs)
-    later = later_classes(*near, classes, t).withColumn("later", F.lit(True))
+    later = later_classes(*compared(docs, t), classes, t).withColumn("later", F.lit(True))
     known = classes.join(later, "c", "left").select("k1", "k2", "first", "later")
     return occurrences.join(known, ["k1", "k2"]).where(F.col("later").isNotNull() | (place() != F.col("first"))).select("rid", "line_no")
 

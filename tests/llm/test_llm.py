@@ -262,7 +262,7 @@ def test_line_dedup_without_broadcast(docs, rows, monkeypatch):
 @pytest.mark.parametrize("block", [1 << 14, 1 << 11])
 def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
     """No step makes a row for every two near copies, and none of their links is lost."""
-    rng, monkey = np.random.default_rng(5), {}
+    rng, made = np.random.default_rng(5), {}
     base = [f"base{i}" for i in range(60)]
 
     def copy(i):
@@ -275,8 +275,8 @@ def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
     df = spark.createDataFrame(near, "doc_id long, text string").repartition(4)
     write = linededup.stored
 
-    def counted(df, name):
-        monkey[name] = max(monkey.get(name, 0), (out := write(df, name)).count())
+    def counted(df, name, **options):
+        made[name] = max(made.get(name, 0), (out := write(df, name, **options)).count())
         return out
 
     monkeypatch.setattr(linededup, "stored", counted)
@@ -286,7 +286,7 @@ def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
     assert got == expected and sum(v[2] for v in expected.values()) > 40_000
     rid = {r["rid"]: r["doc_id"] for r in df.select("doc_id", linededup.row_id().alias("rid")).collect()}
     assert {(rid[r["rid"]], r["line_no"]) for r in linededup.removed_lines(df).collect()} == {k for k, v in expected.items() if v[3]}
-    assert max(n for name, n in monkey.items() if name != "line-postings") < 8_000, monkey
+    assert max(n for name, n in made.items() if name != "line-postings") < 8_000, made
 
 
 def test_line_dedup_odd_rows(odd, none):
