@@ -19,6 +19,8 @@ a row for each. Only pairs of classes in different groups become rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,18 +31,25 @@ BUCKETS = 1 << 18
 SPACE = "\t\x0b\x0c\r"
 SENT = 2_000_000  # class numbers that are broadcast at most (16 MB); more are joined by shuffles
 AHEAD = (1, 2, 5)  # how far before it in a word's list a class looks for one of its group
+LOOKED = 4  # prefix words of a class in whose lists it looks
+PARTS = 4  # the prefix words are joined in so many parts (a power of 2)
 MANY = 16  # classes of a group that are compared in blocks; pairs of smaller groups become rows
 ROW_COST = 32  # comparisons within blocks that cost about as much as a row of candidates
 BLOCK = 1 << 14  # words of a block, about
 
 
-def words(line: Column) -> Column:
-    """Words of a line: parts between white space (9 to 13 and 32)."""
+def split(line: Column) -> Column:
+    """Parts of a line between white space (9 to 13 and 32)."""
     odd = F.lit(False)
     for c in SPACE:
         odd = odd | F.contains(line, F.lit(c))
     plain = F.when(odd, F.translate(line, SPACE, " " * len(SPACE))).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    return F.split(plain, " ")
+
+
+def words(line: Column) -> Column:
+    """Words of a line: its parts that are not empty."""
+    return F.array_remove(split(line), "")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -58,7 +67,7 @@ def class_lines(docs: DataFrame) -> DataFrame:
 
 def rarity(known: DataFrame) -> Column:
     """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words in different lines."""
-    spread = (known.select(F.explode_outer(words(F.col("line"))).alias("w"))
+    spread = (known.select(F.explode_outer(split(F.col("line"))).alias("w")).where("w <> ''")
               .select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")))
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = known.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
@@ -72,69 +81,70 @@ def need(a: Column, b: Column, t: float) -> Column:
     return F.ceil((a + b) * F.lit(t / (1 + t)) - 1e-9)
 
 
-def postings(known: DataFrame, t: float) -> DataFrame:
-    """(w, c, shape, even, odd): the prefix words of every class; its size and their position, and the class's sketch of 128 bits."""
+def prefixes(known: DataFrame, t: float) -> DataFrame:
+    """(c, size, even, odd, prefix): every class, its number of words, its sketch of 128 bits, its prefix words in order."""
     hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # rank in the upper bits, 48 bits of the hash below: rare words first
     ordered = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(
-        F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
-
-    def described(s):  # a lambda, so that the words are prepared once
-        size = F.size(s)
-        one = F.lit(1).cast("long")
-        half = lambda k: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: F.when(
-            x.bitwiseAND(F.lit(64)) == 64 * k, acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(acc))
-        return F.struct(size.alias("size"), F.slice(s, 1, (size - F.ceil(size * t - 1e-9) + 1).cast("int")).alias("prefix"), half(0).alias("even"), half(1).alias("odd"))
-
-    sure = lambda c: F.coalesce(c, F.lit(0))
-    return (known.withColumn("ranks", rarity(known))
-            .select("c", F.transform(F.array(ordered), described)[0].alias("d"))
-            # never null, and said so: else filters on them would be pushed down and prepare the words again
-            .select("c", sure("d.size").cast("long").alias("size"), sure("d.even").alias("even"), sure("d.odd").alias("odd"), F.posexplode_outer("d.prefix").alias("at", "w"))
-            .select("c", (F.shiftleft("size", 32) + sure("at")).alias("shape"), "even", "odd", sure("w").alias("w")))
+        F.coalesce(F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+    # the lower 6 bits tell the bit, the next one the half
+    shifted = lambda one, x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda one: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shifted(one(x), x)))
+    told = known.withColumn("ranks", rarity(known)).select("c", ordered.alias("s")).select(
+        "c", F.size("s").alias("size"), parity(lambda x: F.lit(1).cast("long")).alias("all"),
+        parity(lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long"))).alias("odd"), F.slice("s", 1, (F.size("s") - F.ceil(F.size("s") * t - 1e-9) + 1).cast("int")).alias("prefix"))
+    return stored(told.select("c", F.col("size").cast("long").alias("size"), F.col("all").bitwiseXOR(F.col("odd")).alias("even"), "odd", "prefix"), "line-prefixes")
 
 
 POSTED = ("c", "shape", "even", "odd")
 
 
 def part(name: str) -> dict:
-    """The parts of a posting in the struct or table ``name``."""
-    of = {k: F.col(f"{name}.{k}" if name else k) for k in POSTED}
+    """The parts of a posting in the table ``name``."""
+    of = {k: F.col(f"{name}.{k}") for k in POSTED}
     return of | {"size": F.shiftright(of["shape"], 32), "at": of["shape"].bitwiseAND(F.lit((1 << 32) - 1))}
 
 
+def few_apart(a: dict, b: dict, t: float) -> Column:
+    """Sets whose sketches differ in no more bits than sets with Jaccard >= t can."""
+    differ = F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
+    return differ <= a["size"] + b["size"] - 2 * need(a["size"], b["size"], t)
+
+
 def close(a: dict, b: dict, t: float) -> Column:
     """Two postings of a word, a of the smaller set: their sets may have Jaccard >= t by sizes, positions and sketches."""
-    size, least = a["size"] + b["size"], need(a["size"], b["size"], t)
+    least = need(a["size"], b["size"], t)
     room = F.least(a["size"] - a["at"], b["size"] - b["at"])
-    differ = F.bit_count(a["even"].bitwiseXOR(b["even"])) + F.bit_count(a["odd"].bitwiseXOR(b["odd"]))
     # a join condition over both sides, not a filter: so both sides read one shuffle
     short = (a["at"] <= a["size"] - need(a["size"], a["size"], t)) | (b["size"] < 0)
-    return short & (a["size"] >= b["size"] * t - 1e-9) & (room + F.least(a["at"], b["at"]) >= least) & (differ <= size - 2 * least)
+    return short & (a["size"] >= b["size"] * t - 1e-9) & (room + F.least(a["at"], b["at"]) >= least) & few_apart(a, b, t)
 
 
-def shared_postings(known: DataFrame, t: float) -> DataFrame:
-    """The postings of words that several classes have; ``near``: classes shortly before and the first one of the word's list, if close."""
-    order = Window.partitionBy("w").orderBy(F.shiftright("shape", 32), "c")
-    own = F.struct(*POSTED)
-    others = {f"x{k}": F.lag(own, k).over(order) for k in AHEAD} | {"y": F.first(own).over(order), "z": F.lead("c").over(order)}
-    listed = postings(known, t).withColumns(others)
-    near = [F.when((F.col(f"{n}.c") != F.col("c")) & close(part(n), part(""), t), F.col(f"{n}.c")) for n in others if n != "z"]
-    return stored(listed.where(F.col("x1").isNotNull() | F.col("z").isNotNull()).select("w", *POSTED, F.array_compact(F.array(*near)).alias("near")), "line-postings")
+def neighbours(listed: DataFrame, t: float) -> DataFrame:
+    """(p, q): q and classes shortly before it, or the first one, in the lists of q's LOOKED prefix words with the least hashes, if the sketches are close."""
+    told = ("c", "size", "even", "odd")
+    order = Window.partitionBy("w").orderBy("size", "c")
+    own = F.struct(*told)
+    others = {f"x{k}": F.lag(own, k).over(order) for k in AHEAD} | {"y": F.first(own).over(order)}
+    least = F.slice(F.sort_array(F.transform("prefix", lambda w: w.bitwiseAND(F.lit((1 << 48) - 1)))), 1, LOOKED)
+    shown = listed.select(*told, F.explode(least).alias("w")).withColumns(others)
+    of = lambda name: {k: F.col(f"{name}.{k}" if name else k) for k in told}
+    near = [F.when((F.col(f"{n}.c") != F.col("c")) & (F.col(f"{n}.size") >= F.col("size") * t - 1e-9) & few_apart(of(n), of(""), t), F.col(f"{n}.c")) for n in others]
+    return stored(shown.select(F.explode_outer(F.array(*near)).alias("p"), F.col("c").alias("q")).where("p is not null").distinct(), "line-neighbours")
 
 
-def groups(posted: DataFrame, known: DataFrame, t: float) -> DataFrame:
+def groups(listed: DataFrame, known: DataFrame, t: float) -> DataFrame:
     """(c, g): the classes of groups that are compared in blocks.
 
-    A group is connected by the plausible ones of ``near``. It has many classes, and
+    A group is connected by the plausible ones of ``neighbours``. It has many classes, and
     comparing all of them costs less than the rows that its words' lists make.
     """
-    links = stored(posted.select(F.explode("near").alias("p"), F.col("c").alias("q")).distinct(), "line-neighbours")
+    links = neighbours(listed, t)
     tied = components(plausible(links, texts_of(known, ends_of(links)), t).toDF("a", "b"))
     every = tied.union(tied.select("root", "root").distinct()).toDF("c", "g")
     large = stored(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "line-groups")
     members = stored(every.join(sent(large), "g").select("c", "g", "n"), "line-members")
-    rows = posted.join(sent(members), "c").groupBy("w", "g").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    rows = listed.join(sent(members), "c").select("g", "n", F.explode("prefix").alias("w")).groupBy("w", "g").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
     dense = stored(rows.groupBy("g").agg(F.max("n").alias("n"), F.sum(F.col("k") * F.col("k")).alias("rows"))
                    .where(F.col("n") * F.col("n") <= F.col("rows") * ROW_COST).select("g"), "line-dense")
     return stored(members.join(sent(dense), "g").select("c", "g"), "line-grouped")
@@ -145,14 +155,21 @@ def sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT else df
 
 
-def candidates(posted: DataFrame, grouped: DataFrame, t: float) -> DataFrame:
-    """(p, q): classes of different groups that pass all filters, each pair once."""
-    marked = posted.join(sent(grouped), "c", "left").select("w", *POSTED, F.coalesce("g", "c").alias("g"))
-    a, b = marked.alias("a"), marked.alias("b")
+def candidates(listed: DataFrame, grouped: DataFrame, t: float) -> DataFrame:
+    """(p, q): classes of different groups that pass all filters, each pair once.
+
+    One part of the words after another: a part's postings are shuffled and gone before the next one's.
+    """
+    marked = listed.join(sent(grouped), "c", "left").select("c", "size", "even", "odd", F.coalesce("g", "c").alias("g"), F.posexplode("prefix").alias("at", "w"))
+    posted = marked.select("w", "c", (F.shiftleft("size", 32) + F.col("at")).alias("shape"), "even", "odd", "g")
     x, y = part("a"), part("b")
     ahead = (x["size"] < y["size"]) | ((x["size"] == y["size"]) & (x["c"] < y["c"]))
-    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.g") != F.col("b.g")) & ahead & close(x, y, t))
-            .select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct())
+    pairs = []
+    for k in range(PARTS):
+        own = posted.where(F.col("w").bitwiseAND(F.lit(PARTS - 1)) == k)
+        both = own.alias("a").join(own.alias("b"), (F.col("a.w") == F.col("b.w")) & (F.col("a.g") != F.col("b.g")) & ahead & close(x, y, t))
+        pairs.append(stored(both.select(F.col("a.c").alias("p"), F.col("b.c").alias("q")).distinct(), "line-part"))
+    return reduce(DataFrame.union, pairs).distinct()
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -263,10 +280,10 @@ def later_classes(pairs: DataFrame, texts: DataFrame, grouped: DataFrame, classe
 def compared(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The candidates of different groups, the texts to compare, the groups."""
     known = class_lines(docs)
-    posted = shared_postings(known, t)
-    grouped = groups(posted, known, t)
-    pairs = stored(candidates(posted, grouped, t), "line-pairs")
-    discard(posted)
+    listed = prefixes(known, t)
+    grouped = groups(listed, known, t)
+    pairs = stored(candidates(listed, grouped, t), "line-pairs")
+    discard(listed)
     texts = texts_of(known, ends_of(pairs).union(grouped.select("c")))
     discard(known)
     return pairs, texts, grouped

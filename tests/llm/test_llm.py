@@ -289,6 +289,24 @@ def test_line_dedup_of_many_near_copies(spark, monkeypatch, block):
     assert max(n for name, n in made.items() if name != "line-postings") < 8_000, made
 
 
+def test_line_dedup_writes_no_row_a_prefix_word(spark, monkeypatch):
+    """Prefix words lie on disk as one row a class, and are shuffled a part at a time."""
+    rng, made = np.random.default_rng(6), Counter()
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 400, 40))) for i in range(200)]
+    rows += [(200 + i, rows[i][1].rsplit(" ", 2)[0]) for i in range(20)]
+    write = linededup.stored
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        made[name] = max(made[name], out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    got = linededup.remove_marks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["removed"]) for r in got} == brute_lines(rows)
+    assert made["line-links"] >= 20 and max(made.values()) <= len(rows), made
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == odd.columns
