@@ -11,8 +11,8 @@ it is not the first of its class, or if a line of another class that matches
 it comes earlier.
 
 Many near copies of one line would make a row for every two of them. So each
-class is first compared with a few others of each of its prefix words' lists;
-classes that these links connect are a group. Large groups are cut into
+class is first compared with a few others of the lists of four of its prefix
+words; classes that these links connect are a group. Large groups are cut into
 blocks, and two blocks are compared in one row, which counts links without
 a row for each. Only pairs of classes in different groups become rows.
 """
