@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Words are ordered by rarity: the number of
-words in their hash bucket (2^18 buckets, a fixed table), then hash. Equal
+words in their hash bucket (2^20 buckets, a fixed table), then hash. Equal
 lines are one class. Two sets with Jaccard >= t share a word among their
 first few (prefix filter); the shorter one's prefix can be shorter still,
 lengths must be within t, the words' positions must leave room for the
@@ -11,7 +11,7 @@ it is not the first of its class, or if a line of another class that matches
 it comes earlier.
 
 Many near copies of one line would make a row for every two of them. So each
-class is first compared with a few others of the lists of four of its prefix
+class is first compared with a few others of the lists of two of its prefix
 words; classes that these links connect are a group. Large groups are cut into
 blocks, and two blocks are compared in one row, which counts links without
 a row for each. Only pairs of classes in different groups become rows.
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from kestrel.llm.common import components, discard, row_id, stored, unused
 
 SIMILARITY = 0.8
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 SPACE = "\t\x0b\x0c\r"
 SENT = 2_000_000  # class numbers that are broadcast at most (16 MB); more are joined by shuffles
 AHEAD = (1, 2, 5)  # how far before it in a word's list a class looks for one of its group
-LOOKED = 4  # prefix words of a class in whose lists it looks
+LOOKED = 2  # prefix words of a class in whose lists it looks
 PARTS = 4  # the prefix words are joined in so many parts (a power of 2)
+TELLING = 128  # words of a line up to which a sketch of 128 bits tells enough to connect a group
 MANY = 16  # classes of a group that are compared in blocks; pairs of smaller groups become rows
 ROW_COST = 32  # comparisons within blocks that cost about as much as a row of candidates
 BLOCK = 1 << 14  # words of a block, about
@@ -56,7 +57,7 @@ def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, rid, line_no, line, k1, k2): the lines with words, from 0. Rows equal in doc_id and text are one document."""
     return (docs.select(F.col("doc_id").cast("long"), row_id().alias("rid"), F.col("text").cast("string"))
             .select("doc_id", "rid", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-            .where(F.col("line").rlike("[^\t\x0b\x0c\r ]"))
+            .where(F.ltrim("line", F.lit(SPACE + " ")) != "")
             .select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit(2)).alias("k2")))
 
 
@@ -66,14 +67,14 @@ def class_lines(docs: DataFrame) -> DataFrame:
 
 
 def rarity(known: DataFrame) -> Column:
-    """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words in different lines."""
+    """Scalar array: the rank of each hash bucket, about 512 log2 of its number of words in different lines, in the upper 16 bits."""
     spread = (known.select(F.explode_outer(split(F.col("line"))).alias("w")).where("w <> ''")
               .select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")))
     counts = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     every = known.sparkSession.range(BUCKETS).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
     rank = F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1.0) * 512).cast("int")
     # a table of fixed size, whatever the input
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank.alias("r")))), lambda e: e["r"]).alias("ranks")).scalar()
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank.alias("r")))), lambda e: F.shiftleft(e["r"].cast("long"), 48)).alias("ranks")).scalar()
 
 
 def need(a: Column, b: Column, t: float) -> Column:
@@ -85,8 +86,7 @@ def prefixes(known: DataFrame, t: float) -> DataFrame:
     """(c, size, even, odd, prefix): every class, its number of words, its sketch of 128 bits, its prefix words in order."""
     hashed = F.array_distinct(F.transform(words(F.col("line")), lambda w: F.xxhash64(w)))
     # rank in the upper bits, 48 bits of the hash below: rare words first
-    ordered = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(
-        F.coalesce(F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0)).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16))))
+    ordered = F.sort_array(F.transform(hashed, lambda h: F.get("ranks", h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 16))))
     # the lower 6 bits tell the bit, the next one the half
     shifted = lambda one, x: F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda one: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(shifted(one(x), x)))
@@ -121,7 +121,10 @@ def close(a: dict, b: dict, t: float) -> Column:
 
 
 def neighbours(listed: DataFrame, t: float) -> DataFrame:
-    """(p, q): q and classes shortly before it, or the first one, in the lists of q's LOOKED prefix words with the least hashes, if the sketches are close."""
+    """(p, q, long): q and classes shortly before it, or the first one, in the lists of q's LOOKED prefix words with the least hashes, if the sketches are close.
+
+    long: the sketches of 128 bits tell too little of so many words.
+    """
     told = ("c", "size", "even", "odd")
     order = Window.partitionBy("w").orderBy("size", "c")
     own = F.struct(*told)
@@ -130,17 +133,18 @@ def neighbours(listed: DataFrame, t: float) -> DataFrame:
     shown = listed.select(*told, F.explode(least).alias("w")).withColumns(others)
     of = lambda name: {k: F.col(f"{name}.{k}" if name else k) for k in told}
     near = [F.when((F.col(f"{n}.c") != F.col("c")) & (F.col(f"{n}.size") >= F.col("size") * t - 1e-9) & few_apart(of(n), of(""), t), F.col(f"{n}.c")) for n in others]
-    return stored(shown.select(F.explode_outer(F.array(*near)).alias("p"), F.col("c").alias("q")).where("p is not null").distinct(), "line-neighbours")
+    return stored(shown.select(F.explode_outer(F.array(*near)).alias("p"), F.col("c").alias("q"), (F.col("size") > TELLING).alias("long")).where("p is not null").distinct(), "line-neighbours")
 
 
 def groups(listed: DataFrame, known: DataFrame, t: float) -> DataFrame:
     """(c, g): the classes of groups that are compared in blocks.
 
-    A group is connected by the plausible ones of ``neighbours``. It has many classes, and
+    A group is connected by ``neighbours``, the plausible ones where the line is long. It has many classes, and
     comparing all of them costs less than the rows that its words' lists make.
     """
     links = neighbours(listed, t)
-    tied = components(plausible(links, texts_of(known, ends_of(links)), t).toDF("a", "b"))
+    short, long = links.where("not long").select("p", "q"), links.where("long").select("p", "q")
+    tied = components(short.union(plausible(long, texts_of(known, ends_of(long)), t)).toDF("a", "b"))
     every = tied.union(tied.select("root", "root").distinct()).toDF("c", "g")
     large = stored(every.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MANY), "line-groups")
     members = stored(every.join(sent(large), "g").select("c", "g", "n"), "line-members")
@@ -292,13 +296,18 @@ def compared(docs: DataFrame, t: float) -> tuple[DataFrame, DataFrame, DataFrame
 def occurrences_and_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     occurrences = stored(lines(docs).drop("line"), "lines")
     classes = occurrences.groupBy("k1", "k2").agg(F.min(place()).alias("first")).withColumn("c", F.xxhash64("k1", "k2"))
-    return occurrences, classes
+    return occurrences, stored(classes, "line-firsts")
 
 
 def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid"), F.col("line_no"))
 
 
+def firsts_of(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(c, first) of the classes that are compared."""
+    return stored(classes.select("c", "first").join(sent(texts.select("c")), "c"), "line-places")
+
+
 def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """One row per line with words: doc_id, rid, line_no, class_doc, class_line, n_links, removed.
 
@@ -307,10 +316,11 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """
     occurrences, classes = occurrences_and_classes(docs)
     pairs, texts, grouped = compared(docs, t)
-    links = placed(verified(plausible(pairs, texts, t), texts, t), classes)
+    firsts = firsts_of(classes, texts)
+    links = placed(verified(plausible(pairs, texts, t), texts, t), firsts)
     ends = links.select(F.explode(F.array(F.struct(F.col("p").alias("c"), F.lit(False).alias("later")),
                                           F.struct(F.col("q").alias("c"), F.lit(True).alias("later")))).alias("e")).select("e.*")
-    ends = ends.select("c", F.lit(1).cast("long").alias("n_links"), "later").union(group_links(grouped, texts, classes, t))
+    ends = ends.select("c", F.lit(1).cast("long").alias("n_links"), "later").union(group_links(grouped, texts, firsts, t))
     linked = ends.groupBy("c").agg(F.sum("n_links").alias("n_links"), F.max("later").alias("later"))
     known = classes.join(linked, "c", "left").select("k1", "k2", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("later", F.lit(False)).alias("later"))
     return occurrences.join(known, ["k1", "k2"]).select(
@@ -321,7 +331,8 @@ def remove_marks(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
 def removed_lines(docs: DataFrame, t: float = SIMILARITY) -> DataFrame:
     """(rid, line_no): the removed lines of ``remove_marks``, without counting links."""
     occurrences, classes = occurrences_and_classes(docs)
-    later = later_classes(*compared(docs, t), classes, t).withColumn("later", F.lit(True))
+    pairs, texts, grouped = compared(docs, t)
+    later = later_classes(pairs, texts, grouped, firsts_of(classes, texts), t).withColumn("later", F.lit(True))
     known = classes.join(later, "c", "left").select("k1", "k2", "first", "later")
     return occurrences.join(known, ["k1", "k2"]).where(F.col("later").isNotNull() | (place() != F.col("first"))).select("rid", "line_no")
 

@@ -307,6 +307,36 @@ def test_line_dedup_writes_no_row_a_prefix_word(spark, monkeypatch):
     assert made["line-links"] >= 20 and max(made.values()) <= len(rows), made
 
 
+@pytest.mark.parametrize("marks", [True, False])
+def test_line_dedup_describes_no_short_line_twice(spark, monkeypatch, marks):
+    """The classes' places are found once, and only long lines need their texts before the candidates are known."""
+    rng, made = np.random.default_rng(7), defaultdict(list)
+    base = {30: [f"s{i}" for i in range(30)], 200: [f"l{i}" for i in range(200)]}
+    rows = []
+    for size, count in ((30, 40), (200, 25)):
+        for i in range(count):
+            line = list(base[size])
+            line[rng.integers(0, size)] = f"x{size}-{i}"
+            rows.append((len(rows), " ".join(line) + ("\n \t\r\n" + " ".join(base[30]) if i % 9 == 0 else "")))
+    write = linededup.stored
+
+    def counted(df, name, **options):
+        out = write(df, name, **options)
+        made[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    df, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute_lines(rows)
+    if marks:
+        got = linededup.remove_marks(df).collect()
+        assert {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["removed"]) for r in got} == expected
+    else:
+        rid = {r["rid"]: r["doc_id"] for r in df.select("doc_id", linededup.row_id().alias("rid")).collect()}
+        assert {(rid[r["rid"]], r["line_no"]) for r in linededup.removed_lines(df).collect()} == {k for k, v in expected.items() if v[3]}
+    classes = len({v[:2] for v in expected.values()})
+    assert made["line-firsts"] == [classes] and len(made["line-texts"]) == 2 and made["line-texts"][0] <= 25 < made["line-texts"][1], made
+
+
 def test_line_dedup_odd_rows(odd, none):
     got = linededup.dedup_lines(odd)
     assert got.columns == odd.columns
