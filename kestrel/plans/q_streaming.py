@@ -21,7 +21,7 @@ from kestrel.sources.tables import scratch_path
 from kestrel.streaming.correlate import stream_correlate
 from kestrel.streaming.pacing import run_paced, write_arrivals
 from kestrel.streaming.scoring import score_requests
-from kestrel.streaming.triggers import init_ledger, read_ledger, stage_and_cut, stream_trigger
+from kestrel.streaming.triggers import block_size, init_ledger, read_ledger, stage_and_cut, stream_trigger
 
 N, M = TRIGGER_ROWS, REPLAY_EVERY
 
@@ -100,7 +100,8 @@ def stream_paced_q(spark, sf):
     write_arrivals(o, [seeded_hash("o_orderkey", PACE_SEED), "o_orderkey"], f"{base}/src")
     init_ledger(spark, f"{base}/ledger")
     run_paced(spark, f"{base}/src", PACE, "200 milliseconds",
-              stage_and_cut("o_custkey", f"{base}/staging", f"{base}/ledger", N, M), f"{base}/ckpt")
+              stage_and_cut("o_custkey", f"{base}/staging", f"{base}/ledger", N, M), f"{base}/ckpt",
+              at_once=block_size(o.schema, PACE, N))
     return read_ledger(spark, f"{base}/ledger").select("trigger_id", "lo", "hi", "n", "kind")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from kestrel.operators.sequence import trigger_batches
 from kestrel.sources.tables import path_exists, remove_path
+from kestrel.streaming.pacing import TURN
 
 LEDGER_SCHEMA = StructType([
     StructField("trigger_id", LongType()), StructField("lo", LongType()), StructField("hi", LongType()),
@@ -77,31 +78,70 @@ def waiting(spark: SparkSession, staging: str) -> DataFrame | None:
     return _read(spark, wait_path(staging), newest)
 
 
-def _state_before(spark: SparkSession, staging: str, mb: int) -> tuple[int, int] | None:
-    """(micro-batch, newest trigger) of the last one before ``mb``; None for the first.
+def _state_before(spark: SparkSession, staging: str, mb: int) -> tuple[tuple[int, int] | None, int | None]:
+    """(micro-batch, newest trigger) of the last one before ``mb``, and the newest micro-batch; None if there is none.
 
     Only the last few are kept, so this reads a bounded number of rows.
     """
     if not path_exists(spark, state_path(staging)):
-        return None
-    r = (spark.read.schema("last long, _mb int").parquet(state_path(staging)).where(F.col("_mb") < mb)
-         .agg(F.max(F.struct("_mb", "last")).alias("s")).first()["s"])
-    return None if r is None else (r["_mb"], r["last"])
+        return None, None
+    earlier = F.when(F.col("_mb") < mb, F.struct("_mb", "last"))
+    r = (spark.read.schema("last long, _mb int").parquet(state_path(staging))
+         .agg(F.max(earlier).alias("s"), F.max("_mb").alias("newest")).first())
+    return (None if r["s"] is None else (r["s"]["_mb"], r["s"]["last"])), r["newest"]
 
 
 #: rows of a micro-batch, with those that wait, that one task sorts at most
 ONE_TASK = 1 << 16
+#: arrivals that one task cuts in turn at most
+BLOCK_ARRIVALS = 64
+
+
+def _sortable(schema: StructType) -> bool:
+    return not any(kind in f.dataType.simpleString() for f in schema for kind in ("map<", "variant"))
+
+
+def block_size(schema: StructType, rows: int, n: int) -> int:
+    """How many arrivals of ``rows`` rows one task may cut in turn, with fewer than ``n`` that wait."""
+    return max(1, min(BLOCK_ARRIVALS, (ONE_TASK - n) // rows)) if _sortable(schema) else 1
 
 
 def _numbered(pool: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """The rows with ``rn`` and ``batch_id``, the same each time they are read (up to rows equal in all columns)."""
-    if total > ONE_TASK or any(kind in f.dataType.simpleString() for f in pool.schema for kind in ("map<", "variant")):
+    in_turn = TURN in pool.columns
+    if total > ONE_TASK or not _sortable(pool.schema):
+        if in_turn:
+            raise ValueError(f"a block of {total} rows: one task cuts {ONE_TASK} sortable ones in turn")
         return trigger_batches(pool, key, n, keep_partial=True, written=True)
-    one = pool.coalesce(1).sortWithinPartitions(key, *[c for c in pool.columns if c != key])
+    one = pool.coalesce(1).sortWithinPartitions(key, *[c for c in pool.columns if c not in (key, TURN)])
     numbered = one.withColumn("rn", F.monotonically_increasing_id() + 1)  # a single partition: no gaps
+    if in_turn:
+        numbered = _in_turn(numbered, n)
     return numbered.withColumn("batch_id", (F.floor((F.col("rn") - 1) / n) + 1).cast("long"))
 
 
+def _in_turn(numbered: DataFrame, n: int) -> DataFrame:
+    """``rn`` becomes the place in which a row is cut, if ``TURN`` after ``TURN`` is: what one leaves over waits for the next.
+
+    Whole triggers are taken at every turn, so their rows follow one another
+    without gaps; the rows that still wait come last. For one task's rows.
+    """
+    columns = [c for c in numbered.columns if c not in (TURN, "rn")]
+    row = F.struct("rn", F.struct(*columns).alias("row"))
+    arrivals = (numbered.groupBy(TURN).agg(F.collect_list(row).alias("rows"))
+                .agg(F.sort_array(F.collect_list(F.struct(TURN, "rows"))).alias("arrivals")))  # null first: rows that waited
+    none = F.array().cast(arrivals.schema["arrivals"].dataType.elementType["rows"].dataType)
+
+    def turn(so_far, arrival):
+        pool = F.array(F.sort_array(F.concat(so_far["rest"], arrival["rows"])))
+        whole = lambda p: F.size(p) - F.size(p) % n
+        cut = lambda p: F.struct(F.concat(so_far["cut"], F.slice(p, 1, whole(p))).alias("cut"), F.slice(p, whole(p) + 1, n).alias("rest"))
+        return F.transform(pool, cut)[0]  # an array of one pool: it is sorted once
+
+    order = F.aggregate("arrivals", F.struct(none.alias("cut"), none.alias("rest")), turn, lambda end: F.concat(end["cut"], end["rest"]))
+    return arrivals.select(F.posexplode(order).alias("_place", "_row")).select("_row.row.*", (F.col("_place") + 1).cast("long").alias("rn"))
+
+
 def _together(spark: SparkSession, *jobs: Callable[[], None]) -> None:
     """Run independent jobs at the same time."""
     with ThreadPoolExecutor(len(jobs)) as pool:
@@ -116,22 +156,29 @@ def stage_and_cut(key: str, staging: str, ledger: str, n: int, m: int,
     A micro-batch reads its own rows and those that the one before left
     waiting (fewer than ``n``), never what earlier triggers took. The state
     row is written last: a micro-batch cut off before it starts again from the
-    state before. Waiting rows and states older than the last one are removed.
+    state before. Waiting rows and states older than the last one are removed;
+    one that the state has gone past is not cut again. Numbers may have gaps.
+
+    A block of arrivals (rows with ``TURN``, at most :func:`block_size` arrivals)
+    gives the triggers of one arrival after the other.
     """
 
     done: dict[int, int] = {}  # the state that the last call has written
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, mb = batch.sparkSession, int(batch_id)
-        follows = mb - 1 in done
-        before = (mb - 1, done[mb - 1]) if follows else _state_before(spark, staging, mb)
+        follows = any(earlier < mb for earlier in done)
+        before, newest = (*done.items(), None) if follows else _state_before(spark, staging, mb)
+        if newest is not None and newest > mb:
+            return  # the stream stopped in a later block of the same micro-batch
         done.clear()
         last = before[1] if before else 0
         _write(batch, staging, mb)
         pool = _read(spark, staging, mb, batch.schema)
         if before:
-            pool = pool.unionByName(_read(spark, wait_path(staging), before[0], batch.schema if follows else None))
-        columns, total = pool.columns, pool.count()
+            waits = StructType([f for f in batch.schema if f.name != TURN])
+            pool = pool.unionByName(_read(spark, wait_path(staging), before[0], waits if follows else None), allowMissingColumns=TURN in pool.columns)
+        columns, total = [c for c in pool.columns if c != TURN], pool.count()
         newest = last + total // n
         cut = _numbered(pool, key, n, total)
         whole = F.col("rn") <= total // n * n

@@ -137,3 +137,113 @@ def test_the_stream_learns_in_blocks_as_the_table_does(spark, rows, scratch, mon
     assert [tuple(r)[:9] for r in got] == [tuple(r)[:9] for r in whole] and len(got) == 25
     assert np.allclose([r["avg_f1"] for r in got], [r["avg_f1"] for r in whole], atol=1e-9)
     assert len(writes) < 25
+
+
+def cut_one_by_one(arrivals, n, m):
+    """Ledger rows, keys with their trigger and keys that wait, if every arrival is cut as it comes; in plain Python."""
+    ledger, taken, rest = [], [], []
+    for keys in arrivals:
+        pool = sorted([*rest, *keys], key=lambda k: (k is not None, k or 0))
+        whole = len(pool) // n * n
+        for i in range(0, whole, n):
+            t, found = len(ledger) + 1, [k for k in pool[i:i + n] if k is not None]
+            ledger.append((t, min(found, default=None), max(found, default=None), n, "replay" if t % m == 0 else "own"))
+            taken += [(t, k) for k in pool[i:i + n]]
+        rest = pool[whole:]
+    return ledger, taken, rest
+
+
+def cut_as_found(spark, stage, ledger):
+    found = T.read_ledger(spark, ledger).select("trigger_id", "lo", "hi", "n", "kind").collect()
+    return sorted(map(tuple, found)), [(r["_trigger"], r["k"]) for r in T.triggered(spark, stage).collect()], [r["k"] for r in T.waiting(spark, stage).collect()]
+
+
+def alike(got, want):
+    order = lambda row: str(row)
+    return got[0] == want[0] and sorted(got[1], key=order) == sorted(want[1], key=order) and sorted(got[2], key=order) == sorted(want[2], key=order)
+
+
+def test_arrivals_of_a_block_are_cut_one_after_the_other(spark, scratch, monkeypatch):
+    rng = np.random.default_rng(3)
+    # late, tied and null keys; arrivals with fewer rows than a trigger, and with many
+    arrivals = [[None if k == 0 else int(k) for k in rng.integers(0, 30, size)] for size in (11, 2, 1, 17, 9, 3, 23, 4, 5, 12)]
+    stage, ledger = f"{scratch}/stage", f"{scratch}/ledger"
+    T.init_ledger(spark, ledger)
+    numbered = []
+    monkeypatch.setattr(T, "trigger_batches", lambda *a, **b: numbered.append(1))
+    run = T.stage_and_cut("k", stage, ledger, 4, 3)
+    for first, until in ((0, 5), (5, 9), (9, 10)):
+        rows = [(k, f"{t}-{i}", [i], t) for t in range(first, until) for i, k in enumerate(arrivals[t])]
+        block = spark.createDataFrame(rows, "k long, v string, a array<int>, _turn long").repartition(3)
+        run(block, first)
+        if first == 5:
+            run(block, first)  # replayed
+            run = T.stage_and_cut("k", stage, ledger, 4, 3)  # restarted
+            run(block.limit(0), 0)  # gone past: nothing is written again
+    assert alike(cut_as_found(spark, stage, ledger), cut_one_by_one(arrivals, 4, 3)) and not numbered
+    names = [r["v"] for r in T.triggered(spark, stage).collect()] + [r["v"] for r in T.waiting(spark, stage).collect()]
+    assert sorted(names) == sorted(f"{t}-{i}" for t, keys in enumerate(arrivals) for i in range(len(keys)))
+    assert T.triggered(spark, stage).columns == ["k", "v", "a", "_trigger", "_mb"]
+
+
+def test_a_block_is_bounded(spark):
+    schema = spark.range(1).schema
+    assert T.block_size(schema, 2000, 128) * 2000 + 128 <= T.ONE_TASK and T.block_size(schema, 2000, 128) > 1
+    assert T.block_size(schema, 1, 128) == T.BLOCK_ARRIVALS and T.block_size(schema, 10 * T.ONE_TASK, 128) == 1
+    assert T.block_size(spark.sql("SELECT map(1, 2) AS m").schema, 10, 128) == 1  # no order among maps
+    rows = spark.range(20).withColumn("_turn", F.col("id") % 2).withColumn("m", F.create_map(F.lit(1), F.lit(2)))
+    with pytest.raises(ValueError, match="one task"):
+        T._numbered(rows, "id", 4, 20)
+
+
+@pytest.mark.parametrize("lost_at", ["before", "after"])
+def test_a_paced_stream_stopped_between_blocks_loses_no_row(spark, scratch, lost_at):
+    from kestrel.streaming.pacing import run_paced, start_paced, write_arrivals
+    df = spark.createDataFrame([(i, i * 37 % 50) for i in range(100)], "id long, k long")
+    write_arrivals(df, "id", f"{scratch}/src")
+    T.init_ledger(spark, f"{scratch}/ledger")
+    seen = []
+
+    def cutting(fails):
+        cut = T.stage_and_cut("k", f"{scratch}/stage", f"{scratch}/ledger", 6, 2)
+
+        def run(block, at):
+            seen.append((at, block.select("_turn").distinct().count()))
+            if fails and at == 8 and lost_at == "before":
+                raise RuntimeError("lost")
+            cut(block, at)
+            if fails and at == 8:
+                raise RuntimeError("lost")
+        return run
+
+    # 13 arrivals of 8 rows, all due within a second: four blocks of one micro-batch
+    query, done = start_paced(spark, f"{scratch}/src", 8, "20 milliseconds", cutting(True), f"{scratch}/ckpt", 4)
+    with pytest.raises(Exception, match="lost"):
+        query.awaitTermination()
+    assert not done.is_set()
+    run_paced(spark, f"{scratch}/src", 8, "20 milliseconds", cutting(False), f"{scratch}/ckpt", 4)
+    assert seen == [(0, 4), (4, 4), (8, 4)] + [(0, 4), (4, 4), (8, 4), (12, 1)]
+    keys = [i * 37 % 50 for i in range(100)]
+    assert alike(cut_as_found(spark, f"{scratch}/stage", f"{scratch}/ledger"), cut_one_by_one([keys[i:i + 8] for i in range(0, 100, 8)], 6, 2))
+
+
+def test_the_paced_query_cuts_together_what_is_due_and_not_before(spark, scratch, monkeypatch):
+    import hashlib
+    import time
+    from kestrel.plans import q_streaming as Q
+    rows = [(i, i * i % 97) for i in range(17 * Q.PACE // 2)]  # the last arrival is half a one
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long").write.parquet(f"{scratch}/orders.parquet")
+    calls, stage_and_cut, run_paced = [], Q.stage_and_cut, Q.run_paced
+
+    def counted(*a):
+        run = stage_and_cut(*a)
+        return lambda batch, at: (calls.append((time.monotonic(), at)), run(batch, at))
+
+    monkeypatch.setattr(Q, "stage_and_cut", counted)
+    monkeypatch.setattr(Q, "run_paced", lambda *a, **b: (calls.append((time.monotonic(), 0)), run_paced(*a, **b)))
+    got = sorted(map(tuple, Q.stream_paced_q(spark, scratch).collect()))
+    begun, blocks = calls[0][0], calls[1:]
+    keys = [k for i, k in sorted(rows, key=lambda r: (hashlib.md5(f"{Q.PACE_SEED}:{r[0]}".encode()).hexdigest(), r[0]))]
+    assert got == cut_one_by_one([keys[i:i + Q.PACE] for i in range(0, len(keys), Q.PACE)], Q.N, Q.M)[0]
+    assert len(blocks) <= 4  # a call for each of the 9 arrivals before
+    assert all(at * 0.2 <= when - begun for when, at in blocks) and blocks[-1][0] - begun >= 9 * 0.2
